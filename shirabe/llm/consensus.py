@@ -51,7 +51,7 @@ def _soft(scores: list[Column]) -> list[Column]:
     return [p / total for p in parts]
 
 
-def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, smoothing: float = 0.5, tolerance: float = 5e-3, most_rounds: int = 40) -> Consensus:
+def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_count: float = 4.0, wrong_count: float = 1.0, tolerance: float = 5e-3, most_rounds: int = 40) -> Consensus:
     """Bipartite message passing over the label edges, one class against the rest.
 
     An edge joins a term and a reviewer and carries the label. The message from
@@ -65,10 +65,13 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, smoothing:
     map-side partial sums, so neither a busy reviewer nor a busy term gathers in
     one task. No labels: both results are empty. A term with one label gets that
     label's most likely class. Ties go to the class named first.
+    ``right_count`` and ``wrong_count`` are the labels that every reviewer is
+    taken to have given rightly and to each wrong class beforehand.
     """
     spark = labels.sparkSession
     ensure_checkpoints(spark)
     k = range(len(classes))
+    habit = [[right_count if c == x else wrong_count for x in k] for c in k]
     own = [(F.col("label") == c).cast("double") for c in k]
     degree = labels.groupBy("term_id").agg(F.count("*").alias("degree"), *[F.sum(own[c]).alias(f"n{c}") for c in k])
     first = [(F.col(f"n{c}") - own[c] + 1 / len(classes)) / F.col("degree") for c in k]
@@ -77,7 +80,7 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, smoothing:
     prior = _prior(edges, classes)
     rounds = 0
     for rounds in range(1, most_rounds + 1):
-        spoken = _spoken(edges, classes, prior, smoothing, few)
+        spoken = _spoken(edges, classes, habit, few)
         new = _soft([F.col(f"t{c}") - F.col(f"w{c}") for c in k])
         moved = spoken.join(_heard(spoken, classes, prior), "term_id").select("term_id", "reviewer", "label", "degree", *[F.col(f"p{c}").alias(f"o{c}") for c in k], *[new[c].alias(f"p{c}") for c in k])
         change = F.greatest(*[F.abs(F.col(f"p{c}") - F.col(f"o{c}")) for c in k])
@@ -85,7 +88,7 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, smoothing:
         prior = _prior(edges, classes)
         if (edges.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
             break
-    spoken = _spoken(edges, classes, prior, smoothing, few)
+    spoken = _spoken(edges, classes, habit, few)
     beliefs = _soft([F.col(f"t{c}") for c in k])
     judged = _heard(spoken, classes, prior).select("term_id", *[beliefs[c].alias(f"b{c}") for c in k])
     best = F.greatest(*[F.col(f"b{c}") for c in k])
@@ -114,14 +117,14 @@ def _prior(edges: DataFrame, classes: tuple[str, ...]) -> list[float]:
     return [max((x or 0.0) / total, 1e-6) if total else 1 / len(classes) for x in row]
 
 
-def _spoken(edges: DataFrame, classes: tuple[str, ...], prior: list[float], smoothing: float, few: bool) -> DataFrame:
+def _spoken(edges: DataFrame, classes: tuple[str, ...], habit: list[list[float]], few: bool) -> DataFrame:
     """Edges with the reviewers' messages w: the log likelihood of the label under each class."""
     k = range(len(classes))
     habits = edges.groupBy("reviewer").agg(*[F.sum(F.when(F.col("label") == x, F.col(f"p{c}")).otherwise(0.0)).alias(f"h{c}_{x}") for c in k for x in k])
     joined = edges.join(F.broadcast(habits) if few else habits, "reviewer")
-    said = [F.element_at(F.array(*[F.col(f"h{c}_{x}") for x in k]), F.col("label") + 1) for c in k]
-    whole = [sum([F.col(f"h{c}_{x}") for x in k], F.lit(0.0)) for c in k]
-    logs = [F.log((F.greatest(said[c] - F.col(f"p{c}"), F.lit(0.0)) + smoothing) / (F.greatest(whole[c] - F.col(f"p{c}"), F.lit(0.0)) + smoothing * len(classes))) for c in k]
+    said = [F.element_at(F.array(*[F.col(f"h{c}_{x}") + habit[c][x] for x in k]), F.col("label") + 1) for c in k]
+    whole = [sum([F.col(f"h{c}_{x}") for x in k], F.lit(sum(habit[c]))) for c in k]
+    logs = [F.log((said[c] - F.col(f"p{c}")) / (whole[c] - F.col(f"p{c}"))) for c in k]
     return joined.select("term_id", "reviewer", "label", "degree", *[f"p{c}" for c in k], *[logs[c].alias(f"w{c}") for c in k])
 
 

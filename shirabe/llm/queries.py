@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shirabe.llm import consensus as c
+from shirabe.llm import dedup
 from shirabe.llm import terms as t
-from shirabe.tables import load
+from shirabe.tables import Workspace, load
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,4 +36,8 @@ def p2_reviewers(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d).reviewers
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.found_pairs(load(spark, d, "documents"), load(spark, d, "extraction_runs"), Workspace(spark, "p3"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shirabe.llm import consensus as c
-from shirabe.llm import dedup
+from shirabe.llm import dedup, sentences
 from shirabe.llm import terms as t
 from shirabe.tables import Workspace, load
 
@@ -40,4 +40,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.found_pairs(load(spark, d, "documents"), load(spark, d, "extraction_runs"), Workspace(spark, "p3"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(load(spark, d, "documents"), load(spark, d, "term_occurrences"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found, p5_found)}

@@ -91,12 +91,14 @@ def _mark_score(text: str, found: regex.Match) -> float:
         return 6.0 if spaced else 0.0
     token = _token_before(text, found.start())
     low = token.lower()
+    if text[found.start() - len(token) - 1 : found.start() - len(token)] == "/":  # a unit, as in km/h
+        low = token = "/" + token
     if len(marks) > 1:  # an ellipsis
         return -4.0 if first.islower() else 2.0
     if not spaced:
         return -5.0
     tail = regex.search(r"[^\d\s().]+(?:\.[^\d\s().]+)*$", low)
-    short = tail.group() if tail else ""
+    short = tail.group() if tail and token[0] != "/" else ""
     bare = word.lstrip("(（「『“„\"«[")
     opening = bool(bare) and (bare[0].isupper() or bare[0].isdigit() or word[0] in "\"“„«「『")
     if low in LEADING or short in LEADING:

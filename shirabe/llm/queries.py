@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shirabe.llm import consensus as c
-from shirabe.llm import dedup, sentences
+from shirabe.llm import dedup, leaks, mixing, sentences
 from shirabe.llm import terms as t
 from shirabe.tables import Workspace, load
 
@@ -44,4 +44,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(load(spark, d, "documents"), load(spark, d, "term_occurrences"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found, p5_found)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.cleaned(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.mix(mixing.token_counts(load(spark, d, "documents")), load(spark, d, "source_weights"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).records
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found, p5_found, p6_found, p6_leaks, p6_cleaned, p7_mix, p7_shares)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shirabe.llm import consensus as c
-from shirabe.llm import dedup, leaks, mixing, sentences
+from shirabe.llm import dedup, leaks, mixing, pii, sentences
 from shirabe.llm import terms as t
 from shirabe.tables import Workspace, load
 
@@ -68,4 +68,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found, p5_found, p6_found, p6_leaks, p6_cleaned, p7_mix, p7_shares)}
+#: For the demonstration only; a real run takes its key from outside.
+DEMO_KEY = b"demonstration key"
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.person_spans(load(spark, d, "documents"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(load(spark, d, "documents"), DEMO_KEY)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found, p5_found, p6_found, p6_leaks, p6_cleaned, p7_mix, p7_shares, p8_found, p8_redacted)}

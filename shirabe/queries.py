@@ -1,17 +1,358 @@
-"""The core queries, by name."""
+"""The core queries, by name. Each takes a session and a data folder and reads whole tables."""
 
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shirabe.operators import history
+from shirabe.functions import constants as k
+from shirabe.functions import text as t
+from shirabe.functions.normalize import nfkc_strip
+from shirabe.operators import catalog, extract, history, names, review
+from shirabe.plans import models
+from shirabe.sources import files, sinks
+from shirabe.streaming import jobs
 from shirabe.tables import Workspace, load
 
+#: With the pattern generator few terms reach the default threshold; this one shows all of them.
+THRESHOLD = 0.5
+#: Literal candidates with the awkward forms of the cleaning rules.
+RAW_CANDIDATES = ("(12) 信号機", "第3章信号", "700系", "2-3番線", "ＡＴＳ", "すべて", "・踏切・", "架 線", "1.軌道", "A", "ー", "第１２節 分岐器", "[ホーム]", "a" * 41, "-制御", "12")
+
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract(load(spark, d, "documents"), THRESHOLD)
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return extract.candidates(extract.segment(load(spark, d, "documents")))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", F.col("original_name").alias("file_name"))
+
+
+def _joined(column: str) -> Column:
+    return F.array_join(column, "|").alias(column)
+
+
+def sentence_segments(spark: SparkSession, d: str) -> DataFrame:
+    return extract.segment(load(spark, d, "documents"))
+
+
+def candidate_spans(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).select("doc_id", "sentence_idx", "start_char", "end_char", "term", "source")
+
+
+def extract_terms_by_doc(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship query."""
+    return _terms(spark, d).select("doc_id", "rank", "term", "frequency", "raw_frequency", "score", "group", "source", "page", "first_sentence_idx", "start_char", "end_char")
+
+
+def top_terms_per_doc(spark: SparkSession, d: str) -> DataFrame:
+    return extract.top_terms(_terms(spark, d)).select("doc_id", "rank", "term")
+
+
+def term_examples_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _terms(spark, d).select("doc_id", "term", _joined("pages"), _joined("examples"))
+
+
+def confidence_histogram(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    sentences = extract.segment(docs)
+    return extract.document_summary(sentences, extract.terms_by_document(extract.candidates(sentences), THRESHOLD))
+
+
+def result_totals(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return extract.totals(extract.segment(docs).groupBy("doc_id").agg(F.count("*").alias("sentence_count")), docs, THRESHOLD)
+
+
+def aggregate_across_docs(spark: SparkSession, d: str) -> DataFrame:
+    out = extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD)
+    return out.withColumn("examples", F.array_join("examples", "|"))
+
+
+def pages_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return extract.pages_by_file(extract.top_terms(_terms(spark, d)), _files(spark, d)).withColumn("pages", F.array_join("pages", "|"))
+
+
+def clean_and_validate(spark: SparkSession, d: str) -> DataFrame:
+    given = spark.createDataFrame([(x,) for x in RAW_CANDIDATES], "raw string")
+    raw = load(spark, d, "terms").select(F.col("term_text").alias("raw")).unionByName(given).distinct()
+    cleaned = raw.select("raw", t.clean_candidate(t.normalize_text(F.col("raw"))).alias("cleaned"))
+    return cleaned.withColumn("valid", t.valid_candidate(F.col("cleaned")))
+
+
+def heuristic_scores(spark: SparkSession, d: str) -> DataFrame:
+    used = load(spark, d, "term_candidates").select("id", "term_id", F.coalesce("frequency", F.lit(1)).alias("frequency")).distinct()
+    rows = used.join(load(spark, d, "terms").select(F.col("id").alias("term_id"), F.col("normalized_text").alias("term")), "term_id")
+    return rows.select("id", t.heuristic_score(F.col("term"), F.col("frequency")).alias("score"), t.group_tag(F.col("term")).alias("group"))
+
+
+def overlap_resolution(spark: SparkSession, d: str) -> DataFrame:
+    spans = load(spark, d, "term_occurrences").where("start_char IS NOT NULL AND end_char IS NOT NULL")
+    spans = spans.select("document_id", "sentence_text", "start_char", "end_char", F.col("score").cast("double").alias("score"), F.lit(1).alias("raw_frequency")).distinct()
+    return extract.resolve_overlaps(spans, ["document_id", "sentence_text"])
+
+
+def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.new_terms(load(spark, d, "terms"), _terms(spark, d))
+
+
+def persist_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.run_candidates(_terms(spark, d), load(spark, d, "documents"))
+
+
+def persist_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    spans = _spans(spark, d)
+    return catalog.run_occurrences(spans, extract.terms_by_document(spans, THRESHOLD), load(spark, d, "documents"))
+
+
+def json_recordset(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "term_review_history").distinct().groupBy("term_id", "review_version").agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "new_status")))).alias("payload"))
+    return catalog.recordset(rows, "payload", "id:bigint,new_status:string")
+
+
+def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.violations({n: load(spark, d, n) for n in ("extraction_runs", "documents", "terms", "term_candidates", "term_occurrences", "term_review_history")})
+
+
+def _listing(spark: SparkSession, d: str, **how: object) -> DataFrame:
+    return catalog.list_terms(*[load(spark, d, n) for n in ("terms", "term_candidates", "term_occurrences")], **how)
+
+
+def list_terms_page(spark: SparkSession, d: str) -> DataFrame:
+    return _listing(spark, d)
+
+
+def list_terms_search(spark: SparkSession, d: str) -> DataFrame:
+    return _listing(spark, d, search="ｋ2", limit=100)
+
+
+def list_terms_reviewed(spark: SparkSession, d: str) -> DataFrame:
+    return _listing(spark, d, status="reviewed", limit="500", offset=20)
+
+
+def term_usage(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.term_stats(*[load(spark, d, n) for n in ("terms", "term_candidates", "term_occurrences")])
+
+
+def term_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.term_evidence(*[load(spark, d, n) for n in ("term_candidates", "term_occurrences", "documents", "extraction_runs")])
+
+
+def review_history(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.review_history(load(spark, d, "term_review_history"))
+
+
+def review_summary(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.review_summary(load(spark, d, "terms"))
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Each history row as a request that expects the version before its own, in the order of their ids."""
+    status = F.lower(F.trim("new_status"))
+    rows = load(spark, d, "term_review_history").distinct()
+    return rows.select(F.col("id").alias("seq"), "term_id", status.alias("status"), "note", (F.col("review_version") - 1).alias("expected_version"), F.col("reviewer_username").alias("reviewer"), history.micros(F.col("created_at")).alias("at_us"))
+
+
+def _unreviewed(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog as it was before any review."""
+    empty = {"review_version": F.lit(0), "review_status": F.lit("unreviewed"), "review_note": F.lit(None).cast("string"), "reviewed_by_username": F.lit(None).cast("string"), "reviewed_at": F.lit(None).cast("timestamp_ntz")}
+    return load(spark, d, "terms").withColumns(empty | {"updated_at": F.col("created_at")})
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return review.review_outcomes(_unreviewed(spark, d), _requests(spark, d))
+
+
+def apply_reviews_cas(spark: SparkSession, d: str) -> DataFrame:
+    return _outcomes(spark, d).select("term_id", "seq", "kind", "version", "previous_status", "status")
+
+
+def reviewed_terms(spark: SparkSession, d: str) -> DataFrame:
+    return review.reviewed_terms(_unreviewed(spark, d), _outcomes(spark, d)).select("id", "review_status", "review_note", "reviewed_by_username", "review_version")
+
+
+def appended_history(spark: SparkSession, d: str) -> DataFrame:
+    return review.appended_history(_outcomes(spark, d))
+
+
+def login_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    events = load(spark, d, "events").where(F.col("event_type").isin("error", "signup"))
+    attempts = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), history.micros(F.col("ts")).alias("at_us"), (F.col("event_type") == "signup").alias("ok"))
+    return review.attempt_outcomes(attempts, window_us=2 * 86_400 * 1_000_000)
+
+
+def _training(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.training_rows(*[load(spark, d, n) for n in ("terms", "term_candidates", "term_occurrences", "documents")])
+
+
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _training(spark, d).drop("reviewed_at")
+
+
+def training_csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.training_csv(_training(spark, d)).select("occurrence_id", "line")
+
+
+def training_jsonl_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.training_json(_training(spark, d)).select("occurrence_id", "line")
+
+
+def candidate_csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.candidate_csv(extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD))
+
+
+def client_view(spark: SparkSession, d: str) -> DataFrame:
+    terms = extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD)
+    shown = terms.where((F.col("group") == k.NEW_GROUP) & F.contains(F.lower(F.concat_ws(" ", nfkc_strip(F.col("term")), "first_file")), F.lit("形")))
+    key = F.concat_ws("-", F.coalesce("first_file", F.lit("")), F.lpad(F.coalesce("page", F.lit(999999)).cast("string"), 8, "0"))
+    return shown.select("term", "frequency", t.percent(F.col("score")).alias("percent"), t.score_band(F.col("score")).alias("band"), t.short_name(F.col("first_file")).alias("file"), key.alias("source_key"))
+
+
+def fuzzy_file_match(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select(t.file_key(F.col("original_name")).alias("outer"))
+    return names.contained_names(docs.select(F.regexp_replace("outer", r"\.[^.]*$", "").alias("inner")), docs)
+
+
+def highlight_sentence(spark: SparkSession, d: str) -> DataFrame:
+    of = load(spark, d, "term_candidates").select(F.col("id").alias("term_candidate_id"), "term_id").distinct()
+    rows = load(spark, d, "term_occurrences").select("id", "term_candidate_id", "sentence_text").distinct().join(of, "term_candidate_id")
+    named = rows.join(load(spark, d, "terms").select(F.col("id").alias("term_id"), "term_text"), "term_id")
+    return named.select("id", t.highlighted(F.col("sentence_text"), F.col("term_text")).alias("marked"))
+
+
+def document_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.document_lookup(load(spark, d, "documents"))
+
+
+def admission_check(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.admission(load(spark, d, "documents"))
+
+
+def mime_hash(spark: SparkSession, d: str) -> DataFrame:
+    ext = t.extension(F.col("original_name"))
+    return load(spark, d, "documents").select("doc_id", ext.alias("extension"), t.mime_type(ext).alias("mime"), F.sha2("text", 256).alias("hash"), t.is_uuid(F.col("id")).alias("uuid"))
+
+
+def run_status_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.run_status(load(spark, d, "documents"))
+
+
+def result_json(spark: SparkSession, d: str) -> DataFrame:
+    sentences = extract.segment(load(spark, d, "documents"))
+    terms = extract.terms_by_document(extract.candidates(sentences), THRESHOLD)
+    return sinks.result_json(terms, extract.document_summary(sentences, terms), THRESHOLD)
+
+
+def docx_text(spark: SparkSession, d: str) -> DataFrame:
+    """A DOCX, a text and an unknown file, written and read again."""
+    folder = Workspace(spark, "docx").root.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>閉そく方式を変更した。</w:t></w:r></w:p><w:p><w:r><w:t>信号を確認。</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(f"{folder}/manual.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    for name, content in (("notes.txt", "駅長へ連絡。"), ("empty.md", " "), ("scan.png", "x")):
+        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+            f.write(content)
+    return files.read_documents(spark, f"file://{folder}").drop("path")
+
+
+def _stub_tagger() -> models.Tagger:
+    import re
+
+    word = re.compile(r"[A-Z]{2,}-?\d*|[ァ-ヴー]{3,}")
+    return lambda s: [(m.group(), m.start(), m.end(), "stub_tagger") for m in word.finditer(s)]
+
+
+def _stub_scorer() -> models.Scorer:
+    return lambda sentences, terms: [models.softmax([0.0, len(b) / 8])[1] for _, b in zip(sentences, terms)]
+
+
+def nlp_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by a stub in the tagger's place."""
+    return models.tagged_candidates(extract.segment(load(spark, d, "documents")), _stub_tagger, "stub_tagger").select("doc_id", "sentence_idx", "start_char", "end_char", "term", "source")
+
+
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The general extraction with stubs for tagger and model, overlaps resolved."""
+    out = models.extract_with(load(spark, d, "documents"), THRESHOLD, (_stub_tagger, "stub_tagger"), (_stub_scorer, "stub_scorer"))
+    return out.select("doc_id", "sentence_idx", "overlap_rank", "start_char", "end_char", "term", "score")
+
+
+def streaming_extract(spark: SparkSession, d: str) -> DataFrame:
+    schema = load(spark, d, "documents").schema
+    return jobs.stream_extract(spark, _stream_source(d, "documents"), schema, Workspace(spark, "stream-extract"), THRESHOLD).select("doc_id", "rank", "term", "frequency", "score")
+
+
+def streaming_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    schema = load(spark, d, "events").schema
+    return jobs.stream_attempts(spark, _stream_source(d, "events"), schema, Workspace(spark, "stream-limit"), 2 * 86_400 * 1_000_000)
+
+
+def _stream_source(d: str, name: str) -> str:
+    """A table as a stream's source: its folder, or a pattern that matches its one file."""
+    return f"{d}/{name}.parquet" if os.path.isdir(f"{d}/{name}.parquet") else f"{d}/{name}.parque[t]"
+
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.status_history(load(spark, d, "term_review_history"), Workspace(spark, "p4"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        extract_terms_by_doc,
+        sentence_segments,
+        candidate_spans,
+        top_terms_per_doc,
+        term_examples_pages,
+        confidence_histogram,
+        result_totals,
+        aggregate_across_docs,
+        pages_by_file,
+        clean_and_validate,
+        heuristic_scores,
+        overlap_resolution,
+        catalog_upsert,
+        persist_candidates,
+        persist_occurrences,
+        json_recordset,
+        constraint_violations,
+        list_terms_page,
+        list_terms_search,
+        list_terms_reviewed,
+        term_usage,
+        term_evidence,
+        review_history,
+        review_summary,
+        apply_reviews_cas,
+        reviewed_terms,
+        appended_history,
+        login_rate_limit,
+        training_rows,
+        training_csv_lines,
+        training_jsonl_lines,
+        candidate_csv_lines,
+        client_view,
+        fuzzy_file_match,
+        highlight_sentence,
+        document_lookup,
+        admission_check,
+        mime_hash,
+        run_status_rollup,
+        result_json,
+        docx_text,
+        nlp_candidates,
+        model_scores,
+        streaming_extract,
+        streaming_rate_limit,
+        p4_found,
+    )
+}

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from shirabe.llm.bare import bare_text
 from shirabe.llm.chunks import packed_chunks
@@ -40,25 +42,43 @@ def arrivals(documents: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, divisor: int) -> DataFrame:
-    """(doc_id, at, digest, bare, chunks) of documents whose bare text isn't empty."""
+    """(doc_id, at, digest, bare, chunks, sieve) of documents whose bare text isn't empty.
+
+    ``sieve`` is a bitmap of 512 bits that has a bit for each chunk.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             bare = [bare_text(t) for t in b["text"]]
+            chunks = packed_chunks(bare, divisor)
             yield pd.DataFrame(
                 {
                     "doc_id": b["doc_id"],
                     "at": b["at"],
                     "digest": [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in bare],
                     "bare": bare,
-                    "chunks": packed_chunks(bare, divisor),
+                    "chunks": chunks,
+                    "sieve": [_sieve(c) for c in chunks],
                 }
             )[[bool(t) for t in bare]]
 
-    return docs.mapInPandas(run, "doc_id bigint, at bigint, digest binary, bare string, chunks array<bigint>")
+    return docs.mapInPandas(run, "doc_id bigint, at bigint, digest binary, bare string, chunks array<bigint>, sieve array<bigint>")
+
+
+def _sieve(chunks: np.ndarray) -> np.ndarray:
+    bits = np.zeros(8, np.uint64)
+    np.bitwise_or.at(bits, (chunks >> 22) & 7, np.uint64(1) << ((chunks >> 16) & 63).astype(np.uint64))
+    return bits.view(np.int64)
+
+
+def _sifted(chunks: Column, sieve: Column) -> Column:
+    """Bytes of those chunks whose bit is in the sieve: no less than what both documents share."""
+    word = lambda c: F.get(sieve, F.shiftright(c, 22).bitwiseAND(F.lit(7)).cast("int"))
+    bit = lambda c: F.call_function("shiftright", word(c), F.shiftright(c, 16).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return F.aggregate(chunks, F.lit(0).cast("long"), lambda s, c: s + _weight(c) * bit(c))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _common_share(a: pd.Series, b: pd.Series, piece: pd.Series) -> pd.Series:
     out, last, kept = [], None, set()
     for x, y, n in zip(a, b, piece):
@@ -97,24 +117,30 @@ class ChunkHistory:
     chunks: DataFrame | None = None
 
     def _append(self, accepted: DataFrame) -> None:
-        docs = self.workspace.write(accepted.select("doc_id", "at", "bare", "chunks"), "accepted")
-        chunks = self.workspace.write(docs.select(F.explode("chunks").alias("chunk"), "doc_id", "at"), "chunk-table")
+        docs = self.workspace.write(accepted.select("doc_id", "at", "bare", "chunks", "sieve"), "accepted")
+        chunks = self.workspace.write(docs.select(F.explode("chunks").alias("chunk"), "doc_id"), "chunk-table")
         self.docs = docs if self.docs is None else self.docs.unionByName(docs)
         self.chunks = chunks if self.chunks is None else self.chunks.unionByName(chunks)
 
     def _similar(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Of pairs (doc_id, at, a_doc_id, a_at) those that are repeats.
+        """Of pairs (doc_id, a_doc_id) those that are repeats, with ``at`` and ``a_at``.
 
-        The byte totals of shared chunks decide by coverage; what they let
+        The byte totals of shared chunks decide by coverage: first an upper
+        bound of them from the earlier document's sieve, which is all that has
+        to travel for most pairs, then the totals themselves. What they let
         through is checked exactly on the pieces of both bare texts.
         """
         p = self.params
-        a = left.select("doc_id", "chunks")
-        b = right.select(F.col("doc_id").alias("a_doc_id"), F.col("chunks").alias("a_chunks"))
+        whole = _bytes(F.col("chunks"))
+        other = lambda *columns: right.select(*[F.col(c).alias(f"a_{c}") for c in ("doc_id", *columns)])
+        sieved = pairs.join(right.select(F.col("doc_id").alias("a_doc_id"), "sieve", _bytes(F.col("chunks")).cast("int").alias("a_whole")), "a_doc_id")
+        need = lambda a: F.greatest(whole, F.col(a)) * p.coverage
+        likely = sieved.join(left.select("doc_id", "chunks"), "doc_id").where(_sifted(F.col("chunks"), F.col("sieve")) >= need("a_whole")).select("doc_id", "a_doc_id")
+        likely = self.workspace.write(likely, "likely")
         shared = _bytes(F.array_intersect("chunks", "a_chunks"))
-        covered = pairs.join(a, "doc_id").join(b, "a_doc_id").where(shared >= F.greatest(_bytes(F.col("chunks")), _bytes(F.col("a_chunks"))) * p.coverage).select("doc_id", "at", "a_doc_id", "a_at")
-        texts = covered.join(left.select("doc_id", "bare"), "doc_id").join(right.select(F.col("doc_id").alias("a_doc_id"), F.col("bare").alias("a_bare")), "a_doc_id")
-        return texts.where(_common_share("bare", "a_bare", F.lit(p.piece)) >= p.similarity).select("doc_id", "at", "a_doc_id", "a_at")
+        both = likely.join(left.select("doc_id", "at", "chunks", "bare"), "doc_id").join(other("at", "chunks", "bare"), "a_doc_id")
+        covered = both.where(shared >= F.greatest(whole, _bytes(F.col("a_chunks"))) * p.coverage)
+        return covered.where(_common_share("bare", "a_bare", F.lit(p.piece)) >= p.similarity).select("doc_id", "at", "a_doc_id", "a_at")
 
     def _keys(self, reps: DataFrame) -> DataFrame:
         """(chunk, doc_id, at, n_keys): the rare chunks by which a repeat must be found.
@@ -126,12 +152,13 @@ class ChunkHistory:
         in common, as the order is the same for all.
         """
         p = self.params
-        rows = reps.select("doc_id", "at", _bytes(F.col("chunks")).alias("whole"), F.explode("chunks").alias("chunk"))
+        rows = reps.select("doc_id", F.explode("chunks").alias("chunk"))
         counts = rows.groupBy("chunk").agg(F.count("*").alias("n"))
         if self.chunks is not None:
             past = self.chunks.groupBy("chunk").agg(F.count("*").alias("past"))
             counts = counts.join(past, "chunk", "left").select("chunk", (F.col("n") + F.coalesce("past", F.lit(0))).alias("n"))
-        common = rows.join(counts.where("n > 1"), "chunk")
+        sizes = reps.select("doc_id", "at", _bytes(F.col("chunks")).alias("whole"))
+        common = rows.join(counts.where("n > 1"), "chunk").join(sizes, "doc_id")
         rarest = Window.partitionBy("doc_id").orderBy("n", "chunk")
         whole = Window.partitionBy("doc_id").orderBy("n", "chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         left = F.sum(_weight(F.col("chunk"))).over(whole) - F.sum(_weight(F.col("chunk"))).over(rarest) + _weight(F.col("chunk"))
@@ -147,24 +174,29 @@ class ChunkHistory:
         """
         ws = self.workspace
         docs = ws.write(_prepared(batch, self.params.divisor), "batch")
-        classes = docs.groupBy("digest").agg(F.min(_order()).alias("rep"))
-        classes = ws.write(classes.select("digest", F.col("rep.doc_id").alias("rep_id")), "classes")
-        reps = ws.write(docs.join(classes.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi").drop("digest"), "representatives")
+        classes = docs.groupBy("digest").agg(F.min(_order()).alias("rep"), F.count("*").alias("n"))
+        classes = ws.write(classes.select("digest", F.col("rep.doc_id").alias("rep_id"), "n"), "classes")
+        members = docs.select("doc_id", "digest").join(classes.where("n > 1").select("digest", "rep_id"), "digest")
+        copies = ws.write(members.where("doc_id <> rep_id").select("doc_id", "rep_id"), "copies")
+        reps = docs.drop("digest").join(copies.select("doc_id"), "doc_id", "left_anti")
+        reps = ws.write(reps, "representatives")
+        ws.drop(docs)
         keys = ws.write(self._keys(reps), "keys")
         found = self._against_past(keys, reps)
         found = self._within(keys, reps, found)
         accepted = reps.join(found, "doc_id", "left_anti")
         self._append(accepted)
-        copies = docs.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep_id")
-        partner = copies.join(found.select(F.col("doc_id").alias("rep_id"), F.col("partner.doc_id").alias("repeats")), "rep_id", "left")
-        return partner.select("doc_id", F.coalesce("repeats", F.when(F.col("doc_id") != F.col("rep_id"), F.col("rep_id"))).alias("repeats")).where("repeats IS NOT NULL")
+        ws.drop(reps)
+        found = found.select("doc_id", F.col("partner.doc_id").alias("repeats"))
+        of_copies = copies.join(found.withColumnRenamed("doc_id", "rep_id"), "rep_id", "left").select("doc_id", F.coalesce("repeats", "rep_id").alias("repeats"))
+        return found.unionByName(of_copies)
 
     def _against_past(self, keys: DataFrame, reps: DataFrame) -> DataFrame:
         """(doc_id, partner) of documents that repeat one accepted in an earlier batch."""
         if self.chunks is None:
             return self.workspace.write(reps.select("doc_id", _order().alias("partner")).limit(0), "found")
-        past = self.chunks.select("chunk", F.col("doc_id").alias("a_doc_id"), F.col("at").alias("a_at"))
-        pairs = keys.join(past, "chunk").select("doc_id", "at", "a_doc_id", "a_at").distinct()
+        past = self.chunks.select("chunk", F.col("doc_id").alias("a_doc_id"))
+        pairs = keys.select("chunk", "doc_id").join(past, "chunk").select("doc_id", "a_doc_id").distinct()
         return self.workspace.write(self._similar(pairs, reps, self.docs).groupBy("doc_id").agg(F.min(_order("a_")).alias("partner")), "found")
 
     def _within(self, keys: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
@@ -189,7 +221,7 @@ class ChunkHistory:
                 return repelled
             ready = heads.groupBy(F.col("a_doc_id").alias("doc_id")).agg(F.count("*").alias("n")).join(totals, "doc_id").where("n = n_keys").select("doc_id")
             later = keys if decided is None else keys.join(decided.where("accepted"), "doc_id", "left_anti")
-            pairs = later.join(heads, "chunk").where(_order("a_") < _order()).select("doc_id", "at", "a_doc_id", "a_at").distinct()
+            pairs = later.join(heads, "chunk").where(_order("a_") < _order()).select("doc_id", "a_doc_id").distinct()
             if links is not None:
                 pairs = pairs.join(links.select("doc_id", "a_doc_id"), ["doc_id", "a_doc_id"], "left_anti")
             fresh = self._similar(pairs, reps, reps)

@@ -2,7 +2,283 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from shirabe.functions import constants as k
+
+_SOURCES = "".join(map(chr, [*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFF9E), 0x3000, 0xA0]))
+_TARGETS = "".join(unicodedata.normalize("NFKC", c) for c in _SOURCES)
+_LONGER = [(c, unicodedata.normalize("NFKC", c)) for c in "…℃ำ"]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def nfkc(expr: str) -> str:
+    """NFKC for the characters that the test tables hold: width forms, blanks, and those that become longer."""
+    for a, b in _LONGER:
+        expr = f"replace({expr}, {_quoted(a)}, {_quoted(b)})"
+    return f"translate({expr}, {_quoted(_SOURCES)}, {_quoted(_TARGETS)})"
+
+
+def strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '^[\\s\\x{{3000}}]+|[\\s\\x{{3000}}]+$', '', 'g')"
+
+
+def normalized(expr: str) -> str:
+    inner = f"regexp_replace(replace({nfkc(expr)}, chr(65279), ''), '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
+    return strip(f"regexp_replace({inner}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_C = k.CANDIDATE_CLASS
+_STRIPPED = k.STRIPPED
+
+
+def cleaned(expr: str) -> str:
+    for pattern in ("^\\(?[0-9０-９]+\\)?[)）.．\\-－\\s]*", "^[0-9０-９]+[-－][0-9０-９]+\\s*", "^第[0-9０-９]+[章節項編]\\s*"):
+        expr = f"regexp_replace({expr}, {_quoted(pattern)}, '')"
+    expr = f"regexp_replace({expr}, '\\s+', '', 'g')"
+    return f"regexp_replace({expr}, {_quoted(f'^[{_STRIPPED}]+|[{_STRIPPED}]+$')}, '', 'g')"
+
+
+def valid(expr: str) -> str:
+    return (
+        f"(length({expr}) BETWEEN 2 AND 40 AND NOT regexp_full_match({expr}, '[ぁ-んー]+') AND NOT regexp_matches({expr}, '^[0-9０-９]')"
+        f" AND regexp_matches({expr}, '[一-龥々〆ヵヶァ-ヴーA-Za-z0-9]'))"
+    )
+
+
+def score(term: str, n: str) -> str:
+    hints = " OR ".join(f"contains({term}, {_quoted(h)})" for h in k.HINTS)
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    return (
+        f"round(least({d(0.98)}, {d(0.42)} + CASE WHEN length({term}) >= 4 THEN {d(0.14)} ELSE 0 END + CASE WHEN regexp_matches({term}, '[一-龥].*[一-龥]') THEN {d(0.1)} ELSE 0 END"
+        f" + CASE WHEN regexp_matches({term}, '[ァ-ヴー]') THEN {d(0.08)} ELSE 0 END + CASE WHEN {hints} THEN {d(0.22)} ELSE 0 END"
+        f" + CASE WHEN {n} >= 2 THEN least({d(0.12)}, log2({d(n)}) * {d(0.04)}) ELSE 0 END), 4)"
+    )
+
+
+def group(term: str) -> str:
+    return f"CASE WHEN {term} IN ({', '.join(map(_quoted, k.HINTS))}) THEN '{k.HINT_GROUP}' ELSE '{k.NEW_GROUP}' END"
+
+
+def us(expr: str) -> str:
+    return f"epoch_us({expr})"
+
+
+_MARKER = "^\\[\\[PAGE\\s+([0-9]+)\\]\\]$"
+SEGMENTS = f"""
+norm AS (SELECT doc_id, {normalized("text")} AS t FROM documents WHERE text IS NOT NULL),
+listed AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM norm WHERE t <> ''),
+lines AS (SELECT doc_id, i, {strip("l[i]")} AS line FROM listed, unnest(range(1, len(l) + 1)) AS r(i)),
+paged AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '{_MARKER}') THEN CAST(regexp_extract(line, '{_MARKER}', 1) AS INTEGER) END IGNORE NULLS)
+  OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS page FROM lines),
+pieces AS (SELECT doc_id, i, page, regexp_extract_all(line, '[^。]*。|[^。]+') AS p FROM paged WHERE line <> '' AND NOT regexp_matches(line, '{_MARKER}')),
+parts AS (SELECT doc_id, i, j, page, {strip("p[j]")} AS sentence FROM pieces, unnest(range(1, len(p) + 1)) AS r(j)),
+kept AS (SELECT * FROM parts WHERE length(sentence) >= 2),
+bare AS (SELECT n.doc_id, 0 AS i, j, CAST(NULL AS INTEGER) AS page, {strip("q[j]")} AS sentence
+  FROM (SELECT doc_id, regexp_extract_all(t, '[^。\\n]*。|[^。\\n]+') AS q FROM norm WHERE t <> '' AND doc_id NOT IN (SELECT doc_id FROM kept)) n, unnest(range(1, len(q) + 1)) AS r(j)),
+segments AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS sentence_idx, page, sentence
+  FROM (SELECT doc_id, i, j, page, sentence FROM kept UNION ALL SELECT doc_id, i, j, page, sentence FROM bare WHERE length(sentence) >= 2))"""
+SPANS = (
+    SEGMENTS
+    + f""",
+cut AS (SELECT *, regexp_extract_all(sentence, '[{_C}]{{2,40}}|[{_C}]|[^{_C}]+') AS c FROM segments),
+flat AS (SELECT doc_id, sentence_idx, page, sentence, j, c[j] AS piece FROM cut, unnest(range(1, len(c) + 1)) AS r(j)),
+placed AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id, sentence_idx ORDER BY j) - length(piece) AS INTEGER) AS start_char FROM flat),
+tidy AS (SELECT doc_id, sentence_idx, page, sentence, start_char, CAST(start_char + length(piece) AS INTEGER) AS end_char, {cleaned("piece")} AS term FROM placed
+  WHERE length(piece) >= 2 AND regexp_matches(piece, '^[{_C}]')),
+spans AS (SELECT *, '{k.REGEX_SOURCE}' AS source FROM tidy WHERE {valid("term")})"""
+)
+TERMS = (
+    SPANS
+    + f""",
+grouped AS (SELECT doc_id, term, CAST(count(*) AS INTEGER) AS frequency, min(page) AS page, count(DISTINCT page) AS n_pages FROM spans GROUP BY doc_id, term),
+rated AS (SELECT *, {score("term", "frequency")} AS score, {group("term")} AS grp FROM grouped),
+firsts AS (SELECT doc_id, term, sentence_idx, start_char, end_char, source, row_number() OVER (PARTITION BY doc_id, term ORDER BY sentence_idx, start_char - end_char, start_char) AS n FROM spans),
+terms_out AS (SELECT r.doc_id, r.term, r.frequency, r.page, r.score, r.grp, f.sentence_idx AS first_sentence_idx, f.start_char, f.end_char, f.source,
+  CAST(row_number() OVER (PARTITION BY r.doc_id ORDER BY r.score DESC, r.frequency DESC, r.term) AS INTEGER) AS rank
+  FROM rated r JOIN firsts f ON f.doc_id = r.doc_id AND f.term = r.term AND f.n = 1 WHERE r.score >= 0.5),
+told AS (SELECT doc_id, term, sentence, min(sentence_idx) AS pos FROM spans GROUP BY doc_id, term, sentence),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) AS n FROM told),
+examples AS (SELECT doc_id, term, string_agg(sentence, '|' ORDER BY n) AS examples FROM numbered WHERE n <= 3 GROUP BY doc_id, term),
+page_list AS (SELECT doc_id, term, string_agg(CAST(page AS VARCHAR), '|' ORDER BY page) AS pages FROM (SELECT DISTINCT doc_id, term, page FROM spans WHERE page IS NOT NULL) GROUP BY doc_id, term)"""
+)
+ACROSS = (
+    TERMS
+    + """,
+shown AS (SELECT t.*, d.original_name AS file_name FROM terms_out t JOIN documents d ON d.doc_id = t.doc_id WHERE t.rank <= 300),
+stats AS (SELECT term, CAST(sum(frequency) AS BIGINT) AS frequency, CAST(count(DISTINCT file_name) AS INTEGER) AS n_files, max(score) AS score FROM shown GROUP BY term),
+first_of AS (SELECT term, file_name, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS n FROM shown),
+best_of AS (SELECT term, source, grp, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id) AS n FROM shown),
+tagged AS (SELECT s.term, s.doc_id, n.n, s.file_name || ': ' || n.sentence AS e FROM shown s JOIN numbered n ON n.doc_id = s.doc_id AND n.term = s.term AND n.n <= 3),
+once AS (SELECT term, e, min(doc_id * 10 + n) AS pos FROM tagged GROUP BY term, e),
+three AS (SELECT term, string_agg(e, '|' ORDER BY pos) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY pos) AS k FROM once) WHERE k <= 3 GROUP BY term),
+all_pages AS (SELECT s.term, CAST(count(DISTINCT p.page) AS INTEGER) AS n_pages, min(p.page) AS page FROM shown s JOIN spans p ON p.doc_id = s.doc_id AND p.term = s.term WHERE p.page IS NOT NULL GROUP BY s.term),
+across_docs AS (SELECT a.term, a.frequency, a.n_files, f.file_name AS first_file, a.score, b.source, b.grp, x.examples, coalesce(g.n_pages, 0) AS n_pages, g.page
+  FROM stats a JOIN first_of f ON f.term = a.term AND f.n = 1 JOIN best_of b ON b.term = a.term AND b.n = 1 JOIN three x ON x.term = a.term LEFT JOIN all_pages g ON g.term = a.term)"""
+)
+
+
+def cell(expr: str) -> str:
+    text = f"coalesce(CAST({expr} AS VARCHAR), '')"
+    return f"'\"' || replace(CASE WHEN regexp_matches({text}, '^[=+\\-@]') THEN '''' || {text} ELSE {text} END, '\"', '\"\"') || '\"'"
+
+
+CANDIDATES = "cand AS (SELECT DISTINCT id, extraction_run_id, term_id, score, coalesce(frequency, 1) AS frequency, extraction_source FROM term_candidates)"
+USAGE = (
+    CANDIDATES
+    + """,
+sums AS (SELECT term_id, CAST(sum(frequency) AS INTEGER) AS frequency, CAST(max(score) AS DOUBLE) AS score FROM cand GROUP BY term_id),
+docs AS (SELECT c.term_id, CAST(count(DISTINCT o.document_id) AS INTEGER) AS n FROM cand c JOIN term_occurrences o ON o.term_candidate_id = c.id GROUP BY c.term_id),
+usage AS (SELECT t.id, coalesce(s.frequency, 0) AS frequency, coalesce(d.n, 0) AS document_count, s.score FROM terms t LEFT JOIN sums s ON s.term_id = t.id LEFT JOIN docs d ON d.term_id = t.id)"""
+)
+
+
+def listing(where: str, size: int, skip: int) -> str:
+    return f"""WITH {USAGE}, hit AS (SELECT * FROM terms WHERE {where}),
+page AS (SELECT *, CAST(row_number() OVER (ORDER BY coalesce(reviewed_at, created_at) DESC, term_text, id) AS INTEGER) AS position FROM hit)
+SELECT p.position, p.id, p.term_text AS term, p.normalized_text, p.review_status, p.review_note, p.reviewed_by_name, p.reviewed_at, p.review_version, u.frequency, u.document_count, u.score,
+  count(*) OVER () AS filtered_count, (SELECT count(*) FROM hit) AS total
+FROM page p JOIN usage u ON u.id = p.id WHERE p.position > {skip} AND p.position <= {skip + size}"""
+
+
+REQUESTS = f"""req AS (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY seq) AS n FROM (
+  SELECT DISTINCT id AS seq, term_id, lower(trim(new_status)) AS status, nullif(note, '') AS note, review_version - 1 AS expected, reviewer_username AS reviewer, {us("created_at")} AS at_us FROM term_review_history)),
+fold AS (
+  SELECT r.term_id, r.seq, r.n, t.id IS NOT NULL AS known, r.expected = 0 AS hit, CASE WHEN r.expected = 0 THEN 1 ELSE 0 END AS version, 'unreviewed' AS before, CASE WHEN r.expected = 0 THEN r.status ELSE 'unreviewed' END AS after, r.note, r.reviewer, r.at_us
+  FROM req r LEFT JOIN terms t ON t.id = r.term_id WHERE r.n = 1
+  UNION ALL
+  SELECT r.term_id, r.seq, r.n, f.known, r.expected = f.version, CASE WHEN r.expected = f.version THEN f.version + 1 ELSE f.version END, f.after, CASE WHEN r.expected = f.version THEN r.status ELSE f.after END, r.note, r.reviewer, r.at_us
+  FROM fold f JOIN req r ON r.term_id = f.term_id AND r.n = f.n + 1)"""
+
+TRAINING = """cand AS (SELECT DISTINCT id, term_id FROM term_candidates),
+occ AS (SELECT DISTINCT * FROM term_occurrences),
+train AS (SELECT d.id AS document_id, t.id AS term_id, t.term_text AS term, CASE WHEN t.review_status = 'approved' THEN 'positive' ELSE 'negative' END AS label, t.review_status, t.review_note, t.reviewed_by_name,
+  o.id AS occurrence_id, o.page_number AS page, o.sentence_text AS context, CAST(o.score AS DOUBLE) AS extraction_score, d.original_name AS file_name,
+  strftime(t.reviewed_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(floor(epoch_us(t.reviewed_at) / 1000) AS BIGINT) % 1000 AS VARCHAR), 3, '0') || 'Z' AS reviewed_iso
+  FROM terms t JOIN cand c ON c.term_id = t.id JOIN occ o ON o.term_candidate_id = c.id JOIN documents d ON d.id = o.document_id WHERE t.review_status IN ('approved', 'rejected'))"""
+_TRAIN = ["term", "label", "review_status", "context", "file_name", "page", "extraction_score", "review_note", "reviewed_by_name", "reviewed_iso", "term_id", "document_id"]
+_NAMES = ["term", "label", "reviewStatus", "context", "fileName", "page", "extractionScore", "reviewNote", "reviewedByName", "reviewedAt", "termId", "documentId"]
+
+
+def _violations() -> str:
+    statuses = ", ".join(map(_quoted, k.STATUSES))
+    blank = lambda c: f"coalesce({strip(c)}, '') = ''"
+    checks = [
+        ("extraction_runs", "mode", "mode NOT IN ('demo', 'bert')"),
+        ("extraction_runs", "threshold", "threshold < 0 OR threshold > 1"),
+        ("extraction_runs", "status", "status NOT IN ('processing', 'completed', 'completed_with_errors', 'failed')"),
+        ("documents", "status", "status NOT IN ('processed', 'failed')"),
+        ("documents", "stored", "status = 'processed' AND (storage_key IS NULL OR sha256 IS NULL)"),
+        ("terms", "status", f"review_status NOT IN ({statuses})"),
+        ("terms", "text", f"{blank('term_text')} OR {blank('normalized_text')}"),
+        ("terms", "version", "review_version < 0"),
+        ("terms", "reviewer", "review_status <> 'unreviewed' AND (reviewed_by_username IS NULL OR reviewed_at IS NULL)"),
+        ("term_candidates", "score", "score < 0 OR score > 1"),
+        ("term_candidates", "frequency", "frequency <= 0"),
+        ("term_occurrences", "page", "page_number <= 0"),
+        ("term_occurrences", "offsets", "start_char < 0 OR end_char < start_char"),
+        ("term_occurrences", "sentence", blank("sentence_text")),
+        ("term_review_history", "previous", f"previous_status NOT IN ({statuses})"),
+        ("term_review_history", "new", f"new_status NOT IN ({statuses})"),
+        ("term_review_history", "version", "review_version <= 0"),
+    ]
+    parts = [f"SELECT '{t}' AS table_name, 'check_{r}' AS rule, count(*) AS n FROM {t} WHERE {w}" for t, r, w in checks]
+    for t, cols in [("terms", "id"), ("terms", "normalized_text"), ("documents", "id"), ("documents", "storage_key"), ("extraction_runs", "id"), ("term_candidates", "id"), ("term_candidates", "extraction_run_id, term_id"), ("term_occurrences", "id"), ("term_review_history", "id")]:
+        there = " AND ".join(f"{c.strip()} IS NOT NULL" for c in cols.split(","))
+        parts.append(f"SELECT '{t}', 'unique_{cols.replace(', ', '_')}', count(*) FROM (SELECT {cols} FROM {t} WHERE {there} GROUP BY {cols} HAVING count(*) > 1)")
+    for t, c, to in [("documents", "extraction_run_id", "extraction_runs"), ("term_candidates", "extraction_run_id", "extraction_runs"), ("term_candidates", "term_id", "terms"), ("term_occurrences", "term_candidate_id", "term_candidates"), ("term_occurrences", "document_id", "documents"), ("term_review_history", "term_id", "terms")]:
+        parts.append(f"SELECT '{t}', 'reference_{c}', count(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {to})")
+    return " UNION ALL ".join(parts)
+
+
+def _raw_candidates() -> str:
+    from shirabe.queries import RAW_CANDIDATES
+
+    return ", ".join(f"({_quoted(x)})" for x in RAW_CANDIDATES)
+
+
+_EXT = "lower(regexp_extract(coalesce(original_name, ''), '[^/\\\\](\\.[^./\\\\]*)$', 1))"
+_MIME = "CASE " + " ".join(f"WHEN extension = {_quoted(a)} THEN {_quoted(b)}" for a, b in k.MIME_TYPES.items()) + f" ELSE '{k.MIME_DEFAULT}' END"
+_KEY = f"lower(regexp_replace({nfkc('original_name')}, '\\s+', '', 'g'))"
+
 SQL: dict[str, str] = {
+    "sentence_segments": f"WITH {SEGMENTS} SELECT * FROM segments",
+    "candidate_spans": f"WITH {SPANS} SELECT doc_id, sentence_idx, start_char, end_char, term, source FROM spans",
+    "extract_terms_by_doc": f'WITH {TERMS} SELECT doc_id, rank, term, frequency, frequency AS raw_frequency, score, grp AS "group", source, page, first_sentence_idx, start_char, end_char FROM terms_out',
+    "top_terms_per_doc": f"WITH {TERMS} SELECT doc_id, rank, term FROM terms_out WHERE rank <= 300",
+    "term_examples_pages": f"WITH {TERMS} SELECT t.doc_id, t.term, coalesce(p.pages, '') AS pages, e.examples FROM terms_out t JOIN examples e ON e.doc_id = t.doc_id AND e.term = t.term LEFT JOIN page_list p ON p.doc_id = t.doc_id AND p.term = t.term",
+    "confidence_histogram": f"""WITH {TERMS}, s AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS sentence_count FROM segments GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS term_count, CAST(count(*) FILTER (WHERE score >= 0.9) AS INTEGER) AS high, CAST(count(*) FILTER (WHERE score >= 0.7 AND score < 0.9) AS INTEGER) AS medium, CAST(count(*) FILTER (WHERE score < 0.7) AS INTEGER) AS review_needed FROM terms_out GROUP BY doc_id)
+SELECT s.doc_id, sentence_count, coalesce(term_count, 0) AS term_count, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(review_needed, 0) AS review_needed FROM s LEFT JOIN c ON c.doc_id = s.doc_id""",
+    "result_totals": f"""WITH {SEGMENTS} SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL AND text <> '') AS file_count, (SELECT count(*) FROM segments) AS sentence_count,
+(SELECT CAST(sum(length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))) AS BIGINT) FROM documents WHERE text IS NOT NULL AND text <> '') AS character_count, CAST(0.5 AS DOUBLE) AS threshold""",
+    "aggregate_across_docs": f'WITH {ACROSS} SELECT term, frequency, n_files, first_file, score, source, grp AS "group", examples, n_pages, page FROM across_docs',
+    "pages_by_file": f"""WITH {ACROSS}, pf AS (SELECT DISTINCT s.term, s.file_name, p.page FROM shown s LEFT JOIN spans p ON p.doc_id = s.doc_id AND p.term = s.term AND p.page IS NOT NULL)
+SELECT term, file_name, coalesce(string_agg(CAST(page AS VARCHAR), '|' ORDER BY page), '') AS pages FROM pf GROUP BY term, file_name""",
+    "clean_and_validate": f"""WITH raws AS (SELECT term_text AS raw FROM terms UNION SELECT * FROM (VALUES {_raw_candidates()}) v(raw)), c AS (SELECT raw, {cleaned(normalized("raw"))} AS cleaned FROM raws)
+SELECT raw, cleaned, {valid("cleaned")} AS valid FROM c""",
+    "heuristic_scores": f"""WITH c AS (SELECT DISTINCT id, term_id, coalesce(frequency, 1) AS n FROM term_candidates)
+SELECT c.id, {score("t.normalized_text", "c.n")} AS score, {group("t.normalized_text")} AS "group" FROM c JOIN terms t ON t.id = c.term_id""",
+    "overlap_resolution": """WITH RECURSIVE s AS (SELECT DISTINCT document_id, sentence_text, start_char, end_char, CAST(score AS DOUBLE) AS score FROM term_occurrences WHERE start_char IS NOT NULL AND end_char IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id, sentence_text ORDER BY end_char - start_char DESC, score DESC, start_char, end_char) AS n FROM s),
+f AS (SELECT document_id, sentence_text, n, start_char, end_char, score, true AS kept, [[start_char, end_char]] AS held FROM o WHERE n = 1
+UNION ALL
+SELECT o.document_id, o.sentence_text, o.n, o.start_char, o.end_char, o.score, len(list_filter(f.held, lambda h: greatest(h[1], o.start_char) < least(h[2], o.end_char))) = 0,
+  CASE WHEN len(list_filter(f.held, lambda h: greatest(h[1], o.start_char) < least(h[2], o.end_char))) = 0 THEN list_append(f.held, [o.start_char, o.end_char]) ELSE f.held END
+FROM f JOIN o ON o.document_id = f.document_id AND o.sentence_text = f.sentence_text AND o.n = f.n + 1)
+SELECT document_id, sentence_text, CAST(row_number() OVER (PARTITION BY document_id, sentence_text ORDER BY n) - 1 AS INTEGER) AS overlap_rank, start_char, end_char, score, 1 AS raw_frequency FROM f WHERE kept""",
+    "catalog_upsert": f"""WITH {TERMS}, e AS (SELECT {strip(nfkc("term"))} AS normalized_text, term, doc_id FROM terms_out), r AS (SELECT *, row_number() OVER (PARTITION BY normalized_text ORDER BY doc_id, term) AS n FROM e)
+SELECT normalized_text, term AS term_text FROM r WHERE n = 1 AND normalized_text NOT IN (SELECT normalized_text FROM terms)""",
+    "persist_candidates": f"WITH {TERMS} SELECT d.extraction_run_id, t.term, max(t.score) AS score, CAST(sum(t.frequency) AS INTEGER) AS frequency, max(t.grp) AS candidate_group, max(t.source) AS extraction_source FROM terms_out t JOIN documents d ON d.doc_id = t.doc_id GROUP BY d.extraction_run_id, t.term",
+    "persist_occurrences": f"WITH {TERMS} SELECT d.id AS document_id, s.term, s.page AS page_number, s.sentence AS sentence_text, s.start_char, s.end_char, t.score FROM spans s JOIN terms_out t ON t.doc_id = s.doc_id AND t.term = s.term JOIN documents d ON d.doc_id = s.doc_id",
+    "json_recordset": "SELECT DISTINCT id, new_status FROM term_review_history WHERE term_id IS NOT NULL",
+    "constraint_violations": _violations(),
+    "list_terms_page": listing("true", 50, 0),
+    "list_terms_search": listing("term_text ILIKE '%K2%' OR normalized_text ILIKE '%K2%'", 100, 0),
+    "list_terms_reviewed": listing("review_status <> 'unreviewed'", 100, 20),
+    "term_usage": f"WITH {USAGE} SELECT * FROM usage",
+    "term_evidence": f"""WITH {CANDIDATES}, o AS (SELECT DISTINCT id, term_candidate_id, document_id, page_number, sentence_text, start_char, end_char, score FROM term_occurrences),
+r AS (SELECT c.term_id, o.id, o.document_id, d.original_name AS file_name, o.page_number, o.sentence_text, o.start_char, o.end_char, CAST(o.score AS DOUBLE) AS score, c.extraction_source, x.created_at AS run_at,
+  CAST(row_number() OVER (PARTITION BY c.term_id ORDER BY x.created_at DESC, d.original_name, o.page_number ASC NULLS LAST, o.id) AS INTEGER) AS evidence_rank
+  FROM o JOIN cand c ON c.id = o.term_candidate_id JOIN documents d ON d.id = o.document_id JOIN extraction_runs x ON x.id = c.extraction_run_id)
+SELECT term_id, evidence_rank, id, document_id, file_name, page_number, sentence_text, start_char, end_char, score, extraction_source, run_at FROM r WHERE evidence_rank <= 200""",
+    "review_history": """WITH h AS (SELECT DISTINCT * FROM term_review_history)
+SELECT term_id, CAST(row_number() OVER (PARTITION BY term_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS place, id, previous_status, new_status, note, reviewer_name, review_version, created_at FROM h""",
+    "review_summary": """SELECT count(*) AS total, count(*) FILTER (WHERE review_status = 'unreviewed') AS unreviewed, count(*) FILTER (WHERE review_status = 'approved') AS approved, count(*) FILTER (WHERE review_status = 'rejected') AS rejected,
+count(*) FILTER (WHERE review_status = 'uncertain') AS uncertain, count(*) FILTER (WHERE review_status IN ('approved', 'rejected', 'uncertain')) AS reviewed FROM terms""",
+    "apply_reviews_cas": f"""WITH RECURSIVE {REQUESTS} SELECT term_id, seq, CASE WHEN NOT known THEN 'not_found' WHEN hit THEN 'updated' ELSE 'conflict' END AS kind, CASE WHEN known THEN version END AS version, CASE WHEN known THEN before END AS previous_status,
+CASE WHEN known AND hit THEN after END AS status FROM fold""",
+    "reviewed_terms": f"""WITH RECURSIVE {REQUESTS}, u AS (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY version DESC) AS k FROM fold WHERE known AND hit)
+SELECT t.id, coalesce(u.after, 'unreviewed') AS review_status, u.note AS review_note, CASE WHEN u.after <> 'unreviewed' THEN u.reviewer END AS reviewed_by_username, coalesce(u.version, 0) AS review_version FROM terms t LEFT JOIN u ON u.term_id = t.id AND u.k = 1""",
+    "appended_history": f"WITH RECURSIVE {REQUESTS} SELECT term_id, before AS previous_status, after AS new_status, note, reviewer AS reviewer_username, version AS review_version, at_us AS created_at_us FROM fold WHERE known AND hit",
+    "login_rate_limit": f"""WITH RECURSIVE a AS (SELECT user_id AS key, event_id AS seq, {us("ts")} AS t, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('error', 'signup')),
+f AS (SELECT key, seq, n, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS outcome, CASE WHEN ok THEN 0 ELSE 1 END AS failures, CASE WHEN ok THEN NULL ELSE t END AS started FROM a WHERE n = 1
+UNION ALL
+SELECT a.key, a.seq, a.n, CASE WHEN live >= 5 THEN 'blocked' WHEN a.ok THEN 'ok' ELSE 'failed' END, CASE WHEN live >= 5 THEN live WHEN a.ok THEN 0 ELSE live + 1 END, CASE WHEN live >= 5 THEN f.started WHEN a.ok THEN NULL WHEN live > 0 THEN f.started ELSE a.t END
+FROM (SELECT f.*, a2.t AS now, CASE WHEN f.started IS NULL OR a2.t - f.started > CAST(172800000000 AS BIGINT) THEN 0 ELSE f.failures END AS live FROM f JOIN a a2 ON a2.key = f.key AND a2.n = f.n + 1) f JOIN a ON a.key = f.key AND a.n = f.n + 1)
+SELECT key, seq, outcome, CAST(failures AS INTEGER) AS failures FROM f""",
+    "training_rows": f"WITH {TRAINING} SELECT * EXCLUDE (reviewed_iso) FROM train",
+    "training_csv_lines": f"WITH {TRAINING} SELECT occurrence_id, {(' || ' + _quoted(',') + ' || ').join(cell(c) for c in _TRAIN)} AS line FROM train",
+    "training_jsonl_lines": f"WITH {TRAINING} SELECT occurrence_id, CAST(to_json({{{', '.join(f'{n}: {c}' for n, c in zip(_NAMES, _TRAIN))}}}) AS VARCHAR) AS line FROM train",
+    "candidate_csv_lines": f"""WITH {ACROSS}, v AS (SELECT *, CASE WHEN grp = 'railway_dictionary_hint' THEN 'railwayHint' ELSE 'needsReview' END AS label, substr(split_part(examples, '|', 1), length(first_file) + 3) AS ev, coalesce(CAST(page AS VARCHAR), '-') AS pg FROM across_docs)
+SELECT term, {(' || ' + _quoted(',') + ' || ').join(cell(c) for c in ("term", "score", "frequency", "pg", "first_file", "label", "source", "ev"))} AS line FROM v""",
+    "client_view": f"""WITH {ACROSS} SELECT term, frequency, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS band,
+CASE WHEN length(first_file) > 28 THEN substr(first_file, 1, 25) || '…' ELSE first_file END AS file, first_file || '-' || lpad(CAST(coalesce(page, 999999) AS VARCHAR), 8, '0') AS source_key
+FROM across_docs WHERE grp = 'new_potential_term' AND contains(lower(term || ' ' || first_file), '形')""",
+    "fuzzy_file_match": f"""WITH o AS (SELECT DISTINCT {_KEY} AS k FROM documents WHERE original_name <> ''), i AS (SELECT DISTINCT regexp_replace(k, '\\.[^.]*$', '') AS k FROM o)
+SELECT i.k AS "inner", o.k AS "outer" FROM i JOIN o ON contains(o.k, i.k) WHERE i.k <> ''""",
+    "highlight_sentence": """WITH c AS (SELECT DISTINCT id, term_id FROM term_candidates), o AS (SELECT DISTINCT id, term_candidate_id, sentence_text FROM term_occurrences)
+SELECT o.id, CASE WHEN length(t.term_text) > 0 THEN replace(o.sentence_text, t.term_text, '<mark>' || t.term_text || '</mark>') ELSE o.sentence_text END AS marked FROM o JOIN c ON c.id = o.term_candidate_id JOIN terms t ON t.id = c.term_id""",
+    "document_lookup": """SELECT id, original_name AS file_name, mime_type, storage_key FROM documents WHERE status = 'processed' AND storage_key IS NOT NULL
+AND NOT regexp_matches(storage_key, '(^|[/\\\\])\\.\\.([/\\\\]|$)|^[/\\\\]|^[A-Za-z]:')""",
+    "admission_check": f"""WITH p AS (SELECT extraction_run_id, doc_id, size_bytes, text, {_EXT} AS extension, row_number() OVER (PARTITION BY extraction_run_id ORDER BY doc_id) AS place FROM documents)
+SELECT extraction_run_id, doc_id, CASE WHEN place > 20 THEN 'too_many_files' WHEN size_bytes > 31457280 THEN 'too_large' WHEN extension NOT IN ('.pdf', '.docx', '.csv', '.md', '.txt', '') THEN 'unknown_type' WHEN coalesce({strip("text")}, '') = '' THEN 'no_text' END AS error FROM p""",
+    "mime_hash": f"WITH e AS (SELECT *, {_EXT} AS extension FROM documents) SELECT doc_id, extension, {_MIME} AS mime, sha256(text) AS hash, regexp_matches(id, {_quoted(k.UUID_PATTERN)}) AS uuid FROM e",
+    "run_status_rollup": """WITH r AS (SELECT extraction_run_id, count(*) AS file_count, count(*) FILTER (WHERE status = 'failed' OR error_message IS NOT NULL) AS failed_count, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM documents GROUP BY extraction_run_id)
+SELECT extraction_run_id, CASE WHEN failed_count = file_count THEN 'failed' WHEN failed_count > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, file_count, failed_count, round(bytes / CAST(1048576 AS DOUBLE), 2) AS total_mb FROM r""",
     "p4_found": """
 WITH clean AS (
   SELECT term_id, review_version, created_at, lower(trim(previous_status)) AS p, lower(trim(new_status)) AS n,

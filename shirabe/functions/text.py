@@ -36,23 +36,25 @@ def split_sentences(text: Column, terminators: str = k.TERMINATORS) -> Column:
     return F.filter(F.transform(pieces, strip), lambda s: F.length(s) >= 2)
 
 
-def sentence_records(text: Column, terminators: str = k.TERMINATORS) -> Column:
-    """Array of (page, sentence) of a normalized text, in order.
+def paged_sentences(text: Column, terminators: str = k.TERMINATORS) -> Column:
+    """Array of (page, sentence) of a normalized text, in order, without its page-marker lines.
 
     A line that is wholly a page marker sets the page of what follows; before
     the first it is null. The text is split at its markers, so no row-by-row
-    carrying forward, and no shuffle, is needed. A text of nothing but markers
-    gives these as sentences without a page. An empty text gives none.
+    carrying forward, and no shuffle, is needed.
     """
     lines = F.regexp_replace(text, LINE_ENDS, "\n")
     numbers = F.transform(F.regexp_extract_all(lines, F.lit(MARKER), F.lit(1)), lambda n: n.try_cast("int"))
     pages = F.concat(F.array(F.lit(None).cast("int")), numbers)
     parts = F.split(lines, MARKER, -1)
-    found = F.flatten(
+    return F.flatten(
         F.transform(F.arrays_zip(pages.alias("page"), parts.alias("part")), lambda p: F.transform(split_sentences(p["part"], terminators), lambda s: F.struct(p["page"].alias("page"), s.alias("sentence"))))
     )
-    whole = F.transform(split_sentences(text, terminators), lambda s: F.struct(F.lit(None).cast("int").alias("page"), s.alias("sentence")))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+
+
+def unpaged_sentences(text: Column, terminators: str = k.TERMINATORS) -> Column:
+    """Array of (page, sentence) of a normalized text that has nothing but markers: these, without a page."""
+    return F.transform(split_sentences(text, terminators), lambda s: F.struct(F.lit(None).cast("int").alias("page"), s.alias("sentence")))
 
 
 def clean_candidate(text: Column) -> Column:
@@ -73,17 +75,16 @@ def valid_candidate(term: Column) -> Column:
     )
 
 
-def candidate_spans(sentence: Column) -> Column:
-    """Array of (start_char, end_char, candidate, source) of the valid candidates of a sentence.
+def raw_spans(sentence: Column) -> Column:
+    """Array of (start_char, end_char, raw) of the runs of candidate characters in a sentence.
 
     The pieces of the sentence, candidates and what lies between, are taken in
-    one pass; offsets are running sums of their lengths and refer to the raw
-    match, not to the cleaned term.
+    one pass; offsets are running sums of their lengths.
     """
     c = k.CANDIDATE_CLASS
     pieces = F.regexp_extract_all(sentence, F.lit(f"([{c}]{{{k.CANDIDATE_MIN},{k.CANDIDATE_MAX}}}|[{c}]|[^{c}]+)"), F.lit(1))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_char:int,end_char:int,raw:string>>").alias("spans"))
-    placed = F.aggregate(
+    return F.aggregate(
         pieces,
         empty,
         lambda acc, p: F.struct(
@@ -96,7 +97,19 @@ def candidate_spans(sentence: Column) -> Column:
             .alias("spans"),
         ),
     )["spans"]
-    cleaned = F.transform(placed, lambda s: F.struct(s["start_char"], s["end_char"], clean_candidate(s["raw"]).alias("candidate"), F.lit(k.REGEX_SOURCE).alias("source")))
+
+
+def clean_raw(raw: Column) -> Column:
+    """``clean_candidate`` of a run of candidate characters: only a leading digit or chapter sign gives it work."""
+    return F.when(raw.rlike("^[0-9第]"), clean_candidate(raw)).otherwise(raw)
+
+
+def candidate_spans(sentence: Column) -> Column:
+    """Array of (start_char, end_char, candidate, source) of the valid candidates of a sentence.
+
+    Offsets refer to the raw run, not to the cleaned term.
+    """
+    cleaned = F.transform(raw_spans(sentence), lambda s: F.struct(s["start_char"], s["end_char"], clean_raw(s["raw"]).alias("candidate"), F.lit(k.REGEX_SOURCE).alias("source")))
     return F.filter(cleaned, lambda s: valid_candidate(s["candidate"]))
 
 

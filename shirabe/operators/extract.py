@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shirabe.functions import constants as k
 from shirabe.functions import text as t
+from shirabe.tables import spread
 
 
 def clamp_threshold(value: object) -> float:
@@ -26,13 +28,18 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", termi
     A narrow plan: one Arrow stage for NFKC, all else on arrays inside the row.
     Null and empty texts give no rows.
     """
-    normal = documents.select(key, t.normalize_text(F.col(text)).alias("_text")).where("_text <> ''")
-    return normal.select(key, F.posexplode(t.sentence_records(F.col("_text"), terminators)).alias("sentence_idx", "_r")).select(key, "sentence_idx", F.col("_r.page").alias("page"), F.col("_r.sentence").alias("sentence"))
+    # No filter on the normalized text: it would be pushed down and normalize everything twice.
+    normal = spread(documents.select(key, text).where(F.col(text) != "")).select(key, t.normalize_text(F.col(text)).alias("_text"))
+    found = normal.select(key, "_text", t.paged_sentences(F.col("_text"), terminators).alias("_found"))
+    records = F.when(F.size("_found") > 0, F.col("_found")).otherwise(t.unpaged_sentences(F.col("_text"), terminators))
+    return found.select(key, F.posexplode(records).alias("sentence_idx", "_r")).select(key, "sentence_idx", F.col("_r.page").alias("page"), F.col("_r.sentence").alias("sentence"))
 
 
 def candidates(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sentences with (start_char, end_char, term, source) of each candidate."""
-    return sentences.select("*", F.inline(t.candidate_spans(F.col("sentence")))).withColumnRenamed("candidate", "term")
+    raw = sentences.select("*", F.inline(t.raw_spans(F.col("sentence"))))
+    cleaned = raw.withColumn("term", t.clean_raw(F.col("raw"))).drop("raw")
+    return cleaned.where(t.valid_candidate(F.col("term"))).withColumn("source", F.lit(k.REGEX_SOURCE))
 
 
 def distinct_spans(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -145,9 +152,10 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
     score with source and group of its first best document, examples (first
     three, each after its file's name), n_pages, rank (by score, frequency, term).
     A term's files and pages per file stay rows (``pages_by_file``): a common
-    term's would not fit one. Documents come in the order of the key.
+    term's would not fit one. Documents come in the order of the key. The rows
+    are kept (in memory, then on disk) as three aggregations read them.
     """
-    rows = terms.where(F.col("score") >= threshold).join(files, key)
+    rows = terms.where(F.col("score") >= threshold).join(files, key).persist(StorageLevel.MEMORY_AND_DISK)
     stats = rows.groupBy("term").agg(
         F.sum("frequency").alias("frequency"),
         F.countDistinct("file_name").cast("int").alias("n_files"),

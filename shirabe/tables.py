@@ -79,3 +79,13 @@ class Workspace:
         except Exception:  # the session may be gone already
             if path.startswith("file://"):
                 shutil.rmtree(path[7:], ignore_errors=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that is heavy for its bytes.
+
+    A table in few small files would otherwise be worked on by as few tasks.
+    Large tables have more partitions than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -99,6 +99,7 @@ def list_terms(terms: DataFrame, candidates: DataFrame, occurrences: DataFrame,
     rows that match; ``position`` is the row's place in the listing.
     """
     size, skip = page_bounds(limit, offset)
+    terms = terms.select("id", "term_text", "normalized_text", "review_status", "review_note", "reviewed_by_name", "reviewed_at", "review_version", "created_at")
     match = terms.where(status_filter(status)).where(search_filter(search))
     order = [F.desc("_at"), F.asc("term_text"), F.asc("id")]
     page = match.withColumn("_at", F.coalesce("reviewed_at", "created_at")).orderBy(*order).offset(skip).limit(size)
@@ -134,7 +135,7 @@ def term_evidence(candidates: DataFrame, occurrences: DataFrame, documents: Data
     if term_ids is not None:
         of = of.join(term_ids.select(F.col("id").alias("term_id")), "term_id", "left_semi")
     rows = (
-        occurrences.drop("created_at")
+        occurrences.select("id", "term_candidate_id", "document_id", "page_number", "sentence_text", "start_char", "end_char", "score")
         .distinct()
         .join(of, "term_candidate_id")
         .join(documents.select(F.col("id").alias("document_id"), F.col("original_name").alias("file_name")), "document_id")
@@ -148,7 +149,8 @@ def term_evidence(candidates: DataFrame, occurrences: DataFrame, documents: Data
 def review_history(history: DataFrame) -> DataFrame:
     """History rows once each, with their place in their term's listing, latest first."""
     order = Window.partitionBy("term_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return history.distinct().withColumn("place", F.row_number().over(order)).select("term_id", "place", "id", "previous_status", "new_status", "note", "reviewer_name", "review_version", "created_at")
+    columns = ["term_id", "id", "previous_status", "new_status", "note", "reviewer_name", "review_version", "created_at"]
+    return history.select(*columns).distinct().withColumn("place", F.row_number().over(order)).select("term_id", "place", "id", "previous_status", "new_status", "note", "reviewer_name", "review_version", "created_at")
 
 
 def review_summary(terms: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def training_rows(terms: DataFrame, candidates: DataFrame, occurrences: DataFram
     rows = judged.select(
         F.col("id").alias("term_id"), F.col("term_text").alias("term"), label.alias("label"), "review_status", "review_note", "reviewed_by_name", "reviewed_at"
     ).join(of, "term_id")
-    evidence = occurrences.distinct().select(F.col("id").alias("occurrence_id"), "term_candidate_id", "document_id", F.col("page_number").alias("page"), F.col("sentence_text").alias("context"), F.col("score").cast("double").alias("extraction_score"))
+    evidence = occurrences.select(F.col("id").alias("occurrence_id"), "term_candidate_id", "document_id", F.col("page_number").alias("page"), F.col("sentence_text").alias("context"), F.col("score").cast("double").alias("extraction_score")).distinct()
     docs = documents.select(F.col("id").alias("document_id"), F.col("original_name").alias("file_name"))
     return rows.join(evidence, "term_candidate_id").join(docs, "document_id").drop("term_candidate_id")
 
@@ -195,7 +197,7 @@ def admission(documents: DataFrame, max_files: int = k.UPLOAD_FILES, max_bytes:
     ext = t.extension(F.col("original_name"))
     known = ext.isin(*k.MIME_TYPES, "")
     place = F.row_number().over(Window.partitionBy("extraction_run_id", "_block").orderBy("doc_id"))
-    blocks = documents.withColumn("_block", F.floor(F.col("doc_id") / 4096))
+    blocks = documents.select("extraction_run_id", "doc_id", "original_name", "size_bytes", "text").withColumn("_block", F.floor(F.col("doc_id") / 4096))
     sizes = blocks.groupBy("extraction_run_id", "_block").agg(F.count("*").alias("n"))
     before = sizes.select("extraction_run_id", "_block", (F.sum("n").over(Window.partitionBy("extraction_run_id").orderBy("_block")) - F.col("n")).alias("before"))
     placed = blocks.withColumn("_place", place).join(before, ["extraction_run_id", "_block"]).withColumn("place", F.col("_place") + F.col("before"))

@@ -37,7 +37,7 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", termi
 
 def candidates(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sentences with (start_char, end_char, term, source) of each candidate."""
-    raw = sentences.select("*", F.inline(t.raw_spans(F.col("sentence"))))
+    raw = sentences.select(key, "sentence_idx", "page", "sentence", F.inline(t.raw_spans(F.col("sentence"))))
     cleaned = raw.withColumn("term", t.clean_raw(F.col("raw"))).drop("raw")
     return cleaned.where(t.valid_candidate(F.col("term"))).withColumn("source", F.lit(k.REGEX_SOURCE))
 
@@ -155,7 +155,7 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
     term's would not fit one. Documents come in the order of the key. The rows
     are kept (in memory, then on disk) as three aggregations read them.
     """
-    rows = terms.where(F.col("score") >= threshold).join(files, key).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = terms.select(key, "term", "frequency", "score", "source", "group", "pages", "examples").where(F.col("score") >= threshold).join(files.select(key, "file_name"), key).persist(StorageLevel.MEMORY_AND_DISK)
     stats = rows.groupBy("term").agg(
         F.sum("frequency").alias("frequency"),
         F.countDistinct("file_name").cast("int").alias("n_files"),
@@ -173,7 +173,7 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
 
 def pages_by_file(terms: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:
     """(term, file_name, pages): the sorted pages of a term in all documents of one file name."""
-    rows = terms.join(files, key).select("term", "file_name", F.explode_outer("pages").alias("page"))
+    rows = terms.select(key, "term", "pages").join(files.select(key, "file_name"), key).select("term", "file_name", F.explode_outer("pages").alias("page"))
     return rows.groupBy("term", "file_name").agg(F.array_sort(F.collect_set("page")).alias("pages"))
 
 

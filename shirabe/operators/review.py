@@ -61,7 +61,7 @@ def review_outcomes(terms: DataFrame, requests: DataFrame) -> DataFrame:
     null. Requests without a term are left out.
     """
     now = terms.select(F.col("id").alias("term_id"), F.col("review_version").alias("stored_version"), F.col("review_status").alias("stored_status"))
-    rows = requests.where("term_id IS NOT NULL").join(now, "term_id", "left")
+    rows = requests.select("term_id", "seq", "status", "note", "expected_version", "reviewer", "at_us").where("term_id IS NOT NULL").join(now, "term_id", "left")
     return ordered_fold(
         rows,
         "term_id",

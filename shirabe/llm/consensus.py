@@ -69,6 +69,7 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_coun
     taken to have given rightly and to each wrong class beforehand.
     """
     spark = labels.sparkSession
+    labels = labels.select("term_id", "reviewer", "label")
     ensure_checkpoints(spark)
     k = range(len(classes))
     habit = [[right_count if c == x else wrong_count for x in k] for c in k]

@@ -77,7 +77,7 @@ def mix(sizes: DataFrame, weights: DataFrame, budget: float | None = None, seed:
     """
     named = weights.select(F.lower(F.trim("source")).alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("max_repeats")).where("source IS NOT NULL")
     wanted = named.where("target_share > 0").groupBy("source").agg(F.sum("target_share").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    sizes = sizes.where("tokens > 0").join(wanted.select("source"), "source", "left_semi").persist()
+    sizes = sizes.select("doc_id", "source", "tokens").where("tokens > 0").join(wanted.select("source"), "source", "left_semi").persist()
     totals = {r["source"]: (r["n"], r["total"]) for r in sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("total")).collect()}
     rules = {r["source"]: (r["weight"], r["max_repeats"]) for r in wanted.collect()}
     there = {s: rules[s] for s in totals}

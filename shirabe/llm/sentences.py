@@ -191,6 +191,8 @@ def _best_spans(text: str, ends: list[tuple[int, float]], width: int, wide: bool
     scores = [0.0] + [s for at, s in ends if s > WEAKEST and at < n] + [0.0]
     breaks = [i for i, c in enumerate(text) if c == "\n"] if width else []
     ended = {at for at, s in ends if s >= 3.0 and text[at - 1] != "\n"}
+    # From an end that is certain no earlier start can be better, unless the end only closes a list mark.
+    forced = [bool(i) and not breaks and scores[i] >= FORCED and not _LIST_MARK.fullmatch(text[points[i - 1] : points[i]].strip(BLANK)) for i in range(len(points))]
     best = [0.0] + [float("-inf")] * (len(points) - 1)
     back = [0] * len(points)
     for j in range(1, len(points)):
@@ -206,7 +208,7 @@ def _best_spans(text: str, ends: list[tuple[int, float]], width: int, wide: bool
                 score += _breaks_fit(text, points[i], points[j], breaks, ended, width, wide)
             if score > best[j]:
                 best[j], back[j] = score, i
-            if i and scores[i] >= FORCED and size >= 12 and not breaks:
+            if forced[i] and size >= 12:
                 break
     out = []
     j = len(points) - 1

@@ -35,7 +35,7 @@ def term_frequencies(candidates: DataFrame, terms: DataFrame, rare_max: int = 2,
     """
     rows = candidates.select("id", "extraction_run_id", "term_id", F.coalesce(F.col("frequency"), F.lit(1)).cast("long").alias("n")).distinct()
     ordinals = run_ordinals(candidates)
-    values = terms.select(F.col("id").alias("term_id"), nfkc_strip(F.col("normalized_text")).alias("term_value")).where(F.col("term_value").isNotNull())
+    values = terms.where("normalized_text IS NOT NULL").select(F.col("id").alias("term_id"), nfkc_strip(F.col("normalized_text")).alias("term_value"))
     words = (
         rows.join(ordinals, "extraction_run_id", "left")
         .groupBy("term_id", F.shiftright("ordinal", 6).alias("word"))

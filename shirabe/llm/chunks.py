@@ -6,6 +6,7 @@ import numpy as np
 
 #: Fixed values of the rolling hash: a window's hash is the sum of code * ROLL**place modulo 2**64, then mixed.
 WINDOW = 4
+LONGEST = 2
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 BASE = np.uint64(0x100000001B3)
@@ -24,7 +25,9 @@ def chunk_texts(texts: list[str], divisor: int) -> tuple[np.ndarray, np.ndarray,
 
     A boundary follows each window of ``WINDOW`` characters whose rolling hash
     is 0 modulo ``divisor``, so boundaries depend on nearby characters alone
-    and return to step after an edit. Every text also ends with a boundary;
+    and return to step after an edit. A chunk longer than ``LONGEST * divisor``
+    is cut at multiples of that from its start, so that an edit costs no more
+    than what follows it up to the next boundary. Every text also ends with a boundary;
     empty texts have no chunks.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -47,6 +50,11 @@ def chunk_texts(texts: list[str], divisor: int) -> tuple[np.ndarray, np.ndarray,
     last = np.flatnonzero(cut)
     begin = np.empty_like(last)
     begin[0], begin[1:] = 0, last[:-1] + 1
+    most = divisor * LONGEST
+    pieces = (last - begin) // most + 1
+    place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(begin, pieces) + place * most
+    last = np.minimum(np.repeat(last, pieces), begin + most - 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((codes + np.uint64(1)) * _powers(BASE, n), out=sums[1:])
     hashes = (sums[last + 1] - sums[begin]) * _powers(_INVERSE, n)[begin]

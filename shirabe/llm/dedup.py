@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from shirabe.llm.bare import bare_text
-from shirabe.llm.chunks import packed_chunks
+from shirabe.llm.chunks import LONGEST, packed_chunks
 from shirabe.operators.history import micros
 from shirabe.tables import Workspace
 
@@ -42,15 +42,13 @@ def arrivals(documents: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, divisor: int) -> DataFrame:
-    """(doc_id, at, digest, bare, chunks, sieve) of documents whose bare text isn't empty.
-
-    ``sieve`` is a bitmap of 512 bits that has a bit for each chunk.
-    """
+    """(doc_id, at, digest, bare, chunks, whole, sieve, hidden) of documents whose bare text isn't empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             bare = [bare_text(t) for t in b["text"]]
             chunks = packed_chunks(bare, divisor)
+            sieves = [_sieve(c, LONGEST * divisor) for c in chunks]
             yield pd.DataFrame(
                 {
                     "doc_id": b["doc_id"],
@@ -58,24 +56,37 @@ def _prepared(docs: DataFrame, divisor: int) -> DataFrame:
                     "digest": [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in bare],
                     "bare": bare,
                     "chunks": chunks,
-                    "sieve": [_sieve(c) for c in chunks],
+                    "whole": [int((c & 0xFFFF).sum()) for c in chunks],
+                    "sieve": [s for s, _ in sieves],
+                    "hidden": [h for _, h in sieves],
                 }
             )[[bool(t) for t in bare]]
 
-    return docs.mapInPandas(run, "doc_id bigint, at bigint, digest binary, bare string, chunks array<bigint>, sieve array<bigint>")
+    return docs.mapInPandas(run, "doc_id bigint, at bigint, digest binary, bare string, chunks array<bigint>, whole int, sieve array<bigint>, hidden int")
+
+
+SIEVES = 8
+
+
+def _sieve(chunks: np.ndarray, longest: int) -> tuple[np.ndarray, int]:
+    """Bitmaps of 64 bits of the chunks of each of eight length classes, and the bytes that bits used twice may hide."""
+    kind = (np.minimum(chunks & 0xFFFF, longest) * SIEVES - 1) // longest
+    bits = np.zeros(SIEVES, np.uint64)
+    np.bitwise_or.at(bits, kind, np.uint64(1) << ((chunks >> 16) & 63).astype(np.uint64))
+    hidden = np.bincount(kind, minlength=SIEVES) - np.bitwise_count(bits).astype(np.int64)
+    return bits.view(np.int64), int((hidden * _class_tops(longest)).sum())
 
 
-def _sieve(chunks: np.ndarray) -> np.ndarray:
-    bits = np.zeros(8, np.uint64)
-    np.bitwise_or.at(bits, (chunks >> 22) & 7, np.uint64(1) << ((chunks >> 16) & 63).astype(np.uint64))
-    return bits.view(np.int64)
+def _class_tops(longest: int) -> np.ndarray:
+    """The greatest length in each class."""
+    return (np.arange(1, SIEVES + 1) * longest) // SIEVES
 
 
-def _sifted(chunks: Column, sieve: Column) -> Column:
-    """Bytes of those chunks whose bit is in the sieve: no less than what both documents share."""
-    word = lambda c: F.get(sieve, F.shiftright(c, 22).bitwiseAND(F.lit(7)).cast("int"))
-    bit = lambda c: F.call_function("shiftright", word(c), F.shiftright(c, 16).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-    return F.aggregate(chunks, F.lit(0).cast("long"), lambda s, c: s + _weight(c) * bit(c))
+def _at_most_shared(longest: int) -> Column:
+    """No less than the bytes that two documents share: every shared chunk has its bit in both bitmaps of its class."""
+    tops = _class_tops(longest)
+    common = [F.bit_count(F.get("sieve", F.lit(k)).bitwiseAND(F.get("a_sieve", F.lit(k)))) * int(tops[k]) for k in range(SIEVES)]
+    return sum(common, F.col("hidden"))
 
 
 @F.pandas_udf(DoubleType())
@@ -117,7 +128,7 @@ class ChunkHistory:
     chunks: DataFrame | None = None
 
     def _append(self, accepted: DataFrame) -> None:
-        docs = self.workspace.write(accepted.select("doc_id", "at", "bare", "chunks", "sieve"), "accepted")
+        docs = self.workspace.write(accepted.select("doc_id", "at", "bare", "chunks", "whole", "sieve", "hidden"), "accepted")
         chunks = self.workspace.write(docs.select(F.explode("chunks").alias("chunk"), "doc_id"), "chunk-table")
         self.docs = docs if self.docs is None else self.docs.unionByName(docs)
         self.chunks = chunks if self.chunks is None else self.chunks.unionByName(chunks)
@@ -126,20 +137,19 @@ class ChunkHistory:
         """Of pairs (doc_id, a_doc_id) those that are repeats, with ``at`` and ``a_at``.
 
         The byte totals of shared chunks decide by coverage: first an upper
-        bound of them from the earlier document's sieve, which is all that has
-        to travel for most pairs, then the totals themselves. What they let
-        through is checked exactly on the pieces of both bare texts.
+        bound of them from both documents' sieves, which is all that has to
+        travel for most pairs, then the totals themselves. What they let through
+        is checked exactly on the pieces of both bare texts.
         """
         p = self.params
-        whole = _bytes(F.col("chunks"))
         other = lambda *columns: right.select(*[F.col(c).alias(f"a_{c}") for c in ("doc_id", *columns)])
-        sieved = pairs.join(right.select(F.col("doc_id").alias("a_doc_id"), "sieve", _bytes(F.col("chunks")).cast("int").alias("a_whole")), "a_doc_id")
-        need = lambda a: F.greatest(whole, F.col(a)) * p.coverage
-        likely = sieved.join(left.select("doc_id", "chunks"), "doc_id").where(_sifted(F.col("chunks"), F.col("sieve")) >= need("a_whole")).select("doc_id", "a_doc_id")
+        need = F.greatest("whole", "a_whole") * p.coverage
+        sieved = pairs.join(other("whole", "sieve"), "a_doc_id").join(left.select("doc_id", "whole", "sieve", "hidden"), "doc_id")
+        likely = sieved.where(_at_most_shared(LONGEST * p.divisor) >= need).select("doc_id", "a_doc_id")
         likely = self.workspace.write(likely, "likely")
         shared = _bytes(F.array_intersect("chunks", "a_chunks"))
-        both = likely.join(left.select("doc_id", "at", "chunks", "bare"), "doc_id").join(other("at", "chunks", "bare"), "a_doc_id")
-        covered = both.where(shared >= F.greatest(whole, _bytes(F.col("a_chunks"))) * p.coverage)
+        both = likely.join(left.select("doc_id", "at", "chunks", "bare", "whole"), "doc_id").join(other("at", "chunks", "bare", "whole"), "a_doc_id")
+        covered = both.where(shared >= need)
         return covered.where(_common_share("bare", "a_bare", F.lit(p.piece)) >= p.similarity).select("doc_id", "at", "a_doc_id", "a_at")
 
     def _keys(self, reps: DataFrame) -> DataFrame:
@@ -157,7 +167,7 @@ class ChunkHistory:
         if self.chunks is not None:
             past = self.chunks.groupBy("chunk").agg(F.count("*").alias("past"))
             counts = counts.join(past, "chunk", "left").select("chunk", (F.col("n") + F.coalesce("past", F.lit(0))).alias("n"))
-        sizes = reps.select("doc_id", "at", _bytes(F.col("chunks")).alias("whole"))
+        sizes = reps.select("doc_id", "at", "whole")
         common = rows.join(counts.where("n > 1"), "chunk").join(sizes, "doc_id")
         rarest = Window.partitionBy("doc_id").orderBy("n", "chunk")
         whole = Window.partitionBy("doc_id").orderBy("n", "chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+
 from shirabe.llm import dedup
 from shirabe.llm.bare import bare_text
 from shirabe.llm.chunks import chunk_texts, packed_chunks
@@ -27,31 +29,48 @@ def test_chunks_are_local_and_whole():
     assert [len(x) for x in packed_chunks([], 8)] == [] and len(packed_chunks([""], 8)[0]) == 0
 
 
+def test_sieves_never_say_too_little():
+    random.seed(8)
+    base = [random.choice(WORDS) for _ in range(400)]
+    for n in (3, 20, 80, 400):
+        a = "".join(base[:n])
+        b = "".join(w if random.random() < 0.9 else random.choice(WORDS) for w in base[:n])
+        x, y = packed_chunks([a, b], 8)
+        shared = sum(c & 0xFFFF for c in set(x.tolist()) & set(y.tolist()))
+        (sx, hidden), (sy, _) = dedup._sieve(x, 16), dedup._sieve(y, 16)
+        bound = hidden + int((np.bitwise_count(sx.view(np.uint64) & sy.view(np.uint64)) * dedup._class_tops(16)).sum())
+        assert shared <= bound
+
+
 def jaccard(a, b):
     p = lambda t: {t[i : i + 5] for i in range(len(t) - 4)} or {t}
     return len(p(a) & p(b)) / len(p(a) | p(b))
 
 
 def corpus(seed, hot):
+    """Texts of 200 characters and more with copies and near copies, some of them of each other; no pair is similar to 50 to 70 %."""
     random.seed(seed)
     docs = []
     for i in range(160):
         kind = random.random()
-        words = random.sample(WORDS, random.randint(25, 60))
+        words = random.sample(WORDS, random.randint(70, 130))
         if docs and kind < 0.15:
             words = list(random.choice(docs))
         elif docs and kind < 0.45:
             words = list(random.choice(docs))
-            for _ in range(max(1, len(words) // 25)):
+            for _ in range(max(1, len(words) // 50)):
                 words[random.randrange(len(words))] = random.choice(WORDS)
         docs.append(words)
-    base = random.sample(WORDS, 50)
+    base = random.sample(WORDS, 100)
     for i in range(hot):  # near copies of one text, all different
         words = list(base)
-        words[i % 50] = WORDS[(7 * i) % 900]
+        words[i % 100] = WORDS[(7 * i) % 900]
         docs.append(words)
     random.shuffle(docs)
-    return ["。".join(w) for w in docs]
+    texts = ["。".join(w) for w in docs]
+    shares = [jaccard(bare_text(a), bare_text(b)) for i, a in enumerate(texts) for b in texts[:i]]
+    assert not any(0.5 < s < 0.7 for s in shares)
+    return texts
 
 
 def expected(docs):

@@ -24,6 +24,8 @@ MAX_TERMS_PER_DOCUMENT = 300
 MAX_EXAMPLES = 3
 MAX_EVIDENCE = 200
 MAX_RESPONSE_OCCURRENCES = 20
+#: File names joined at a time; results don't depend on it.
+FILE_RUN = 4096
 PAGE_LIMIT_DEFAULT, PAGE_LIMIT_MAX = 50, 100
 SEARCH_MAX, NOTE_MAX = 100, 2000
 THRESHOLD_DEFAULT, THRESHOLD_LOW, THRESHOLD_HIGH = 0.9, 0.5, 0.98

@@ -145,15 +145,29 @@ def document_summary(sentences: DataFrame, terms: DataFrame, key: str = "doc_id"
     return sentences.groupBy(key).agg(F.count("*").cast("int").alias("sentence_count")).join(counted, key, "left").select(key, "sentence_count", *map(zero, ("term_count", "high", "medium", "review_needed")))
 
 
-def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
+def file_lists(rows: DataFrame, key: str = "doc_id", separator: str = "; ") -> DataFrame:
+    """(term, files): each term's different file names, joined, in the order of their first documents.
+
+    A common term's names are joined in runs of ``FILE_RUN`` and the runs after
+    that, so that no aggregation holds more than its runs' text.
+    """
+    named = rows.groupBy("term", "file_name").agg(F.min(key).alias("_first"))
+    placed = named.withColumn("_run", F.floor((F.row_number().over(Window.partitionBy("term").orderBy("_first", "file_name")) - 1) / k.FILE_RUN))
+    joined = lambda place, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, F.col(text).alias("t")))), lambda x: x["t"]), separator, "")
+    runs = placed.groupBy("term", "_run").agg(joined(F.struct("_first", "file_name").alias("p"), "file_name").alias("_text"))
+    return runs.groupBy("term").agg(joined(F.col("_run").alias("p"), "_text").alias("files"))
+
+
+def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id", lists: bool = False) -> DataFrame:
     """One row per term over all documents, from each document's returned terms.
 
     ``files`` has (key, file_name). Columns: frequency, n_files, first_file,
     score with source and group of its first best document, examples (first
     three, each after its file's name), n_pages, rank (by score, frequency, term).
-    A term's files and pages per file stay rows (``pages_by_file``): a common
-    term's would not fit one. Documents come in the order of the key. The rows
-    are kept (in memory, then on disk) as three aggregations read them.
+    A term's pages per file stay rows (``pages_by_file``). With ``lists`` there
+    are also its sorted different pages and its files, joined (``file_lists``).
+    Documents come in the order of the key. The rows are kept (in memory, then
+    on disk) as several aggregations read them.
     """
     rows = terms.select(key, "term", "frequency", "score", "source", "group", "pages", "examples").where(F.col("score") >= threshold).join(files.select(key, "file_name"), key).persist(StorageLevel.MEMORY_AND_DISK)
     stats = rows.groupBy("term").agg(
@@ -166,9 +180,11 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(key))).where(F.col("_n") <= k.MAX_EXAMPLES)
     named = F.transform("examples", lambda e: F.concat("file_name", F.lit(": "), e))
     examples = first.groupBy("term").agg(F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", named.alias("e")))), lambda x: x["e"]))), 1, k.MAX_EXAMPLES).alias("examples"))
-    pages = rows.select("term", F.explode("pages").alias("page")).groupBy("term").agg(F.countDistinct("page").cast("int").alias("n_pages"), F.min("page").alias("page"))
+    pages = rows.select("term", F.explode("pages").alias("page")).groupBy("term").agg(F.countDistinct("page").cast("int").alias("n_pages"), F.min("page").alias("page"), *[F.array_sort(F.collect_set("page")).alias("pages")][:lists])
     out = stats.join(examples, "term").join(pages, "term", "left")
-    return out.select("term", "frequency", "n_files", "first_file", "score", "best.source", "best.group", "examples", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "page")
+    if lists:
+        out = out.join(file_lists(rows, key), "term")
+    return out.select("term", "frequency", "n_files", "first_file", "score", "best.source", "best.group", "examples", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "page", *["pages", "files"][: 2 * lists])
 
 
 def pages_by_file(terms: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:

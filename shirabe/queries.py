@@ -206,7 +206,7 @@ def training_jsonl_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.candidate_csv(extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD))
+    return sinks.candidate_csv(extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD, lists=True))
 
 
 def client_view(spark: SparkSession, d: str) -> DataFrame:

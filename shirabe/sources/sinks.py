@@ -68,11 +68,11 @@ def write_training_json(rows: DataFrame, path: str) -> None:
 
 
 def candidate_csv(terms: DataFrame) -> DataFrame:
-    """(term, line) of aggregated terms: score, frequency, pages, files, group label, source and evidence."""
+    """(term, line) of terms aggregated with ``lists``: score, frequency, all pages, all files, group label, source and evidence."""
     label = F.when(F.col("group") == "railway_dictionary_hint", "railwayHint").when(F.col("group") == "new_potential_term", "needsReview").otherwise("extractedResult")
     evidence = t.evidence_text(F.get("examples", F.lit(0)), F.col("first_file"))
-    pages = F.coalesce(F.col("page").cast("string"), F.lit("-"))
-    return terms.select("term", t.csv_line(F.col("term"), F.col("score"), F.col("frequency"), pages, F.col("first_file"), label, F.col("source"), evidence).alias("line"))
+    pages = F.when(F.size("pages") > 0, F.array_join("pages", ", ")).otherwise("-")
+    return terms.select("term", t.csv_line(F.col("term"), F.col("score"), F.col("frequency"), pages, F.col("files"), label, F.col("source"), evidence).alias("line"))
 
 
 def result_json(terms: DataFrame, summary: DataFrame, threshold: float, mode: str = "demo", key: str = "doc_id", limit: int = 300) -> DataFrame:

@@ -48,3 +48,17 @@ def test_training_json(spark, tmp_path):
     sinks.write_training_json(training(spark), str(tmp_path / "json"))
     rows = [json.loads(line) for line in joined(tmp_path / "json").decode().split("\n") if line]
     assert rows[0]["page"] is None and list(rows[0])[0] == "term" and rows[1]["reviewedAt"] is None
+
+
+def test_candidate_csv_has_all_pages_and_files(spark, monkeypatch):
+    from shirabe.functions import constants
+    from shirabe.operators import extract
+
+    monkeypatch.setattr(constants, "FILE_RUN", 2)
+    texts = ["[[PAGE 10]]\n信号を確認。\n[[PAGE 2]]\n信号の故障。", "[[PAGE 2]]\n信号。", "[[PAGE 1]]\n信号。", "信号。踏切。", "[[PAGE 3]]\n信号。"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    files = spark.createDataFrame([(1, "z.txt"), (2, 'a"b.txt'), (3, "c.txt"), (4, "z.txt"), (5, "a.txt")], "doc_id bigint, file_name string")
+    terms = extract.across_documents(extract.extract(docs, 0.5), files, 0.5, lists=True)
+    lines = {r["term"]: r["line"] for r in sinks.candidate_csv(terms).collect()}
+    assert lines["信号"].startswith('"信号",') and '"1, 2, 3, 10","z.txt; a""b.txt; c.txt; a.txt","railwayHint"' in lines["信号"]
+    assert '"\'-","z.txt","railwayHint"' in lines["踏切"]

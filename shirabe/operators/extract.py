@@ -85,25 +85,31 @@ def resolve_overlaps(rows: DataFrame, sentence: list[str]) -> DataFrame:
     return grouped.select(*sentence, F.posexplode(kept).alias("overlap_rank", "_s")).select(*sentence, "overlap_rank", "_s.*")
 
 
-def terms_by_document(rows: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
+def terms_by_document(rows: DataFrame, threshold: float, key: str = "doc_id", occurrences: bool = False) -> DataFrame:
     """One row per document and term of candidates that don't overlap, as the pattern generator's.
 
     Columns: frequency, raw_frequency, score, group, source, page (first of the
     sorted pages), pages, examples (first three different sentences),
     first_sentence_idx, start_char, end_char, rank (by score, frequency, term).
+    With ``occurrences`` also all of them, ordered by sentence, length (longest
+    first) and start: sentence, page, startChar, endChar, score.
     Equal to scoring, threshold, overlap resolution and aggregation one after
     the other, as a document's counts are known once its terms are grouped, so
     one shuffle does both. Its groups are one document's occurrences of a term.
     """
     first = F.min(F.struct("sentence_idx", (F.col("start_char") - F.col("end_char")).alias("shorter"), "start_char", "end_char", "source"))
+    seen = ["sentence_idx", "sentence"]
+    if occurrences:
+        seen = ["sentence_idx", (F.col("start_char") - F.col("end_char")).alias("shorter"), "start_char", "end_char", "page", "sentence"]
     grouped = rows.groupBy(key, "term").agg(
         F.count("*").cast("int").alias("frequency"),
         first.alias("first"),
         F.array_sort(F.collect_set("page")).alias("pages"),
-        F.array_sort(F.collect_list(F.struct("sentence_idx", "sentence"))).alias("seen"),
+        F.array_sort(F.collect_list(F.struct(*seen))).alias("seen"),
     )
     score = t.heuristic_score(F.col("term"), F.col("frequency"))
     out = grouped.withColumn("score", score).where(F.col("score") >= threshold)
+    every = F.transform("seen", lambda o: F.struct(o["sentence"].alias("sentence"), o["page"].alias("page"), o["start_char"].alias("startChar"), o["end_char"].alias("endChar"), F.col("score").alias("score"))) if occurrences else None
     out = out.select(
         key,
         "term",
@@ -118,6 +124,7 @@ def terms_by_document(rows: DataFrame, threshold: float, key: str = "doc_id") ->
         F.col("first.sentence_idx").alias("first_sentence_idx"),
         F.col("first.start_char").alias("start_char"),
         F.col("first.end_char").alias("end_char"),
+        *([every.alias("occurrences")] if occurrences else []),
     )
     order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("frequency"), "term")
     return out.withColumn("rank", F.row_number().over(order))
@@ -187,6 +194,19 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
     return out.select("term", "frequency", "n_files", "first_file", "score", "best.source", "best.group", "examples", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "page", *["pages", "files"][: 2 * lists])
 
 
+def response_occurrences(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id", limit: int = k.MAX_RESPONSE_OCCURRENCES) -> DataFrame:
+    """(term, occurrences): a term's first ``limit`` over all documents, in the order of the key, each with its document and file.
+
+    ``terms`` are each document's returned terms with ``occurrences``. Every
+    document of a term has one at least, so its first ``limit`` documents do.
+    """
+    rows = terms.where(F.col("score") >= threshold).select(key, "term", F.slice("occurrences", 1, limit).alias("_o")).join(files.select(key, "file_name"), key)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(key))).where(F.col("_n") <= limit)
+    whole = F.transform("_o", lambda o: F.struct(*[o[c].alias(c) for c in ("sentence", "page", "startChar", "endChar", "score")], F.col("file_name").alias("fileName"), F.col(key).alias("documentId")))
+    listed = first.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("_n", whole.alias("o")))).alias("_l"))
+    return listed.select("term", F.slice(F.flatten(F.transform("_l", lambda x: x["o"])), 1, limit).alias("occurrences"))
+
+
 def pages_by_file(terms: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:
     """(term, file_name, pages): the sorted pages of a term in all documents of one file name."""
     rows = terms.select(key, "term", "pages").join(files.select(key, "file_name"), key).select("term", "file_name", F.explode_outer("pages").alias("page"))

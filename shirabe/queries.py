@@ -247,8 +247,9 @@ def run_status_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def result_json(spark: SparkSession, d: str) -> DataFrame:
     sentences = extract.segment(load(spark, d, "documents"))
-    terms = extract.terms_by_document(extract.candidates(sentences), THRESHOLD)
-    return sinks.result_json(terms, extract.document_summary(sentences, terms), THRESHOLD)
+    spans = extract.candidates(sentences)
+    summary = extract.document_summary(sentences, extract.terms_by_document(spans, THRESHOLD))
+    return sinks.result_json(extract.terms_by_document(spans, THRESHOLD, occurrences=True), summary, _files(spark, d), THRESHOLD)
 
 
 def docx_text(spark: SparkSession, d: str) -> DataFrame:

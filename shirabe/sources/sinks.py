@@ -75,18 +75,25 @@ def candidate_csv(terms: DataFrame) -> DataFrame:
     return terms.select("term", t.csv_line(F.col("term"), F.col("score"), F.col("frequency"), pages, F.col("files"), label, F.col("source"), evidence).alias("line"))
 
 
-def result_json(terms: DataFrame, summary: DataFrame, threshold: float, mode: str = "demo", key: str = "doc_id", limit: int = 300) -> DataFrame:
-    """(key, json): each document's nested result; its counts cover all terms, its list the first ``limit``."""
+def result_json(terms: DataFrame, summary: DataFrame, files: DataFrame, threshold: float, mode: str = "demo", key: str = "doc_id", limit: int = 300) -> DataFrame:
+    """(key, json): each document's nested result; its counts cover all terms, its list the first ``limit``.
+
+    ``terms`` have their ``occurrences``, all of which are written; sentence,
+    sentence_id and span are those of the first. ``files`` has (key, file_name).
+    """
     shown = terms.where(F.col("rank") <= limit)
-    one = F.struct("rank", F.struct(F.col("rank").alias("id"), "term", "score", "frequency", "group", "source", "page", "pages", "examples").alias("t"))
+    sentence = F.get("occurrences", F.lit(0))["sentence"].alias("sentence")
+    span = (F.col("first_sentence_idx").alias("sentence_id"), "page", "pages", "start_char", "end_char", "source", "group", "examples", "occurrences")
+    one = F.struct("rank", F.struct(F.col("rank").alias("id"), "term", F.col("term").alias("candidate"), "score", "frequency", sentence, *span).alias("t"))
     listed = shown.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]).alias("terms"))
+    named = lambda x: x.withField("sentence_id", F.concat(F.coalesce("file_name", F.lit("document")), F.lit("_s"), x["sentence_id"].cast("string")))
     result = F.struct(
         F.lit(mode).alias("mode"),
         F.lit(threshold).alias("threshold"),
         F.col("sentence_count").alias("sentenceCount"),
         F.col("term_count").alias("termCount"),
-        F.col("terms"),
+        F.coalesce(F.transform("terms", named), F.array()).alias("terms"),
         F.struct(F.col("high").alias("highConfidence"), F.col("medium").alias("mediumConfidence"), F.col("review_needed").alias("reviewNeeded")).alias("summary"),
     )
-    return summary.join(listed, key, "left").select(key, F.to_json(result, {"ignoreNullFields": "false"}).alias("json"))
-
+    joined = summary.join(listed, key, "left").join(files.select(key, "file_name"), key, "left")
+    return joined.select(key, F.to_json(result, {"ignoreNullFields": "false"}).alias("json"))

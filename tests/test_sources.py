@@ -62,3 +62,33 @@ def test_candidate_csv_has_all_pages_and_files(spark, monkeypatch):
     lines = {r["term"]: r["line"] for r in sinks.candidate_csv(terms).collect()}
     assert lines["信号"].startswith('"信号",') and '"1, 2, 3, 10","z.txt; a""b.txt; c.txt; a.txt","railwayHint"' in lines["信号"]
     assert '"\'-","z.txt","railwayHint"' in lines["踏切"]
+
+
+def extracted(spark):
+    from shirabe.operators import extract
+
+    docs = spark.createDataFrame([(1, "[[PAGE 2]]\n信号と信号。\n[[PAGE 3]]\n信号。踏切。"), (2, "信号。"), (3, "のみ。")], "doc_id bigint, text string")
+    files = spark.createDataFrame([(1, "a.txt"), (2, "b.txt"), (3, "c.txt")], "doc_id bigint, file_name string")
+    sentences = extract.segment(docs)
+    terms = extract.terms_by_document(extract.candidates(sentences), 0.5, occurrences=True)
+    return terms, extract.document_summary(sentences, terms), files
+
+
+def test_result_json_lists_every_occurrence(spark):
+    terms, summary, files = extracted(spark)
+    rows = {r["doc_id"]: json.loads(r["json"]) for r in sinks.result_json(terms, summary, files, 0.5).collect()}
+    first = next(x for x in rows[1]["terms"] if x["term"] == "信号")
+    assert [(o["sentence"], o["page"], o["startChar"], o["endChar"]) for o in first["occurrences"]] == [("信号と信号。", 2, 0, 2), ("信号と信号。", 2, 3, 5), ("信号。", 3, 0, 2)]
+    assert {o["score"] for o in first["occurrences"]} == {first["score"]} and len(first["occurrences"]) == first["frequency"]
+    assert (first["candidate"], first["sentence"], first["sentence_id"], first["start_char"], first["end_char"]) == ("信号", "信号と信号。", "a.txt_s0", 0, 2)
+    assert rows[2]["terms"][0]["occurrences"][0]["page"] is None and rows[3]["terms"] == []
+
+
+def test_response_has_the_first_occurrences(spark):
+    from shirabe.operators import extract
+
+    terms, _, files = extracted(spark)
+    got = {r["term"]: [(o["fileName"], o["documentId"], o["startChar"], o["page"]) for o in r["occurrences"]] for r in extract.response_occurrences(terms, files, 0.5).collect()}
+    assert got == {"信号": [("a.txt", 1, 0, 2), ("a.txt", 1, 3, 2), ("a.txt", 1, 0, 3), ("b.txt", 2, 0, None)], "踏切": [("a.txt", 1, 0, 3)]}
+    two = {r["term"]: len(r["occurrences"]) for r in extract.response_occurrences(terms, files, 0.5, limit=2).collect()}
+    assert two == {"信号": 2, "踏切": 1}

@@ -96,6 +96,18 @@ def appended_history(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("kind = 'updated'").select("term_id", "previous_status", F.col("status").alias("new_status"), "note", F.col("reviewer").alias("reviewer_username"), F.col("version").alias("review_version"), F.col("at_us").alias("created_at_us"))
 
 
+def _attempt(state: tuple[int, int] | None, at: int, ok: bool, window_us: int, most: int) -> tuple[tuple[int, int] | None, str, int]:
+    """The window (failures, start) after an attempt, its outcome and the count."""
+    if state and at - state[1] > window_us:
+        state = None
+    if state and state[0] >= most:
+        return state, "blocked", state[0]
+    if ok:
+        return None, "ok", 0
+    state = (state[0] + 1, state[1]) if state else (1, at)
+    return state, "failed", state[0]
+
+
 def attempt_outcomes(attempts: DataFrame, window_us: int = 15 * 60 * 1_000_000, most: int = 5) -> DataFrame:
     """(key, seq, outcome, failures) of attempts (key, seq, at_us, ok) in the order of (at_us, seq).
 
@@ -107,14 +119,33 @@ def attempt_outcomes(attempts: DataFrame, window_us: int = 15 * 60 * 1_000_000,
 
     def step(state: tuple[int, int] | None, row: tuple) -> tuple[tuple[int, int] | None, tuple]:
         key, seq, at, ok = row
-        if state and at - state[1] > window_us:
-            state = None
-        if state and state[0] >= most:
-            return state, (key, seq, "blocked", state[0])
-        if ok:
-            return None, (key, seq, "ok", 0)
-        state = (state[0] + 1, state[1]) if state else (1, at)
-        return state, (key, seq, "failed", state[0])
+        state, outcome, failures = _attempt(state, at, ok, window_us, most)
+        return state, (key, seq, outcome, failures)
 
     kind = dict(attempts.dtypes)["key"]
     return ordered_fold(attempts, "key", ["at_us", "seq"], step, lambda row: None, ["key", "seq", "at_us", "ok"], f"key {kind}, seq bigint, outcome string, failures int")
+
+
+def judged_attempts(attempts: DataFrame, windows: DataFrame, window_us: int, most: int) -> DataFrame:
+    """``attempt_outcomes`` from ``windows`` (key, failures, started) on, with at_us and the start of the window after each attempt."""
+
+    def step(state: tuple[int, int] | None, row: tuple) -> tuple[tuple[int, int] | None, tuple]:
+        key, seq, at, ok, _, _ = row
+        state, outcome, failures = _attempt(state, at, ok, window_us, most)
+        return state, (key, seq, outcome, failures, at, state[1] if state else None)
+
+    def start(row: tuple) -> tuple[int, int] | None:
+        return None if row[4] is None else (int(row[4]), int(row[5]))
+
+    kind = dict(attempts.dtypes)["key"]
+    before = windows.toDF("_key", "_failures", "_started")
+    rows = attempts.join(before, F.col("key").eqNullSafe(F.col("_key")), "left")
+    return ordered_fold(rows, "key", ["at_us", "seq"], step, start, ["key", "seq", "at_us", "ok", "_failures", "_started"], f"key {kind}, seq bigint, outcome string, failures int, at_us bigint, started bigint")
+
+
+def open_windows(judged: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, failures, started) after ``judged_attempts``: each key's last window, those of other keys as before."""
+    last = judged.groupBy("key").agg(F.max_by(F.struct("failures", "started"), F.struct("at_us", "seq")).alias("w"))
+    changed = last.where("w.started IS NOT NULL").select("key", "w.failures", "w.started")
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    return changed.unionByName(windows.join(last.select(F.col("key").alias("_key")), same, "left_anti").select("key", "failures", "started"))

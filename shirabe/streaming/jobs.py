@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from shirabe.operators import extract
+from shirabe.operators import extract, review
 from shirabe.operators.history import micros
 from shirabe.tables import Workspace
 
@@ -31,53 +27,27 @@ def stream_extract(spark: SparkSession, source: str, schema: StructType, workspa
     return spark.read.parquet(target).drop("batch")
 
 
-class AttemptLimit(StatefulProcessor):
-    """Keeps (failures, start of window) of each key; see ``operators.review.attempt_outcomes``."""
-
-    def __init__(self, window_us: int, most: int):
-        self.window_us, self.most = window_us, most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "failures int, started bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else None
-        out = []
-        for b in rows:
-            for seq, at, ok in b.sort_values(["at_us", "seq"])[["seq", "at_us", "ok"]].itertuples(index=False):
-                if state and at - state[1] > self.window_us:
-                    state = None
-                if state and state[0] >= self.most:
-                    out.append((key[0], seq, "blocked", state[0]))
-                elif ok:
-                    state = None
-                    out.append((key[0], seq, "ok", 0))
-                else:
-                    state = (state[0] + 1, state[1]) if state else (1, int(at))
-                    out.append((key[0], seq, "failed", state[0]))
-        if state:
-            self.state.update((int(state[0]), int(state[1])))
-        else:
-            self.state.clear()
-        yield pd.DataFrame(out, columns=["key", "seq", "outcome", "failures"])
-
-    def close(self) -> None:
-        pass
+def stream_attempts(spark: SparkSession, source: str, schema: StructType, workspace: Workspace, window_us: int, most: int = 5, files_per_batch: int | None = None) -> DataFrame:
+    """Outcomes of attempts, read from event files (user_id, event_id, ts, event_type).
 
+    Each micro-batch is judged whole in the order of time, as
+    ``review.attempt_outcomes`` does, from the windows that the batch before
+    left open. Outcomes and open windows go to folders of the batch's number, so
+    a batch that runs again after a failure replaces its own rows.
+    """
+    target, windows = f"{workspace.root}/attempts", f"{workspace.root}/windows"
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    events = reader.parquet(source)
+    attempts = events.where(F.col("event_type").isin("error", "signup")).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), micros(F.col("ts")).alias("at_us"), (F.col("event_type") == "signup").alias("ok"))
 
-def stream_attempts(spark: SparkSession, source: str, schema: StructType, workspace: Workspace, window_us: int, most: int = 5) -> DataFrame:
-    """Outcomes of attempts, read from event files (user_id, event_id, ts, event_type)."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        events = spark.readStream.schema(schema).parquet(source)
-        attempts = events.where(F.col("event_type").isin("error", "signup")).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), micros(F.col("ts")).alias("at_us"), (F.col("event_type") == "signup").alias("ok"))
-        judged = attempts.groupBy("key").transformWithStateInPandas(AttemptLimit(window_us, most), "key bigint, seq bigint, outcome string, failures int", "Append", "None")
-        target = f"{workspace.root}/attempts"
-        judged.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{workspace.root}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.parquet(target)
+    def save(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = session.read.parquet(f"{windows}/batch={number - 1}") if number else session.createDataFrame([], "key bigint, failures int, started bigint")
+        review.judged_attempts(batch, before, window_us, most).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        judged = session.read.parquet(f"{target}/batch={number}")
+        review.open_windows(judged, before).write.mode("overwrite").parquet(f"{windows}/batch={number}")
+
+    attempts.writeStream.foreachBatch(save).option("checkpointLocation", f"{workspace.root}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select("key", "seq", "outcome", "failures")

@@ -74,10 +74,9 @@ class SuffixAutomaton:
             p = self.link[p]
         return twin
 
-    def longest(self, text: str) -> dict[int, tuple[int, int]]:
-        """text number -> (length, end in ``text``) of its longest stretch in ``text``, where that reaches what it needs."""
+    def _reached(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(end, state, length) of the longest match that ends at each place, where that has the least needed length."""
         nxt, link, length, least = self.next, self.link, self.length, self.least
-        best: dict[int, tuple[int, int]] = {}
         state = size = 0
         for at, c in enumerate(text):
             to = nxt[state].get(c)
@@ -92,15 +91,36 @@ class SuffixAutomaton:
             state = to
             size += 1
             if size >= least:
-                up, matched = state, size
-                while up > 0 and matched >= least:
-                    for number in self.texts.get(up, ()):
-                        if matched >= self.needs[number] and matched > best.get(number, (0, 0))[0]:
-                            best[number] = (matched, at + 1)
-                    up = link[up]
-                    matched = length[up]
+                yield at + 1, state, size
+
+    def longest(self, text: str) -> dict[int, tuple[int, int]]:
+        """text number -> (length, end in ``text``) of its longest stretch in ``text``, where that reaches what it needs."""
+        best: dict[int, tuple[int, int]] = {}
+        for end, up, matched in self._reached(text):
+            while up > 0 and matched >= self.least:
+                for number in self.texts.get(up, ()):
+                    if matched >= self.needs[number] and matched > best.get(number, (0, 0))[0]:
+                        best[number] = (matched, end)
+                up = self.link[up]
+                matched = self.length[up]
         return best
 
+    def stretches(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) in ``text`` of all stretches that reach what some text needs; those that overlap or touch are one."""
+        out: list[tuple[int, int]] = []
+        for end, up, matched in self._reached(text):
+            while up > 0 and matched >= self.least:
+                # Shorter matches with the same end lie inside this one.
+                if any(matched >= self.needs[number] for number in self.texts.get(up, ())):
+                    start = end - matched
+                    while out and out[-1][1] >= start:
+                        start = min(start, out.pop()[0])
+                    out.append((start, end))
+                    break
+                up = self.link[up]
+                matched = self.length[up]
+        return out
+
 
 _BUILT: list = [None, None]
 
@@ -186,35 +206,49 @@ def _placed(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
+def _without(text: str | None, cuts: list[int]) -> str | None:
+    """The text without the stretches of ``cuts``: starts and ends in turn."""
+    if not len(cuts):
+        return text
+    gone = bytearray(len(text))
+    for low, high in zip(cuts[::2], cuts[1::2]):
+        gone[low:high] = b"\1" * (high - low)
+    return "".join(c for c, g in zip(text, gone) if not g)
+
+
 def cleaned(documents: DataFrame, items: DataFrame, share: float = 0.4, drop_share: float = 0.5) -> DataFrame:
     """(doc_id, text, removed_chars, dropped): documents without the stretches that leaked.
 
-    Each leaked item's longest stretch is cut from the text, once. ``dropped``
-    marks documents of which more than ``drop_share`` would go; their text is
-    null. Documents without leaks come out unchanged.
+    Every stretch that reaches the needed share of an item is cut from the text,
+    also where an item stands several times. All are found in the whole text,
+    then cut. ``dropped`` marks documents of which more than ``drop_share`` would
+    go; their text is null. Documents without leaks come out unchanged.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", "text", F.array().cast("array<int>").alias("cuts"))
     for block in item_blocks(items, share):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             automaton = _automaton(shared)
             for b in batches:
-                texts = []
-                for text in b["text"]:
-                    found = automaton.longest(bare_text(text)) if text else {}
-                    if found:
+                cuts = []
+                for text, before in zip(b["text"], b["cuts"]):
+                    found = list(before)
+                    if text and automaton.stretches(bare_text(text)):
                         bare, places = _placed(text)
-                        cut = bytearray(len(text))
-                        for size, end in automaton.longest(bare).values():
-                            low, high = places[end - size], places[end - 1] + 1
-                            cut[low:high] = b"\1" * (high - low)
-                        text = "".join(c for c, gone in zip(text, cut) if not gone)
-                    texts.append(text)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts})
-
-        docs = docs.mapInPandas(run, "doc_id bigint, text string")
+                        for start, end in automaton.stretches(bare):
+                            found += places[start], places[end - 1] + 1
+                    cuts.append(found)
+                yield b[["doc_id", "text"]].assign(cuts=cuts)
+
+        docs = docs.mapInPandas(run, "doc_id bigint, text string, cuts array<int>")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [_without(text, cuts) for text, cuts in zip(b["text"], b["cuts"])]})
+
+    docs = docs.mapInPandas(cut, "doc_id bigint, text string")
     before = documents.select("doc_id", F.length("text").alias("before"))
     removed = F.col("before") - F.length("text")
     dropped = F.coalesce(removed > F.col("before") * drop_share, F.lit(False))

@@ -54,3 +54,26 @@ def test_cleaned(spark):
     assert got[1]["text"] == "前置き。。終わり。" and not got[1]["dropped"]
     assert got[2]["text"] == "nothing here" and got[3]["text"] is None and got[4]["text"] == ""
     assert leaks.cleaned(docs, items, drop_share=0.1).where("dropped").count() == 2
+
+
+def test_stretches_against_plain_python():
+    random.seed(7)
+    for _ in range(150):
+        items = ["".join(random.choice("abc") for _ in range(random.randint(1, 25))) for _ in range(random.randint(1, 5))]
+        needs = [max(1, math.ceil(0.4 * len(t))) for t in items]
+        text = "".join(random.choice("abc") for _ in range(40)) + random.choice(items)[: random.randint(0, 20)] * 2
+        want = {k for t, n in zip(items, needs) for a in range(len(text) - n + 1) if text[a : a + n] in t for k in range(a, a + n)}
+        got = leaks.SuffixAutomaton(items, needs).stretches(text)
+        assert {k for a, b in got for k in range(a, b)} == want
+        assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
+
+
+def test_cleaned_cuts_every_copy(spark, monkeypatch):
+    item = "架線の高さは常に五メートルを保つものとする"
+    docs = spark.createDataFrame([(1, f"前。{item}。中程の文。{item}。後。"), (2, f"甲{item[:12]}乙丙丁戊{item[9:]}己庚辛壬癸")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, "常に五メートルを保つものとする規則である")], "item_id bigint, text string")
+    for block_chars in (200_000, 1):
+        monkeypatch.setattr(leaks.item_blocks, "__defaults__", (block_chars,))
+        got = {r["doc_id"]: r for r in leaks.cleaned(docs, items, drop_share=0.95).collect()}
+        assert (got[1]["text"], got[1]["removed_chars"]) == ("前。。中程の文。。後。", 2 * len(item))
+        assert (got[2]["text"], got[2]["removed_chars"]) == ("甲乙丙丁戊己庚辛壬癸", len(item) + 3)

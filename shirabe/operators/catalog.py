@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shirabe.functions import constants as k
 from shirabe.functions import text as t
-from shirabe.functions.normalize import nfkc_strip
+from shirabe.functions.normalize import nfkc, nfkc_strip
 
 
 def new_terms(existing: DataFrame, extracted: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -49,6 +49,24 @@ def status_filter(status: str | None, column: str = "review_status") -> Column:
     return c == status if status else F.lit(True)
 
 
+def client_filter(terms: DataFrame, stored: DataFrame, group: str = "all", status: str = "all", search: str = "") -> DataFrame:
+    """Terms aggregated with ``lists`` (files joined by a blank) of a group and a stored review status, whose term or files hold ``search``.
+
+    The search target is the term and all its files, NFKC in lower case.
+    ``stored`` is the catalog; a term that it lacks is unreviewed.
+    """
+    import unicodedata
+
+    text = unicodedata.normalize("NFKC", search).strip().lower()
+    target = F.lower(nfkc(F.concat_ws(" ", "term", "files")))
+    shown = terms.where(F.lit(group == "all") | (F.col("group") == group)).where(F.contains(target, F.lit(text)) if text else F.lit(True))
+    if status == "all":
+        return shown
+    reviewed = stored.groupBy(F.col("normalized_text").alias("_text")).agg(F.max_by("review_status", "review_version").alias("_status"))
+    joined = shown.withColumn("_text", nfkc_strip(F.col("term"))).join(reviewed, "_text", "left")
+    return joined.where(F.coalesce("_status", F.lit("unreviewed")) == status).drop("_text", "_status")
+
+
 def search_filter(search: str | None, columns: tuple[str, ...] = ("term_text", "normalized_text"), escape: bool = False) -> Column:
     """Substring in any letter case; the text is NFKC, trimmed and cut to 100 characters. Its % and _ are wildcards unless ``escape``."""
     import unicodedata

@@ -165,14 +165,14 @@ def file_lists(rows: DataFrame, key: str = "doc_id", separator: str = "; ") -> D
     return runs.groupBy("term").agg(joined(F.col("_run").alias("p"), "_text").alias("files"))
 
 
-def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id", lists: bool = False) -> DataFrame:
+def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id", lists: bool = False, separator: str = "; ") -> DataFrame:
     """One row per term over all documents, from each document's returned terms.
 
     ``files`` has (key, file_name). Columns: frequency, n_files, first_file,
     score with source and group of its first best document, examples (first
     three, each after its file's name), n_pages, rank (by score, frequency, term).
     A term's pages per file stay rows (``pages_by_file``). With ``lists`` there
-    are also its sorted different pages and its files, joined (``file_lists``).
+    are also its sorted different pages and its files, joined by ``separator``.
     Documents come in the order of the key. The rows are kept (in memory, then
     on disk) as several aggregations read them.
     """
@@ -190,7 +190,7 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
     pages = rows.select("term", F.explode("pages").alias("page")).groupBy("term").agg(F.countDistinct("page").cast("int").alias("n_pages"), F.min("page").alias("page"), *[F.array_sort(F.collect_set("page")).alias("pages")][:lists])
     out = stats.join(examples, "term").join(pages, "term", "left")
     if lists:
-        out = out.join(file_lists(rows, key), "term")
+        out = out.join(file_lists(rows, key, separator), "term")
     return out.select("term", "frequency", "n_files", "first_file", "score", "best.source", "best.group", "examples", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "page", *["pages", "files"][: 2 * lists])
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from shirabe.functions import constants as k
 from shirabe.functions import text as t
-from shirabe.functions.normalize import nfkc_strip
 from shirabe.operators import catalog, extract, history, names, review
 from shirabe.plans import models
 from shirabe.sources import files, sinks
@@ -210,8 +209,8 @@ def candidate_csv_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def client_view(spark: SparkSession, d: str) -> DataFrame:
-    terms = extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD)
-    shown = terms.where((F.col("group") == k.NEW_GROUP) & F.contains(F.lower(F.concat_ws(" ", nfkc_strip(F.col("term")), "first_file")), F.lit("形")))
+    terms = extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD, lists=True, separator=" ")
+    shown = catalog.client_filter(terms, load(spark, d, "terms"), group=k.NEW_GROUP, search="形")
     key = F.concat_ws("-", F.coalesce("first_file", F.lit("")), F.lpad(F.coalesce("page", F.lit(999999)).cast("string"), 8, "0"))
     return shown.select("term", "frequency", t.percent(F.col("score")).alias("percent"), t.score_band(F.col("score")).alias("band"), t.short_name(F.col("first_file")).alias("file"), key.alias("source_key"))
 

@@ -111,3 +111,16 @@ def test_status_filters(spark):
     assert terms.where(catalog.status_filter(None)).count() == 4
     assert catalog.review_summary(terms).first().asDict() == {"total": 4, "unreviewed": 1, "approved": 1, "rejected": 1, "uncertain": 1, "reviewed": 3}
     assert F.lit(1) is not None
+
+
+def test_client_filter_searches_all_files_and_the_status(spark):
+    from shirabe.operators import extract
+
+    docs = spark.createDataFrame([(1, "信号。踏切。"), (2, "信号。架線。"), (3, "架線。")], "doc_id bigint, text string")
+    files = spark.createDataFrame([(1, "a.txt"), (2, "ＭＡＮＵＡＬ.pdf"), (3, "c.txt")], "doc_id bigint, file_name string")
+    terms = extract.across_documents(extract.extract(docs, 0.5), files, 0.5, lists=True, separator=" ").select("term", "files", "group")
+    stored = spark.createDataFrame([("信号", "rejected", 1), ("信号", "approved", 2), ("架線", "unreviewed", 0)], "normalized_text string, review_status string, review_version int")
+    shown = lambda **how: sorted(r["term"] for r in catalog.client_filter(terms, stored, **how).collect())
+    assert shown(search=" manual") == ["信号", "架線"] and shown(search="a.txt manual") == ["信号"] and shown(search="踏") == ["踏切"]
+    assert shown(status="approved") == ["信号"] and shown(status="unreviewed") == ["架線", "踏切"] and shown(status="rejected") == []
+    assert shown() == ["信号", "架線", "踏切"] and shown(group="none") == []

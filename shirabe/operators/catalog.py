@@ -62,9 +62,20 @@ def client_filter(terms: DataFrame, stored: DataFrame, group: str = "all", statu
     shown = terms.where(F.lit(group == "all") | (F.col("group") == group)).where(F.contains(target, F.lit(text)) if text else F.lit(True))
     if status == "all":
         return shown
+    return with_review_status(shown, stored).where(F.col("review_status") == status).drop("review_status")
+
+
+def with_review_status(terms: DataFrame, stored: DataFrame) -> DataFrame:
+    """Extracted terms with the ``review_status`` that the catalog stores; a term that it lacks is unreviewed."""
     reviewed = stored.groupBy(F.col("normalized_text").alias("_text")).agg(F.max_by("review_status", "review_version").alias("_status"))
-    joined = shown.withColumn("_text", nfkc_strip(F.col("term"))).join(reviewed, "_text", "left")
-    return joined.where(F.coalesce("_status", F.lit("unreviewed")) == status).drop("_text", "_status")
+    joined = terms.withColumn("_text", nfkc_strip(F.col("term"))).join(reviewed, "_text", "left")
+    return joined.withColumn("review_status", F.coalesce("_status", F.lit("unreviewed"))).drop("_text", "_status")
+
+
+def next_unreviewed(terms: DataFrame, current: str) -> DataFrame:
+    """The first other unreviewed term of ``with_review_status`` by score, frequency and term; no row if none is left."""
+    rest = terms.where((F.col("term") != current) & (F.col("review_status") == "unreviewed"))
+    return rest.orderBy(F.desc("score"), F.desc("frequency"), "term").limit(1)
 
 
 def search_filter(search: str | None, columns: tuple[str, ...] = ("term_text", "normalized_text"), escape: bool = False) -> Column:

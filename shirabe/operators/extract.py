@@ -170,7 +170,7 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
 
     ``files`` has (key, file_name). Columns: frequency, n_files, first_file,
     score with source and group of its first best document, examples (first
-    three, each after its file's name), n_pages, rank (by score, frequency, term).
+    three, each after its file's name), n_pages, page (the lowest).
     A term's pages per file stay rows (``pages_by_file``). With ``lists`` there
     are also its sorted different pages and its files, joined by ``separator``.
     Documents come in the order of the key. The rows are kept (in memory, then
@@ -219,3 +219,8 @@ def totals(summary: DataFrame, documents: DataFrame, threshold: float) -> DataFr
     chars = documents.where("text IS NOT NULL AND text <> ''").select(F.lit(1).alias("f"), units.alias("c"), F.lit(0).alias("s"))
     both = chars.unionByName(summary.select(F.lit(0).alias("f"), F.lit(0).alias("c"), F.col("sentence_count").alias("s")))
     return both.agg(F.sum("f").alias("file_count"), F.sum("s").alias("sentence_count"), F.sum("c").alias("character_count")).withColumn("threshold", F.lit(threshold))
+
+
+def aggregate_summary(terms: DataFrame, mode: str = "demo") -> DataFrame:
+    """(term_count, mode, review_needed): one row over the terms of all documents."""
+    return terms.agg(F.count("*").alias("term_count"), F.lit(mode).alias("mode"), F.count_if(F.col("score") < 0.7).alias("review_needed"))

@@ -124,3 +124,15 @@ def test_client_filter_searches_all_files_and_the_status(spark):
     assert shown(search=" manual") == ["信号", "架線"] and shown(search="a.txt manual") == ["信号"] and shown(search="踏") == ["踏切"]
     assert shown(status="approved") == ["信号"] and shown(status="unreviewed") == ["架線", "踏切"] and shown(status="rejected") == []
     assert shown() == ["信号", "架線", "踏切"] and shown(group="none") == []
+
+
+def test_totals_and_next_unreviewed(spark):
+    from shirabe.operators import extract
+
+    terms = spark.createDataFrame([("信号", 0.9, 3), ("架線", 0.69, 2), ("踏切", 0.7, 2), ("ＡＴＳ", 0.6, 9)], "term string, score double, frequency int")
+    assert extract.aggregate_summary(terms).first().asDict() == {"term_count": 4, "mode": "demo", "review_needed": 2}
+    stored = spark.createDataFrame([("信号", "approved", 1), ("ATS", "rejected", 1), ("架線", "unreviewed", 0)], "normalized_text string, review_status string, review_version int")
+    merged = catalog.with_review_status(terms, stored)
+    assert {r["term"]: r["review_status"] for r in merged.collect()} == {"信号": "approved", "架線": "unreviewed", "踏切": "unreviewed", "ＡＴＳ": "rejected"}
+    assert [r["term"] for r in catalog.next_unreviewed(merged, "信号").collect()] == ["踏切"]
+    assert [r["term"] for r in catalog.next_unreviewed(merged, "踏切").collect()] == ["架線"]

@@ -64,9 +64,46 @@ def chunk_texts(texts: list[str], divisor: int) -> tuple[np.ndarray, np.ndarray,
     return np.searchsorted(ends, last, "right"), hashes.view(np.int64), last + 1 - begin
 
 
-def packed_chunks(texts: list[str], divisor: int) -> list[np.ndarray]:
-    """For each text its distinct chunks as one long each: 48 bits of hash, then 16 bits of length (at most 65,535)."""
+#: Bit of a packed chunk that says that it is a piece of a short text; the 15 bits below are its length.
+FINE = 0x8000
+LENGTH = 0x7FFF
+
+
+def packed_rows(texts: list[str], divisor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, chunk) of the distinct chunks of every text, in order; a chunk is one long: 48 bits of hash, then its length (at most 32,767)."""
     number, hashes, size = chunk_texts(texts, divisor)
-    packed = (hashes & ~np.int64(0xFFFF)) | np.minimum(size, 0xFFFF)
+    return _distinct(number, (hashes & ~np.int64(0xFFFF)) | np.minimum(size, LENGTH))
+
+
+def packed_chunks(texts: list[str], divisor: int) -> list[np.ndarray]:
+    """For each text its distinct chunks, see ``packed_rows``."""
+    number, packed = packed_rows(texts, divisor)
     at = np.searchsorted(number, np.arange(len(texts) + 1))
-    return [np.unique(packed[at[i] : at[i + 1]]) for i in range(len(texts))]
+    return [packed[at[i] : at[i + 1]] for i in range(len(texts))]
+
+
+def packed_pieces(texts: list[str], size: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, piece) of the distinct pieces of ``size`` characters of the texts of at most ``longest``, packed with ``FINE`` and length 1."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    short = np.flatnonzero((lengths >= size) & (lengths <= longest))
+    if not len(short):
+        empty = np.empty(0, np.int64)
+        return empty, empty
+    codes = np.frombuffer("".join(texts[i] for i in short).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    count = lengths[short] - size + 1
+    first = np.cumsum(lengths[short]) - lengths[short]
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    hashes = np.zeros(len(at), np.uint64)
+    for k, weight in enumerate(_powers(ROLL, size)):
+        hashes += codes[at + k] * weight
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX
+    hashes ^= hashes >> np.uint64(32)
+    return _distinct(np.repeat(short, count), (hashes.view(np.int64) & ~np.int64(0xFFFF)) | FINE | 1)
+
+
+def _distinct(number: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((packed, number))
+    number, packed = number[order], packed[order]
+    new = np.ones(len(number), bool)
+    new[1:] = (number[1:] != number[:-1]) | (packed[1:] != packed[:-1])
+    return number[new], packed[new]

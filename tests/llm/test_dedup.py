@@ -1,11 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
-import numpy as np
-
 from shirabe.llm import dedup
 from shirabe.llm.bare import bare_text
-from shirabe.llm.chunks import chunk_texts, packed_chunks
+from shirabe.llm.chunks import FINE, chunk_texts, packed_chunks, packed_pieces
 from shirabe.tables import Workspace
 
 DAY = datetime(2024, 1, 1)
@@ -29,17 +27,13 @@ def test_chunks_are_local_and_whole():
     assert [len(x) for x in packed_chunks([], 8)] == [] and len(packed_chunks([""], 8)[0]) == 0
 
 
-def test_sieves_never_say_too_little():
-    random.seed(8)
-    base = [random.choice(WORDS) for _ in range(400)]
-    for n in (3, 20, 80, 400):
-        a = "".join(base[:n])
-        b = "".join(w if random.random() < 0.9 else random.choice(WORDS) for w in base[:n])
-        x, y = packed_chunks([a, b], 8)
-        shared = sum(c & 0xFFFF for c in set(x.tolist()) & set(y.tolist()))
-        (sx, hidden), (sy, _) = dedup._sieve(x, 16), dedup._sieve(y, 16)
-        bound = hidden + int((np.bitwise_count(sx.view(np.uint64) & sy.view(np.uint64)) * dedup._class_tops(16)).sum())
-        assert shared <= bound
+def test_pieces_of_short_texts():
+    texts = ["", "abcd", "abcde", "abcdeabcde" * 20, "xabcdeabcd", "abcdeabcde"]
+    number, packed = packed_pieces(texts, 5, 128)
+    of = {i: set(packed[number == i].tolist()) for i in set(number.tolist())}
+    assert sorted(of) == [2, 4, 5] and [len(of[i]) for i in (2, 4, 5)] == [1, 6, 5]
+    assert of[2] <= of[4] and of[5] - of[4] == set() and all(c & FINE and c & 0x7FFF == 1 for c in packed.tolist())
+    assert [len(x) for x in packed_pieces([], 5, 128)] == [0, 0]
 
 
 def jaccard(a, b):
@@ -114,6 +108,58 @@ def test_hot_group_in_rounds(spark):
     assert got == want and len(want) > 80
 
 
+def test_short_texts_are_all_found(spark):
+    random.seed(12)
+    texts = []
+    for _ in range(60):
+        words = random.sample(WORDS, random.randint(7, 30))
+        texts.append("".join(words))
+        if random.random() < 0.7:
+            words[random.randrange(len(words))] = random.choice(WORDS)
+            texts.append("".join(words))
+    at = {i: i for i in range(len(texts))}
+    want = expected([(i, at[i], t) for i, t in enumerate(texts)])
+    D = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id bigint, at bigint, text string")
+    history = dedup.ChunkHistory(Workspace(spark, "t"))
+    got = {(r["repeats"], r["doc_id"]) for part in (D.where("at < 50"), D.where("at >= 50")) for r in history.add(part).collect()}
+    assert got == want and len(want) > 15
+
+
+def test_common_text_across_batches(spark):
+    """A third of the rows are half one common text, in both batches; few of them repeat each other."""
+    random.seed(13)
+    common = "".join(random.sample(WORDS, 40))
+    texts = [common + "".join(random.sample(WORDS, 40)) for _ in range(50)]
+    texts += [t[:-6] + "末尾" for t in texts[:8]] + ["".join(random.sample(WORDS, 60)) for _ in range(100)]
+    random.shuffle(texts)
+    docs = [(i, i, t) for i, t in enumerate(texts)]
+    D = spark.createDataFrame(docs, "doc_id bigint, at bigint, text string")
+    for params in (dedup.DedupParams(), dedup.DedupParams(heads=4, hot=10, common_share=0.2)):
+        history = dedup.ChunkHistory(Workspace(spark, "t"), params)
+        got = {(r["repeats"], r["doc_id"]) for part in (D.where("at < 80"), D.where("at >= 80")) for r in history.add(part).collect()}
+        assert got == expected(docs) and len(got) == 8
+
+
+def test_a_later_session_goes_on(spark, tmp_path):
+    random.seed(14)
+    texts = ["".join(random.sample(WORDS, 50)) for _ in range(20)]
+    rows = lambda of, first: spark.createDataFrame([(first + i, first + i, t) for i, t in enumerate(of)], "doc_id bigint, at bigint, text string")
+    folder = f"file://{tmp_path}/history"
+    history = dedup.ChunkHistory(Workspace(spark, "t"), path=folder)
+    assert history.add(rows(texts, 0)).count() == 0
+    history.close()
+    other = spark.newSession()
+    again = dedup.ChunkHistory(Workspace(other, "t"), path=folder)
+    near = texts[3][:70] + "別" + texts[3][71:]
+    got = again.add(rows([texts[7], "".join(random.sample(WORDS, 50)), near, near], 100)).collect()
+    assert {(r["doc_id"], r["repeats"]) for r in got} == {(100, 7), (102, 3), (103, 3)}
+    # What a batch that was broken off has left is not read.
+    third = dedup.ChunkHistory(Workspace(spark, "t"), path=folder)
+    third._store("seen", spark.createDataFrame([(bytearray(b"x" * 16), 5)], "digest binary, rep_id bigint"), "digest", 1)
+    assert {(r["doc_id"], r["repeats"]) for r in third.add(rows([near, texts[0], texts[1]], 200)).collect()} == {(200, 3), (201, 0), (202, 1)}
+    assert [b["number"] for b in third.batches] == [0, 1, 2]
+
+
 def test_empty(spark):
     D = spark.createDataFrame([], "doc_id bigint, extraction_run_id string, text string")
     R = spark.createDataFrame([], "id string, created_at timestamp_ntz")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -127,28 +128,25 @@ def _depths(text: str) -> list[tuple[int, int]]:
     pairs = {"」": "「", "』": "『", "）": "（", ")": "(", "”": "“", "»": "«", "］": "［", "]": "[", "】": "【", "》": "《", "〉": "〈", "｣": "｢"}
     opens = frozenset(pairs.values()) | {"„"}
     stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
     spans: list[tuple[int, int]] = []
     for m in _BRACKET.finditer(text):
         c, at = m.group(), m.start()
-        want = ""
-        if c == '"':
-            want = '"' if any(o == '"' for o, _ in stack) else ""
-            if not want:
-                stack.append((c, at))
-                continue
-        elif c == "“" and any(o == "„" for o, _ in stack):
+        if c == '"' and held['"']:
+            want = '"'
+        elif c == "“" and held["„"] or c == "”" and not held["“"]:
             want = "„"
-        elif c in opens:
+        elif c == '"' or c in opens:
             stack.append((c, at))
+            held[c] += 1
             continue
         else:
             want = pairs[c]
-            if c == "”" and not any(o == "“" for o, _ in stack):
-                want = "„"
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == want:
-                spans.append((stack[k][1], at))
-                del stack[k:]
+        while held[want]:  # those that are left open in between close nothing
+            opened, start = stack.pop()
+            held[opened] -= 1
+            if opened == want:
+                spans.append((start, at))
                 break
     spans.sort()
     out: list[tuple[int, int]] = []
@@ -179,60 +177,131 @@ def _marked_ends(text: str) -> list[tuple[int, float]]:
     return out
 
 
+#: A span pays for its length beyond this, by so much for a character.
+LONG, PER_CHAR = 300, 0.002
+#: What a break inside a line's width and a cut after a full line cost in a document of fixed width.
+SHORT_LINE, FULL_LINE, LIST_MARK = 12.0, 8.0, 9.0
+
+
 def _best_spans(text: str, ends: list[tuple[int, float]], width: int, wide: bool) -> list[tuple[int, int]]:
     """The best row of spans that covers ``text``.
 
     A span earns the score of its end and loses for being a bare list mark,
     very short or very long, and for line breaks that do not fit the document's
     line width. ``ends`` has the possible ends inside ``text`` in order.
+
+    Every span is weighed, none is left out. For spans of more than ``near``
+    characters all that they lose is a sum of a part of their start and a part
+    of their end, so the best start of these is a running maximum; time grows
+    with the number of ends times the ends within ``near`` characters.
     """
     n = len(text)
     points = [0] + [at for at, s in ends if s > WEAKEST and at < n] + [n]
     scores = [0.0] + [s for at, s in ends if s > WEAKEST and at < n] + [0.0]
-    breaks = [i for i, c in enumerate(text) if c == "\n"] if width else []
-    ended = {at for at, s in ends if s >= 3.0 and text[at - 1] != "\n"}
-    # From an end that is certain no earlier start can be better, unless the end only closes a list mark.
-    forced = [bool(i) and not breaks and scores[i] >= FORCED and not _LIST_MARK.fullmatch(text[points[i - 1] : points[i]].strip(BLANK)) for i in range(len(points))]
-    best = [0.0] + [float("-inf")] * (len(points) - 1)
-    back = [0] * len(points)
-    for j in range(1, len(points)):
+    count = len(points)
+    starts, stops = _bare_edges(text, points)
+    near = max(LONG, width + 30)
+    lines = _Lines(text, points, starts, ends, width, wide)
+    best = [0.0] + [float("-inf")] * (count - 1)
+    back = [0] * count
+    ahead = [0.0] * count  # of a start that is far: what its spans earn and lose by it
+    far = broken = 0  # starts before ``far`` are far; those before ``broken`` have a line break between
+    over, over_from = float("-inf"), 0  # the best far start with a line break between
+    same: deque[int] = deque()  # far starts in the same line, best first
+    for j in range(1, count):
+        inside = lines.before[j]
+        tail = lines.tail(j)
         for i in range(j - 1, -1, -1):
-            piece = text[points[i] : points[j]].strip(BLANK)
-            size = len(piece)
+            size = stops[j] - starts[i]
+            if size > near:
+                break
             score = best[i] + scores[j]
-            if size < 8 and (not size or _LIST_MARK.fullmatch(piece)):
-                score -= 9.0
-            elif size > 300:
-                score -= (size - 300) * 0.002
-            if breaks:
-                score += _breaks_fit(text, points[i], points[j], breaks, ended, width, wide)
+            if size < 8 and (size <= 0 or _LIST_MARK.fullmatch(text, starts[i], stops[j])):
+                score -= LIST_MARK
+            elif size > LONG:
+                score -= (size - LONG) * PER_CHAR
+            if lines.breaks:
+                first = lines.first[i]
+                score -= lines.head[i] + lines.sums[inside] - lines.sums[first + 1] + tail if first < inside else lines.end(j, min(starts[i], points[j]))
             if score > best[j]:
                 best[j], back[j] = score, i
-            if forced[i] and size >= 12:
-                break
+        while far < j and stops[j] - starts[far] > near:
+            ahead[far] = best[far] + starts[far] * PER_CHAR
+            while same and ahead[same[-1]] <= ahead[far]:
+                same.pop()
+            same.append(far)
+            far += 1
+        while broken < far and lines.first[broken] < inside:
+            value = ahead[broken] - lines.head[broken] + lines.sums[lines.first[broken] + 1]
+            if value >= over:
+                over, over_from = value, broken
+            broken += 1
+        while same and same[0] < broken:
+            same.popleft()
+        ended = scores[j] - (stops[j] - LONG) * PER_CHAR
+        if same and (score := ahead[same[0]] + ended - lines.end(j, starts[same[0]])) > best[j]:
+            best[j], back[j] = score, same[0]
+        if broken and (score := over + ended - lines.sums[inside] - tail) > best[j]:
+            best[j], back[j] = score, over_from
     out = []
-    j = len(points) - 1
+    j = count - 1
     while j:
         out.append((points[back[j]], points[j]))
         j = back[j]
     return out[::-1]
 
 
-def _breaks_fit(text: str, start: int, end: int, breaks: list[int], ended: set[int], width: int, wide: bool) -> float:
-    """Loss of a span of a fixed-width document for its line breaks, inside and at its end."""
-    while start < end and text[start] in BLANK:
-        start += 1
-    loss = 0.0
-    k = bisect_right(breaks, start - 1)
-    while k < len(breaks) and breaks[k] < end - 1:
-        at = breaks[k]
-        if not _fits(text, start, at, width, wide):
-            loss -= 12.0
-        start = at + 1
-        k += 1
-    if text[end - 1 : end] == "\n" and _fits(text, start, end - 1, width, wide) and end - 1 not in ended:
-        loss -= 8.0
-    return loss
+def _bare_edges(text: str, points: list[int]) -> tuple[list[int], list[int]]:
+    """For each point the first place from it on, and the last place before it, that is no blank."""
+    starts, stops = [len(text)] * len(points), [0] * len(points)
+    for i in range(len(points) - 2, -1, -1):
+        at = points[i]
+        while at < points[i + 1] and text[at] in BLANK:
+            at += 1
+        starts[i] = at if at < points[i + 1] else starts[i + 1]
+    for j in range(1, len(points)):
+        at = points[j]
+        while at > points[j - 1] and text[at - 1] in BLANK:
+            at -= 1
+        stops[j] = at if at > points[j - 1] else stops[j - 1]
+    return starts, stops
+
+
+class _Lines:
+    """What spans lose for line breaks in a document of fixed width; without a width nothing.
+
+    breaks: their places; first: of each point, the first break from its start
+    on; before: how many breaks lie before the last character up to a point;
+    head: the loss of a start whose line ends too early; sums: the running loss of
+    whole lines.
+    """
+
+    def __init__(self, text: str, points: list[int], starts: list[int], ends: list[tuple[int, float]], width: int, wide: bool):
+        self.text, self.points, self.width, self.wide = text, points, width, wide
+        self.breaks = [i for i, c in enumerate(text) if c == "\n"] if width else []
+        breaks, zero = self.breaks, [0.0] * len(points)
+        self.first, self.before, self.head, self.sums = [0] * len(points), [0] * len(points), zero, [0.0] * (len(breaks) + 2)
+        if not breaks:
+            return
+        self.ended = {at for at, s in ends if s >= 3.0 and text[at - 1] != "\n"}
+        self.first = [bisect_left(breaks, at) for at in starts]
+        self.before = [bisect_left(breaks, at - 1) for at in points]
+        lost = lambda start, at: 0.0 if _fits(text, start, at, width, wide) else SHORT_LINE
+        self.head = [lost(at, breaks[k]) if k < len(breaks) else 0.0 for at, k in zip(starts, self.first)]
+        for k in range(1, len(breaks)):
+            self.sums[k + 1] = self.sums[k] + lost(breaks[k - 1] + 1, breaks[k])
+        self.sums[len(breaks) + 1] = self.sums[len(breaks)]
+
+    def end(self, j: int, start: int) -> float:
+        """Loss of a span for ending at a break after a full line that began at ``start``."""
+        at = self.points[j] - 1
+        if not self.breaks or self.text[at] != "\n" or at in self.ended:
+            return 0.0
+        return FULL_LINE if _fits(self.text, start, at, self.width, self.wide) else 0.0
+
+    def tail(self, j: int) -> float:
+        """``end`` of a span that holds the break before its last line."""
+        return self.end(j, self.breaks[self.before[j] - 1] + 1) if self.before[j] else 0.0
 
 
 def _fits(text: str, start: int, at: int, width: int, wide: bool) -> bool:
@@ -269,8 +338,9 @@ def _line_width(blocks: list[str], wide: bool) -> int:
 
 def _sentence_follows(block: str, at: int) -> bool:
     """Whether the line after a break has a sentence mark or is itself broken off late."""
-    line = block[at:].split("\n", 1)[0]
-    return bool(MARKS.search(line)) or len(line) >= 38
+    end = block.find("\n", at)
+    end = len(block) if end < 0 else end
+    return end - at >= 38 or bool(MARKS.search(block[at:end]))
 
 
 def units(text: str | None, documents: bool = True) -> list[tuple[int, int, int]]:
@@ -362,9 +432,11 @@ def _blank_mode(text: str, ends: list[list[tuple[int, float]]]) -> str:
 
 def _blank_ends(body: str, blank: str) -> list[tuple[int, float]]:
     inside = _depths(body)
+    firsts = [a for a, _ in inside]
     out = []
     for m in regex.finditer(r"[\s]+" if blank == " " else "　+", body):
-        if any(a < m.start() < b for a, b in inside) or (blank != " " and _NAME_AFTER.match(body, m.end())):
+        k = bisect_left(firsts, m.start()) - 1
+        if (k >= 0 and m.start() < inside[k][1]) or (blank != " " and _NAME_AFTER.match(body, m.end())):
             continue
         out.append((m.end(), 6.0))
     return out

@@ -159,36 +159,47 @@ def _depths(text: str) -> list[tuple[int, int]]:
 _BRACKET = regex.compile(r"[「」『』（）()“”„\"«»［］\[\]【】《》〈〉｢｣]")
 
 
+class _Quoted:
+    """Which places of a text lie inside its outermost quotations and brackets."""
+
+    def __init__(self, text: str):
+        self.pairs = _depths(text)
+        self.starts = [a for a, _ in self.pairs]
+
+    def holds(self, at: int) -> bool:
+        """Whether a cut at ``at`` would part what opens before it from what closes after it."""
+        k = bisect_left(self.starts, at) - 1
+        return k >= 0 and self.pairs[k][1] >= at
+
+
 def _marked_ends(text: str) -> list[tuple[int, float]]:
     """(position, score) of the possible ends at sentence marks of a block."""
-    found = list(MARKS.finditer(text))
-    if not found:
-        return []
-    inside = _depths(text)
-    starts = [a for a, _ in inside]
-    out = []
-    for m in found:
-        score = _mark_score(text, m)
-        at = m.end()
-        k = bisect_right(starts, at - 1) - 1
-        if k >= 0 and inside[k][1] >= at:
-            score -= 14.0
-        out.append((at, score))
-    return out
+    return [(m.end(), _mark_score(text, m)) for m in MARKS.finditer(text)]
+
+
+def _clear_ends(text: str, ends: list[tuple[int, float]], least: float) -> set[int]:
+    """Those of a block's ends that score so much and lie in no quotation."""
+    found = [at for at, s in ends if s >= least]
+    quoted = _Quoted(text) if found else None
+    return {at for at in found if not quoted.holds(at)}
 
 
 #: A span pays for its length beyond this, by so much for a character.
 LONG, PER_CHAR = 300, 0.002
 #: What a break inside a line's width and a cut after a full line cost in a document of fixed width.
 SHORT_LINE, FULL_LINE, LIST_MARK = 12.0, 8.0, 9.0
+#: What an edge inside a quotation costs the span on either side of it.
+UNBALANCED = 7.0
 
 
 def _best_spans(text: str, ends: list[tuple[int, float]], width: int, wide: bool) -> list[tuple[int, int]]:
     """The best row of spans that covers ``text``.
 
-    A span earns the score of its end and loses for being a bare list mark,
-    very short or very long, and for line breaks that do not fit the document's
-    line width. ``ends`` has the possible ends inside ``text`` in order.
+    A span earns the score of its end, and loses for each of its edges that lies
+    inside a quotation or bracket which it thus does not hold whole, for being a
+    bare list mark, very short or very long, and for line breaks that do not fit
+    the document's line width. ``ends`` has the possible ends inside ``text`` in
+    order.
 
     Every span is weighed, none is left out. For spans of more than ``near``
     characters all that they lose is a sum of a part of their start and a part
@@ -199,9 +210,11 @@ def _best_spans(text: str, ends: list[tuple[int, float]], width: int, wide: bool
     points = [0] + [at for at, s in ends if s > WEAKEST and at < n] + [n]
     scores = [0.0] + [s for at, s in ends if s > WEAKEST and at < n] + [0.0]
     count = len(points)
+    quoted = _Quoted(text)
+    torn = [UNBALANCED if 0 < at < n and quoted.holds(at) else 0.0 for at in points] if quoted.pairs else [0.0] * count
     starts, stops = _bare_edges(text, points)
     near = max(LONG, width + 30)
-    lines = _Lines(text, points, starts, ends, width, wide)
+    lines = _Lines(text, points, starts, ends, quoted, width, wide)
     best = [0.0] + [float("-inf")] * (count - 1)
     back = [0] * count
     ahead = [0.0] * count  # of a start that is far: what its spans earn and lose by it
@@ -215,7 +228,7 @@ def _best_spans(text: str, ends: list[tuple[int, float]], width: int, wide: bool
             size = stops[j] - starts[i]
             if size > near:
                 break
-            score = best[i] + scores[j]
+            score = best[i] - torn[i] + scores[j] - torn[j]
             if size < 8 and (size <= 0 or _LIST_MARK.fullmatch(text, starts[i], stops[j])):
                 score -= LIST_MARK
             elif size > LONG:
@@ -226,7 +239,7 @@ def _best_spans(text: str, ends: list[tuple[int, float]], width: int, wide: bool
             if score > best[j]:
                 best[j], back[j] = score, i
         while far < j and stops[j] - starts[far] > near:
-            ahead[far] = best[far] + starts[far] * PER_CHAR
+            ahead[far] = best[far] - torn[far] + starts[far] * PER_CHAR
             while same and ahead[same[-1]] <= ahead[far]:
                 same.pop()
             same.append(far)
@@ -238,7 +251,7 @@ def _best_spans(text: str, ends: list[tuple[int, float]], width: int, wide: bool
             broken += 1
         while same and same[0] < broken:
             same.popleft()
-        ended = scores[j] - (stops[j] - LONG) * PER_CHAR
+        ended = scores[j] - torn[j] - (stops[j] - LONG) * PER_CHAR
         if same and (score := ahead[same[0]] + ended - lines.end(j, starts[same[0]])) > best[j]:
             best[j], back[j] = score, same[0]
         if broken and (score := over + ended - lines.sums[inside] - tail) > best[j]:
@@ -276,14 +289,14 @@ class _Lines:
     whole lines.
     """
 
-    def __init__(self, text: str, points: list[int], starts: list[int], ends: list[tuple[int, float]], width: int, wide: bool):
+    def __init__(self, text: str, points: list[int], starts: list[int], ends: list[tuple[int, float]], quoted: _Quoted, width: int, wide: bool):
         self.text, self.points, self.width, self.wide = text, points, width, wide
         self.breaks = [i for i, c in enumerate(text) if c == "\n"] if width else []
         breaks, zero = self.breaks, [0.0] * len(points)
         self.first, self.before, self.head, self.sums = [0] * len(points), [0] * len(points), zero, [0.0] * (len(breaks) + 2)
         if not breaks:
             return
-        self.ended = {at for at, s in ends if s >= 3.0 and text[at - 1] != "\n"}
+        self.ended = {at for at, s in ends if s >= 3.0 and text[at - 1] != "\n" and not quoted.holds(at)}
         self.first = [bisect_left(breaks, at) for at in starts]
         self.before = [bisect_left(breaks, at - 1) for at in points]
         lost = lambda start, at: 0.0 if _fits(text, start, at, width, wide) else SHORT_LINE
@@ -321,7 +334,7 @@ def _line_width(blocks: list[str], wide: bool) -> int:
     broken: list[int] = []
     longest = 0
     for block in blocks:
-        ends = {at for at, s in _marked_ends(block) if s >= 2.0}
+        ends = _clear_ends(block, _marked_ends(block), 2.0)
         cuts = sorted({*ends, *[i + 1 for i, c in enumerate(block) if c == "\n"], len(block)})
         start = 0
         for cut in cuts:
@@ -380,7 +393,7 @@ def units(text: str | None, documents: bool = True) -> list[tuple[int, int, int]
     blocks = _blocks(lines) if width else [[(a, b, page)] for block in _blocks(lines) for a, b, page in block]
     bodies = ["\n".join(text[a:b] for a, b, _ in block) for block in blocks]
     ends = [_marked_ends(body) for body in bodies]
-    blanks = _blank_mode(text, ends)
+    blanks = _blank_mode(text, bodies, ends)
     out: list[tuple[int, int, int]] = []
     for block, body, found in zip(blocks, bodies, ends):
         if blanks:
@@ -421,9 +434,9 @@ def _blocks(lines: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def _blank_mode(text: str, ends: list[list[tuple[int, float]]]) -> str:
+def _blank_mode(text: str, bodies: list[str], ends: list[list[tuple[int, float]]]) -> str:
     """The blank that ends units in a text without sentence marks: '' for none."""
-    if any(s >= 3.0 for found in ends for _, s in found):
+    if any(found and _clear_ends(body, found, 3.0) for body, found in zip(bodies, ends)):
         return ""
     if THAI.search(text):
         return " "

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,3 +76,58 @@ def test_tables(spark):
     got = {tuple(r) for r in s.sentence_units(docs, occ).collect()}
     assert got == {("d", 0, 0, 2), ("d", 0, 2, 4), ("o", 3, 0, 2), ("p", 0, 1, 2), ("p", 0, 3, 4)}
     assert s.sentence_units(docs.limit(0), occ.limit(0)).count() == 0
+
+
+def slow_spans(text, ends, width, wide):
+    """The best spans by weighing each of them on its own."""
+    points = [0] + [at for at, x in ends if x > s.WEAKEST and at < len(text)] + [len(text)]
+    scores = dict(ends) | {len(text): 0.0}
+    quoted = s._Quoted(text)
+    breaks = [i for i, c in enumerate(text) if c == "\n"] if width else []
+    ended = {at for at, x in ends if x >= 3.0 and text[at - 1] != "\n" and not quoted.holds(at)}
+
+    def worth(low, high):
+        piece = text[low:high].strip(s.BLANK)
+        score = scores[high] - sum(s.UNBALANCED for at in (low, high) if 0 < at < len(text) and quoted.holds(at))
+        if len(piece) < 8 and (not piece or s._LIST_MARK.fullmatch(piece)):
+            score -= s.LIST_MARK
+        elif len(piece) > s.LONG:
+            score -= (len(piece) - s.LONG) * s.PER_CHAR
+        if not breaks:
+            return score
+        start = low + len(text[low:high]) - len(text[low:high].lstrip(s.BLANK))
+        for at in (b for b in breaks if start <= b < high - 1):
+            score -= 0.0 if s._fits(text, start, at, width, wide) else s.SHORT_LINE
+            start = at + 1
+        if text[high - 1] == "\n" and high - 1 not in ended and s._fits(text, start, high - 1, width, wide):
+            score -= s.FULL_LINE
+        return score
+
+    best = {0: 0.0}
+    for j in range(1, len(points)):
+        best[points[j]] = max(best[i] + worth(i, points[j]) for i in points[:j])
+    return best[len(text)], worth
+
+
+def test_every_span_is_weighed():
+    random.seed(4)
+    parts = ["あいうえおかきくけこ", "。", "\n", "「", "」", "(1) ", "第三条 ", "線路" * 45, "！", "\n\n"]
+    for k in range(150):
+        text = "".join(random.choice(parts) for _ in range(random.randint(2, 60))).strip() or "x"
+        width = random.choice([0, 10, 24])
+        ends = sorted(dict(s._marked_ends(text) + [(i + 1, 4.0) for i, c in enumerate(text) if c == "\n"]).items())
+        spans = s._best_spans(text, ends, width, True)
+        most, worth = slow_spans(text, ends, width, True)
+        assert [a for a, _ in spans] + [len(text)] == [0] + [b for _, b in spans]
+        assert abs(sum(worth(a, b) for a, b in spans) - most) < 1e-6
+
+
+def test_long_texts_take_time_by_their_length():
+    random.seed(5)
+    body = "".join(random.choice(["列車は駅を出発した。", "信号を確認し、進路を開通させること。", "「止めろ。動くな。」と述べた。"]) for _ in range(30000))
+    fixed = "\n".join(body[i : i + 40] for i in range(0, len(body), 40))
+    begun = time.process_time()
+    assert len(s.units(fixed)) > 20000
+    for text in ("あ。" * 100000, "abc\n" * 50000, "(" * 100000 + '"a" ' * 20000, "「あ。" * 30000, "ไทย " * 50000):
+        s.units(text)
+    assert time.process_time() - begun < 30

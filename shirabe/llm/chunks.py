@@ -21,11 +21,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def chunk_texts(texts: list[str], divisor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, chunk hash, chunk length in characters) of every chunk.
+    """(text number, chunk hash, chunk length in characters) of every chunk, of ``divisor`` characters in the mean.
 
     A boundary follows each window of ``WINDOW`` characters whose rolling hash
-    is 0 modulo ``divisor``, so boundaries depend on nearby characters alone
-    and return to step after an edit. A chunk longer than ``LONGEST * divisor``
+    is the greatest of those up to ``divisor // 2`` places before and behind it,
+    so boundaries depend on nearby characters alone and return to step after an
+    edit, and chunks are of like length. A chunk longer than ``LONGEST * divisor``
     is cut at multiples of that from its start, so that an edit costs no more
     than what follows it up to the next boundary. Every text also ends with a boundary;
     empty texts have no chunks.
@@ -41,11 +42,17 @@ def chunk_texts(texts: list[str], divisor: int) -> tuple[np.ndarray, np.ndarray,
     for k, weight in enumerate(_powers(ROLL, min(WINDOW, n))):
         rolled[WINDOW - 1 :] += codes[WINDOW - 1 - k : n - k] * weight
     rolled = (rolled ^ (rolled >> np.uint64(29))) * MIX
-    cut = (rolled >> np.uint64(33)) % np.uint64(divisor) == 0
+    rolled = (rolled >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
     starts = ends - lengths
     for k in range(WINDOW - 1):  # no window reaches back into the text before
         inside = starts + k < ends
-        cut[(starts + k)[inside]] = False
+        rolled[(starts + k)[inside]] = 0
+    cut = rolled > 0
+    place = np.arange(n)
+    behind, ahead = place - np.repeat(starts, lengths), np.repeat(ends, lengths) - 1 - place
+    for k in range(1, min(divisor // 2, n - 1) + 1):
+        cut[k:] &= (rolled[k:] > rolled[:-k]) | (behind[k:] < k)
+        cut[:-k] &= (rolled[:-k] >= rolled[k:]) | (ahead[:-k] < k)
     cut[ends[lengths > 0] - 1] = True
     last = np.flatnonzero(cut)
     begin = np.empty_like(last)

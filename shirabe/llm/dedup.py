@@ -37,10 +37,10 @@ class DedupParams:
 
     similarity: float = 0.6
     piece: int = 5
-    divisor: int = 8
+    divisor: int = 11
     coverage: float = 0.45
     short: int = 128
-    margin: float = 0.06
+    margin: float = 0.03
     heads: int = 64
     hot: int = 100_000
     common_share: float = 0.001
@@ -152,7 +152,7 @@ class ChunkHistory:
 
     def _table(self, name: str, columns: str, by: str) -> str:
         table = f"shirabe_{name}_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {table} ({columns}, mark bigint) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        self.spark.sql(f"CREATE TABLE {table} ({columns}, mark bigint) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
         return table
 
     def close(self) -> None:
@@ -277,19 +277,20 @@ class ChunkHistory:
         sizes = sizes.join(beside, ["doc_id", "fine"], "left").select("doc_id", "at", "fine", "whole", F.coalesce("beside", F.lit(0)).alias("beside"))
         # Where these alone could make up enough, they are taken like all others.
         sizes = ws.write(sizes.withColumn("full", F.col("beside") >= F.col("whole") * least(p.margin)), "sizes")
-        common = rows.join(F.broadcast(top.select("chunk")), "chunk", "left_anti").join(counts.where(F.col("n") <= often) if bounded else counts, "chunk")
+        common = rows.join(F.broadcast(top.select("chunk")), "chunk", "left_anti").join((counts.where(F.col("n") <= often) if bounded else counts).hint("shuffle_hash"), "chunk")
         full = self._small(sizes.where("full").select("doc_id").distinct())
         common = common.select("chunk", "doc_id", "n").unionByName(rows.join(full, "doc_id", "left_semi").join(F.broadcast(top), "chunk").select("chunk", "doc_id", "n"))
-        common = common.select("chunk", "doc_id", "n", fine.alias("fine")).join(sizes.withColumn("beside", F.when(F.col("full"), 0).otherwise(F.col("beside"))), ["doc_id", "fine"])
-        # A document that is full in its chunks need not be so in its pieces.
-        common = common.where(F.col("full") | (F.col("n") <= often)) if bounded else common
+        # The sums come before the sizes, so that one shuffle and one sort by document serve both.
         commonest = Window.partitionBy("doc_id", "fine").orderBy(F.desc("n"), F.desc("chunk"))
-        summed = common.select(
-            "*",
-            (F.col("beside") + F.sum(weight).over(commonest.rowsBetween(Window.unboundedPreceding, 0))).alias("so_far"),
-            (F.col("beside") + F.sum(weight).over(commonest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("total"),
-        )
-        kept = summed.where((F.col("total") >= F.col("whole") * least(0.0)) & (F.col("so_far") >= F.col("whole") * least(p.margin)))
+        upward, through = commonest.rowsBetween(Window.unboundedPreceding, 0), commonest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rare = F.when(F.col("n") <= often, weight).otherwise(0) if bounded else weight
+        common = common.select("chunk", "doc_id", "n", fine.alias("fine"))
+        summed = common.select("*", F.sum(weight).over(upward).alias("so_far"), F.sum(rare).over(upward).alias("rare_so_far"), F.sum(rare).over(through).alias("rare_total"))
+        sized = summed.join(sizes.hint("shuffle_hash"), ["doc_id", "fine"])
+        # A document that is full in its chunks need not be so in its pieces.
+        so_far = F.when(F.col("full"), F.col("so_far")).otherwise(F.col("beside") + F.col("rare_so_far"))
+        sized = sized.where(F.col("full") | (F.col("n") <= often)) if bounded else sized
+        kept = sized.where((F.col("beside") + F.col("rare_total") >= F.col("whole") * least(0.0)) & (so_far >= F.col("whole") * least(p.margin)))
         return kept.select("chunk", "doc_id", "at", "whole", "n")
 
     def _likely(self, joined: DataFrame) -> DataFrame:
@@ -312,7 +313,7 @@ class ChunkHistory:
             return self.workspace.write(self.spark.createDataFrame([], partner), "found")
         past = past.select("chunk", F.col("doc_id").alias("a_doc_id"))
         columns = ["chunk", "doc_id", "a_doc_id", "whole", F.lit(False).alias("partial")]
-        joined = keys.where(F.col("n") <= self.params.hot).join(past, "chunk").select(*columns)
+        joined = past.join(keys.where(F.col("n") <= self.params.hot).hint("shuffle_hash"), "chunk").select(*columns)
         hot = keys.where(F.col("n") > self.params.hot)
         if not hot.isEmpty():
             wanted = past.join(hot.select("chunk").distinct(), "chunk", "left_semi").repartition("a_doc_id")
@@ -336,33 +337,43 @@ class ChunkHistory:
         keys = ws.write(keys.join(self._small(found.select("doc_id")), "doc_id", "left_anti"), "open-keys")
         crowded = keys.where(F.col("n") > p.heads).groupBy("chunk").agg(F.count("*").alias("m")).where(F.col("m") > p.heads).select("chunk")
         crowded = ws.write(crowded, "crowded")
-        done = crowded.isEmpty()
-        keys = keys.withColumn("partial", F.lit(False)) if done else ws.write(keys.join(self._small(crowded).withColumn("_c", F.lit(True)), "chunk", "left").withColumn("partial", F.coalesce("_c", F.lit(False))).drop("_c"), "marked-keys")
+        columns = ["chunk", "doc_id", "a_doc_id", "whole"]
+        named = lambda rows: rows.select("chunk", F.col("doc_id").alias("a_doc_id"), F.col("at").alias("a_at"))
+        earlier = _order("a_") < _order()
+        if crowded.isEmpty():
+            joined = keys.join(named(keys).hint("shuffle_hash"), "chunk").where(earlier).select(*columns, F.lit(False).alias("partial"))
+            links = ws.write(self._similar(self._likely(joined), docs, docs), "links")
+            linked = links.select("doc_id").union(links.select("a_doc_id")).distinct()
+            return self._repelled(found, links, self._decide(ws.write(linked, "linked"), links, None))
+        keys = ws.write(keys.join(self._small(crowded).withColumn("_c", F.lit(True)), "chunk", "left").withColumn("partial", F.coalesce("_c", F.lit(False))).drop("_c"), "marked-keys")
         totals = ws.write(keys.groupBy("doc_id").agg(F.count_if("partial").alias("n_long")), "key-counts")
-        long = keys.where("partial")
-        repelled, decided, links, lists = found, None, None, keys
+        long, short = keys.where("partial"), keys.where("NOT partial")
+        repelled, decided, links = found, None, None
         while True:
-            waiting = lists if decided is None else lists.join(decided, "doc_id", "left_anti")
+            waiting = long if decided is None else long.join(decided, "doc_id", "left_anti")
             rank = F.row_number().over(Window.partitionBy("chunk").orderBy("at", "doc_id"))
-            heads = waiting.withColumn("rank", rank).where(F.col("rank") <= p.heads).select("chunk", F.col("doc_id").alias("a_doc_id"), F.col("at").alias("a_at"), F.col("partial").alias("a_partial"))
-            heads = ws.write(heads, "heads")
-            if heads.isEmpty():
+            heads = ws.write(named(waiting.withColumn("rank", rank).where(F.col("rank") <= p.heads)), "heads")
+            if decided is not None and heads.isEmpty():
                 return repelled
-            full = heads.where("a_partial").groupBy(F.col("a_doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
+            full = heads.groupBy(F.col("a_doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
             ready = totals.join(full, "doc_id", "left").where("n_long = coalesce(n, 0)").select("doc_id")
-            later = lists if decided is None else lists.join(decided.where("accepted"), "doc_id", "left_anti")
-            likely = self._likely(later.join(heads, "chunk").where(_order("a_") < _order()).select("chunk", "doc_id", "a_doc_id", "whole", "partial"))
+            later = long if decided is None else long.join(decided.where("accepted"), "doc_id", "left_anti")
+            joined = later.join(heads, "chunk").where(earlier).select(*columns, "partial")
+            if decided is None:
+                joined = joined.unionByName(short.join(named(short), "chunk").where(earlier).select(*columns, "partial"))
+            likely = self._likely(joined)
             if links is not None:
                 likely = likely.join(links.select("doc_id", "a_doc_id"), ["doc_id", "a_doc_id"], "left_anti")
             fresh = self._similar(likely, docs, docs)
             links = ws.write(fresh if links is None else links.unionByName(fresh), "links")
             ready = ws.write(ready if decided is None else ready.join(decided, "doc_id", "left_anti"), "ready")
             decided = self._decide(ready, links, decided)
-            judged = links.join(decided.where("accepted").select(F.col("doc_id").alias("a_doc_id")), "a_doc_id", "left_semi").groupBy("doc_id").agg(F.min(_order("a_")).alias("partner"))
-            repelled = ws.write(found.unionByName(judged), "repelled")
-            if done:
-                return repelled
-            lists = long
+            repelled = self._repelled(found, links, decided)
+
+    def _repelled(self, found: DataFrame, links: DataFrame, decided: DataFrame) -> DataFrame:
+        """``found`` and the documents that repeat one accepted, each with the first that it repeats."""
+        judged = links.join(decided.where("accepted").select(F.col("doc_id").alias("a_doc_id")), "a_doc_id", "left_semi").groupBy("doc_id").agg(F.min(_order("a_")).alias("partner"))
+        return self.workspace.write(found.unionByName(judged), "repelled")
 
     def _decide(self, ready: DataFrame, links: DataFrame, decided: DataFrame | None) -> DataFrame:
         """Accepts ready documents whose earlier partners are all refused, and refuses what repeats an accepted one, until nothing changes."""

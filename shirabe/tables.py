@@ -15,6 +15,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor reaches, from ``spark.checkpoint.dir``.
 
@@ -53,14 +59,11 @@ class Workspace:
         self.count = 0
         atexit.register(self._remove, self.root)
 
-    def write(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes ``df`` and returns a DataFrame over what was written."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shirabe_path = path
         return out

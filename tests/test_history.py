@@ -71,3 +71,30 @@ def test_only_differing_leaves_are_looked_at(spark):
     a, b = store.tree(store._rows(rows)), store.tree(store._rows(changed))
     assert store.changed_leaves(a, b).count() == 1
     assert store.changed_leaves(a, a).count() == 0
+
+
+def test_a_later_session_goes_on(spark, tmp_path):
+    folder = f"file://{tmp_path}/history"
+    make = lambda session, d: session.createDataFrame(list(d.items()), "k string, v string")
+    first = {f"k{i}": str(i % 3) for i in range(3000)}
+    store = history.SnapshotHistory(Workspace(spark, "t"), ["k"], ["v"], path=folder, leaf_rows=8)
+    assert store.append(make(spark, first)).count() == 3000 and store.fanout**store.depth > 300
+    other = spark.newSession()
+    again = history.SnapshotHistory(Workspace(other, "t"), ["k"], ["v"], path=folder)
+    assert (again.snapshots, again.depth) == (1, store.depth)
+    second = first | {"k7": "x", "new": "y"}
+    del second["k9"]
+    assert {tuple(r) for r in again.append(make(other, second)).select("k", "v", "snapshot", "gone").collect()} == {("k7", "x", 2, False), ("new", "y", 2, False), ("k9", "0", 2, True)}
+    assert {(r["k"], r["v"]) for r in again.current().collect()} == set(second.items())
+
+
+def test_equal_terms_keep_the_periods_appended_before(spark):
+    """Only terms whose rows changed are worked on again."""
+    rows = [(i, f"t{i}", "unreviewed", "approved", 1, DAY, 0) for i in range(40)] + [(90, "t3", "approved", "rejected", 2, DAY + timedelta(1), 0)]
+    store = history.SnapshotHistory(Workspace(spark, "t"), ["term_id", "review_version"], ["created_at", "previous_status", "new_status"], entity=["term_id"], leaf_rows=2)
+    for n, cut in ((40, 40), (1, 41)):
+        store.append(history.holding_rows(spark.createDataFrame(rows[:cut], SCHEMA)))
+        changed, of_them = store.changed_entities()
+        assert changed.count() == n and of_them.count() == (40 if cut == 40 else 2)
+    got = {tuple(r) for r in history.status_history(spark.createDataFrame(rows, SCHEMA), Workspace(spark, "t"), 2).collect()}
+    assert got == expected(rows)

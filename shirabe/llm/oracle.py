@@ -5,11 +5,12 @@ from __future__ import annotations
 from shirabe.oracle import nfkc
 
 _FREQUENCIES = f"""
-cand AS (SELECT DISTINCT id, extraction_run_id, term_id, coalesce(frequency, 1) AS n FROM term_candidates),
+numbered AS (SELECT id, extraction_run_id, term_id, coalesce(frequency, 1) AS n, row_number() OVER (PARTITION BY id ORDER BY extraction_run_id, term_id, frequency) AS k FROM term_candidates),
+cand AS (SELECT * FROM numbered WHERE k = 1 AND id IS NOT NULL),
 named AS (SELECT id AS term_id, regexp_replace({nfkc("normalized_text")}, '^\\s+|\\s+$', '', 'g') AS term_value FROM terms WHERE normalized_text IS NOT NULL),
 total AS (SELECT count(DISTINCT extraction_run_id) AS runs FROM term_candidates),
-f AS (SELECT term_value, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS total_frequency, count(DISTINCT c.extraction_run_id) AS n_runs FROM named v LEFT JOIN cand c ON c.term_id = v.term_id GROUP BY term_value),
-m AS (SELECT term_value, total_frequency, n_runs, CASE WHEN total_frequency <= 2 THEN 'rare' WHEN n_runs > runs / 2.0 THEN 'common' END AS mark FROM f, total)"""
+f AS (SELECT term_value, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS total_frequency, count(DISTINCT c.extraction_run_id) AS n_runs, count(c.id) AS n_rows FROM named v LEFT JOIN cand c ON c.term_id = v.term_id GROUP BY term_value),
+m AS (SELECT term_value, total_frequency, n_runs, CASE WHEN n_rows = 0 THEN NULL WHEN total_frequency <= 2 THEN 'rare' WHEN n_runs > runs / 2.0 THEN 'common' END AS mark FROM f, total)"""
 
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_FREQUENCIES} SELECT term_value, mark FROM m WHERE mark IS NOT NULL",

@@ -24,9 +24,16 @@ def test_against_plain_python(spark):
                 runs[values[term]].add(run)
     all_runs = {r[1] for r in rows if r[1] is not None}
     got = {r["term_value"]: (r["total_frequency"], r["n_runs"], r["mark"]) for r in t.term_frequencies(spark.createDataFrame(rows, CAND), spark.createDataFrame(terms, TERM)).collect()}
-    mark = lambda v: "rare" if total[v] <= 2 else "common" if len(runs[v]) > len(all_runs) / 2 else None
+    used = {values[r[2]] for r in rows if r[2] in values}
+    mark = lambda v: None if v not in used else "rare" if total[v] <= 2 else "common" if len(runs[v]) > len(all_runs) / 2 else None
     assert got == {v: (total[v], len(runs[v]), mark(v)) for v in total}
-    assert got["孤立"] == (0, 0, "rare") and "common" in {x[2] for x in got.values()}
+    assert got["孤立"] == (0, 0, None) and "common" in {x[2] for x in got.values()}
+
+
+def test_one_id_counts_once(spark):
+    rows = [("a", "r1", "t", 5, 0), ("a", "r1", "t", 2, 0), ("a", "r2", "t", 1, 0), (None, "r1", "t", 1, 0), (None, "r1", "t", 1, 0), (None, "r3", "t", None, 0), ("z", "r9", "u", 0, 0)]
+    got = {tuple(r) for r in t.term_frequencies(spark.createDataFrame(rows, CAND), spark.createDataFrame([("t", "語", 1), ("u", "無", 1)], TERM)).collect()}
+    assert got == {("語", 4, 2, None), ("無", 0, 1, "rare")}
 
 
 def test_empty(spark):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.functions.normalize import nfkc_strip
-from shirabe.tables import ensure_checkpoints
+from shirabe.tables import Workspace
 
 STATUSES = ("approved", "rejected", "uncertain")
 #: Reviewer tables up to this many rows (about 150 bytes each) are broadcast; larger ones are joined by shuffle.
@@ -36,71 +37,77 @@ def latest_labels(history: DataFrame, classes: tuple[str, ...] = STATUSES) -> Da
 
 @dataclass
 class Consensus:
-    """terms: consensus and agreement; reviewers: reliability estimates; rounds: iterations used."""
+    """terms: consensus, agreement and whether its beliefs came to rest; reviewers: reliability estimates; rounds: iterations used; converged: whether all came to rest."""
 
     terms: DataFrame
     reviewers: DataFrame
     rounds: int
+    converged: bool
 
 
-def _soft(scores: list[Column]) -> list[Column]:
-    """Beliefs of the classes from their log scores."""
-    top = F.greatest(*scores)
-    parts = [F.exp(s - top) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _belief(score: Column) -> Column:
+    """How likely a class is against the rest, from its log odds."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
 
-def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_count: float = 4.0, wrong_count: float = 1.0, tolerance: float = 5e-3, most_rounds: int = 40) -> Consensus:
+def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_count: float = 4.0, wrong_count: float = 1.0, tolerance: float = 5e-3, most_rounds: int = 100) -> Consensus:
     """Bipartite message passing over the label edges, one class against the rest.
 
-    An edge joins a term and a reviewer and carries the label. The message from
-    the term says, for each class, how far the other reviewers' messages speak
-    for that class against the rest; the message from the reviewer says how far
-    this label speaks for the class, given how the reviewer labels all other
-    terms of that class. Both leave out what came over the edge itself. Messages
-    go back and forth until no belief moves by more than ``tolerance``.
-
-    A round costs one aggregation by reviewer and one by term, both with
-    map-side partial sums, so neither a busy reviewer nor a busy term gathers in
-    one task. No labels: both results are empty. A term with one label gets that
-    label's most likely class. Ties go to the class named first.
-    ``right_count`` and ``wrong_count`` are the labels that every reviewer is
-    taken to have given rightly and to each wrong class beforehand.
+    An edge joins a term and a reviewer and carries the label. For each class
+    there is a problem of its own, with two answers: the label names the class or
+    it does not. The message from the term says how likely the class is, by the
+    other reviewers' messages; the message from the reviewer says how far this
+    answer speaks for the class against the rest, given how often the reviewer
+    names the class on all other terms where it holds and where it does not. Both
+    leave out what came over the edge itself. Messages go back and forth until no
+    belief moves by more than ``tolerance``. The consensus is the class whose odds
+    against the rest are best.
+
+    A term's ``converged`` is false where a belief still moved by more in the last
+    of ``most_rounds`` rounds. A round costs one aggregation by reviewer and one by
+    term, both with map-side partial sums, so neither a busy reviewer nor a busy
+    term gathers in one task; only the last round's edges are kept. No labels: both
+    results are empty. A term with one label gets that label's most likely class.
+    Ties go to the class named first. ``right_count`` and ``wrong_count`` are the
+    labels that every reviewer is taken to have given rightly and to each wrong
+    class beforehand.
     """
     spark = labels.sparkSession
-    labels = labels.select("term_id", "reviewer", "label")
-    ensure_checkpoints(spark)
+    ws = Workspace(spark, "consensus")
+    labels = labels.select("term_id", "reviewer", F.col("label").cast("int").alias("label"))
     k = range(len(classes))
-    habit = [[right_count if c == x else wrong_count for x in k] for c in k]
     own = [(F.col("label") == c).cast("double") for c in k]
-    degree = labels.groupBy("term_id").agg(F.count("*").alias("degree"), *[F.sum(own[c]).alias(f"n{c}") for c in k])
+    whole = right_count + wrong_count * (len(classes) - 1)
+    habit = (right_count / whole, wrong_count / whole, whole)
+    degree = ws.write(labels.groupBy("term_id").agg(F.count("*").alias("degree"), *[F.sum(own[c]).alias(f"n{c}") for c in k]), "degree")
     first = [(F.col(f"n{c}") - own[c] + 1 / len(classes)) / F.col("degree") for c in k]
-    edges = labels.join(degree, "term_id").select("term_id", "reviewer", "label", "degree", *[first[c].alias(f"p{c}") for c in k]).checkpoint()
+    edges = ws.write(labels.join(degree, "term_id").select("term_id", "reviewer", "label", "degree", *[first[c].alias(f"p{c}") for c in k]), "edges")
     few = edges.select("reviewer").distinct().count() <= BROADCAST_REVIEWERS
     prior = _prior(edges, classes)
-    rounds = 0
-    for rounds in range(1, most_rounds + 1):
+    rounds, change = 0, float("inf")
+    while change > tolerance and rounds < most_rounds:
+        rounds += 1
         spoken = _spoken(edges, classes, habit, few)
-        new = _soft([F.col(f"t{c}") - F.col(f"w{c}") for c in k])
-        moved = spoken.join(_heard(spoken, classes, prior), "term_id").select("term_id", "reviewer", "label", "degree", *[F.col(f"p{c}").alias(f"o{c}") for c in k], *[new[c].alias(f"p{c}") for c in k])
-        change = F.greatest(*[F.abs(F.col(f"p{c}") - F.col(f"o{c}")) for c in k])
-        edges = moved.select("term_id", "reviewer", "label", "degree", *[f"p{c}" for c in k], change.alias("change")).checkpoint()
+        moved = spoken.join(_heard(spoken, classes, prior), "term_id")
+        new = [_belief(F.col(f"t{c}") - F.col(f"w{c}")) for c in k]
+        most = F.greatest(*[F.abs(new[c] - F.col(f"p{c}")) for c in k])
+        before, edges = edges, ws.write(moved.select("term_id", "reviewer", "label", "degree", *[new[c].alias(f"p{c}") for c in k], most.alias("change")), "edges")
+        ws.drop(before)
         prior = _prior(edges, classes)
-        if (edges.agg(F.max("change")).first()[0] or 0.0) <= tolerance:
-            break
+        change = edges.agg(F.max("change")).first()[0] or 0.0
     spoken = _spoken(edges, classes, habit, few)
-    beliefs = _soft([F.col(f"t{c}") for c in k])
-    judged = _heard(spoken, classes, prior).select("term_id", *[beliefs[c].alias(f"b{c}") for c in k])
-    best = F.greatest(*[F.col(f"b{c}") for c in k])
-    status = F.coalesce(*[F.when(F.col(f"b{c}") == best, classes[c]) for c in k])
+    still = edges.groupBy("term_id").agg((F.max("change") <= tolerance).alias("converged"))
+    judged = _heard(spoken, classes, prior).join(still, "term_id")
+    best = F.greatest(*[F.col(f"t{c}") for c in k])
+    status = F.coalesce(*[F.when(F.col(f"t{c}") == best, classes[c]) for c in k])
     pairs = sum([F.col(f"n{c}") * (F.col(f"n{c}") - 1) for c in k], F.lit(0.0))
     terms = judged.join(degree, "term_id").select(
         "term_id",
         status.alias("consensus_status"),
-        best.alias("confidence"),
+        _belief(best).alias("confidence"),
         F.col("degree").cast("int").alias("n_reviewers"),
         F.when(F.col("degree") > 1, pairs / (F.col("degree") * (F.col("degree") - 1))).alias("agreement"),
+        "converged",
     )
     right = F.element_at(F.array(*[F.col(f"p{c}") for c in k]), F.col("label") + 1)
     reviewers = edges.groupBy("reviewer").agg(
@@ -108,29 +115,37 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_coun
         F.avg(right).alias("reliability"),
         *[(F.sum(F.col(f"p{c}") * own[c]) / F.sum(f"p{c}")).alias(f"recall_{classes[c]}") for c in k],
     )
-    return Consensus(terms, reviewers, rounds)
+    return Consensus(terms, reviewers, rounds, change <= tolerance)
 
 
 def _prior(edges: DataFrame, classes: tuple[str, ...]) -> list[float]:
-    """Share of each class over terms, each term's edges weighing one together."""
-    row = edges.agg(*[F.sum(F.col(f"p{c}") / F.col("degree")) for c in range(len(classes))]).first()
-    total = sum(x or 0.0 for x in row)
-    return [max((x or 0.0) / total, 1e-6) if total else 1 / len(classes) for x in row]
+    """Share of the terms that each class has, each term's edges weighing one together."""
+    row = edges.agg(*[F.sum(F.col(f"p{c}") / F.col("degree")) for c in range(len(classes))], F.sum(F.lit(1.0) / F.col("degree"))).first()
+    return [min(max((x or 0.0) / row[-1], 1e-6), 1 - 1e-6) if row[-1] else 1 / len(classes) for x in row[:-1]]
 
 
-def _spoken(edges: DataFrame, classes: tuple[str, ...], habit: list[list[float]], few: bool) -> DataFrame:
-    """Edges with the reviewers' messages w: the log likelihood of the label under each class."""
+def _spoken(edges: DataFrame, classes: tuple[str, ...], habit: tuple[float, float, float], few: bool) -> DataFrame:
+    """Edges with the reviewers' messages w: for each class the log of how much likelier the answer is where the class holds than where it does not."""
     k = range(len(classes))
-    habits = edges.groupBy("reviewer").agg(*[F.sum(F.when(F.col("label") == x, F.col(f"p{c}")).otherwise(0.0)).alias(f"h{c}_{x}") for c in k for x in k])
-    joined = edges.join(F.broadcast(habits) if few else habits, "reviewer")
-    said = [F.element_at(F.array(*[F.col(f"h{c}_{x}") + habit[c][x] for x in k]), F.col("label") + 1) for c in k]
-    whole = [sum([F.col(f"h{c}_{x}") for x in k], F.lit(sum(habit[c]))) for c in k]
-    logs = [F.log((said[c] - F.col(f"p{c}")) / (whole[c] - F.col(f"p{c}"))) for c in k]
-    return joined.select("term_id", "reviewer", "label", "degree", *[f"p{c}" for c in k], *[logs[c].alias(f"w{c}") for c in k])
+    hit, slip, weight = habit
+    names = [(F.col("label") == c) for c in k]
+    held = edges.groupBy("reviewer").agg(
+        F.count("*").cast("double").alias("m"),
+        *[F.sum(f"p{c}").alias(f"h{c}") for c in k],
+        *[F.sum(F.when(names[c], F.col(f"p{c}")).otherwise(0.0)).alias(f"hit{c}") for c in k],
+        *[F.sum(names[c].cast("double")).alias(f"said{c}") for c in k],
+    )
+    joined = edges.join(F.broadcast(held) if few else held, "reviewer")
 
+    def message(c: int) -> Column:
+        mine, p = names[c].cast("double"), F.col(f"p{c}")
+        where = (F.col(f"hit{c}") - mine * p + hit * weight) / (F.col(f"h{c}") - p + weight)
+        elsewhere = (F.col(f"said{c}") - F.col(f"hit{c}") - mine * (1 - p) + slip * weight) / (F.col("m") - F.col(f"h{c}") - (1 - p) + weight)
+        return F.when(names[c], F.log(where / elsewhere)).otherwise(F.log((1 - where) / (1 - elsewhere)))
 
-def _heard(spoken: DataFrame, classes: tuple[str, ...], prior: list[float]) -> DataFrame:
-    """(term_id, t...): log prior plus all messages that reach the term."""
-    import math
+    return joined.select("term_id", "reviewer", "label", "degree", *[f"p{c}" for c in k], *[message(c).alias(f"w{c}") for c in k])
 
-    return spoken.groupBy("term_id").agg(*[(F.sum(f"w{c}") + math.log(prior[c])).alias(f"t{c}") for c in range(len(classes))])
+
+def _heard(spoken: DataFrame, classes: tuple[str, ...], prior: list[float]) -> DataFrame:
+    """(term_id, t...): the log odds of each class against the rest, beforehand and by all messages that reach the term."""
+    return spoken.groupBy("term_id").agg(*[(F.sum(f"w{c}") + math.log(prior[c] / (1 - prior[c]))).alias(f"t{c}") for c in range(len(classes))])

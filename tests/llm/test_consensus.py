@@ -50,6 +50,9 @@ def test_beats_majority(spark):
     majority = sum(max(set(v), key=v.count) == truth[t] for t, v in votes.items()) / len(truth)
     ours = sum(c.STATUSES.index(got[t]) == truth[t] for t in truth) / len(truth)
     assert ours > majority + 0.03 and ours > 0.9
+    assert out.converged and out.terms.where("NOT converged").count() == 0
+    early = c.consensus(spark.createDataFrame(rows, "term_id string, reviewer string, label int"), most_rounds=1)
+    assert not early.converged and early.terms.where("NOT converged").count() > 0
     reliable = {r["reviewer"]: r["reliability"] for r in out.reviewers.collect()}
     assert reliable["r0"] > reliable["r7"] > reliable["r12"] > reliable["r15"] and reliable["r15"] < 0.5
     agreement = {r["term_id"]: r["agreement"] for r in out.terms.collect()}

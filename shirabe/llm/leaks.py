@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -122,13 +123,16 @@ class SuffixAutomaton:
         return out
 
 
+#: Blocks that one pass over the documents looks for; more take further passes, so that a worker's memory stays bounded.
+PASS_BLOCKS = 4
+
 _BUILT: list = [None, None]
 
 
-def _automaton(items) -> SuffixAutomaton:
-    """The automaton of a broadcast block, built once per Python worker."""
-    if _BUILT[0] is not items.value:
-        _BUILT[:] = items.value, SuffixAutomaton([t for _, t, _ in items.value], [n for _, _, n in items.value])
+def _automata(shared) -> list[SuffixAutomaton]:
+    """The automata of a pass's broadcast blocks, built once per Python worker."""
+    if _BUILT[0] is not shared.value:
+        _BUILT[:] = shared.value, [SuffixAutomaton([t for _, t, _ in block], [n for _, _, n in block]) for block in shared.value]
     return _BUILT[1]
 
 
@@ -149,6 +153,13 @@ def item_blocks(items: DataFrame, share: float, block_chars: int = BLOCK_CHARS)
         yield block
 
 
+def _passes(items: DataFrame, share: float, block_chars: int) -> Iterator[list[list[tuple[int, str, int]]]]:
+    """Up to ``PASS_BLOCKS`` item blocks at a time."""
+    blocks = item_blocks(items, share, block_chars)
+    while some := list(islice(blocks, PASS_BLOCKS)):
+        yield some
+
+
 _FOUND = "doc_id bigint, item_id bigint, matched_chars int, item_chars int, matched_share double"
 
 
@@ -156,7 +167,8 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, block_char
     """(doc_id, item_id, matched_chars, item_chars, matched_share) of leaked items.
 
     The bare texts of the items make one generalised suffix automaton per block;
-    each document streams through it once, in one task, without a shuffle. An
+    each document is read and normalized once for up to ``PASS_BLOCKS`` of them
+    and streams through each in one task, without a shuffle. An
     item leaked where its longest unbroken stretch in the document has at least
     ``share`` of its length. Null and empty texts leak nothing; an item without
     letters and digits cannot leak; repeated items each have their own row.
@@ -164,18 +176,19 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, block_char
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where("text IS NOT NULL AND text <> ''")
     out = None
-    for block in item_blocks(items, share, block_chars):
-        shared = spark.sparkContext.broadcast(block)
+    for blocks in _passes(items, share, block_chars):
+        shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = _automaton(shared)
-            names = shared.value
+            automata = _automata(shared)
             for b in batches:
                 rows = []
                 for doc_id, text in zip(b["doc_id"], b["text"]):
-                    for number, (size, _) in automaton.longest(bare_text(text)).items():
-                        item, whole, _ = names[number]
-                        rows.append((doc_id, item, size, len(whole), size / len(whole)))
+                    bare = bare_text(text)
+                    for automaton, names in zip(automata, shared.value):
+                        for number, (size, _) in automaton.longest(bare).items():
+                            item, whole, _ = names[number]
+                            rows.append((doc_id, item, size, len(whole), size / len(whole)))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched_chars", "item_chars", "matched_share"])
 
         found = docs.mapInPandas(run, _FOUND)
@@ -216,29 +229,32 @@ def _without(text: str | None, cuts: list[int]) -> str | None:
     return "".join(c for c, g in zip(text, gone) if not g)
 
 
-def cleaned(documents: DataFrame, items: DataFrame, share: float = 0.4, drop_share: float = 0.5) -> DataFrame:
+def cleaned(documents: DataFrame, items: DataFrame, share: float = 0.4, drop_share: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, text, removed_chars, dropped): documents without the stretches that leaked.
 
     Every stretch that reaches the needed share of an item is cut from the text,
     also where an item stands several times. All are found in the whole text,
     then cut. ``dropped`` marks documents of which more than ``drop_share`` would
-    go; their text is null. Documents without leaks come out unchanged.
+    go; their text is null. Documents without leaks come out unchanged. No
+    shuffle: lengths and cuts travel with the text.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", F.array().cast("array<int>").alias("cuts"))
-    for block in item_blocks(items, share):
-        shared = spark.sparkContext.broadcast(block)
+    for blocks in _passes(items, share, block_chars):
+        shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = _automaton(shared)
+            automata = _automata(shared)
             for b in batches:
                 cuts = []
                 for text, before in zip(b["text"], b["cuts"]):
                     found = list(before)
-                    if text and automaton.stretches(bare_text(text)):
+                    plain = bare_text(text)
+                    if any(automaton.stretches(plain) for automaton in automata):
                         bare, places = _placed(text)
-                        for start, end in automaton.stretches(bare):
-                            found += places[start], places[end - 1] + 1
+                        for automaton in automata:
+                            for start, end in automaton.stretches(bare):
+                                found += places[start], places[end - 1] + 1
                     cuts.append(found)
                 yield b[["doc_id", "text"]].assign(cuts=cuts)
 
@@ -246,10 +262,10 @@ def cleaned(documents: DataFrame, items: DataFrame, share: float = 0.4, drop_sha
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [_without(text, cuts) for text, cuts in zip(b["text"], b["cuts"])]})
+            left = [_without(text, cuts) for text, cuts in zip(b["text"], b["cuts"])]
+            removed = [len(text or "") - len(new or "") for text, new in zip(b["text"], left)]
+            dropped = [gone > len(text or "") * drop_share for text, gone in zip(b["text"], removed)]
+            kept = [None if drop else new for new, drop in zip(left, dropped)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": pd.Series(kept, dtype=object), "removed_chars": removed, "dropped": dropped})
 
-    docs = docs.mapInPandas(cut, "doc_id bigint, text string")
-    before = documents.select("doc_id", F.length("text").alias("before"))
-    removed = F.col("before") - F.length("text")
-    dropped = F.coalesce(removed > F.col("before") * drop_share, F.lit(False))
-    return docs.join(before, "doc_id").select("doc_id", F.when(~dropped, F.col("text")).alias("text"), F.coalesce(removed, F.lit(0)).alias("removed_chars"), dropped.alias("dropped"))
+    return docs.mapInPandas(cut, "doc_id bigint, text string, removed_chars int, dropped boolean")

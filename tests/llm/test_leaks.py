@@ -68,12 +68,32 @@ def test_stretches_against_plain_python():
         assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
 
 
-def test_cleaned_cuts_every_copy(spark, monkeypatch):
+def test_cleaned_cuts_every_copy(spark):
     item = "架線の高さは常に五メートルを保つものとする"
     docs = spark.createDataFrame([(1, f"前。{item}。中程の文。{item}。後。"), (2, f"甲{item[:12]}乙丙丁戊{item[9:]}己庚辛壬癸")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, item), (2, "常に五メートルを保つものとする規則である")], "item_id bigint, text string")
     for block_chars in (200_000, 1):
-        monkeypatch.setattr(leaks.item_blocks, "__defaults__", (block_chars,))
-        got = {r["doc_id"]: r for r in leaks.cleaned(docs, items, drop_share=0.95).collect()}
+        got = {r["doc_id"]: r for r in leaks.cleaned(docs, items, drop_share=0.95, block_chars=block_chars).collect()}
         assert (got[1]["text"], got[1]["removed_chars"]) == ("前。。中程の文。。後。", 2 * len(item))
         assert (got[2]["text"], got[2]["removed_chars"]) == ("甲乙丙丁戊己庚辛壬癸", len(item) + 3)
+
+
+def test_nothing_leaks_from_what_is_cleaned(spark):
+    """Over several passes of small blocks, with items that stand whole, in part and more than once."""
+    random.seed(11)
+    signs = [chr(0x4E00 + 5 * i) for i in range(60)]
+    items = [(i, "".join(random.choice(signs) for _ in range(random.randint(12, 40)))) for i in range(40)]
+    docs = []
+    for i in range(60):
+        parts = ["".join(random.choice(signs) for _ in range(30)) for _ in range(4)]
+        for _, text in random.sample(items, random.randint(0, 3)):
+            parts.insert(random.randint(0, len(parts)), text[: random.randint(len(text) // 2, len(text))] * random.randint(1, 2))
+        docs.append((i, "。".join(parts)))
+    D, I = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(d, i) for d, t in docs for i, x in items if longest(x, bare_text(t)) >= math.ceil(0.4 * len(x))}
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(D, I, block_chars=100).collect()} == want and len(want) > 40
+    clean = leaks.cleaned(D, I, drop_share=1.0, block_chars=100)
+    left = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(clean, I).collect()}
+    bare = {r["doc_id"]: bare_text(r["text"]) for r in clean.collect()}
+    # What is left can only have come together over a cut.
+    assert all(longest(dict(items)[i], bare[d]) >= math.ceil(0.4 * len(dict(items)[i])) for d, i in left) and len(left) <= 1

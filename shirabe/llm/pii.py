@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -190,13 +192,46 @@ def person_spans(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").mapInPandas(run, "doc_id bigint, pii_type string, start_char int, end_char int")
 
 
+# Calling codes of countries whose national numbers begin with a 0 that the code replaces, and of those where nothing is replaced.
+_TRUNK = ("33", "44", "49", "66", "81")
+_NO_TRUNK = ("1", "86", "91")
+_MOBILE = re.compile(r"0[5-9]0\d{8}|1[3-9]\d{9}")
+# Weights and signs of the check digit of Chinese resident numbers.
+_CN_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
+_CN_SIGNS = "10X98765432"
+_FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+_DATE = r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{4}年\d{1,2}月\d{1,2}日|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})"
+_BIRTH = re.compile(rf"(?:生年月日|出生日期|出生年月日?|[Bb]orn(?:\son)?|[Dd]ate\sof\s[Bb]irth|DOB|[Gg]eboren(?:\sam)?|Geburtsdatum|[Nn]ée?\sle|[Dd]ate\sde\snaissance)\s?[:：はが]?\s?({_DATE})(?!\d)")
+
+
+def individual_check(payload: str) -> int:
+    """The check digit that follows the eleven digits of a Japanese individual number."""
+    rest = sum(int(c) * (n + 1 if n <= 6 else n - 5) for n, c in enumerate(reversed(payload), 1)) % 11
+    return 0 if rest <= 1 else 11 - rest
+
+
+def resident_check(payload: str) -> int:
+    """Place among the check signs of the one that follows the seventeen digits of a Chinese resident number."""
+    return sum(int(c) * w for c, w in zip(payload, _CN_WEIGHTS)) % 11
+
+
+def _ordinal(year: int, month: int, day: int) -> int | None:
+    """Days of a date of the years 1900 to 2099 since their first; None if there is no such date."""
+    try:
+        at = date(year, month, day).toordinal()
+    except ValueError:
+        return None
+    return at - _FIRST_DAY if _FIRST_DAY <= at <= _LAST_DAY else None
+
+
 class FormatPreserving:
-    """A keyed permutation of digit strings of each length, and of letters in place.
+    """Keyed permutations of numbers, identity numbers, telephone numbers and dates within their formats.
 
-    A balanced Feistel network of ten rounds with HMAC-SHA-256 over the two
-    halves of the digits; one digit alone is shifted. Letters are shifted by the
-    key and their place. Everything else stays, so a pseudonym has its value's
-    format, equal values have equal pseudonyms, and ``undo`` gives the value back.
+    A Feistel network of ten rounds with HMAC-SHA-256 over the two halves of the
+    signs that change: digits and ASCII capitals, each within its kind; one sign
+    alone is shifted. Everything else stays, so a pseudonym has its value's
+    format, equal values have equal pseudonyms, and going ``back`` gives the value.
+    Separators and width don't count, so one number in two notations stays linked.
     """
 
     ROUNDS = 10
@@ -204,57 +239,156 @@ class FormatPreserving:
     def __init__(self, key: bytes):
         self.key = key
 
-    def _round(self, kind: str, number: int, value: str, size: int) -> int:
-        return int.from_bytes(hmac.new(self.key, f"{kind}|{number}|{size}|{value}".encode(), hashlib.sha256).digest()[:16], "big")
-
-    def digits(self, value: str, back: bool = False) -> str:
-        n = len(value)
-        if n < 2:
-            shift = self._round("one", 0, "", n) % 10
-            return "".join(str((int(c) + (-shift if back else shift)) % 10) for c in value)
-        left, right = value[: n // 2], value[n // 2 :]
-        order = range(self.ROUNDS)
-        for k in reversed(order) if back else order:
-            if k % 2 == 0:
-                f = self._round("d", k, right, n)
-                left = f"{(int(left) + (-f if back else f)) % 10 ** len(left):0{len(left)}d}"
-            else:
-                f = self._round("d", k, left, n)
-                right = f"{(int(right) + (-f if back else f)) % 10 ** len(right):0{len(right)}d}"
-        return left + right
+    def _round(self, tweak: str, number: int, value: int) -> int:
+        return int.from_bytes(hmac.new(self.key, f"{tweak}|{number}|{value}".encode(), hashlib.sha256).digest()[:24], "big")
+
+    def permute(self, signs: list[int], sizes: list[int], tweak: str = "", back: bool = False) -> list[int]:
+        """A permutation of all rows of signs below ``sizes``; another one for each ``tweak``."""
+        tweak = f"{tweak}|{','.join(map(str, sizes))}"
+        if len(signs) < 2:
+            return [(x + (-1 if back else 1) * self._round(tweak, 0, 0)) % n for x, n in zip(signs, sizes)]
+        half = len(signs) // 2
+        whole = [math.prod(sizes[:half]), math.prod(sizes[half:])]
+        parts = [0, 0]
+        for i, (x, n) in enumerate(zip(signs, sizes)):
+            parts[i >= half] = parts[i >= half] * n + x
+        for k in reversed(range(self.ROUNDS)) if back else range(self.ROUNDS):
+            step = self._round(tweak, k, parts[1 - k % 2])
+            parts[k % 2] = (parts[k % 2] + (-step if back else step)) % whole[k % 2]
+        out = []
+        for i in reversed(range(len(signs))):
+            parts[i >= half], x = divmod(parts[i >= half], sizes[i])
+            out.append(x)
+        return out[::-1]
+
+    def digits(self, value: str, back: bool = False, tweak: str = "") -> str:
+        return "".join(map(str, self.permute([int(c) for c in value], [10] * len(value), tweak, back)))
 
     def value(self, text: str, back: bool = False, keep: int = 0) -> str:
-        """``text`` with its digits permuted and its ASCII capitals shifted; the first ``keep`` digits stay."""
-        plain = unicodedata.normalize("NFKC", text)
-        spots = [i for i, c in enumerate(plain) if c.isdecimal()]
-        kept = spots[keep:]
-        new = self.digits("".join(str(unicodedata.decimal(plain[i])) for i in kept), back)
-        out = list(plain)
-        for i, c in zip(kept, new):
-            out[i] = c
-        letters = [i for i, c in enumerate(out) if "A" <= c <= "Z"]
-        for place, i in enumerate(letters):
-            shift = self._round("l", place, "", len(letters)) % 26
-            out[i] = chr((ord(out[i]) - 65 + (-shift if back else shift)) % 26 + 65)
+        """``text`` with its digits and ASCII capitals permuted together; the first ``keep`` of them stay."""
+        out, spots = _signs(text)
+        kept, spots = spots[:keep], spots[keep:]
+        sizes = [10 if out[i].isdecimal() else 26 for i in spots]
+        signs = [unicodedata.decimal(out[i]) if n == 10 else ord(out[i]) - 65 for i, n in zip(spots, sizes)]
+        for i, x, n in zip(spots, self.permute(signs, sizes, "".join(out[i] for i in kept), back), sizes):
+            out[i] = str(x) if n == 10 else chr(65 + x)
         return "".join(out)
 
     def undo(self, text: str, keep: int = 0) -> str:
         return self.value(text, True, keep)
 
+    def phone(self, text: str, back: bool = False) -> str:
+        """A telephone number with its country code, its leading 0 and the digit after it, or its mobile prefix, left as they are.
+
+        What is permuted is the national number, so ``+81-90-…`` and ``090-…`` stay linked.
+        """
+        out, spots = _signs(text)
+        spots = [i for i in spots if out[i].isdecimal()]
+        number = "".join(str(unicodedata.decimal(out[i])) for i in spots)
+        code, lead = "", ""
+        if "+" in out:
+            code = next((c for c in _TRUNK + _NO_TRUNK if number.startswith(c)), "")
+            lead = "0" if code in _TRUNK else ""
+        elif len(number) == 11 and re.match(r"1[ \-.(]", "".join(out)):
+            code = "1"
+        rest = number[len(code) :]
+        if lead and rest.startswith("0"):  # as in +49 (0) 89
+            code, rest = code + "0", rest[1:]
+        national = lead + rest
+        keep = 3 if _MOBILE.fullmatch(national) else 2 if national.startswith("0") else 1
+        new = national[:keep] + self.digits(national[keep:], back, f"phone {national[:keep]}")
+        for i, c in zip(spots, code + new[len(lead) :]):
+            out[i] = c
+        return "".join(out)
+
+    def identity(self, text: str, back: bool = False) -> str:
+        """An identity number; a right check digit, and a right date of birth within the number, stay right, and wrong ones wrong."""
+        out, spots = _signs(text)
+        number = "".join(str(unicodedata.decimal(out[i])) if out[i].isdecimal() else out[i] for i in spots)
+        if re.fullmatch(r"\d{12}", number):
+            new = self.digits(number[:11], back, "individual")
+            new += str((individual_check(new) + int(number[11]) - individual_check(number[:11])) % 10)
+        elif re.fullmatch(r"\d{17}[\dX]", number):
+            new = number[:2] + self._resident(number[2:17], back)
+            new += _CN_SIGNS[(resident_check(new) + _CN_SIGNS.index(number[17]) - resident_check(number[:17])) % 11]
+        else:
+            return self.value(text, back)
+        for i, c in zip(spots, new):
+            out[i] = c
+        return "".join(out)
+
+    def _resident(self, digits: str, back: bool) -> str:
+        """District, date of birth and serial number: permuted among those with a right date, or among those without."""
+        day = lambda d: _ordinal(int(d[4:8]), int(d[8:10]), int(d[10:12]))
+        right = day(digits) is not None
+        while True:
+            if right:
+                district, at, serial = self._steps([int(digits[:4]), day(digits), int(digits[12:])], back)
+                born = date.fromordinal(_FIRST_DAY + at)
+                return f"{district:04d}{born.year:04d}{born.month:02d}{born.day:02d}{serial:03d}"
+            digits = self.digits(digits, back, "resident")
+            if day(digits) is None:
+                return digits
+
+    def _steps(self, signs: list[int], back: bool) -> list[int]:
+        return self.permute(signs, [10_000, _LAST_DAY - _FIRST_DAY + 1, 1000], "resident", back)
+
+    def date(self, text: str, back: bool = False) -> str:
+        """A date of the years 1900 to 2099 as another one in the same notation, the same for one day in all notations; what is no such date stays."""
+        out, _ = _signs(text)
+        found = re.findall(r"\d+", "".join(out))
+        if len(found) != 3:
+            return text
+        first = len(found[0]) == 4
+        year, month, day = (found[0], found[1], found[2]) if first else (found[2], found[1], found[0])
+        at = _ordinal(int(year), int(month), int(day))
+        if at is None:
+            return text
+        days = _LAST_DAY - _FIRST_DAY + 1
+        wide = math.isqrt(days) + 1
+        while True:  # on along the permutation until it is within the range again
+            high, low = self.permute(list(divmod(at, wide)), [wide, wide], "date", back)
+            at = high * wide + low
+            if at < days:
+                break
+        born = date.fromordinal(_FIRST_DAY + at)
+        padded = any(len(p) == 2 and p[0] == "0" for p in (month, day)) or (len(month) == len(day) == 2 and "年" not in text and first)
+        show = lambda n: f"{n:02d}" if padded else str(n)
+        parts = iter([str(born.year), show(born.month), show(born.day)] if first else [show(born.day), show(born.month), str(born.year)])
+        return re.sub(r"\d+", lambda m: next(parts), "".join(out))
+
     def tag(self, kind: str, text: str) -> str:
         """A short keyed mark for values without a number format; spaces and letter case don't count."""
         plain = re.sub(r"\s+", "", unicodedata.normalize("NFKC", text)).lower()
         return hmac.new(self.key, f"{kind}|{plain}".encode(), hashlib.sha256).hexdigest()[:10]
 
 
+def _signs(text: str) -> tuple[list[str], list[int]]:
+    """The signs of the text after NFKC, and the places of its digits and ASCII capitals."""
+    out = list(unicodedata.normalize("NFKC", text))
+    return out, [i for i, c in enumerate(out) if c.isdecimal() or "A" <= c <= "Z"]
+
+
+def birth_dates(text: str) -> list[tuple[str, int, int]]:
+    """("birth_date", start, end) of the dates that a text names as someone's birth; all other dates are no personal information."""
+    plain = _WIDE.sub(lambda m: m.group().translate(_PLAIN), text)
+    return [("birth_date", *m.span(1)) for m in _BIRTH.finditer(plain)]
+
+
 def redact(text: str | None, cipher: FormatPreserving) -> str | None:
-    """The text with typed placeholders; all else stays as it is. Null stays null."""
+    """The text with typed placeholders; all else stays as it is. Null stays null.
+
+    Dates of birth are replaced too, though they are none of the types that ``find`` gives.
+    """
     if not text:
         return text
+    spans = find(text)
+    spans += [d for d in birth_dates(text) if all(d[2] <= s or d[1] >= e for _, s, e in spans)]
+    marks = {"phone": cipher.phone, "id_number": cipher.identity, "birth_date": cipher.date}
     out, at = [], 0
-    for kind, s, e in find(text):
+    for kind, s, e in sorted(spans, key=lambda x: x[1]):
         value = text[s:e]
-        mark = cipher.value(value) if kind in ("phone", "id_number") else cipher.tag(kind, value)
+        mark = marks[kind](value) if kind in marks else cipher.tag(kind, value)
         out += [text[at:s], f"[{kind.upper()}:{mark}]"]
         at = e
     return "".join(out) + text[at:]

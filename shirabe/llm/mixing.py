@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shirabe.tables import Workspace
+
 DEFAULT_TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 _ENCODER: list = [None, None]
 
@@ -67,8 +69,8 @@ def mix(sizes: DataFrame, weights: DataFrame, budget: float | None = None, seed:
 
     Without a ``budget`` it is the largest one at which no source is needed more
     than ``max_repeats`` times over; with one, a source that would be needed more
-    often stops there. Shares are taken over the sources that have documents;
-    others are reported with nothing. A source not among the weights, or with a
+    often stops there. Shares are taken over the sources that have documents, as
+    ``normalized_share`` says; others are reported with nothing. A source not among the weights, or with a
     share of 0 or null, gives nothing; max_repeats of null or under 1 counts as 1.
 
     The running sum goes over hash buckets of about ``bucket_rows`` documents,
@@ -77,7 +79,8 @@ def mix(sizes: DataFrame, weights: DataFrame, budget: float | None = None, seed:
     """
     named = weights.select(F.lower(F.trim("source")).alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("max_repeats")).where("source IS NOT NULL")
     wanted = named.where("target_share > 0").groupBy("source").agg(F.sum("target_share").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    sizes = sizes.select("doc_id", "source", "tokens").where("tokens > 0").join(wanted.select("source"), "source", "left_semi").persist()
+    ws = Workspace(sizes.sparkSession, "mix")
+    sizes = ws.write(sizes.select("doc_id", "source", "tokens").where("tokens > 0").join(wanted.select("source"), "source", "left_semi"), "sizes")
     totals = {r["source"]: (r["n"], r["total"]) for r in sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("total")).collect()}
     rules = {r["source"]: (r["weight"], r["max_repeats"]) for r in wanted.collect()}
     there = {s: rules[s] for s in totals}
@@ -97,9 +100,11 @@ def mix(sizes: DataFrame, weights: DataFrame, budget: float | None = None, seed:
     taken = repeated.select("doc_id", "source", "repeat", "tokens", finish.alias("finish")).where(F.col("finish") <= time * (1 + 1e-12))
     used = taken.groupBy("source").agg(F.count("*").alias("records"), F.sum("tokens").alias("tokens"), F.max("repeat").alias("repeats"))
     every = Window.partitionBy()
+    named = named.join(sources.select("source", "weight", F.lit(True).alias("used")), "source", "left")
     shares = named.join(used, "source", "left").select(
         "source",
         "target_share",
+        F.coalesce(F.when(F.col("used").isNotNull(), F.col("weight")), F.lit(0.0)).alias("normalized_share"),
         "max_repeats",
         F.coalesce("records", F.lit(0)).alias("records"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shirabe.llm import consensus as c
 from shirabe.llm import dedup, leaks, mixing, pii, sentences
@@ -68,6 +69,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares
 
 
+def p7_shares_of_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The shares at a budget of twice all tokens, where small sources come to the end of their repeats."""
+    counts = mixing.token_counts(load(spark, d, "documents"))
+    counts = Workspace(spark, "p7").write(counts, "counts")
+    total = counts.agg(F.sum("tokens")).first()[0] or 0
+    return mixing.mix(counts, load(spark, d, "source_weights"), 2.0 * total).shares
+
+
 #: For the demonstration only; a real run takes its key from outside.
 DEMO_KEY = b"demonstration key"
 
@@ -80,4 +89,4 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(load(spark, d, "documents"), DEMO_KEY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found, p5_found, p6_found, p6_leaks, p6_cleaned, p7_mix, p7_shares, p8_found, p8_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_agreement, p2_reviewers, p3_found, p5_found, p6_found, p6_leaks, p6_cleaned, p7_mix, p7_shares, p7_shares_of_budget, p8_found, p8_redacted)}

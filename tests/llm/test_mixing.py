@@ -16,6 +16,7 @@ def test_shares_and_repeats(spark):
     report = {r["source"]: r for r in m.shares.collect()}
     assert abs(report["small"]["actual_share"] - 0.4) < 0.01 and abs(report["big"]["actual_share"] - 0.6) < 0.01
     assert report["small"]["repeats"] == 3 and report["small"]["tokens"] == 3000
+    assert [round(report[x]["normalized_share"], 6) for x in ("big", "small", "none", "zero")] == [0.6, 0.4, 0, 0]
     assert report["none"]["records"] == 0 and report["none"]["actual_share"] == 0.0
     got = m.records.collect()
     assert [r["finish"] for r in got] == sorted(r["finish"] for r in got)

@@ -15,6 +15,9 @@ CANDIDATE_MIN, CANDIDATE_MAX = 2, 40
 #: Stripped from both ends of a candidate, as the inside of a character class.
 STRIPPED = "、。，．・:：;；（）()\\[\\]［］「」『』【】<>〈〉《》/\\\\|｜* "
 TERMINATORS = "。"
+#: Patterns of the validity and score rules.
+ALL_HIRAGANA, DIGIT_FIRST, TERM_CHARACTER = "^[ぁ-んー]+$", "^[0-9０-９]", "[一-龥々〆ヵヶァ-ヴーA-Za-z0-9]"
+TWO_KANJI, KATAKANA = "[一-龥].*[一-龥]", "[ァ-ヴー]"
 
 SCORE_BASE, SCORE_LONG, SCORE_KANJI, SCORE_KATAKANA, SCORE_HINT = 0.42, 0.14, 0.10, 0.08, 0.22
 SCORE_REPEAT, SCORE_REPEAT_STEP, SCORE_CAP = 0.12, 0.04, 0.98
@@ -32,6 +35,9 @@ THRESHOLD_DEFAULT, THRESHOLD_LOW, THRESHOLD_HIGH = 0.9, 0.5, 0.98
 UPLOAD_FILES, UPLOAD_BYTES = 20, 30 * 1024 * 1024
 
 STATUSES = ("unreviewed", "approved", "rejected", "uncertain")
+#: Parts of speech that a term's words can have.
+TERM_POS = ("NOUN", "PROPN", "NUM", "SYM", "X", "ADJ")
+CHUNK_SOURCE, COMPOUND_SOURCE = "ginza_noun_chunk", "ginza_compound"
 REGEX_SOURCE, HINT_GROUP, NEW_GROUP = "regex_candidate", "railway_dictionary_hint", "new_potential_term"
 
 MIME_TYPES = {

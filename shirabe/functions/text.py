@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from shirabe.functions import constants as k
 from shirabe.functions.normalize import nfkc
@@ -16,6 +20,8 @@ MARKER = r"(?m)^ *\[\[PAGE +([0-9]+)\]\] *$"
 ENUMERATOR = r"^\(?[0-9０-９]+\)?[)）.．\-－\s]*"
 NUMBER_PAIR = r"^[0-9０-９]+[-－][0-9０-９]+\s*"
 CHAPTER = r"^第[0-9０-９]+[章節項編]\s*"
+#: A run of candidate characters.
+RUN = re.compile(f"[{k.CANDIDATE_CLASS}]{{{k.CANDIDATE_MIN},{k.CANDIDATE_MAX}}}")
 
 
 def strip(text: Column) -> Column:
@@ -69,48 +75,53 @@ def valid_candidate(term: Column) -> Column:
     """2 to 40 characters, no digit first, not all hiragana, at least one kanji, katakana or ASCII letter or digit."""
     return (
         F.length(term).between(k.CANDIDATE_MIN, k.CANDIDATE_MAX)
-        & ~term.rlike("^[ぁ-んー]+$")
-        & ~term.rlike("^[0-9０-９]")
-        & term.rlike("[一-龥々〆ヵヶァ-ヴーA-Za-z0-9]")
+        & ~term.rlike(k.ALL_HIRAGANA)
+        & ~term.rlike(k.DIGIT_FIRST)
+        & term.rlike(k.TERM_CHARACTER)
     )
 
 
-def raw_spans(sentence: Column) -> Column:
-    """Array of (start_char, end_char, raw) of the runs of candidate characters in a sentence.
+_SPANS = ArrayType(StructType([StructField("start_char", IntegerType(), False), StructField("end_char", IntegerType(), False), StructField("candidate", StringType(), False)]), False)
+_EDGES = re.compile(f"^[{k.STRIPPED}]+|[{k.STRIPPED}]+$")
+_LEADING = [re.compile(p) for p in (ENUMERATOR, NUMBER_PAIR, CHAPTER)]
+_BARRED = re.compile(f"{k.ALL_HIRAGANA}|{k.DIGIT_FIRST}")
+_NEEDED = re.compile(k.TERM_CHARACTER)
 
-    The pieces of the sentence, candidates and what lies between, are taken in
-    one pass; offsets are running sums of their lengths.
-    """
-    c = k.CANDIDATE_CLASS
-    pieces = F.regexp_extract_all(sentence, F.lit(f"([{c}]{{{k.CANDIDATE_MIN},{k.CANDIDATE_MAX}}}|[{c}]|[^{c}]+)"), F.lit(1))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_char:int,end_char:int,raw:string>>").alias("spans"))
-    return F.aggregate(
-        pieces,
-        empty,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.when(
-                (F.length(p) >= k.CANDIDATE_MIN) & p.rlike(f"^[{c}]"),
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start_char"), (acc["at"] + F.length(p)).alias("end_char"), p.alias("raw")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
-
-
-def clean_raw(raw: Column) -> Column:
-    """``clean_candidate`` of a run of candidate characters: only a leading digit or chapter sign gives it work."""
-    return F.when(raw.rlike("^[0-9第]"), clean_candidate(raw)).otherwise(raw)
+
+def _term_of(run: str) -> str | None:
+    """The valid candidate that a run of candidate characters cleans to; only a leading digit or chapter sign gives cleaning work."""
+    if run[0] in "0123456789第":
+        for pattern in _LEADING:
+            run = pattern.sub("", run)
+        run = _EDGES.sub("", run)
+    fits = k.CANDIDATE_MIN <= len(run) <= k.CANDIDATE_MAX
+    return run if fits and not _BARRED.search(run) and _NEEDED.search(run) else None
+
+
+@F.arrow_udf(_SPANS)
+def _candidate_spans(sentences: pa.Array) -> pa.Array:
+    offsets, starts, ends, terms = [0], [], [], []
+    for sentence in sentences.to_pylist():
+        for found in RUN.finditer(sentence or ""):
+            term = _term_of(found.group())
+            if term is not None:
+                starts.append(found.start())
+                ends.append(found.end())
+                terms.append(term)
+        offsets.append(len(starts))
+    columns = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(terms, pa.string())]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["start_char", "end_char", "candidate"]))
 
 
 def candidate_spans(sentence: Column) -> Column:
-    """Array of (start_char, end_char, candidate, source) of the valid candidates of a sentence.
+    """Array of (start_char, end_char, candidate) of the valid candidates of a sentence; none for null.
 
-    Offsets refer to the raw run, not to the cleaned term.
+    Offsets refer to the raw run of candidate characters, not to the cleaned
+    term. Spark has no expression for the places of a pattern's matches, and sums
+    over the pieces inside a row copy them once per piece; so this is the second
+    Arrow stage of the extraction, in time that grows with the text.
     """
-    cleaned = F.transform(raw_spans(sentence), lambda s: F.struct(s["start_char"], s["end_char"], clean_raw(s["raw"]).alias("candidate"), F.lit(k.REGEX_SOURCE).alias("source")))
-    return F.filter(cleaned, lambda s: valid_candidate(s["candidate"]))
+    return _candidate_spans(sentence)
 
 
 def heuristic_score(term: Column, frequency: Column, hints: tuple[str, ...] = k.HINTS) -> Column:
@@ -119,8 +130,8 @@ def heuristic_score(term: Column, frequency: Column, hints: tuple[str, ...] = k.
     score = (
         F.lit(k.SCORE_BASE)
         + part(F.length(term) >= k.LONG_TERM, k.SCORE_LONG)
-        + part(term.rlike("[一-龥].*[一-龥]"), k.SCORE_KANJI)
-        + part(term.rlike("[ァ-ヴー]"), k.SCORE_KATAKANA)
+        + part(term.rlike(k.TWO_KANJI), k.SCORE_KANJI)
+        + part(term.rlike(k.KATAKANA), k.SCORE_KATAKANA)
         + part(term.rlike("|".join(hints)), k.SCORE_HINT)
         + F.when(frequency >= 2, F.least(F.lit(k.SCORE_REPEAT), F.log2(frequency.cast("double")) * k.SCORE_REPEAT_STEP)).otherwise(F.lit(0.0))
     )
@@ -163,6 +174,11 @@ def same_file(a: Column, b: Column) -> Column:
     return (a == b) | F.contains(a, b) | F.contains(b, a)
 
 
+def source_key(first_file: str, first_page: str) -> Column:
+    """What terms are sorted by: their first file and its lowest page, eight digits wide; 999999 stands for no page."""
+    return F.concat_ws("-", F.coalesce(F.col(first_file), F.lit("")), F.lpad(F.coalesce(F.col(first_page), F.lit(999999)).cast("string"), 8, "0"))
+
+
 def score_band(score: Column) -> Column:
     return F.when(score >= 0.9, "high").when(score >= 0.75, "medium").otherwise("low")
 
@@ -207,6 +223,19 @@ def is_status(value: Column) -> Column:
     return F.coalesce(value.isin(*k.STATUSES), F.lit(False))
 
 
+def status_label(status: Column) -> Column:
+    """The key of a review status's label; any other value is shown as unreviewed."""
+    return F.when(is_status(status), F.concat(status, F.lit("Status"))).otherwise("unreviewedStatus")
+
+
+def uri_component(text: Column) -> Column:
+    """Percent-encoded UTF-8; letters, digits and ``-_.!~*'()`` stay."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for sign in "!~'()":
+        out = F.replace(out, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return out
+
+
 def local_date_time(moment: Column) -> Column:
     """yyyy/MM/dd HH:mm, a dash for null."""
     return F.coalesce(F.date_format(moment, "yyyy/MM/dd HH:mm"), F.lit("—"))

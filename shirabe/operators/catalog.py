@@ -22,18 +22,43 @@ def new_terms(existing: DataFrame, extracted: DataFrame, order: str = "doc_id")
     return first.join(have, "normalized_text", "left_anti")
 
 
-def run_candidates(terms: DataFrame, documents: DataFrame) -> DataFrame:
-    """(extraction_run_id, term, score, frequency, group, source): a run's candidate rows, one per term."""
-    rows = terms.join(documents.select("doc_id", "extraction_run_id"), "doc_id")
-    return rows.groupBy("extraction_run_id", "term").agg(
+def stored_terms(existing: DataFrame, extracted: DataFrame, order: str = "doc_id") -> DataFrame:
+    """(normalized_text, term_id) of the catalog once the extracted terms are in it; a new term's id is its own text after ``new:``."""
+    fresh = new_terms(existing, extracted, order).select("normalized_text", F.concat(F.lit("new:"), "normalized_text").alias("term_id"))
+    return existing.where("normalized_text IS NOT NULL").select("normalized_text", F.col("id").alias("term_id")).unionByName(fresh)
+
+
+def _with_term_id(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of extracted terms with the id that the catalog has for their normalized text."""
+    return rows.withColumn("normalized_text", nfkc_strip(F.col("term"))).join(stored, "normalized_text").drop("normalized_text")
+
+
+def run_candidates(terms: DataFrame, documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, extraction_run_id, term_id, score, frequency, group, source): a run's candidate rows, one per term; ids are run and term."""
+    rows = _with_term_id(terms, stored).join(documents.select("doc_id", "extraction_run_id"), "doc_id")
+    grouped = rows.groupBy("extraction_run_id", "term_id").agg(
         F.max("score").alias("score"), F.sum("frequency").cast("int").alias("frequency"), F.max("group").alias("candidate_group"), F.max("source").alias("extraction_source")
     )
+    return grouped.select(F.concat_ws("|", "extraction_run_id", "term_id").alias("id"), "*")
 
 
-def run_occurrences(spans: DataFrame, terms: DataFrame, documents: DataFrame) -> DataFrame:
-    """Evidence rows of a run: each kept span with its document's id and its term's score."""
-    kept = terms.select("doc_id", "term", "score")
-    return spans.join(kept, ["doc_id", "term"]).join(documents.select("doc_id", F.col("id").alias("document_id")), "doc_id").select("document_id", "term", F.col("page").alias("page_number"), F.col("sentence").alias("sentence_text"), "start_char", "end_char", "score")
+def run_occurrences(spans: DataFrame, terms: DataFrame, documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """Evidence rows of the runs: each span of the returned terms with its candidate's and its document's id, found by storage key.
+
+    Documents without stored bytes and empty sentences are left out.
+    """
+    kept = _with_term_id(terms.select("doc_id", "term", "score"), stored)
+    docs = documents.where("storage_key IS NOT NULL").select("doc_id", "extraction_run_id", F.col("id").alias("document_id"))
+    rows = spans.where("sentence <> ''").join(kept, ["doc_id", "term"]).join(docs, "doc_id")
+    return rows.select(
+        F.concat_ws("|", "extraction_run_id", "term_id").alias("term_candidate_id"),
+        "document_id",
+        F.col("page").alias("page_number"),
+        F.col("sentence").alias("sentence_text"),
+        "start_char",
+        "end_char",
+        "score",
+    )
 
 
 def recordset(df: DataFrame, column: str, schema: str) -> DataFrame:
@@ -153,6 +178,27 @@ def list_terms(terms: DataFrame, candidates: DataFrame, occurrences: DataFrame,
     )
 
 
+def page_range(total: int, limit: int, offset: int) -> tuple[int, int]:
+    """The first and last row number that a page shows; 0 and 0 for an empty listing."""
+    return (offset + 1 if total else 0), min(offset + limit, total)
+
+
+def listing_range(terms: DataFrame, status: str | None = None, search: str | None = None, limit: object = None, offset: object = None) -> DataFrame:
+    """(from_row, to_row, total): one row, what a page of ``list_terms`` shows of all rows that match."""
+    size, skip = page_bounds(limit, offset)
+    total = terms.where(status_filter(status)).where(search_filter(search)).agg(F.count("*").alias("total"))
+    return total.select(F.when(F.col("total") > 0, F.lit(skip + 1)).otherwise(F.lit(0)).cast("long").alias("from_row"), F.least(F.lit(skip + size), F.col("total")).cast("long").alias("to_row"), "total")
+
+
+def term_detail(terms: DataFrame, candidates: DataFrame, occurrences: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, found, term, review_status, review_version, frequency, document_count, score) of each wanted id; unknown ids and what is no UUID are not found."""
+    ids = wanted.select("id").distinct()
+    rows = terms.join(ids.where(t.is_uuid(F.col("id"))), "id", "left_semi")
+    stats = term_stats(rows, candidates, occurrences)
+    known = rows.select("id", F.col("term_text").alias("term"), "review_status", "review_version").join(stats, "id").withColumn("_found", F.lit(True))
+    return ids.join(known, "id", "left").select("id", F.coalesce("_found", F.lit(False)).alias("found"), "term", "review_status", "review_version", "frequency", "document_count", "score")
+
+
 def term_evidence(candidates: DataFrame, occurrences: DataFrame, documents: DataFrame, runs: DataFrame, term_ids: DataFrame | None = None, limit: int = k.MAX_EVIDENCE) -> DataFrame:
     """Each term's evidence: latest run first, then file, page (none last), id; the first ``limit`` rows of a term.
 
@@ -165,8 +211,8 @@ def term_evidence(candidates: DataFrame, occurrences: DataFrame, documents: Data
         of = of.join(term_ids.select(F.col("id").alias("term_id")), "term_id", "left_semi")
     rows = (
         occurrences.select("id", "term_candidate_id", "document_id", "page_number", "sentence_text", "start_char", "end_char", "score")
-        .distinct()
         .join(of, "term_candidate_id")
+        .distinct()
         .join(documents.select(F.col("id").alias("document_id"), F.col("original_name").alias("file_name")), "document_id")
         .join(runs.select(F.col("id").alias("extraction_run_id"), F.col("created_at").alias("run_at")), "extraction_run_id")
     )
@@ -197,9 +243,10 @@ def training_rows(terms: DataFrame, candidates: DataFrame, occurrences: DataFram
     rows = judged.select(
         F.col("id").alias("term_id"), F.col("term_text").alias("term"), label.alias("label"), "review_status", "review_note", "reviewed_by_name", "reviewed_at"
     ).join(of, "term_id")
-    evidence = occurrences.select(F.col("id").alias("occurrence_id"), "term_candidate_id", "document_id", F.col("page_number").alias("page"), F.col("sentence_text").alias("context"), F.col("score").cast("double").alias("extraction_score")).distinct()
+    evidence = occurrences.select(F.col("id").alias("occurrence_id"), "term_candidate_id", "document_id", F.col("page_number").alias("page"), F.col("sentence_text").alias("context"), F.col("score").cast("double").alias("extraction_score"))
     docs = documents.select(F.col("id").alias("document_id"), F.col("original_name").alias("file_name"))
-    return rows.join(evidence, "term_candidate_id").join(docs, "document_id").drop("term_candidate_id")
+    # Twins go after the join, which leaves only the judged terms' rows.
+    return rows.join(evidence, "term_candidate_id").distinct().join(docs, "document_id").drop("term_candidate_id")
 
 
 def training_order() -> list[Column]:
@@ -214,19 +261,33 @@ def document_lookup(documents: DataFrame) -> DataFrame:
 
 
 def run_status(documents: DataFrame) -> DataFrame:
-    """(extraction_run_id, status, file_count, failed_count, total_mb) by its documents: any error makes it completed_with_errors."""
-    failed = (F.col("status") == "failed") | F.col("error_message").isNotNull()
-    counted = documents.groupBy("extraction_run_id").agg(F.count("*").alias("file_count"), F.count_if(failed).alias("failed_count"), F.sum("size_bytes").alias("bytes"))
-    status = F.when(F.col("failed_count") == F.col("file_count"), "failed").when(F.col("failed_count") > 0, "completed_with_errors").otherwise("completed")
+    """(extraction_run_id, status, file_count, failed_count, total_mb) by its documents: any error makes it completed_with_errors.
+
+    A run of which no document could be read is not kept at all; see ``refused_runs``.
+    """
+    counted = _run_counts(documents).where("failed_count < file_count")
+    status = F.when(F.col("failed_count") > 0, "completed_with_errors").otherwise("completed")
     return counted.select("extraction_run_id", status.alias("status"), "file_count", "failed_count", F.round(F.col("bytes") / 1048576, 2).alias("total_mb"))
 
 
+def refused_runs(documents: DataFrame) -> DataFrame:
+    """(extraction_run_id, file_count) of the runs of which no document could be read: the request fails and nothing is stored."""
+    return _run_counts(documents).where("failed_count = file_count").select("extraction_run_id", "file_count")
+
+
+def _run_counts(documents: DataFrame) -> DataFrame:
+    failed = (F.col("status") == "failed") | F.col("error_message").isNotNull()
+    return documents.groupBy("extraction_run_id").agg(F.count("*").alias("file_count"), F.count_if(F.coalesce(failed, F.lit(False))).alias("failed_count"), F.sum("size_bytes").alias("bytes"))
+
+
 def admission(documents: DataFrame, max_files: int = k.UPLOAD_FILES, max_bytes: int = k.UPLOAD_BYTES) -> DataFrame:
     """(extraction_run_id, doc_id, error): whether each document of a run would be taken, and why not."""
     ext = t.extension(F.col("original_name"))
     known = ext.isin(*k.MIME_TYPES, "")
     place = F.row_number().over(Window.partitionBy("extraction_run_id", "_block").orderBy("doc_id"))
-    blocks = documents.select("extraction_run_id", "doc_id", "original_name", "size_bytes", "text").withColumn("_block", F.floor(F.col("doc_id") / 4096))
+    # Whether there is text is settled first, so that no text is shuffled.
+    blank = (F.coalesce(t.strip(F.col("text")), F.lit("")) == "").alias("_blank")
+    blocks = documents.select("extraction_run_id", "doc_id", "original_name", "size_bytes", blank).withColumn("_block", F.floor(F.col("doc_id") / 4096))
     sizes = blocks.groupBy("extraction_run_id", "_block").agg(F.count("*").alias("n"))
     before = sizes.select("extraction_run_id", "_block", (F.sum("n").over(Window.partitionBy("extraction_run_id").orderBy("_block")) - F.col("n")).alias("before"))
     placed = blocks.withColumn("_place", place).join(before, ["extraction_run_id", "_block"]).withColumn("place", F.col("_place") + F.col("before"))
@@ -234,7 +295,7 @@ def admission(documents: DataFrame, max_files: int = k.UPLOAD_FILES, max_bytes:
         F.when(F.col("place") > max_files, "too_many_files")
         .when(F.col("size_bytes") > max_bytes, "too_large")
         .when(~known, "unknown_type")
-        .when(F.coalesce(t.strip(F.col("text")), F.lit("")) == "", "no_text")
+        .when(F.col("_blank"), "no_text")
     )
     return placed.select("extraction_run_id", "doc_id", error.alias("error"))
 

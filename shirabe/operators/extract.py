@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shirabe.functions import constants as k
 from shirabe.functions import text as t
-from shirabe.tables import spread
+from shirabe.tables import Workspace, spread
 
 
 def clamp_threshold(value: object) -> float:
@@ -37,27 +36,23 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", termi
 
 def candidates(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sentences with (start_char, end_char, term, source) of each candidate."""
-    raw = sentences.select(key, "sentence_idx", "page", "sentence", F.inline(t.raw_spans(F.col("sentence"))))
-    cleaned = raw.withColumn("term", t.clean_raw(F.col("raw"))).drop("raw")
-    return cleaned.where(t.valid_candidate(F.col("term"))).withColumn("source", F.lit(k.REGEX_SOURCE))
+    spans = sentences.select(key, "sentence_idx", "page", "sentence", F.inline(t.candidate_spans(F.col("sentence"))))
+    return spans.withColumnRenamed("candidate", "term").withColumn("source", F.lit(k.REGEX_SOURCE))
 
 
-def distinct_spans(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Candidates once per (sentence, term, span); the source that comes first in order is kept."""
-    named = [key, "sentence_idx", "term", "start_char", "end_char"]
-    rest = [c for c in rows.columns if c not in named]
-    return rows.groupBy(*named).agg(*[F.min(c).alias(c) if c == "source" else F.first(c).alias(c) for c in rest])
+def counted(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Candidates with ``raw_frequency``: how often their document's generators gave the term, duplicates included."""
+    totals = rows.groupBy(key, "term").agg(F.count("*").cast("int").alias("raw_frequency"))
+    return rows.join(totals, [key, "term"])
 
 
-def scored(rows: DataFrame, threshold: float, key: str = "doc_id", score: Column | None = None) -> DataFrame:
-    """Candidates with raw_frequency, score and group, those under the threshold dropped.
-
-    The count by which a term is scored is taken over all generated candidates
-    of its document, before duplicates and the threshold.
-    """
-    counted = rows.withColumn("raw_frequency", F.count("*").over(Window.partitionBy(key, "term")).cast("int"))
-    value = score if score is not None else t.heuristic_score(F.col("term"), F.col("raw_frequency"))
-    return counted.withColumn("score", value).where(F.col("score") >= threshold).withColumn("group", t.group_tag(F.col("term")))
+def distinct_spans(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Candidates once per (sentence, term, span); all else is that of the first by ``place``, or of any where there are no places."""
+    named = [key, "sentence_idx", "term", "start_char", "end_char"]
+    rest = [c for c in rows.columns if c not in (*named, "place")]
+    one = F.struct(*rest)
+    first = F.min_by(one, "place") if "place" in rows.columns else F.first(one)
+    return rows.groupBy(*named).agg(first.alias("_r")).select(*named, "_r.*")
 
 
 def resolve_overlaps(rows: DataFrame, sentence: list[str]) -> DataFrame:
@@ -75,7 +70,8 @@ def resolve_overlaps(rows: DataFrame, sentence: list[str]) -> DataFrame:
     spans = rows.select(*sentence, F.struct(*rest).alias("span"))
     spans = spans.select(*sentence, F.struct(order(F.col("span")).alias("rank"), F.col("span").alias("span")).alias("one"))
     grouped = spans.groupBy(*sentence).agg(F.array_sort(F.collect_list("one")).alias("ordered"))
-    clash = lambda a, b: F.coalesce(F.greatest(a["start_char"], b["start_char"]) < F.least(a["end_char"], b["end_char"]), F.lit(False))
+    # Each comparison by itself, as greatest and least would pass over nulls.
+    clash = lambda a, b: F.coalesce((a["start_char"] < b["end_char"]) & (b["start_char"] < a["end_char"]) & (a["start_char"] < a["end_char"]) & (b["start_char"] < b["end_char"]), F.lit(False))
     kind = rows.select(F.struct(*rest).alias("s")).schema["s"].dataType.simpleString()
     kept = F.aggregate(
         "ordered",
@@ -104,6 +100,7 @@ def terms_by_document(rows: DataFrame, threshold: float, key: str = "doc_id", oc
     grouped = rows.groupBy(key, "term").agg(
         F.count("*").cast("int").alias("frequency"),
         first.alias("first"),
+        F.min("page").alias("page"),
         F.array_sort(F.collect_set("page")).alias("pages"),
         F.array_sort(F.collect_list(F.struct(*seen))).alias("seen"),
     )
@@ -118,7 +115,7 @@ def terms_by_document(rows: DataFrame, threshold: float, key: str = "doc_id", oc
         "score",
         t.group_tag(F.col("term")).alias("group"),
         F.col("first.source").alias("source"),
-        F.get("pages", F.lit(0)).alias("page"),
+        "page",
         "pages",
         F.slice(F.array_distinct(F.col("seen.sentence")), 1, k.MAX_EXAMPLES).alias("examples"),
         F.col("first.sentence_idx").alias("first_sentence_idx"),
@@ -153,16 +150,16 @@ def document_summary(sentences: DataFrame, terms: DataFrame, key: str = "doc_id"
 
 
 def file_lists(rows: DataFrame, key: str = "doc_id", separator: str = "; ") -> DataFrame:
-    """(term, files): each term's different file names, joined, in the order of their first documents.
+    """(term, files, first_page): each term's different file names, joined, in the order of their first documents, and the lowest page in those of the first name.
 
     A common term's names are joined in runs of ``FILE_RUN`` and the runs after
     that, so that no aggregation holds more than its runs' text.
     """
-    named = rows.groupBy("term", "file_name").agg(F.min(key).alias("_first"))
+    named = rows.groupBy("term", "file_name").agg(F.min(key).alias("_first"), F.min(F.array_min("pages")).alias("_page"))
     placed = named.withColumn("_run", F.floor((F.row_number().over(Window.partitionBy("term").orderBy("_first", "file_name")) - 1) / k.FILE_RUN))
     joined = lambda place, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, F.col(text).alias("t")))), lambda x: x["t"]), separator, "")
-    runs = placed.groupBy("term", "_run").agg(joined(F.struct("_first", "file_name").alias("p"), "file_name").alias("_text"))
-    return runs.groupBy("term").agg(joined(F.col("_run").alias("p"), "_text").alias("files"))
+    runs = placed.groupBy("term", "_run").agg(joined(F.struct("_first", "file_name").alias("p"), "file_name").alias("_text"), F.min_by("_page", F.struct("_first", "file_name")).alias("_page"))
+    return runs.groupBy("term").agg(joined(F.col("_run").alias("p"), "_text").alias("files"), F.min_by("_page", "_run").alias("first_page"))
 
 
 def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id", lists: bool = False, separator: str = "; ") -> DataFrame:
@@ -172,11 +169,13 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
     score with source and group of its first best document, examples (first
     three, each after its file's name), n_pages, page (the lowest).
     A term's pages per file stay rows (``pages_by_file``). With ``lists`` there
-    are also its sorted different pages and its files, joined by ``separator``.
-    Documents come in the order of the key. The rows are kept (in memory, then
-    on disk) as several aggregations read them.
+    are also its sorted different pages, its files, joined by ``separator``, and
+    the lowest page of its first file.
+    Documents come in the order of the key. The rows are written once, as several
+    aggregations read them.
     """
-    rows = terms.select(key, "term", "frequency", "score", "source", "group", "pages", "examples").where(F.col("score") >= threshold).join(files.select(key, "file_name"), key).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = terms.select(key, "term", "frequency", "score", "source", "group", "pages", "examples").where(F.col("score") >= threshold).join(files.select(key, "file_name"), key)
+    rows = Workspace(rows.sparkSession, "across").write(rows)
     stats = rows.groupBy("term").agg(
         F.sum("frequency").alias("frequency"),
         F.countDistinct("file_name").cast("int").alias("n_files"),
@@ -191,7 +190,37 @@ def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key:
     out = stats.join(examples, "term").join(pages, "term", "left")
     if lists:
         out = out.join(file_lists(rows, key, separator), "term")
-    return out.select("term", "frequency", "n_files", "first_file", "score", "best.source", "best.group", "examples", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "page", *["pages", "files"][: 2 * lists])
+    return out.select("term", "frequency", "n_files", "first_file", "score", "best.source", "best.group", "examples", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "page", *["pages", "files", "first_page"][: 3 * lists])
+
+
+def ranked(rows: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
+    """Rows with their place in a total order over all of them, from 1.
+
+    The rows are sorted by range and written with their place in their part;
+    what goes before a part is a sum over one row a part. No task holds more
+    than its range.
+    """
+    placed = Workspace(rows.sparkSession, "ranked").write(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return placed.withColumn("_part", part).join(before, "_part").withColumn(rank, (within + F.col("_before") + 1).cast("long")).drop("_at", "_part", "_before")
+
+
+def aggregate_order() -> list[Column]:
+    """The order of terms over all documents: score, frequency, then the term in Japanese order; the last column makes it total."""
+    return [F.desc("score"), F.desc("frequency"), F.asc(F.collate("term", "ja")), F.asc("term")]
+
+
+def frequency_order() -> list[Column]:
+    """The client's order by frequency: ties stay in the order of the aggregate."""
+    return [F.desc("frequency"), *aggregate_order()]
+
+
+def source_order() -> list[Column]:
+    """The client's order by source of terms aggregated with ``lists``: first file and its lowest page, ties as in the aggregate."""
+    return [F.asc(F.collate(t.source_key("first_file", "first_page"), "ja")), *aggregate_order()]
 
 
 def response_occurrences(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id", limit: int = k.MAX_RESPONSE_OCCURRENCES) -> DataFrame:

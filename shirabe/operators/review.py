@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.functions import constants as k
+from shirabe.functions import text as t
 from shirabe.operators.history import micros
 
 
@@ -36,6 +38,21 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], step: Callable[[obje
     return spread.mapInPandas(run, schema)
 
 
+def checked_requests(requests: DataFrame) -> DataFrame:
+    """Review requests as they come in (status, note and version as text), with ``error``, the trimmed ``note`` and ``expected_version``.
+
+    The first that fails is the error: ``status`` is none of the four, ``version``
+    is no whole number from 0 on (null included), the trimmed ``note`` is longer than
+    2,000 UTF-16 units. A null note is empty. Extra columns stay.
+    """
+    note = t.strip(F.coalesce(F.col("note"), F.lit("")))
+    units = F.length("note") + F.length(F.regexp_replace("note", r"[^\x{10000}-\x{10FFFF}]", ""))
+    number = F.col("version").try_cast("double")
+    whole = F.coalesce((number >= 0) & (number == F.floor(number)), F.lit(False))
+    error = F.when(~t.is_status(F.col("status")), "status").when(~whole, "version").when(units > k.NOTE_MAX, "note")
+    return requests.withColumn("note", note).withColumn("error", error).withColumn("expected_version", F.when(whole, number.cast("int"))).drop("version")
+
+
 def _review_start(row: tuple) -> tuple[int, str] | None:
     return None if row[1] is None else (int(row[1]), row[2])
 

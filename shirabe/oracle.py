@@ -121,6 +121,58 @@ across_docs AS (SELECT a.term, a.frequency, a.n_files, f.file_name AS first_file
 )
 
 
+_RUN = "(?:[一-龥々〆ヵヶA-Za-z0-9%℃°+\\-]|ー*[ァ-ヴ][ァ-ヴー]*)+"
+_CHUNK = "[一-龥々〆ヵヶ]+[ァ-ヴー]+|[ァ-ヴー]+[一-龥々〆ヵヶ]+"
+
+
+def _placed_runs(name: str, pattern: str) -> str:
+    """Runs of a pattern in a sentence with their places, by running sums over all pieces."""
+    return f"""
+{name}_cut AS (SELECT doc_id, sentence_idx, regexp_extract_all(sentence, '(?s){pattern}|.') AS c FROM segments),
+{name}_flat AS (SELECT doc_id, sentence_idx, j, c[j] AS piece FROM {name}_cut, unnest(range(1, len(c) + 1)) AS r(j)),
+{name}_at AS (SELECT doc_id, sentence_idx, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id, sentence_idx ORDER BY j) - length(piece) AS INTEGER) AS start_char FROM {name}_flat),
+{name} AS (SELECT doc_id, sentence_idx, start_char, CAST(start_char + length(piece) AS INTEGER) AS end_char, {cleaned("piece")} AS term FROM {name}_at WHERE regexp_full_match(piece, '{pattern}'))"""
+
+
+def _resolved(score: str, threshold: str) -> str:
+    """Kept spans of the tagged candidates ``once``: longest, then best, then most frequent first, none over another."""
+    clash = "len(list_filter(f.held, lambda h: greatest(h[1], o.start_char) < least(h[2], o.end_char)))"
+    return f"""
+rated AS (SELECT *, {score} AS score FROM once),
+ord AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_idx ORDER BY end_char - start_char DESC, score DESC, raw_frequency DESC, start_char, end_char) AS n FROM rated WHERE score >= {threshold}),
+f AS (SELECT *, true AS kept, [[start_char, end_char]] AS held FROM ord WHERE n = 1
+UNION ALL
+SELECT o.*, {clash} = 0, CASE WHEN {clash} = 0 THEN list_append(f.held, [o.start_char, o.end_char]) ELSE f.held END
+FROM f JOIN ord o ON o.doc_id = f.doc_id AND o.sentence_idx = f.sentence_idx AND o.n = f.n + 1),
+resolved AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, sentence_idx ORDER BY n) - 1 AS INTEGER) AS overlap_rank FROM f WHERE kept)"""
+
+
+TAGGED = (
+    SPANS
+    + f""",{_placed_runs("chunks", _CHUNK)},{_placed_runs("runs", _RUN)},
+two AS (SELECT *, '{k.CHUNK_SOURCE}' AS source FROM chunks WHERE {valid("term")} UNION ALL SELECT *, '{k.COMPOUND_SOURCE}' FROM runs WHERE {valid("term")}),
+every AS (SELECT * FROM two UNION ALL SELECT doc_id, sentence_idx, start_char, end_char, term, source FROM spans s WHERE NOT EXISTS (SELECT 1 FROM two WHERE two.doc_id = s.doc_id AND two.sentence_idx = s.sentence_idx)),
+often AS (SELECT doc_id, term, CAST(count(*) AS INTEGER) AS raw_frequency FROM every GROUP BY doc_id, term),
+once AS (SELECT e.doc_id, e.sentence_idx, e.start_char, e.end_char, e.term, max(e.source) AS source, any_value(o.raw_frequency) AS raw_frequency
+  FROM every e JOIN often o ON o.doc_id = e.doc_id AND o.term = e.term GROUP BY e.doc_id, e.sentence_idx, e.start_char, e.end_char, e.term)"""
+)
+
+LISTS = (
+    ACROSS
+    + """,
+file_pages AS (SELECT s.term, s.file_name, min(s.doc_id) AS first_doc, min(s.page) AS low FROM shown s GROUP BY s.term, s.file_name),
+file_list AS (SELECT term, string_agg(file_name, '; ' ORDER BY first_doc, file_name) AS files, string_agg(file_name, ' ' ORDER BY first_doc, file_name) AS file_words FROM file_pages GROUP BY term),
+page_lines AS (SELECT term, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page) AS pages FROM (SELECT DISTINCT s.term, p.page FROM shown s JOIN spans p ON p.doc_id = s.doc_id AND p.term = s.term WHERE p.page IS NOT NULL) GROUP BY term),
+listed_terms AS (SELECT a.*, f.files, f.file_words, coalesce(l.pages, '-') AS page_list_text, fp.low AS first_page, a.first_file || '-' || lpad(CAST(coalesce(fp.low, 999999) AS VARCHAR), 8, '0') AS source_key
+  FROM across_docs a JOIN file_list f ON f.term = a.term LEFT JOIN page_lines l ON l.term = a.term JOIN file_pages fp ON fp.term = a.term AND fp.file_name = a.first_file)"""
+)
+REVIEWED = "reviewed AS (SELECT a.*, coalesce(t.review_status, 'unreviewed') AS review_status FROM listed_terms a LEFT JOIN terms t ON t.normalized_text = a.term)"
+PERSISTED = """
+returned AS (SELECT * FROM terms_out WHERE rank <= 300),
+stored AS (SELECT normalized_text, id AS term_id FROM terms UNION ALL SELECT DISTINCT term, 'new:' || term FROM returned WHERE term NOT IN (SELECT normalized_text FROM terms)),
+named AS (SELECT r.*, s.term_id, d.extraction_run_id, d.id AS document_id, d.storage_key FROM returned r JOIN stored s ON s.normalized_text = r.term JOIN documents d ON d.doc_id = r.doc_id)"""
+
+
 def cell(expr: str) -> str:
     text = f"coalesce(CAST({expr} AS VARCHAR), '')"
     return f"'\"' || replace(CASE WHEN regexp_matches({text}, '^[=+\\-@]') THEN '''' || {text} ELSE {text} END, '\"', '\"\"') || '\"'"
@@ -194,6 +246,12 @@ def _violations() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _long_text() -> str:
+    from shirabe.queries import LONG_TEXT
+
+    return LONG_TEXT
+
+
 def _raw_candidates() -> str:
     from shirabe.queries import RAW_CANDIDATES
 
@@ -204,6 +262,10 @@ _EXT = "lower(regexp_extract(coalesce(original_name, ''), '[^/\\\\](\\.[^./\\\\]
 _MIME = "CASE " + " ".join(f"WHEN extension = {_quoted(a)} THEN {_quoted(b)}" for a, b in k.MIME_TYPES.items()) + f" ELSE '{k.MIME_DEFAULT}' END"
 _KEY = f"lower(regexp_replace({nfkc('original_name')}, '\\s+', '', 'g'))"
 
+_STATUSES = ", ".join(map(_quoted, k.STATUSES))
+_TARGET = "term || ' ' || file_words"
+_NOTE = "repeat(coalesce(note, ' 注 ') || ' ', 90)"
+
 SQL: dict[str, str] = {
     "sentence_segments": f"WITH {SEGMENTS} SELECT * FROM segments",
     "candidate_spans": f"WITH {SPANS} SELECT doc_id, sentence_idx, start_char, end_char, term, source FROM spans",
@@ -222,18 +284,21 @@ SELECT term, file_name, coalesce(string_agg(CAST(page AS VARCHAR), '|' ORDER BY
 SELECT raw, cleaned, {valid("cleaned")} AS valid FROM c""",
     "heuristic_scores": f"""WITH c AS (SELECT DISTINCT id, term_id, coalesce(frequency, 1) AS n FROM term_candidates)
 SELECT c.id, {score("t.normalized_text", "c.n")} AS score, {group("t.normalized_text")} AS "group" FROM c JOIN terms t ON t.id = c.term_id""",
-    "overlap_resolution": """WITH RECURSIVE s AS (SELECT DISTINCT document_id, sentence_text, start_char, end_char, CAST(score AS DOUBLE) AS score FROM term_occurrences WHERE start_char IS NOT NULL AND end_char IS NOT NULL),
-o AS (SELECT *, row_number() OVER (PARTITION BY document_id, sentence_text ORDER BY end_char - start_char DESC, score DESC, start_char, end_char) AS n FROM s),
-f AS (SELECT document_id, sentence_text, n, start_char, end_char, score, true AS kept, [[start_char, end_char]] AS held FROM o WHERE n = 1
+    "nlp_candidates": f"WITH {TAGGED} SELECT * FROM every",
+    "tagged_terms": f'WITH RECURSIVE {TAGGED},{_resolved(score("term", "raw_frequency"), "0.5")} SELECT doc_id, sentence_idx, overlap_rank, start_char, end_char, term, source, raw_frequency, score, {group("term")} AS "group" FROM resolved',
+    "model_scores": f"WITH RECURSIVE {TAGGED},{_resolved('round(1 / (1 + exp(-length(term) / CAST(8 AS DOUBLE))), 4)', '0.6')} SELECT doc_id, sentence_idx, overlap_rank, start_char, end_char, term, score FROM resolved",
+    "overlap_resolution": """WITH RECURSIVE s AS (SELECT DISTINCT document_id, sentence_text, start_char, end_char, CAST(score AS DOUBLE) AS score, CAST(length(sentence_text) % 3 + start_char % 2 AS INTEGER) AS raw_frequency FROM term_occurrences),
+o AS (SELECT *, row_number() OVER (PARTITION BY document_id, sentence_text ORDER BY start_char - end_char ASC NULLS FIRST, score DESC, raw_frequency DESC NULLS FIRST, start_char ASC NULLS FIRST, end_char ASC NULLS FIRST) AS n FROM s),
+f AS (SELECT document_id, sentence_text, n, start_char, end_char, score, raw_frequency, true AS kept, [[start_char, end_char]] AS held FROM o WHERE n = 1
 UNION ALL
-SELECT o.document_id, o.sentence_text, o.n, o.start_char, o.end_char, o.score, len(list_filter(f.held, lambda h: greatest(h[1], o.start_char) < least(h[2], o.end_char))) = 0,
-  CASE WHEN len(list_filter(f.held, lambda h: greatest(h[1], o.start_char) < least(h[2], o.end_char))) = 0 THEN list_append(f.held, [o.start_char, o.end_char]) ELSE f.held END
+SELECT o.document_id, o.sentence_text, o.n, o.start_char, o.end_char, o.score, o.raw_frequency, len(list_filter(f.held, lambda h: coalesce(greatest(h[1], o.start_char) < least(h[2], o.end_char) AND o.start_char IS NOT NULL AND o.end_char IS NOT NULL AND h[1] IS NOT NULL AND h[2] IS NOT NULL, false))) = 0,
+  CASE WHEN len(list_filter(f.held, lambda h: coalesce(greatest(h[1], o.start_char) < least(h[2], o.end_char) AND o.start_char IS NOT NULL AND o.end_char IS NOT NULL AND h[1] IS NOT NULL AND h[2] IS NOT NULL, false))) = 0 THEN list_append(f.held, [o.start_char, o.end_char]) ELSE f.held END
 FROM f JOIN o ON o.document_id = f.document_id AND o.sentence_text = f.sentence_text AND o.n = f.n + 1)
-SELECT document_id, sentence_text, CAST(row_number() OVER (PARTITION BY document_id, sentence_text ORDER BY n) - 1 AS INTEGER) AS overlap_rank, start_char, end_char, score, 1 AS raw_frequency FROM f WHERE kept""",
-    "catalog_upsert": f"""WITH {TERMS}, e AS (SELECT {strip(nfkc("term"))} AS normalized_text, term, doc_id FROM terms_out), r AS (SELECT *, row_number() OVER (PARTITION BY normalized_text ORDER BY doc_id, term) AS n FROM e)
+SELECT document_id, sentence_text, CAST(row_number() OVER (PARTITION BY document_id, sentence_text ORDER BY n) - 1 AS INTEGER) AS overlap_rank, start_char, end_char, score, raw_frequency FROM f WHERE kept""",
+    "catalog_upsert": f"""WITH {TERMS}, e AS (SELECT {strip(nfkc("term"))} AS normalized_text, term, doc_id FROM terms_out WHERE rank <= 300), r AS (SELECT *, row_number() OVER (PARTITION BY normalized_text ORDER BY doc_id, term) AS n FROM e)
 SELECT normalized_text, term AS term_text FROM r WHERE n = 1 AND normalized_text NOT IN (SELECT normalized_text FROM terms)""",
-    "persist_candidates": f"WITH {TERMS} SELECT d.extraction_run_id, t.term, max(t.score) AS score, CAST(sum(t.frequency) AS INTEGER) AS frequency, max(t.grp) AS candidate_group, max(t.source) AS extraction_source FROM terms_out t JOIN documents d ON d.doc_id = t.doc_id GROUP BY d.extraction_run_id, t.term",
-    "persist_occurrences": f"WITH {TERMS} SELECT d.id AS document_id, s.term, s.page AS page_number, s.sentence AS sentence_text, s.start_char, s.end_char, t.score FROM spans s JOIN terms_out t ON t.doc_id = s.doc_id AND t.term = s.term JOIN documents d ON d.doc_id = s.doc_id",
+    "persist_candidates": f"WITH {TERMS},{PERSISTED} SELECT extraction_run_id || '|' || term_id AS id, extraction_run_id, term_id, max(score) AS score, CAST(sum(frequency) AS INTEGER) AS frequency, max(grp) AS candidate_group, max(source) AS extraction_source FROM named GROUP BY extraction_run_id, term_id",
+    "persist_occurrences": f"WITH {TERMS},{PERSISTED} SELECT n.extraction_run_id || '|' || n.term_id AS term_candidate_id, n.document_id, s.page AS page_number, s.sentence AS sentence_text, s.start_char, s.end_char, n.score FROM spans s JOIN named n ON n.doc_id = s.doc_id AND n.term = s.term WHERE n.storage_key IS NOT NULL AND s.sentence <> ''",
     "json_recordset": "SELECT DISTINCT id, new_status FROM term_review_history WHERE term_id IS NOT NULL",
     "constraint_violations": _violations(),
     "list_terms_page": listing("true", 50, 0),
@@ -263,11 +328,29 @@ SELECT key, seq, outcome, CAST(failures AS INTEGER) AS failures FROM f""",
     "training_rows": f"WITH {TRAINING} SELECT * EXCLUDE (reviewed_iso) FROM train",
     "training_csv_lines": f"WITH {TRAINING} SELECT occurrence_id, {(' || ' + _quoted(',') + ' || ').join(cell(c) for c in _TRAIN)} AS line FROM train",
     "training_jsonl_lines": f"WITH {TRAINING} SELECT occurrence_id, CAST(to_json({{{', '.join(f'{n}: {c}' for n, c in zip(_NAMES, _TRAIN))}}}) AS VARCHAR) AS line FROM train",
-    "candidate_csv_lines": f"""WITH {ACROSS}, v AS (SELECT *, CASE WHEN grp = 'railway_dictionary_hint' THEN 'railwayHint' ELSE 'needsReview' END AS label, substr(split_part(examples, '|', 1), length(first_file) + 3) AS ev, coalesce(CAST(page AS VARCHAR), '-') AS pg FROM across_docs)
-SELECT term, {(' || ' + _quoted(',') + ' || ').join(cell(c) for c in ("term", "score", "frequency", "pg", "first_file", "label", "source", "ev"))} AS line FROM v""",
-    "client_view": f"""WITH {ACROSS} SELECT term, frequency, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS band,
-CASE WHEN length(first_file) > 28 THEN substr(first_file, 1, 25) || '…' ELSE first_file END AS file, first_file || '-' || lpad(CAST(coalesce(page, 999999) AS VARCHAR), 8, '0') AS source_key
-FROM across_docs WHERE grp = 'new_potential_term' AND contains(lower(term || ' ' || first_file), '形')""",
+    "candidate_csv_lines": f"""WITH {LISTS}, v AS (SELECT *, CASE WHEN grp = 'railway_dictionary_hint' THEN 'railwayHint' ELSE 'needsReview' END AS label, substr(split_part(examples, '|', 1), length(first_file) + 3) AS ev FROM listed_terms)
+SELECT term, {(' || ' + _quoted(',') + ' || ').join(cell(c) for c in ("term", "score", "frequency", "page_list_text", "files", "label", "source", "ev"))} AS line FROM v""",
+    "client_view": f"""WITH {LISTS} SELECT term, frequency, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.75 THEN 'medium' ELSE 'low' END AS band,
+CASE WHEN length(first_file) > 28 THEN substr(first_file, 1, 25) || '…' ELSE first_file END AS file, source_key
+FROM listed_terms WHERE grp = 'new_potential_term' AND contains(lower({nfkc(_TARGET)}), '形')""",
+    "client_view_of_file": f"WITH {LISTS}, {REVIEWED} SELECT term, frequency, n_files FROM reviewed WHERE review_status = 'unreviewed' AND contains(lower({nfkc(_TARGET)}), 'pdf')",
+    "client_orders": f"""WITH {LISTS} SELECT term, row_number() OVER (ORDER BY score DESC, frequency DESC, term COLLATE ja, term) AS rank, row_number() OVER (ORDER BY frequency DESC, score DESC, term COLLATE ja, term) AS by_frequency,
+row_number() OVER (ORDER BY source_key COLLATE ja, score DESC, frequency DESC, term COLLATE ja, term) AS by_source FROM listed_terms""",
+    "aggregate_totals": f"WITH {ACROSS} SELECT count(*) AS term_count, 'demo' AS mode, count(*) FILTER (WHERE score < 0.7) AS review_needed FROM across_docs",
+    "terms_with_review": f"WITH {LISTS}, {REVIEWED} SELECT term, frequency, review_status FROM reviewed",
+    "next_unreviewed": f"WITH {LISTS}, {REVIEWED} SELECT term, score, frequency FROM reviewed WHERE review_status = 'unreviewed' AND term <> '信号' ORDER BY score DESC, frequency DESC, term LIMIT 1",
+    "response_occurrences": f"""WITH {ACROSS}, n AS (SELECT s.term, s.doc_id, s.file_name, p.sentence, p.page, p.start_char, p.end_char, s.score, CAST(row_number() OVER (PARTITION BY s.term ORDER BY s.doc_id, p.sentence_idx, p.start_char - p.end_char, p.start_char) - 1 AS INTEGER) AS place
+FROM shown s JOIN spans p ON p.doc_id = s.doc_id AND p.term = s.term) SELECT term, place, doc_id, file_name, sentence, page, start_char, end_char, score FROM n WHERE place < 20""",
+    "top_terms_of_long_text": f"WITH documents AS (SELECT * FROM (VALUES (CAST(1 AS BIGINT), {_quoted(_long_text())}), (2, {_quoted(_long_text()[:200])})) v(doc_id, text)), {TERMS} SELECT doc_id, rank, term, frequency, score FROM terms_out WHERE rank <= 300",
+    "checked_requests": f"""WITH r AS (SELECT DISTINCT * FROM term_review_history), raw AS (SELECT id, term_id, new_status AS status, {strip(_NOTE)} AS note, review_version - 2 AS version FROM r)
+SELECT id, term_id, status, note, CASE WHEN version >= 0 THEN CAST(version AS INTEGER) END AS expected_version,
+CASE WHEN coalesce(status, '') NOT IN ({_STATUSES}) THEN 'status' WHEN version IS NULL OR version < 0 THEN 'version' WHEN length(note) > 2000 THEN 'note' END AS error FROM raw""",
+    "listing_range": "SELECT CASE WHEN count(*) > 0 THEN CAST(51 AS BIGINT) ELSE 0 END AS from_row, least(CAST(100 AS BIGINT), count(*)) AS to_row, count(*) AS total FROM terms WHERE review_status <> 'unreviewed'",
+    "term_detail": f"""WITH {USAGE}, w AS (SELECT id FROM terms UNION SELECT '00000000-0000-4000-8000-000000000000' UNION SELECT 'x'), found AS (SELECT * FROM terms WHERE regexp_matches(id, {_quoted(k.UUID_PATTERN)}))
+SELECT w.id, t.id IS NOT NULL AS found, t.term_text AS term, t.review_status, t.review_version, CASE WHEN t.id IS NOT NULL THEN u.frequency END AS frequency, CASE WHEN t.id IS NOT NULL THEN u.document_count END AS document_count, CASE WHEN t.id IS NOT NULL THEN u.score END AS score
+FROM w LEFT JOIN found t ON t.id = w.id LEFT JOIN usage u ON u.id = w.id""",
+    "status_and_dates": f"""SELECT id, CASE WHEN review_status IN ({_STATUSES}) THEN review_status || 'Status' ELSE 'unreviewedStatus' END AS label, coalesce(strftime(reviewed_at, '%Y/%m/%d %H:%M'), '—') AS reviewed,
+replace(replace(replace(replace(replace(url_encode(term_text), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') AS address FROM terms""",
     "fuzzy_file_match": f"""WITH o AS (SELECT DISTINCT {_KEY} AS k FROM documents WHERE original_name <> ''), i AS (SELECT DISTINCT regexp_replace(k, '\\.[^.]*$', '') AS k FROM o)
 SELECT i.k AS "inner", o.k AS "outer" FROM i JOIN o ON contains(o.k, i.k) WHERE i.k <> ''""",
     "highlight_sentence": """WITH c AS (SELECT DISTINCT id, term_id FROM term_candidates), o AS (SELECT DISTINCT id, term_candidate_id, sentence_text FROM term_occurrences)
@@ -278,7 +361,12 @@ AND NOT regexp_matches(storage_key, '(^|[/\\\\])\\.\\.([/\\\\]|$)|^[/\\\\]|^[A-Z
 SELECT extraction_run_id, doc_id, CASE WHEN place > 20 THEN 'too_many_files' WHEN size_bytes > 31457280 THEN 'too_large' WHEN extension NOT IN ('.pdf', '.docx', '.csv', '.md', '.txt', '') THEN 'unknown_type' WHEN coalesce({strip("text")}, '') = '' THEN 'no_text' END AS error FROM p""",
     "mime_hash": f"WITH e AS (SELECT *, {_EXT} AS extension FROM documents) SELECT doc_id, extension, {_MIME} AS mime, sha256(text) AS hash, regexp_matches(id, {_quoted(k.UUID_PATTERN)}) AS uuid FROM e",
     "run_status_rollup": """WITH r AS (SELECT extraction_run_id, count(*) AS file_count, count(*) FILTER (WHERE status = 'failed' OR error_message IS NOT NULL) AS failed_count, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM documents GROUP BY extraction_run_id)
-SELECT extraction_run_id, CASE WHEN failed_count = file_count THEN 'failed' WHEN failed_count > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, file_count, failed_count, round(bytes / CAST(1048576 AS DOUBLE), 2) AS total_mb FROM r""",
+SELECT extraction_run_id, CASE WHEN failed_count > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, file_count, failed_count, round(bytes / CAST(1048576 AS DOUBLE), 2) AS total_mb FROM r WHERE failed_count < file_count""",
+    "refused_runs": """WITH r AS (SELECT id AS run, status = 'failed' OR error_message IS NOT NULL AS bad FROM documents UNION ALL SELECT extraction_run_id, status = 'failed' OR error_message IS NOT NULL FROM documents)
+SELECT run AS extraction_run_id, count(*) AS file_count FROM r GROUP BY run HAVING bool_and(coalesce(bad, false))""",
+    "page_marked_text": """WITH p AS (SELECT document_id AS id, page_number AS page, min(sentence_text) AS text FROM term_occurrences WHERE page_number IS NOT NULL GROUP BY document_id, page_number)
+SELECT id, string_agg('[[PAGE ' || page || ']]' || chr(10) || coalesce(text, ''), chr(10) ORDER BY page) AS text FROM p GROUP BY id""",
+    "mojibake_names": "SELECT doc_id, original_name AS repaired, original_name AS kept FROM documents",
     "p4_found": """
 WITH clean AS (
   SELECT term_id, review_version, created_at, lower(trim(previous_status)) AS p, lower(trim(new_status)) AS n,

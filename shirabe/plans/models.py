@@ -1,6 +1,7 @@
-"""Places where a language model or tagger can take over candidate generation and scoring.
+"""Candidates from tagged words, and places where a tagger and a language model come in.
 
-No model or tagger comes with this project; the interfaces are tested with stubs.
+No model or tagger comes with this project; what is made of their output is here
+and tested with deterministic ones in their place.
 """
 
 from __future__ import annotations
@@ -9,13 +10,15 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shirabe.functions import constants as k
+from shirabe.functions import text as t
 from shirabe.operators import extract
 
-#: (sentence) -> [(candidate text, start, end, source)], made once per Python worker.
-Tagger = Callable[[str], list[tuple[str, int, int, str]]]
+#: (sentence) -> ([(word, part of speech, start)], [(noun chunk, start)]), made once per Python worker.
+Tagger = Callable[[str], tuple[list[tuple[str, str, int]], list[tuple[str, int]]]]
 #: (sentences, terms) -> probabilities, called with batches, made once per Python worker.
 Scorer = Callable[[list[str], list[str]], list[float]]
 _LOADED: dict[str, object] = {}
@@ -39,23 +42,55 @@ def _loaded(name: str, load: Callable[[], object]) -> object:
     return _LOADED[name]
 
 
-def tagged_candidates(sentences: DataFrame, load: Callable[[], Tagger], name: str, key: str = "doc_id") -> DataFrame:
-    """Candidates by a tagger; sentences for which it finds none fall back to the pattern generator."""
-    from shirabe.functions import text as t
-
-    schema = f"{key} {dict(sentences.dtypes)[key]}, sentence_idx int, page int, sentence string, spans array<struct<start_char:int,end_char:int,raw:string,source:string>>"
+def tagged(sentences: DataFrame, load: Callable[[], Tagger], name: str, key: str = "doc_id") -> DataFrame:
+    """Sentences with their ``words`` (text, pos, start_char) and noun ``chunks`` (text, start_char)."""
+    words = "words array<struct<text:string,pos:string,start_char:int>>, chunks array<struct<text:string,start_char:int>>"
+    schema = f"{key} {dict(sentences.dtypes)[key]}, sentence_idx int, page int, sentence string, {words}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tag = _loaded(name, load)
         for b in batches:
-            found = [[{"start_char": s, "end_char": e, "raw": c, "source": src} for c, s, e, src in tag(x)] for x in b["sentence"]]
-            yield b[[key, "sentence_idx", "page", "sentence"]].assign(page=b["page"].astype("Int32"), spans=found)
+            found = [tag(x) for x in b["sentence"]]
+            yield b[[key, "sentence_idx", "page", "sentence"]].assign(
+                page=b["page"].astype("Int32"),
+                words=[[{"text": w, "pos": p, "start_char": s} for w, p, s in ws] for ws, _ in found],
+                chunks=[[{"text": c, "start_char": s} for c, s in cs] for _, cs in found],
+            )
+
+    return sentences.select(key, "sentence_idx", "page", "sentence").mapInPandas(run, schema)
+
+
+def compounds(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, sentence_idx, n, text, start_char, end_char): the longest rows of words whose part of speech a term can have.
 
-    tagged = sentences.select(key, "sentence_idx", "page", "sentence").mapInPandas(run, schema)
-    cleaned = F.transform("spans", lambda s: F.struct(s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), t.clean_candidate(s["raw"]).alias("candidate"), s["source"].alias("source")))
-    valid = F.filter(cleaned, lambda s: t.valid_candidate(s["candidate"]))
-    chosen = tagged.withColumn("spans", valid).withColumn("spans", F.when(F.size("spans") > 0, F.col("spans")).otherwise(t.candidate_spans(F.col("sentence"))))
-    return chosen.select(key, "sentence_idx", "page", "sentence", F.inline("spans")).withColumnRenamed("candidate", "term")
+    Words wholly in hiragana end a row like any other part of speech. ``n`` is
+    the place of its first word. Groups are one sentence's words.
+    """
+    words = tagged.select(key, "sentence_idx", F.posexplode("words").alias("n", "w")).select(key, "sentence_idx", "n", "w.*")
+    fits = F.coalesce(F.col("pos").isin(*k.TERM_POS) & ~F.col("text").rlike(k.ALL_HIRAGANA), F.lit(False))
+    order = Window.partitionBy(key, "sentence_idx").orderBy("n")
+    rows = words.withColumn("fits", fits).withColumn("row", F.sum((~F.col("fits")).cast("int")).over(order)).where("fits")
+    one = F.array_sort(F.collect_list(F.struct("n", "start_char", "text")))
+    made = rows.groupBy(key, "sentence_idx", "row").agg(one.alias("ws"))
+    last = F.element_at("ws", -1)
+    return made.select(key, "sentence_idx", F.get("ws", F.lit(0))["n"].alias("n"), F.array_join(F.col("ws.text"), "").alias("text"), F.get("ws", F.lit(0))["start_char"].alias("start_char"), (last["start_char"] + F.length(last["text"])).alias("end_char"))
+
+
+def tagged_candidates(sentences: DataFrame, load: Callable[[], Tagger], name: str, key: str = "doc_id") -> DataFrame:
+    """Candidates of two generators, noun chunks and then compounds, with their ``place`` among those of the sentence.
+
+    A span that both give has two rows. Sentences that give no valid candidate
+    fall back to the pattern generator.
+    """
+    words = tagged(sentences, load, name, key)
+    chunks = words.select(key, "sentence_idx", F.posexplode("chunks").alias("n", "c")).select(key, "sentence_idx", "n", "c.text", "c.start_char", (F.col("c.start_char") + F.length("c.text")).alias("end_char"))
+    named = lambda rows, number, source: rows.withColumn("place", F.struct(F.lit(number).alias("generator"), "n")).withColumn("source", F.lit(source)).drop("n")
+    both = named(chunks, 0, k.CHUNK_SOURCE).unionByName(named(compounds(words, key), 1, k.COMPOUND_SOURCE))
+    valid = both.withColumn("term", t.clean_candidate(F.col("text"))).where(t.valid_candidate(F.col("term"))).drop("text")
+    held = sentences.select(key, "sentence_idx", "page", "sentence")
+    rest = held.join(valid.select(key, "sentence_idx").distinct(), [key, "sentence_idx"], "left_anti")
+    plain = extract.candidates(rest, key).withColumn("place", F.struct(F.lit(2).alias("generator"), F.col("start_char").alias("n")))
+    return held.join(valid, [key, "sentence_idx"]).unionByName(plain)
 
 
 def model_scores(pairs: DataFrame, load: Callable[[], Scorer], name: str) -> DataFrame:
@@ -78,10 +113,17 @@ def softmax(logits: list[float]) -> list[float]:
 
 
 def extract_with(documents: DataFrame, threshold: float, tagger: tuple[Callable[[], Tagger], str] | None = None, scorer: tuple[Callable[[], Scorer], str] | None = None, key: str = "doc_id") -> DataFrame:
-    """The general extraction: any generator and scorer, duplicates and overlaps resolved, one row per kept span."""
+    """The general extraction: any generator and scorer, duplicates and overlaps resolved, one row per kept span.
+
+    A term is counted over all generated candidates of its document, before
+    duplicates and the threshold; the heuristic scores by that count.
+    """
     sentences = extract.segment(documents, key)
     spans = tagged_candidates(sentences, *tagger, key) if tagger else extract.candidates(sentences, key)
-    rows = extract.scored(extract.distinct_spans(spans, key), 0.0, key)
+    rows = extract.distinct_spans(extract.counted(spans, key), key)
     if scorer:
-        rows = rows.drop("score").join(model_scores(rows, *scorer), ["sentence", "term"])
-    return extract.resolve_overlaps(rows.where(F.col("score") >= threshold), [key, "sentence_idx"])
+        rows = rows.join(model_scores(rows, *scorer), ["sentence", "term"])
+    else:
+        rows = rows.withColumn("score", t.heuristic_score(F.col("term"), F.col("raw_frequency")))
+    rows = rows.where(F.col("score") >= threshold).withColumn("group", t.group_tag(F.col("term")))
+    return extract.resolve_overlaps(rows, [key, "sentence_idx"])

@@ -22,6 +22,12 @@ THRESHOLD = 0.5
 #: Literal candidates with the awkward forms of the cleaning rules.
 RAW_CANDIDATES = ("(12) 信号機", "第3章信号", "700系", "2-3番線", "ＡＴＳ", "すべて", "・踏切・", "架 線", "1.軌道", "A", "ー", "第１２節 分岐器", "[ホーム]", "a" * 41, "-制御", "12")
 
+#: Kanji beside katakana.
+SCRIPT_CHUNK = "[一-龥々〆ヵヶ]+[ァ-ヴー]+|[ァ-ヴー]+[一-龥々〆ヵヶ]+"
+
+#: A literal text with more terms than a document returns.
+LONG_TEXT = "。".join(f"線{chr(0x4E00 + 7 * i)}区{chr(0x4E00 + 11 * i)}" for i in range(350)) + "。信号機。信号機"
+
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract(load(spark, d, "documents"), THRESHOLD)
@@ -94,22 +100,39 @@ def heuristic_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_resolution(spark: SparkSession, d: str) -> DataFrame:
-    spans = load(spark, d, "term_occurrences").where("start_char IS NOT NULL AND end_char IS NOT NULL")
-    spans = spans.select("document_id", "sentence_text", "start_char", "end_char", F.col("score").cast("double").alias("score"), F.lit(1).alias("raw_frequency")).distinct()
+    spans = load(spark, d, "term_occurrences").select("document_id", "sentence_text", "start_char", "end_char", F.col("score").cast("double").alias("score"), (F.length("sentence_text") % 3 + F.col("start_char") % 2).alias("raw_frequency")).distinct()
     return extract.resolve_overlaps(spans, ["document_id", "sentence_text"])
 
 
+def _returned(spark: SparkSession, d: str) -> DataFrame:
+    """The terms that each document's extraction returns."""
+    return extract.top_terms(_terms(spark, d))
+
+
+def top_terms_of_long_text(spark: SparkSession, d: str) -> DataFrame:
+    """The limit of a document's terms over a literal text that has more of them."""
+    docs = spark.createDataFrame([(1, LONG_TEXT), (2, LONG_TEXT[:200])], "doc_id bigint, text string")
+    return extract.top_terms(extract.extract(docs, THRESHOLD)).select("doc_id", "rank", "term", "frequency", "score")
+
+
 def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.new_terms(load(spark, d, "terms"), _terms(spark, d))
+    return catalog.new_terms(load(spark, d, "terms"), _returned(spark, d))
+
+
+def _persisted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    returned = _returned(spark, d).select("doc_id", "term", "frequency", "score", "source", "group")
+    returned = Workspace(spark, "persist").write(returned)
+    return returned, catalog.stored_terms(load(spark, d, "terms"), returned)
 
 
 def persist_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.run_candidates(_terms(spark, d), load(spark, d, "documents"))
+    returned, stored = _persisted(spark, d)
+    return catalog.run_candidates(returned, load(spark, d, "documents"), stored)
 
 
 def persist_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    spans = _spans(spark, d)
-    return catalog.run_occurrences(spans, extract.terms_by_document(spans, THRESHOLD), load(spark, d, "documents"))
+    returned, stored = _persisted(spark, d)
+    return catalog.run_occurrences(_spans(spark, d), returned, load(spark, d, "documents"), stored)
 
 
 def json_recordset(spark: SparkSession, d: str) -> DataFrame:
@@ -141,6 +164,23 @@ def term_usage(spark: SparkSession, d: str) -> DataFrame:
     return catalog.term_stats(*[load(spark, d, n) for n in ("terms", "term_candidates", "term_occurrences")])
 
 
+def listing_range(spark: SparkSession, d: str) -> DataFrame:
+    """What the second page of 50 shows."""
+    return catalog.listing_range(load(spark, d, "terms"), status="reviewed", offset=50)
+
+
+def term_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Every term by its id, and ids that are unknown or no UUIDs."""
+    other = spark.createDataFrame([("00000000-0000-4000-8000-000000000000",), ("x",)], "id string")
+    return catalog.term_detail(*[load(spark, d, n) for n in ("terms", "term_candidates", "term_occurrences")], load(spark, d, "terms").select("id").unionByName(other))
+
+
+def status_and_dates(spark: SparkSession, d: str) -> DataFrame:
+    """What the client shows of a term's review, and its address."""
+    terms = load(spark, d, "terms")
+    return terms.select("id", t.status_label(F.col("review_status")).alias("label"), t.local_date_time(F.col("reviewed_at")).alias("reviewed"), t.uri_component(F.col("term_text")).alias("address"))
+
+
 def term_evidence(spark: SparkSession, d: str) -> DataFrame:
     return catalog.term_evidence(*[load(spark, d, n) for n in ("term_candidates", "term_occurrences", "documents", "extraction_runs")])
 
@@ -166,6 +206,13 @@ def _unreviewed(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "terms").withColumns(empty | {"updated_at": F.col("created_at")})
 
 
+def checked_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The history's rows as raw requests: statuses as written, versions from below 0, notes drawn out past the limit."""
+    rows = load(spark, d, "term_review_history").distinct()
+    raw = rows.select("id", "term_id", F.col("new_status").alias("status"), F.repeat(F.concat(F.coalesce("note", F.lit(" 注 ")), F.lit(" ")), F.lit(90)).alias("note"), (F.col("review_version") - 2).cast("string").alias("version"))
+    return review.checked_requests(raw).select("id", "term_id", "status", "note", "expected_version", "error")
+
+
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     return review.review_outcomes(_unreviewed(spark, d), _requests(spark, d))
 
@@ -205,14 +252,53 @@ def training_jsonl_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.candidate_csv(extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD, lists=True))
+    return sinks.candidate_csv(_aggregate(spark, d))
+
+
+def _aggregate(spark: SparkSession, d: str, separator: str = "; ") -> DataFrame:
+    return extract.across_documents(_returned(spark, d), _files(spark, d), THRESHOLD, lists=True, separator=separator)
 
 
 def client_view(spark: SparkSession, d: str) -> DataFrame:
-    terms = extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD, lists=True, separator=" ")
-    shown = catalog.client_filter(terms, load(spark, d, "terms"), group=k.NEW_GROUP, search="形")
-    key = F.concat_ws("-", F.coalesce("first_file", F.lit("")), F.lpad(F.coalesce("page", F.lit(999999)).cast("string"), 8, "0"))
-    return shown.select("term", "frequency", t.percent(F.col("score")).alias("percent"), t.score_band(F.col("score")).alias("band"), t.short_name(F.col("first_file")).alias("file"), key.alias("source_key"))
+    shown = catalog.client_filter(_aggregate(spark, d, " "), load(spark, d, "terms"), group=k.NEW_GROUP, search="形")
+    return shown.select("term", "frequency", t.percent(F.col("score")).alias("percent"), t.score_band(F.col("score")).alias("band"), t.short_name(F.col("first_file")).alias("file"), t.source_key("first_file", "first_page").alias("source_key"))
+
+
+def client_view_of_file(spark: SparkSession, d: str) -> DataFrame:
+    """A search that only file names can match, of terms with one review status."""
+    shown = catalog.client_filter(_aggregate(spark, d, " "), load(spark, d, "terms"), status="unreviewed", search="ＰＤＦ")
+    return shown.select("term", "frequency", "n_files")
+
+
+def client_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The rank of each term of the aggregate, and its places in the client's other two orders."""
+    terms = Workspace(spark, "orders").write(_aggregate(spark, d).select("term", "score", "frequency", "first_file", "first_page"))
+    out = extract.ranked(terms, extract.aggregate_order())
+    for order, name in ((extract.frequency_order(), "by_frequency"), (extract.source_order(), "by_source")):
+        out = out.join(extract.ranked(terms, order, name).select("term", name), "term")
+    return out.select("term", "rank", "by_frequency", "by_source")
+
+
+def aggregate_totals(spark: SparkSession, d: str) -> DataFrame:
+    return extract.aggregate_summary(extract.across_documents(_returned(spark, d), _files(spark, d), THRESHOLD))
+
+
+def terms_with_review(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted terms with the review status that the catalog stores."""
+    return catalog.with_review_status(extract.across_documents(_returned(spark, d), _files(spark, d), THRESHOLD).select("term", "frequency"), load(spark, d, "terms"))
+
+
+def next_unreviewed(spark: SparkSession, d: str) -> DataFrame:
+    terms = catalog.with_review_status(extract.across_documents(_returned(spark, d), _files(spark, d), THRESHOLD), load(spark, d, "terms"))
+    return catalog.next_unreviewed(terms, "信号").select("term", "score", "frequency")
+
+
+def response_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """The first occurrences of each term in a response, one row each."""
+    terms = extract.top_terms(extract.terms_by_document(_spans(spark, d), THRESHOLD, occurrences=True))
+    listed = extract.response_occurrences(terms, _files(spark, d), THRESHOLD)
+    rows = listed.select("term", F.posexplode("occurrences").alias("place", "o"))
+    return rows.select("term", "place", F.col("o.documentId").alias("doc_id"), F.col("o.fileName").alias("file_name"), F.col("o.sentence").alias("sentence"), F.col("o.page").alias("page"), F.col("o.startChar").alias("start_char"), F.col("o.endChar").alias("end_char"), F.col("o.score").alias("score"))
 
 
 def fuzzy_file_match(spark: SparkSession, d: str) -> DataFrame:
@@ -244,6 +330,27 @@ def run_status_rollup(spark: SparkSession, d: str) -> DataFrame:
     return catalog.run_status(load(spark, d, "documents"))
 
 
+def refused_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs without a readable document: of the stored runs, and of each document taken for a run of its own, so that there are some."""
+    docs = load(spark, d, "documents")
+    single = docs.select("status", "error_message", "size_bytes", F.col("id").alias("extraction_run_id"))
+    return catalog.refused_runs(single.unionByName(docs.select("status", "error_message", "size_bytes", "extraction_run_id")))
+
+
+def page_marked_text(spark: SparkSession, d: str) -> DataFrame:
+    """Documents put together from a table of pages, here the least sentence of each page of the occurrences."""
+    rows = load(spark, d, "term_occurrences").where("page_number IS NOT NULL")
+    pages = rows.groupBy(F.col("document_id").alias("id"), F.col("page_number").alias("page")).agg(F.min("sentence_text").alias("text"))
+    return files.page_marked(pages, "id")
+
+
+def mojibake_names(spark: SparkSession, d: str) -> DataFrame:
+    """File names as a client sends them that reads UTF-8 as Latin-1, put right again, beside plain ones."""
+    docs = load(spark, d, "documents").select("doc_id", "original_name")
+    broken = docs.select("doc_id", F.decode(F.encode("original_name", "UTF-8"), "ISO-8859-1").alias("sent"))
+    return broken.select("doc_id", t.mojibake_repaired(F.col("sent")).alias("repaired")).join(docs.select("doc_id", t.mojibake_repaired(F.col("original_name")).alias("kept")), "doc_id")
+
+
 def result_json(spark: SparkSession, d: str) -> DataFrame:
     sentences = extract.segment(load(spark, d, "documents"))
     spans = extract.candidates(sentences)
@@ -264,25 +371,35 @@ def docx_text(spark: SparkSession, d: str) -> DataFrame:
     return files.read_documents(spark, f"file://{folder}").drop("path")
 
 
-def _stub_tagger() -> models.Tagger:
+def _script_tagger() -> models.Tagger:
+    """A tagger's place taken by scripts: each run of one script is a word, hiragana are particles, kanji beside katakana are noun chunks."""
     import re
 
-    word = re.compile(r"[A-Z]{2,}-?\d*|[ァ-ヴー]{3,}")
-    return lambda s: [(m.group(), m.start(), m.end(), "stub_tagger") for m in word.finditer(s)]
+    kinds = {"NOUN": "[一-龥々〆ヵヶ]+|[ァ-ヴー]+|[A-Za-z]+", "NUM": "[0-9]+", "SYM": r"[%℃°+\-]", "ADP": "[ぁ-ん]+", "PUNCT": "(?s:.)"}
+    word = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in kinds.items()))
+    chunk = re.compile(SCRIPT_CHUNK)
+    return lambda s: ([(m.group(), m.lastgroup, m.start()) for m in word.finditer(s)], [(m.group(), m.start()) for m in chunk.finditer(s)])
 
 
-def _stub_scorer() -> models.Scorer:
+def _length_scorer() -> models.Scorer:
+    """A model's place taken by the term's length."""
     return lambda sentences, terms: [models.softmax([0.0, len(b) / 8])[1] for _, b in zip(sentences, terms)]
 
 
 def nlp_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates by a stub in the tagger's place."""
-    return models.tagged_candidates(extract.segment(load(spark, d, "documents")), _stub_tagger, "stub_tagger").select("doc_id", "sentence_idx", "start_char", "end_char", "term", "source")
+    """Candidates of both generators over words tagged by their script."""
+    return models.tagged_candidates(extract.segment(load(spark, d, "documents")), _script_tagger, "script_tagger").select("doc_id", "sentence_idx", "start_char", "end_char", "term", "source")
+
+
+def tagged_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The general extraction over tagged words with the heuristic score."""
+    out = models.extract_with(load(spark, d, "documents"), THRESHOLD, (_script_tagger, "script_tagger"))
+    return out.select("doc_id", "sentence_idx", "overlap_rank", "start_char", "end_char", "term", "source", "raw_frequency", "score", "group")
 
 
 def model_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The general extraction with stubs for tagger and model, overlaps resolved."""
-    out = models.extract_with(load(spark, d, "documents"), THRESHOLD, (_stub_tagger, "stub_tagger"), (_stub_scorer, "stub_scorer"))
+    """The general extraction over tagged words, scored by length in a model's place."""
+    out = models.extract_with(load(spark, d, "documents"), 0.6, (_script_tagger, "script_tagger"), (_length_scorer, "length_scorer"))
     return out.select("doc_id", "sentence_idx", "overlap_rank", "start_char", "end_char", "term", "score")
 
 
@@ -312,6 +429,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentence_segments,
         candidate_spans,
         top_terms_per_doc,
+        top_terms_of_long_text,
         term_examples_pages,
         confidence_histogram,
         result_totals,
@@ -329,9 +447,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         list_terms_search,
         list_terms_reviewed,
         term_usage,
+        listing_range,
+        term_detail,
+        status_and_dates,
         term_evidence,
         review_history,
         review_summary,
+        checked_requests,
         apply_reviews_cas,
         reviewed_terms,
         appended_history,
@@ -341,15 +463,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         training_jsonl_lines,
         candidate_csv_lines,
         client_view,
+        client_view_of_file,
+        client_orders,
+        aggregate_totals,
+        terms_with_review,
+        next_unreviewed,
+        response_occurrences,
         fuzzy_file_match,
         highlight_sentence,
         document_lookup,
         admission_check,
         mime_hash,
         run_status_rollup,
+        refused_runs,
+        page_marked_text,
+        mojibake_names,
         result_json,
         docx_text,
         nlp_candidates,
+        tagged_terms,
         model_scores,
         streaming_extract,
         streaming_rate_limit,

@@ -136,3 +136,34 @@ def test_totals_and_next_unreviewed(spark):
     assert {r["term"]: r["review_status"] for r in merged.collect()} == {"信号": "approved", "架線": "unreviewed", "踏切": "unreviewed", "ＡＴＳ": "rejected"}
     assert [r["term"] for r in catalog.next_unreviewed(merged, "信号").collect()] == ["踏切"]
     assert [r["term"] for r in catalog.next_unreviewed(merged, "踏切").collect()] == ["架線"]
+
+
+def test_persisted_rows_have_the_catalogs_ids(spark):
+    terms = spark.createDataFrame([("t1", "信号"), ("t2", None)], "id string, normalized_text string")
+    found = spark.createDataFrame([(1, " 信号", 2, 0.9, "s", "g"), (2, "ＡＴＳ", 1, 0.8, "s", "g"), (3, "信号", 1, 0.95, "s", "g")], "doc_id bigint, term string, frequency int, score double, source string, group string")
+    documents = spark.createDataFrame([(1, "r1", "d1", "k1"), (2, "r1", "d2", None), (3, "r1", "d3", "k3")], "doc_id bigint, extraction_run_id string, id string, storage_key string")
+    stored = catalog.stored_terms(terms, found)
+    assert {tuple(r) for r in stored.collect()} == {("信号", "t1"), ("ATS", "new:ATS")}
+    assert {(r["id"], r["frequency"], r["score"]) for r in catalog.run_candidates(found, documents, stored).collect()} == {("r1|t1", 3, 0.95), ("r1|new:ATS", 1, 0.8)}
+    spans = spark.createDataFrame([(1, " 信号", 1, "信号。", 0, 2), (2, "ＡＴＳ", 1, "x", 0, 2), (3, "信号", None, "", 0, 2)], "doc_id bigint, term string, page int, sentence string, start_char int, end_char int")
+    rows = catalog.run_occurrences(spans, found, documents, stored).collect()
+    assert [(r["term_candidate_id"], r["document_id"], r["page_number"]) for r in rows] == [("r1|t1", "d1", 1)]
+
+
+def test_runs_without_a_readable_document_are_refused(spark):
+    documents = spark.createDataFrame([("a", "failed", None, 1), ("a", "processed", "x", 1), ("b", "processed", None, None), ("c", "failed", None, 1), ("c", "processed", None, 2**21)], "extraction_run_id string, status string, error_message string, size_bytes bigint")
+    assert {(r[0], r[1]) for r in catalog.run_status(documents).collect()} == {("b", "completed"), ("c", "completed_with_errors")}
+    assert [tuple(r) for r in catalog.refused_runs(documents).collect()] == [("a", 2)]
+
+
+def test_checked_requests(spark):
+    from shirabe.operators import review
+
+    rows = [(1, "approved", " ok　", "0"), (2, "Approved", None, "1"), (3, "rejected", "", "-1"), (4, "rejected", "", None), (5, "rejected", "", "1.5"), (6, "uncertain", " " + "注" * 2000 + " ", "3"), (7, "uncertain", "注" * 2001, "3"), (8, "uncertain", "𠮷" * 1001, "3"), (9, None, None, "x")]
+    got = {r["id"]: r for r in review.checked_requests(spark.createDataFrame(rows, "id int, status string, note string, version string")).collect()}
+    assert {i: r["error"] for i, r in got.items()} == {1: None, 2: "status", 3: "version", 4: "version", 5: "version", 6: None, 7: "note", 8: "note", 9: "status"}
+    assert got[1]["note"] == "ok" and got[1]["expected_version"] == 0 and len(got[6]["note"]) == 2000 and got[2]["note"] == ""
+
+
+def test_page_range():
+    assert catalog.page_range(0, 50, 0) == (0, 0) and catalog.page_range(120, 50, 100) == (101, 120)

@@ -61,6 +61,33 @@ def test_overlaps(spark):
     assert [s[:2] for s in got[0]] == [(3, 9), (9, 12)]
 
 
+def test_spans_without_offsets_overlap_nothing(spark):
+    rows = [(1, 0, 5, 0.9, 1), (1, 3, 9, 0.8, 1), (1, None, 7, 0.8, 1), (1, 2, None, 0.8, 1), (1, None, None, 0.8, 1), (1, 4, 4, 0.8, 1)]
+    df = spark.createDataFrame(rows, "s int, start_char int, end_char int, score double, raw_frequency int")
+    kept = {(r["start_char"], r["end_char"]) for r in extract.resolve_overlaps(df, ["s"]).collect()}
+    assert kept == {(3, 9), (None, 7), (2, None), (None, None), (4, 4)}
+
+
+def test_counts_come_before_duplicates(spark):
+    """Two generators give one span: it counts twice, and the first one's source stays."""
+    tag = lambda: lambda s: ([("信号", "NOUN", 0), ("機", "NOUN", 2), ("を", "ADP", 3), ("ATS", "PROPN", 4), ("ーー", "NOUN", 7), ("盤", "X", 9)], [("信号機", 0)])
+    documents = docs(spark, "信号機をATSーー盤。")
+    rows = {(r["term"], r["start_char"], r["end_char"]): r for r in models.extract_with(documents, 0.5, (tag, "two")).collect()}
+    assert set(rows) == {("信号機", 0, 3), ("ATS", 4, 7)}
+    assert rows["信号機", 0, 3]["raw_frequency"] == 2 and rows["信号機", 0, 3]["source"] == "ginza_noun_chunk" and rows["信号機", 0, 3]["score"] == 0.78
+    assert rows["ATS", 4, 7]["raw_frequency"] == 1 and rows["ATS", 4, 7]["source"] == "ginza_compound"
+    none = lambda: lambda s: ([("これ", "PRON", 0)], [])
+    back = models.extract_with(documents, 0.5, (none, "none")).collect()
+    assert {r["source"] for r in back} == {"regex_candidate"} and "信号機" in {r["term"] for r in back}
+
+
+def test_ranked(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("(id * 37) % 1000 AS v", "id % 3 AS g")
+    rows = extract.ranked(df, [df["g"].desc(), df["v"].asc()]).collect()
+    assert [(r["g"], r["v"]) for r in sorted(rows, key=lambda r: r["rank"])] == sorted(((r["g"], r["v"]) for r in rows), key=lambda x: (-x[0], x[1]))
+    assert sorted(r["rank"] for r in rows) == list(range(1, 1001)) and extract.ranked(df.limit(0), [df["v"].asc()]).count() == 0
+
+
 def test_across(spark):
     terms = extract.extract(docs(spark, "信号を確認。", "信号の故障。信号。", "信号線。信号"), 0.5)
     files = spark.createDataFrame([(1, "a.txt"), (2, "b.txt"), (3, "a.txt")], "doc_id bigint, file_name string")

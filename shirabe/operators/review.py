@@ -160,9 +160,17 @@ def judged_attempts(attempts: DataFrame, windows: DataFrame, window_us: int, mos
     return ordered_fold(rows, "key", ["at_us", "seq"], step, start, ["key", "seq", "at_us", "ok", "_failures", "_started"], f"key {kind}, seq bigint, outcome string, failures int, at_us bigint, started bigint")
 
 
-def open_windows(judged: DataFrame, windows: DataFrame) -> DataFrame:
-    """(key, failures, started) after ``judged_attempts``: each key's last window, those of other keys as before."""
+def open_windows(judged: DataFrame, windows: DataFrame, window_us: int | None = None, late_us: int = 0) -> DataFrame:
+    """(key, failures, started) after ``judged_attempts``: each key's last window, those of other keys as before.
+
+    With ``window_us`` those are left out that ended more than ``late_us`` before
+    the latest attempt: an attempt that comes no later than that begins a new one.
+    """
     last = judged.groupBy("key").agg(F.max_by(F.struct("failures", "started"), F.struct("at_us", "seq")).alias("w"))
     changed = last.where("w.started IS NOT NULL").select("key", "w.failures", "w.started")
     same = F.col("key").eqNullSafe(F.col("_key"))
-    return changed.unionByName(windows.join(last.select(F.col("key").alias("_key")), same, "left_anti").select("key", "failures", "started"))
+    whole = changed.unionByName(windows.join(last.select(F.col("key").alias("_key")), same, "left_anti").select("key", "failures", "started"))
+    if window_us is None:
+        return whole
+    latest = judged.agg(F.max("at_us")).scalar()
+    return whole.where(F.coalesce(F.col("started") + window_us + late_us >= latest, F.lit(True)))

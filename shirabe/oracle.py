@@ -367,6 +367,16 @@ SELECT run AS extraction_run_id, count(*) AS file_count FROM r GROUP BY run HAVI
     "page_marked_text": """WITH p AS (SELECT document_id AS id, page_number AS page, min(sentence_text) AS text FROM term_occurrences WHERE page_number IS NOT NULL GROUP BY document_id, page_number)
 SELECT id, string_agg('[[PAGE ' || page || ']]' || chr(10) || coalesce(text, ''), chr(10) ORDER BY page) AS text FROM p GROUP BY id""",
     "mojibake_names": "SELECT doc_id, original_name AS repaired, original_name AS kept FROM documents",
+    "result_json": f"""WITH {TERMS}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE score >= 0.9) AS high, count(*) FILTER (WHERE score >= 0.7 AND score < 0.9) AS medium, count(*) FILTER (WHERE score < 0.7) AS low FROM terms_out GROUP BY doc_id),
+occ AS (SELECT t.doc_id, t.term, list({{sentence: s.sentence, page: s.page, startChar: s.start_char, endChar: s.end_char, score: t.score}} ORDER BY s.sentence_idx, s.start_char - s.end_char, s.start_char) AS occurrences,
+  coalesce(list(DISTINCT s.page ORDER BY s.page) FILTER (WHERE s.page IS NOT NULL), []) AS pages FROM terms_out t JOIN spans s ON s.doc_id = t.doc_id AND s.term = t.term WHERE t.rank <= 300 GROUP BY t.doc_id, t.term),
+ex AS (SELECT doc_id, term, list(sentence ORDER BY n) AS examples FROM numbered WHERE n <= 3 GROUP BY doc_id, term),
+one AS (SELECT t.doc_id, list({{id: t.rank, term: t.term, candidate: t.term, score: t.score, frequency: t.frequency, sentence: o.occurrences[1].sentence, sentence_id: d.original_name || '_s' || t.first_sentence_idx, page: t.page, pages: o.pages,
+  start_char: t.start_char, end_char: t.end_char, source: t.source, "group": t.grp, examples: e.examples, occurrences: o.occurrences}} ORDER BY t.rank) AS terms
+  FROM terms_out t JOIN occ o ON o.doc_id = t.doc_id AND o.term = t.term JOIN ex e ON e.doc_id = t.doc_id AND e.term = t.term JOIN documents d ON d.doc_id = t.doc_id WHERE t.rank <= 300 GROUP BY t.doc_id),
+n AS (SELECT doc_id, count(*) AS sentences FROM segments GROUP BY doc_id)
+SELECT n.doc_id, CAST(to_json({{mode: 'demo', threshold: CAST(0.5 AS DOUBLE), sentenceCount: n.sentences, termCount: coalesce(c.n, 0), terms: coalesce(one.terms, []), summary: {{highConfidence: coalesce(c.high, 0), mediumConfidence: coalesce(c.medium, 0), reviewNeeded: coalesce(c.low, 0)}}}}) AS VARCHAR) AS json
+FROM n LEFT JOIN c ON c.doc_id = n.doc_id LEFT JOIN one ON one.doc_id = n.doc_id""",
     "p4_found": """
 WITH clean AS (
   SELECT term_id, review_version, created_at, lower(trim(previous_status)) AS p, lower(trim(new_status)) AS n,
@@ -378,3 +388,6 @@ SELECT term_id, review_version, n AS status, us AS valid_from_us,
        coalesce(lead(us) OVER (PARTITION BY term_id ORDER BY review_version), -1) AS valid_to_us
 FROM starts""",
 }
+# The streams' results, where a table comes as one batch or documents are independent, are those of the tables.
+SQL["streaming_extract"] = f"WITH {TERMS} SELECT doc_id, rank, term, frequency, score FROM terms_out"
+SQL["streaming_rate_limit"] = SQL["login_rate_limit"]

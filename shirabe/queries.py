@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import zipfile
 from collections.abc import Callable
@@ -360,15 +361,14 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
 
 def docx_text(spark: SparkSession, d: str) -> DataFrame:
     """A DOCX, a text and an unknown file, written and read again."""
-    folder = Workspace(spark, "docx").root.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
+    workspace = Workspace(spark, "docx")
     body = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>閉そく方式を変更した。</w:t></w:r></w:p><w:p><w:r><w:t>信号を確認。</w:t></w:r></w:p></w:body></w:document>'
-    with zipfile.ZipFile(f"{folder}/manual.docx", "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         z.writestr("word/document.xml", body)
-    for name, content in (("notes.txt", "駅長へ連絡。"), ("empty.md", " "), ("scan.png", "x")):
-        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
-            f.write(content)
-    return files.read_documents(spark, f"file://{folder}").drop("path")
+    for name, content in (("manual.docx", packed.getvalue()), ("notes.txt", "駅長へ連絡。".encode()), ("empty.md", b" "), ("scan.png", b"x")):
+        workspace.put(name, content)
+    return files.read_documents(spark, f"{workspace.root}/files").drop("path")
 
 
 def _script_tagger() -> models.Tagger:

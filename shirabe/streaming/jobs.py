@@ -27,13 +27,15 @@ def stream_extract(spark: SparkSession, source: str, schema: StructType, workspa
     return spark.read.parquet(target).drop("batch")
 
 
-def stream_attempts(spark: SparkSession, source: str, schema: StructType, workspace: Workspace, window_us: int, most: int = 5, files_per_batch: int | None = None) -> DataFrame:
+def stream_attempts(spark: SparkSession, source: str, schema: StructType, workspace: Workspace, window_us: int, most: int = 5, files_per_batch: int | None = None, late_us: int = 3_600_000_000) -> DataFrame:
     """Outcomes of attempts, read from event files (user_id, event_id, ts, event_type).
 
     Each micro-batch is judged whole in the order of time, as
     ``review.attempt_outcomes`` does, from the windows that the batch before
     left open. Outcomes and open windows go to folders of the batch's number, so
-    a batch that runs again after a failure replaces its own rows.
+    a batch that runs again after a failure replaces its own rows. Windows that
+    ended more than ``late_us`` before the latest attempt are forgotten; an attempt
+    that comes even later than that begins a new one.
     """
     target, windows = f"{workspace.root}/attempts", f"{workspace.root}/windows"
     reader = spark.readStream.schema(schema)
@@ -47,7 +49,7 @@ def stream_attempts(spark: SparkSession, source: str, schema: StructType, worksp
         before = session.read.parquet(f"{windows}/batch={number - 1}") if number else session.createDataFrame([], "key bigint, failures int, started bigint")
         review.judged_attempts(batch, before, window_us, most).write.mode("overwrite").parquet(f"{target}/batch={number}")
         judged = session.read.parquet(f"{target}/batch={number}")
-        review.open_windows(judged, before).write.mode("overwrite").parquet(f"{windows}/batch={number}")
+        review.open_windows(judged, before, window_us, late_us).write.mode("overwrite").parquet(f"{windows}/batch={number}")
 
     attempts.writeStream.foreachBatch(save).option("checkpointLocation", f"{workspace.root}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).select("key", "seq", "outcome", "failures")

@@ -68,6 +68,15 @@ class Workspace:
         out._shirabe_path = path
         return out
 
+    def put(self, name: str, content: bytes) -> None:
+        """Writes a small file to ``files`` of this workspace, on whatever file system that is."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/files/{name}")
+        out = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+
     def drop(self, df: DataFrame | None) -> None:
         """Removes a table that ``write`` returned."""
         path = getattr(df, "_shirabe_path", None)

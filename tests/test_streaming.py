@@ -48,3 +48,10 @@ def test_windows_stay_open_over_batches(spark, tmp_path, small_arrow_batches):
         spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = jobs.stream_attempts(spark, str(tmp_path / "in"), spark.createDataFrame([], EVENT).schema, Workspace(spark, "t-limit"), 15 * MINUTE, files_per_batch=1)
     assert judged(spark, got) == judged(spark, plain(spark, rows))
+
+
+def test_ended_windows_are_forgotten(spark):
+    judged_rows = spark.createDataFrame([(1, 5, 100 * MINUTE, "failed", 1, 100 * MINUTE), (2, 6, 101 * MINUTE, "ok", 0, None)], "key bigint, seq bigint, at_us bigint, outcome string, failures int, started bigint")
+    before = spark.createDataFrame([(2, 3, 90 * MINUTE), (3, 2, 84 * MINUTE), (4, 2, 87 * MINUTE)], "key bigint, failures int, started bigint")
+    keys = lambda **how: sorted(r["key"] for r in review.open_windows(judged_rows, before, **how).collect())
+    assert keys() == [1, 3, 4] and keys(window_us=15 * MINUTE) == [1, 4] and keys(window_us=15 * MINUTE, late_us=2 * MINUTE) == [1, 3, 4]

@@ -61,6 +61,34 @@ def run_occurrences(spans: DataFrame, terms: DataFrame, documents: DataFrame, st
     )
 
 
+def stored_of(existing: DataFrame, texts: DataFrame) -> DataFrame:
+    """The catalog's rows whose normalized text is among ``texts`` (normalized_text); no text is looked up twice, null ones match nothing."""
+    return existing.join(texts.select("normalized_text").where("normalized_text IS NOT NULL").distinct(), "normalized_text", "left_semi").select(*existing.columns)
+
+
+def without_runs(tables: dict[str, DataFrame], runs: DataFrame) -> dict[str, DataFrame]:
+    """The tables after the runs (id) are deleted: their documents and candidates go with them, and the occurrences of either.
+
+    Terms and their history stay. Null ids delete nothing.
+    """
+    gone = runs.select("id").where("id IS NOT NULL").distinct()
+    left = dict(tables)
+    drop = lambda name, column, ids: left[name].join(ids.select(F.col("id").alias(column)), column, "left_anti").select(*left[name].columns)
+    lost = lambda name, column: tables[name].join(gone.select(F.col("id").alias(column)), column, "left_semi").select("id").distinct()
+    left["extraction_runs"] = drop("extraction_runs", "id", gone)
+    left["documents"] = drop("documents", "extraction_run_id", gone)
+    left["term_candidates"] = drop("term_candidates", "extraction_run_id", gone)
+    left["term_occurrences"] = drop("term_occurrences", "document_id", lost("documents", "extraction_run_id"))
+    left["term_occurrences"] = drop("term_occurrences", "term_candidate_id", lost("term_candidates", "extraction_run_id"))
+    return left
+
+
+def deletable_terms(terms: DataFrame, candidates: DataFrame, history: DataFrame) -> DataFrame:
+    """(id) of the terms that neither a candidate nor a history row refers to: deleting any other is refused."""
+    held = candidates.select("term_id").unionByName(history.select("term_id")).where("term_id IS NOT NULL").distinct()
+    return terms.select("id").join(held.select(F.col("term_id").alias("id")), "id", "left_anti")
+
+
 def recordset(df: DataFrame, column: str, schema: str) -> DataFrame:
     """Rows of a JSON array of objects, by an explicit schema; missing fields are null."""
     return df.select(F.inline(F.from_json(column, f"array<struct<{schema}>>")))

@@ -367,6 +367,17 @@ SELECT run AS extraction_run_id, count(*) AS file_count FROM r GROUP BY run HAVI
     "page_marked_text": """WITH p AS (SELECT document_id AS id, page_number AS page, min(sentence_text) AS text FROM term_occurrences WHERE page_number IS NOT NULL GROUP BY document_id, page_number)
 SELECT id, string_agg('[[PAGE ' || page || ']]' || chr(10) || coalesce(text, ''), chr(10) ORDER BY page) AS text FROM p GROUP BY id""",
     "mojibake_names": "SELECT doc_id, original_name AS repaired, original_name AS kept FROM documents",
+    "stored_terms_of_run": f"WITH {TERMS} SELECT id, normalized_text, review_status, review_version FROM terms WHERE normalized_text IN (SELECT term FROM terms_out WHERE rank <= 300)",
+    "extraction_run": f"""WITH {TERMS},{PERSISTED}, r AS (SELECT extraction_run_id, count(*) AS file_count, count(*) FILTER (WHERE status = 'failed' OR error_message IS NOT NULL) AS failed_count FROM documents GROUP BY extraction_run_id),
+sc AS (SELECT d.extraction_run_id, count(*) AS n FROM segments s JOIN documents d ON d.doc_id = s.doc_id GROUP BY d.extraction_run_id), cc AS (SELECT extraction_run_id, count(DISTINCT term_id) AS n FROM named GROUP BY extraction_run_id)
+SELECT r.extraction_run_id, CASE WHEN failed_count > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status, file_count, failed_count, coalesce(sc.n, 0) AS sentence_count, coalesce(cc.n, 0) AS candidate_count
+FROM r LEFT JOIN sc ON sc.extraction_run_id = r.extraction_run_id LEFT JOIN cc ON cc.extraction_run_id = r.extraction_run_id WHERE failed_count < file_count""",
+    "rows_after_deletion": """WITH gone AS (SELECT id FROM extraction_runs WHERE status = 'processing'), c AS (SELECT * FROM term_candidates WHERE extraction_run_id NOT IN (SELECT id FROM gone)),
+lost_docs AS (SELECT id FROM documents WHERE extraction_run_id IN (SELECT id FROM gone)), lost_cands AS (SELECT id FROM term_candidates WHERE extraction_run_id IN (SELECT id FROM gone))
+SELECT 'extraction_runs' AS table_name, count(*) AS n FROM extraction_runs WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'documents', count(*) FROM documents WHERE extraction_run_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'terms', count(*) FROM terms UNION ALL SELECT 'term_candidates', count(*) FROM c UNION ALL SELECT 'term_review_history', count(*) FROM term_review_history
+UNION ALL SELECT 'term_occurrences', count(*) FROM term_occurrences WHERE document_id NOT IN (SELECT id FROM lost_docs) AND term_candidate_id NOT IN (SELECT id FROM lost_cands)
+UNION ALL SELECT 'deletable_terms', count(*) FROM terms WHERE id NOT IN (SELECT term_id FROM c WHERE term_id IS NOT NULL) AND id NOT IN (SELECT term_id FROM term_review_history WHERE term_id IS NOT NULL)""",
     "result_json": f"""WITH {TERMS}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE score >= 0.9) AS high, count(*) FILTER (WHERE score >= 0.7 AND score < 0.9) AS medium, count(*) FILTER (WHERE score < 0.7) AS low FROM terms_out GROUP BY doc_id),
 occ AS (SELECT t.doc_id, t.term, list({{sentence: s.sentence, page: s.page, startChar: s.start_char, endChar: s.end_char, score: t.score}} ORDER BY s.sentence_idx, s.start_char - s.end_char, s.start_char) AS occurrences,
   coalesce(list(DISTINCT s.page ORDER BY s.page) FILTER (WHERE s.page IS NOT NULL), []) AS pages FROM terms_out t JOIN spans s ON s.doc_id = t.doc_id AND s.term = t.term WHERE t.rank <= 300 GROUP BY t.doc_id, t.term),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shirabe.functions import constants as k
 from shirabe.functions import text as t
 from shirabe.operators import catalog, extract, history, names, review
+from shirabe.plans import jobs as plan_jobs
 from shirabe.plans import models
 from shirabe.sources import files, sinks
 from shirabe.streaming import jobs
@@ -352,11 +353,31 @@ def mojibake_names(spark: SparkSession, d: str) -> DataFrame:
     return broken.select("doc_id", t.mojibake_repaired(F.col("sent")).alias("repaired")).join(docs.select("doc_id", t.mojibake_repaired(F.col("original_name")).alias("kept")), "doc_id")
 
 
+def stored_terms_of_run(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog's rows for the terms that an extraction returns."""
+    texts = _returned(spark, d).select(F.col("term").alias("normalized_text"))
+    return catalog.stored_of(load(spark, d, "terms"), texts).select("id", "normalized_text", "review_status", "review_version")
+
+
+def extraction_run(spark: SparkSession, d: str) -> DataFrame:
+    """The run rows of an extraction over all documents."""
+    return plan_jobs.extraction_run(load(spark, d, "documents"), load(spark, d, "terms"), THRESHOLD)["runs"]
+
+
+def rows_after_deletion(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each table has left after the runs that never ended are deleted, and how many terms could be deleted then."""
+    tables = {n: load(spark, d, n) for n in ("extraction_runs", "documents", "terms", "term_candidates", "term_occurrences", "term_review_history")}
+    left = catalog.without_runs(tables, tables["extraction_runs"].where("status = 'processing'"))
+    left["deletable_terms"] = catalog.deletable_terms(left["terms"], left["term_candidates"], left["term_review_history"])
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n, df in left.items()]
+    whole = counts[0]
+    for part in counts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def result_json(spark: SparkSession, d: str) -> DataFrame:
-    sentences = extract.segment(load(spark, d, "documents"))
-    spans = extract.candidates(sentences)
-    summary = extract.document_summary(sentences, extract.terms_by_document(spans, THRESHOLD))
-    return sinks.result_json(extract.terms_by_document(spans, THRESHOLD, occurrences=True), summary, _files(spark, d), THRESHOLD)
+    return plan_jobs.results(load(spark, d, "documents"), _files(spark, d), THRESHOLD)
 
 
 def docx_text(spark: SparkSession, d: str) -> DataFrame:
@@ -478,6 +499,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         refused_runs,
         page_marked_text,
         mojibake_names,
+        stored_terms_of_run,
+        extraction_run,
+        rows_after_deletion,
         result_json,
         docx_text,
         nlp_candidates,

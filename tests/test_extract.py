@@ -94,3 +94,28 @@ def test_across(spark):
     row = extract.across_documents(terms, files, 0.5).where("term = '信号'").first()
     assert (row["frequency"], row["n_files"], row["first_file"], row["score"]) == (4, 2, "a.txt", 0.78)
     assert row["examples"] == ["a.txt: 信号を確認。", "b.txt: 信号の故障。", "b.txt: 信号。"]
+
+
+def test_one_payload(spark):
+    from shirabe.plans import jobs
+
+    payload = {"text": "[[PAGE 2]]\n閉そく方式を確認する。閉そく方式を変更する。", "threshold": 0.5, "fileName": "sample.pdf", "modelDir": "/missing"}
+    result = jobs.extract_one(spark, payload)
+    repeated = next(term for term in result["terms"] if term["term"] == "方式")
+    assert (result["mode"], repeated["frequency"], [o["page"] for o in repeated["occurrences"]]) == ("demo", 2, [2, 2])
+    assert all("方式" in o["sentence"] for o in repeated["occurrences"]) and repeated["sentence_id"] == "sample.pdf_s0"
+    assert jobs.extract_one(spark, {"text": None})["terms"] == []
+
+
+def test_a_run(spark):
+    from shirabe.plans import jobs
+
+    columns = "doc_id bigint, id string, extraction_run_id string, original_name string, storage_key string, text string, status string, error_message string, size_bytes bigint"
+    rows = [(1, "d1", "r1", "a.txt", "k1", "信号を確認。信号の故障。", "processed", None, 9), (2, "d2", "r1", "b.txt", None, None, "failed", "unreadable", 9), (3, "d3", "r2", "c.txt", None, None, "failed", "unreadable", 9)]
+    stored = spark.createDataFrame([("t1", "信号", "approved", 3)], "id string, normalized_text string, review_status string, review_version int")
+    out = {n: df.collect() for n, df in jobs.extraction_run(spark.createDataFrame(rows, columns), stored, 0.5).items()}
+    assert [tuple(r) for r in out["runs"]] == [("r1", "completed_with_errors", 2, 1, 2, 3)] and [r[0] for r in out["refused"]] == ["r2"]
+    assert {r["normalized_text"] for r in out["terms"]} == {"確認", "故障"} and {r["term_id"] for r in out["candidates"]} == {"t1", "new:確認", "new:故障"}
+    assert {(r["term_candidate_id"], r["document_id"]) for r in out["occurrences"]} == {("r1|t1", "d1"), ("r1|new:確認", "d1"), ("r1|new:故障", "d1")}
+    assert {(r["term"], r["review_status"], r["files"]) for r in out["aggregate"]} == {("信号", "approved", "a.txt"), ("確認", "unreviewed", "a.txt"), ("故障", "unreviewed", "a.txt")}
+    assert {r["term"]: len(r["occurrences"]) for r in out["response"]} == {"信号": 2, "確認": 1, "故障": 1}

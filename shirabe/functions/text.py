@@ -124,6 +124,85 @@ def candidate_spans(sentence: Column) -> Column:
     return _candidate_spans(sentence)
 
 
+_INT = IntegerType()
+_TERMS = StructType([StructField("term", StringType()), StructField("frequency", _INT), StructField("page", _INT), StructField("pages", ArrayType(_INT)), StructField("seen", ArrayType(_INT)), StructField("sentence_idx", _INT), StructField("start_char", _INT), StructField("end_char", _INT)])
+_PLACES = StructType([StructField("sentence_idx", _INT), StructField("start_char", _INT), StructField("end_char", _INT)])
+
+
+def _lists(rows: list[list], values: pa.Array | None = None, kind: pa.DataType = pa.int32()) -> pa.ListArray:
+    """An array of lists; of ``values`` cut to their lengths, or of the rows' own."""
+    offsets = [0]
+    for row in rows:
+        offsets.append(offsets[-1] + len(row))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if values is not None else pa.array([x for row in rows for x in row], kind))
+
+
+def _places(spans: list[tuple[int, int, int]]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array([x[i] for x in spans], pa.int32()) for i in range(3)], _PLACES.fieldNames())
+
+
+def _grouped(records: pa.Array, every: bool) -> pa.Array:
+    """For each document's (page, sentence) records its terms, in no order."""
+    documents, terms = [], []
+    for record in records.to_pylist():
+        found: dict[str, list] = {}
+        for index, one in enumerate(record or ()):
+            sentence, page = one["sentence"], one["page"]
+            for run in RUN.finditer(sentence):
+                term = _term_of(run.group())
+                if term is None:
+                    continue
+                place = (index, run.start(), run.end())
+                held = found.get(term)
+                if held is None:
+                    found[term] = held = [[], set(), [], set()]
+                held[0].append(place)
+                if page is not None:
+                    held[1].add(page)
+                if len(held[2]) < k.MAX_EXAMPLES and sentence not in held[3]:
+                    held[2].append(index)
+                    held[3].add(sentence)
+        for held in found.values():
+            held[0].sort(key=lambda p: (p[0], p[1] - p[2], p[1]))
+        documents.append(list(found))
+        terms += found.items()
+    pages = [sorted(held[1]) for _, held in terms]
+    first = [held[0][0] for _, held in terms]
+    columns = [
+        pa.array([term for term, _ in terms], pa.string()),
+        pa.array([len(held[0]) for _, held in terms], pa.int32()),
+        pa.array([p[0] if p else None for p in pages], pa.int32()),
+        _lists(pages),
+        _lists([held[2] for _, held in terms]),
+        *[pa.array([place[i] for place in first], pa.int32()) for i in range(3)],
+    ]
+    names = _TERMS.fieldNames()
+    if every:
+        columns.append(_lists([held[0] for _, held in terms], _places([p for _, held in terms for p in held[0]])))
+        names = [*names, "places"]
+    return _lists(documents, pa.StructArray.from_arrays(columns, names))
+
+
+@F.arrow_udf(ArrayType(_TERMS))
+def _document_terms(records: pa.Array) -> pa.Array:
+    return _grouped(records, False)
+
+
+@F.arrow_udf(ArrayType(StructType([*_TERMS.fields, StructField("places", ArrayType(_PLACES))])))
+def _document_terms_and_places(records: pa.Array) -> pa.Array:
+    return _grouped(records, True)
+
+
+def document_terms(records: Column, places: bool = False) -> Column:
+    """The terms of a document's array of (page, sentence), in no order.
+
+    For each its frequency, pages, the sentences of its examples (``seen``, by
+    number: the first three that differ), and its first place, by sentence, length
+    (longest first) and start; with ``places`` all of them in that order.
+    """
+    return (_document_terms_and_places if places else _document_terms)(records)
+
+
 def heuristic_score(term: Column, frequency: Column, hints: tuple[str, ...] = k.HINTS) -> Column:
     """Score of a term from its length, scripts, domain words and count in the document."""
     part = lambda condition, value: F.when(condition, F.lit(value)).otherwise(F.lit(0.0))

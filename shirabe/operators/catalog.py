@@ -42,21 +42,21 @@ def run_candidates(terms: DataFrame, documents: DataFrame, stored: DataFrame) ->
     return grouped.select(F.concat_ws("|", "extraction_run_id", "term_id").alias("id"), "*")
 
 
-def run_occurrences(spans: DataFrame, terms: DataFrame, documents: DataFrame, stored: DataFrame) -> DataFrame:
-    """Evidence rows of the runs: each span of the returned terms with its candidate's and its document's id, found by storage key.
+def run_occurrences(terms: DataFrame, documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """Evidence rows of the runs: each of the returned terms' ``occurrences`` with its candidate's and its document's id, found by storage key.
 
     Documents without stored bytes and empty sentences are left out.
     """
-    kept = _with_term_id(terms.select("doc_id", "term", "score"), stored)
+    rows = _with_term_id(terms.select("doc_id", "term", "occurrences"), stored)
     docs = documents.where("storage_key IS NOT NULL").select("doc_id", "extraction_run_id", F.col("id").alias("document_id"))
-    rows = spans.where("sentence <> ''").join(kept, ["doc_id", "term"]).join(docs, "doc_id")
-    return rows.select(
-        F.concat_ws("|", "extraction_run_id", "term_id").alias("term_candidate_id"),
+    placed = rows.join(docs, "doc_id").select(F.concat_ws("|", "extraction_run_id", "term_id").alias("term_candidate_id"), "document_id", F.inline("occurrences")).where("sentence <> ''")
+    return placed.select(
+        "term_candidate_id",
         "document_id",
         F.col("page").alias("page_number"),
         F.col("sentence").alias("sentence_text"),
-        "start_char",
-        "end_char",
+        F.col("startChar").alias("start_char"),
+        F.col("endChar").alias("end_char"),
         "score",
     )
 

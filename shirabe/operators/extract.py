@@ -27,11 +27,16 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", termi
     A narrow plan: one Arrow stage for NFKC, all else on arrays inside the row.
     Null and empty texts give no rows.
     """
+    return _records(documents, key, text, terminators).select(key, F.posexplode("_records").alias("sentence_idx", "_r")).select(key, "sentence_idx", F.col("_r.page").alias("page"), F.col("_r.sentence").alias("sentence"))
+
+
+def _records(documents: DataFrame, key: str, text: str, terminators: str = k.TERMINATORS) -> DataFrame:
+    """(key, _records): each document's array of (page, sentence)."""
     # No filter on the normalized text: it would be pushed down and normalize everything twice.
     normal = spread(documents.select(key, text).where(F.col(text) != "")).select(key, t.normalize_text(F.col(text)).alias("_text"))
     found = normal.select(key, "_text", t.paged_sentences(F.col("_text"), terminators).alias("_found"))
     records = F.when(F.size("_found") > 0, F.col("_found")).otherwise(t.unpaged_sentences(F.col("_text"), terminators))
-    return found.select(key, F.posexplode(records).alias("sentence_idx", "_r")).select(key, "sentence_idx", F.col("_r.page").alias("page"), F.col("_r.sentence").alias("sentence"))
+    return found.select(key, records.alias("_records"))
 
 
 def candidates(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -127,9 +132,46 @@ def terms_by_document(rows: DataFrame, threshold: float, key: str = "doc_id", oc
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def extract(documents: DataFrame, threshold: float = k.THRESHOLD_DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ranked terms of each document; see ``terms_by_document``."""
-    return terms_by_document(candidates(segment(documents, key, text), key), threshold, key)
+def extract(documents: DataFrame, threshold: float = k.THRESHOLD_DEFAULT, key: str = "doc_id", text: str = "text", examples: bool = True, occurrences: bool = False) -> DataFrame:
+    """Ranked terms of each document, without a shuffle; the columns of ``terms_by_document``, and ``sentence_count``.
+
+    All that a term's row says is in its document's row, so terms are counted,
+    scored and ranked there; nothing is grouped across rows, and a document takes
+    memory by its own text. Without ``examples`` no sentence is carried along.
+    """
+    found = _records(documents, key, text).withColumn("_terms", t.document_terms(F.col("_records"), occurrences))
+    at = lambda i: F.get("_records", i)
+
+    def one(x: Column) -> Column:
+        score = t.heuristic_score(x["term"], x["frequency"])
+        rest = [x[c].alias(c) for c in ("page", "pages", "sentence_idx", "start_char", "end_char")]
+        if examples:
+            rest.append(F.transform(x["seen"], lambda i: at(i)["sentence"]).alias("examples"))
+        if occurrences:
+            told = lambda o: F.struct(at(o["sentence_idx"])["sentence"].alias("sentence"), at(o["sentence_idx"])["page"].alias("page"), o["start_char"].alias("startChar"), o["end_char"].alias("endChar"), score.alias("score"))
+            rest.append(F.transform(x["places"], told).alias("occurrences"))
+        return F.struct((-score).alias("lower"), (-x["frequency"]).alias("rarer"), x["term"].alias("term"), *rest)
+
+    ordered = F.array_sort(F.filter(F.transform("_terms", one), lambda x: -x["lower"] >= threshold))
+    rows = found.select(key, F.size("_records").alias("sentence_count"), F.posexplode(ordered).alias("_at", "_t"))
+    return rows.select(
+        key,
+        F.col("_t.term").alias("term"),
+        (-F.col("_t.rarer")).alias("frequency"),
+        (-F.col("_t.rarer")).alias("raw_frequency"),
+        (-F.col("_t.lower")).alias("score"),
+        t.group_tag(F.col("_t.term")).alias("group"),
+        F.lit(k.REGEX_SOURCE).alias("source"),
+        F.col("_t.page").alias("page"),
+        F.col("_t.pages").alias("pages"),
+        *([F.col("_t.examples").alias("examples")] if examples else []),
+        F.col("_t.sentence_idx").alias("first_sentence_idx"),
+        F.col("_t.start_char").alias("start_char"),
+        F.col("_t.end_char").alias("end_char"),
+        *([F.col("_t.occurrences").alias("occurrences")] if occurrences else []),
+        (F.col("_at") + 1).alias("rank"),
+        "sentence_count",
+    )
 
 
 def top_terms(terms: DataFrame, limit: int = k.MAX_TERMS_PER_DOCUMENT) -> DataFrame:

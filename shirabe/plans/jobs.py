@@ -16,10 +16,8 @@ from shirabe.tables import Workspace
 
 def results(documents: DataFrame, files: DataFrame, threshold: float, mode: str = "demo") -> DataFrame:
     """(doc_id, json): the nested result of each document (doc_id, text); ``files`` has (doc_id, file_name)."""
-    sentences = extract.segment(documents)
-    spans = extract.candidates(sentences)
-    summary = extract.document_summary(sentences, extract.terms_by_document(spans, threshold))
-    return sinks.result_json(extract.terms_by_document(spans, threshold, occurrences=True), summary, files, threshold, mode)
+    summary = extract.document_summary(extract.segment(documents), extract.extract(documents, threshold, examples=False))
+    return sinks.result_json(extract.extract(documents, threshold, occurrences=True), summary, files, threshold, mode)
 
 
 def extract_one(spark: SparkSession, payload: dict) -> dict:
@@ -48,9 +46,8 @@ def extraction_run(documents: DataFrame, stored: DataFrame, threshold: float = k
     """
     kept = documents.join(catalog.refused_runs(documents).select("extraction_run_id"), "extraction_run_id", "left_anti")
     sentences = extract.segment(kept)
-    spans = extract.candidates(sentences)
     ws = Workspace(documents.sparkSession, "run")
-    returned = ws.write(extract.top_terms(extract.terms_by_document(spans, threshold, occurrences=True)), "returned")
+    returned = ws.write(extract.top_terms(extract.extract(kept, threshold, occurrences=True)), "returned")
     files = kept.select("doc_id", F.col("original_name").alias("file_name"))
     ids = catalog.stored_terms(stored, returned)
     counts = sentences.groupBy("doc_id").agg(F.count("*").alias("n")).join(kept.select("doc_id", "extraction_run_id"), "doc_id").groupBy("extraction_run_id").agg(F.sum("n").alias("sentence_count"))
@@ -63,7 +60,7 @@ def extraction_run(documents: DataFrame, stored: DataFrame, threshold: float = k
         "refused": catalog.refused_runs(documents),
         "terms": catalog.new_terms(stored, returned),
         "candidates": candidates,
-        "occurrences": catalog.run_occurrences(spans, returned, kept, ids),
+        "occurrences": catalog.run_occurrences(returned, kept, ids),
         "aggregate": catalog.with_review_status(extract.across_documents(returned, files, threshold, lists=True), stored),
         "response": extract.response_occurrences(returned, files, threshold),
     }

@@ -31,8 +31,8 @@ SCRIPT_CHUNK = "[一-龥々〆ヵヶ]+[ァ-ヴー]+|[ァ-ヴー]+[一-龥々〆
 LONG_TEXT = "。".join(f"線{chr(0x4E00 + 7 * i)}区{chr(0x4E00 + 11 * i)}" for i in range(350)) + "。信号機。信号機"
 
 
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract(load(spark, d, "documents"), THRESHOLD)
+def _terms(spark: SparkSession, d: str, examples: bool = False) -> DataFrame:
+    return extract.extract(load(spark, d, "documents"), THRESHOLD, examples=examples)
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
@@ -65,13 +65,12 @@ def top_terms_per_doc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_examples_pages(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d).select("doc_id", "term", _joined("pages"), _joined("examples"))
+    return _terms(spark, d, True).select("doc_id", "term", _joined("pages"), _joined("examples"))
 
 
 def confidence_histogram(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
-    sentences = extract.segment(docs)
-    return extract.document_summary(sentences, extract.terms_by_document(extract.candidates(sentences), THRESHOLD))
+    return extract.document_summary(extract.segment(docs), extract.extract(docs, THRESHOLD, examples=False))
 
 
 def result_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +79,7 @@ def result_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aggregate_across_docs(spark: SparkSession, d: str) -> DataFrame:
-    out = extract.across_documents(extract.top_terms(_terms(spark, d)), _files(spark, d), THRESHOLD)
+    out = extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD)
     return out.withColumn("examples", F.array_join("examples", "|"))
 
 
@@ -106,9 +105,9 @@ def overlap_resolution(spark: SparkSession, d: str) -> DataFrame:
     return extract.resolve_overlaps(spans, ["document_id", "sentence_text"])
 
 
-def _returned(spark: SparkSession, d: str) -> DataFrame:
+def _returned(spark: SparkSession, d: str, examples: bool = False) -> DataFrame:
     """The terms that each document's extraction returns."""
-    return extract.top_terms(_terms(spark, d))
+    return extract.top_terms(_terms(spark, d, examples))
 
 
 def top_terms_of_long_text(spark: SparkSession, d: str) -> DataFrame:
@@ -121,9 +120,10 @@ def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
     return catalog.new_terms(load(spark, d, "terms"), _returned(spark, d))
 
 
-def _persisted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    returned = _returned(spark, d).select("doc_id", "term", "frequency", "score", "source", "group")
-    returned = Workspace(spark, "persist").write(returned)
+def _persisted(spark: SparkSession, d: str, occurrences: bool = False) -> tuple[DataFrame, DataFrame]:
+    returned = extract.top_terms(extract.extract(load(spark, d, "documents"), THRESHOLD, examples=False, occurrences=occurrences))
+    columns = ["doc_id", "term", "frequency", "score", "source", "group", *["occurrences"] * occurrences]
+    returned = Workspace(spark, "persist").write(returned.select(*columns))
     return returned, catalog.stored_terms(load(spark, d, "terms"), returned)
 
 
@@ -133,8 +133,8 @@ def persist_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def persist_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    returned, stored = _persisted(spark, d)
-    return catalog.run_occurrences(_spans(spark, d), returned, load(spark, d, "documents"), stored)
+    returned, stored = _persisted(spark, d, True)
+    return catalog.run_occurrences(returned, load(spark, d, "documents"), stored)
 
 
 def json_recordset(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +258,7 @@ def candidate_csv_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aggregate(spark: SparkSession, d: str, separator: str = "; ") -> DataFrame:
-    return extract.across_documents(_returned(spark, d), _files(spark, d), THRESHOLD, lists=True, separator=separator)
+    return extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD, lists=True, separator=separator)
 
 
 def client_view(spark: SparkSession, d: str) -> DataFrame:
@@ -282,22 +282,22 @@ def client_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aggregate_totals(spark: SparkSession, d: str) -> DataFrame:
-    return extract.aggregate_summary(extract.across_documents(_returned(spark, d), _files(spark, d), THRESHOLD))
+    return extract.aggregate_summary(extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD))
 
 
 def terms_with_review(spark: SparkSession, d: str) -> DataFrame:
     """Extracted terms with the review status that the catalog stores."""
-    return catalog.with_review_status(extract.across_documents(_returned(spark, d), _files(spark, d), THRESHOLD).select("term", "frequency"), load(spark, d, "terms"))
+    return catalog.with_review_status(extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD).select("term", "frequency"), load(spark, d, "terms"))
 
 
 def next_unreviewed(spark: SparkSession, d: str) -> DataFrame:
-    terms = catalog.with_review_status(extract.across_documents(_returned(spark, d), _files(spark, d), THRESHOLD), load(spark, d, "terms"))
+    terms = catalog.with_review_status(extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD), load(spark, d, "terms"))
     return catalog.next_unreviewed(terms, "信号").select("term", "score", "frequency")
 
 
 def response_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """The first occurrences of each term in a response, one row each."""
-    terms = extract.top_terms(extract.terms_by_document(_spans(spark, d), THRESHOLD, occurrences=True))
+    terms = extract.top_terms(extract.extract(load(spark, d, "documents"), THRESHOLD, occurrences=True))
     listed = extract.response_occurrences(terms, _files(spark, d), THRESHOLD)
     rows = listed.select("term", F.posexplode("occurrences").alias("place", "o"))
     return rows.select("term", "place", F.col("o.documentId").alias("doc_id"), F.col("o.fileName").alias("file_name"), F.col("o.sentence").alias("sentence"), F.col("o.page").alias("page"), F.col("o.startChar").alias("start_char"), F.col("o.endChar").alias("end_char"), F.col("o.score").alias("score"))

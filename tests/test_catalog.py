@@ -140,13 +140,16 @@ def test_totals_and_next_unreviewed(spark):
 
 def test_persisted_rows_have_the_catalogs_ids(spark):
     terms = spark.createDataFrame([("t1", "信号"), ("t2", None)], "id string, normalized_text string")
-    found = spark.createDataFrame([(1, " 信号", 2, 0.9, "s", "g"), (2, "ＡＴＳ", 1, 0.8, "s", "g"), (3, "信号", 1, 0.95, "s", "g")], "doc_id bigint, term string, frequency int, score double, source string, group string")
+    at = lambda page, sentence: [(sentence, page, 0, 2, 0.9)]
+    found = spark.createDataFrame(
+        [(1, " 信号", 2, 0.9, "s", "g", at(1, "信号。")), (2, "ＡＴＳ", 1, 0.8, "s", "g", at(1, "x")), (3, "信号", 1, 0.95, "s", "g", at(None, ""))],
+        "doc_id bigint, term string, frequency int, score double, source string, group string, occurrences array<struct<sentence:string,page:int,startChar:int,endChar:int,score:double>>",
+    )
     documents = spark.createDataFrame([(1, "r1", "d1", "k1"), (2, "r1", "d2", None), (3, "r1", "d3", "k3")], "doc_id bigint, extraction_run_id string, id string, storage_key string")
     stored = catalog.stored_terms(terms, found)
     assert {tuple(r) for r in stored.collect()} == {("信号", "t1"), ("ATS", "new:ATS")}
     assert {(r["id"], r["frequency"], r["score"]) for r in catalog.run_candidates(found, documents, stored).collect()} == {("r1|t1", 3, 0.95), ("r1|new:ATS", 1, 0.8)}
-    spans = spark.createDataFrame([(1, " 信号", 1, "信号。", 0, 2), (2, "ＡＴＳ", 1, "x", 0, 2), (3, "信号", None, "", 0, 2)], "doc_id bigint, term string, page int, sentence string, start_char int, end_char int")
-    rows = catalog.run_occurrences(spans, found, documents, stored).collect()
+    rows = catalog.run_occurrences(found, documents, stored).collect()
     assert [(r["term_candidate_id"], r["document_id"], r["page_number"]) for r in rows] == [("r1|t1", "d1", 1)]
 
 

@@ -36,6 +36,18 @@ def test_general_path_equals_the_short_one(spark):
     assert {(r["doc_id"], r["term"], r["frequency"], r["score"]) for r in short.collect()} == {(r["doc_id"], r["term"], r["count(1)"], r["max(score)"]) for r in general.collect()}
 
 
+def test_inside_a_row_equals_grouping_rows(spark):
+    random.seed(8)
+    parts = ["信号機", "ATS", "3章架線", "を", "の", "。", "\n", "第2節踏切", "[[PAGE 7]]\n", "ホームドア", "、", "信号機", "ーー"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 60))) for _ in range(40)] + [TEXT, "", "[[PAGE 3]]"]
+    wide = docs(spark, *texts)
+    grouped = extract.terms_by_document(extract.candidates(extract.segment(wide)), 0.5, occurrences=True)
+    narrow = extract.extract(wide, 0.5, occurrences=True).drop("sentence_count")
+    assert sorted(grouped.columns) == sorted(narrow.columns)
+    rows = lambda df: {(r["doc_id"], r["rank"]): r.asDict(recursive=True) for r in df.collect()}
+    assert rows(narrow) == rows(grouped) and narrow.count() > 200
+
+
 def greedy(spans):
     kept = []
     for s in sorted(spans, key=lambda s: (-(s[1] - s[0]), -s[2], -s[3], s[0], s[1])):

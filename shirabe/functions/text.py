@@ -183,14 +183,19 @@ def _grouped(records: pa.Array, every: bool) -> pa.Array:
     return _lists(documents, pa.StructArray.from_arrays(columns, names))
 
 
+def _in_slices(records: pa.Array, every: bool, size: int = 256) -> pa.Array:
+    """``_grouped`` for a few documents at a time, so that a batch never stands whole as Python objects."""
+    return pa.concat_arrays([_grouped(records.slice(i, size), every) for i in range(0, max(len(records), 1), size)])
+
+
 @F.arrow_udf(ArrayType(_TERMS))
 def _document_terms(records: pa.Array) -> pa.Array:
-    return _grouped(records, False)
+    return _in_slices(records, False)
 
 
 @F.arrow_udf(ArrayType(StructType([*_TERMS.fields, StructField("places", ArrayType(_PLACES))])))
 def _document_terms_and_places(records: pa.Array) -> pa.Array:
-    return _grouped(records, True)
+    return _in_slices(records, True)
 
 
 def document_terms(records: Column, places: bool = False) -> Column:

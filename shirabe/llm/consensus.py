@@ -50,7 +50,7 @@ def _belief(score: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
 
-def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_count: float = 4.0, wrong_count: float = 1.0, tolerance: float = 5e-3, most_rounds: int = 100) -> Consensus:
+def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_count: float = 4.0, wrong_count: float = 1.0, tolerance: float = 5e-3, most_rounds: int = 60, damped_after: int = 15) -> Consensus:
     """Bipartite message passing over the label edges, one class against the rest.
 
     An edge joins a term and a reviewer and carries the label. For each class
@@ -63,6 +63,8 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_coun
     belief moves by more than ``tolerance``. The consensus is the class whose odds
     against the rest are best.
 
+    From round ``damped_after`` on a message moves half way only, which stops what
+    would swing to and fro and leaves the point of rest as it is.
     A term's ``converged`` is false where a belief still moved by more in the last
     of ``most_rounds`` rounds. A round costs one aggregation by reviewer and one by
     term, both with map-side partial sums, so neither a busy reviewer nor a busy
@@ -83,18 +85,18 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_coun
     first = [(F.col(f"n{c}") - own[c] + 1 / len(classes)) / F.col("degree") for c in k]
     edges = ws.write(labels.join(degree, "term_id").select("term_id", "reviewer", "label", "degree", *[first[c].alias(f"p{c}") for c in k]), "edges")
     few = edges.select("reviewer").distinct().count() <= BROADCAST_REVIEWERS
-    prior = _prior(edges, classes)
+    prior, _ = _prior(edges.withColumn("change", F.lit(None).cast("double")), classes)
     rounds, change = 0, float("inf")
     while change > tolerance and rounds < most_rounds:
         rounds += 1
         spoken = _spoken(edges, classes, habit, few)
         moved = spoken.join(_heard(spoken, classes, prior), "term_id")
-        new = [_belief(F.col(f"t{c}") - F.col(f"w{c}")) for c in k]
-        most = F.greatest(*[F.abs(new[c] - F.col(f"p{c}")) for c in k])
+        heard = [_belief(F.col(f"t{c}") - F.col(f"w{c}")) for c in k]
+        most = F.greatest(*[F.abs(heard[c] - F.col(f"p{c}")) for c in k])
+        new = heard if rounds < damped_after else [(heard[c] + F.col(f"p{c}")) / 2 for c in k]
         before, edges = edges, ws.write(moved.select("term_id", "reviewer", "label", "degree", *[new[c].alias(f"p{c}") for c in k], most.alias("change")), "edges")
         ws.drop(before)
-        prior = _prior(edges, classes)
-        change = edges.agg(F.max("change")).first()[0] or 0.0
+        prior, change = _prior(edges, classes)
     spoken = _spoken(edges, classes, habit, few)
     still = edges.groupBy("term_id").agg((F.max("change") <= tolerance).alias("converged"))
     judged = _heard(spoken, classes, prior).join(still, "term_id")
@@ -118,10 +120,11 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = STATUSES, right_coun
     return Consensus(terms, reviewers, rounds, change <= tolerance)
 
 
-def _prior(edges: DataFrame, classes: tuple[str, ...]) -> list[float]:
-    """Share of the terms that each class has, each term's edges weighing one together."""
-    row = edges.agg(*[F.sum(F.col(f"p{c}") / F.col("degree")) for c in range(len(classes))], F.sum(F.lit(1.0) / F.col("degree"))).first()
-    return [min(max((x or 0.0) / row[-1], 1e-6), 1 - 1e-6) if row[-1] else 1 / len(classes) for x in row[:-1]]
+def _prior(edges: DataFrame, classes: tuple[str, ...]) -> tuple[list[float], float]:
+    """Share of the terms that each class has, each term's edges weighing one together; and the greatest change of a belief."""
+    row = edges.agg(*[F.sum(F.col(f"p{c}") / F.col("degree")) for c in range(len(classes))], F.sum(F.lit(1.0) / F.col("degree")), F.max("change")).first()
+    *sums, whole, change = row
+    return [min(max((x or 0.0) / whole, 1e-6), 1 - 1e-6) if whole else 1 / len(classes) for x in sums], change or 0.0
 
 
 def _spoken(edges: DataFrame, classes: tuple[str, ...], habit: tuple[float, float, float], few: bool) -> DataFrame:

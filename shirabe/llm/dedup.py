@@ -407,6 +407,7 @@ def repeats(documents: DataFrame, runs: DataFrame, workspace: Workspace, batches
     out = history.add_staged(None)
     for folder in history.stage(docs.withColumn("part", part)).values():
         out = out.unionByName(history.add_staged(folder))
+    history.close()
     return out
 
 

@@ -51,6 +51,8 @@ def test_beats_majority(spark):
     ours = sum(c.STATUSES.index(got[t]) == truth[t] for t in truth) / len(truth)
     assert ours > majority + 0.03 and ours > 0.9
     assert out.converged and out.terms.where("NOT converged").count() == 0
+    damped = c.consensus(spark.createDataFrame(rows, "term_id string, reviewer string, label int"), damped_after=2)
+    assert damped.converged and sum(r["consensus_status"] != got[r["term_id"]] for r in damped.terms.collect()) <= 2
     early = c.consensus(spark.createDataFrame(rows, "term_id string, reviewer string, label int"), most_rounds=1)
     assert not early.converged and early.terms.where("NOT converged").count() > 0
     reliable = {r["reviewer"]: r["reliability"] for r in out.reviewers.collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -86,8 +87,10 @@ _EDGES = re.compile(f"^[{k.STRIPPED}]+|[{k.STRIPPED}]+$")
 _LEADING = [re.compile(p) for p in (ENUMERATOR, NUMBER_PAIR, CHAPTER)]
 _BARRED = re.compile(f"{k.ALL_HIRAGANA}|{k.DIGIT_FIRST}")
 _NEEDED = re.compile(k.TERM_CHARACTER)
+_TWO_KANJI, _KATAKANA = re.compile(k.TWO_KANJI), re.compile(k.KATAKANA)
 
 
+@lru_cache(maxsize=65536)
 def _term_of(run: str) -> str | None:
     """The valid candidate that a run of candidate characters cleans to; only a leading digit or chapter sign gives cleaning work."""
     if run[0] in "0123456789第":
@@ -125,7 +128,7 @@ def candidate_spans(sentence: Column) -> Column:
 
 
 _INT = IntegerType()
-_TERMS = StructType([StructField("term", StringType()), StructField("frequency", _INT), StructField("page", _INT), StructField("pages", ArrayType(_INT)), StructField("seen", ArrayType(_INT)), StructField("sentence_idx", _INT), StructField("start_char", _INT), StructField("end_char", _INT)])
+_TERMS = StructType([StructField("term", StringType()), StructField("frequency", _INT), StructField("traits", _INT), StructField("page", _INT), StructField("pages", ArrayType(_INT)), StructField("seen", ArrayType(_INT)), StructField("sentence_idx", _INT), StructField("start_char", _INT), StructField("end_char", _INT)])
 _PLACES = StructType([StructField("sentence_idx", _INT), StructField("start_char", _INT), StructField("end_char", _INT)])
 
 
@@ -141,44 +144,59 @@ def _places(spans: list[tuple[int, int, int]]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array([x[i] for x in spans], pa.int32()) for i in range(3)], _PLACES.fieldNames())
 
 
+@lru_cache(maxsize=65536)
+def _traits(term: str) -> int:
+    """What the score looks for in a term, a bit for each, in the order of ``_traits_of``."""
+    return (len(term) >= k.LONG_TERM) | bool(_TWO_KANJI.search(term)) << 1 | bool(_KATAKANA.search(term)) << 2 | any(hint in term for hint in k.HINTS) << 3
+
+
 def _grouped(records: pa.Array, every: bool) -> pa.Array:
     """For each document's (page, sentence) records its terms, in no order."""
-    documents, terms = [], []
-    for record in records.to_pylist():
-        found: dict[str, list] = {}
-        for index, one in enumerate(record or ()):
-            sentence, page = one["sentence"], one["page"]
-            for run in RUN.finditer(sentence):
+    bounds = records.offsets.to_pylist()
+    values = records.values.slice(bounds[0], bounds[-1] - bounds[0])
+    sentences, pages = values.field("sentence").to_pylist(), values.field("page").to_pylist()
+    documents, terms, places, of_pages, seen = [], [], [], [], []
+    for low, high in zip(bounds, bounds[1:]):
+        low, high = low - bounds[0], high - bounds[0]
+        found: dict[str, list[tuple[int, int, int]]] = {}
+        for index in range(low, high):
+            for run in RUN.finditer(sentences[index]):
                 term = _term_of(run.group())
-                if term is None:
-                    continue
-                place = (index, run.start(), run.end())
-                held = found.get(term)
-                if held is None:
-                    found[term] = held = [[], set(), [], set()]
-                held[0].append(place)
-                if page is not None:
-                    held[1].add(page)
-                if len(held[2]) < k.MAX_EXAMPLES and sentence not in held[3]:
-                    held[2].append(index)
-                    held[3].add(sentence)
-        for held in found.values():
-            held[0].sort(key=lambda p: (p[0], p[1] - p[2], p[1]))
-        documents.append(list(found))
-        terms += found.items()
-    pages = [sorted(held[1]) for _, held in terms]
-    first = [held[0][0] for _, held in terms]
+                if term is not None:
+                    place = (index - low, *run.span())
+                    if term in found:
+                        found[term].append(place)
+                    else:
+                        found[term] = [place]
+        documents.append(found)
+        for term, at in found.items():
+            terms.append(term)
+            places.append(at)
+            first = at[0][0]
+            if len(at) == 1:
+                of_pages.append([] if pages[low + first] is None else [pages[low + first]])
+                seen.append([first])
+                continue
+            at.sort(key=lambda p: (p[0], p[1] - p[2], p[1]))
+            of_pages.append(sorted({pages[low + p[0]] for p in at} - {None}))
+            shown: dict[str, int] = {}
+            for p in at:
+                shown.setdefault(sentences[low + p[0]], p[0])
+                if len(shown) == k.MAX_EXAMPLES:
+                    break
+            seen.append(list(shown.values()))
     columns = [
-        pa.array([term for term, _ in terms], pa.string()),
-        pa.array([len(held[0]) for _, held in terms], pa.int32()),
-        pa.array([p[0] if p else None for p in pages], pa.int32()),
-        _lists(pages),
-        _lists([held[2] for _, held in terms]),
-        *[pa.array([place[i] for place in first], pa.int32()) for i in range(3)],
+        pa.array(terms, pa.string()),
+        pa.array([len(at) for at in places], pa.int32()),
+        pa.array([_traits(term) for term in terms], pa.int32()),
+        pa.array([p[0] if p else None for p in of_pages], pa.int32()),
+        _lists(of_pages),
+        _lists(seen),
+        *[pa.array([at[0][i] for at in places], pa.int32()) for i in range(3)],
     ]
     names = _TERMS.fieldNames()
     if every:
-        columns.append(_lists([held[0] for _, held in terms], _places([p for _, held in terms for p in held[0]])))
+        columns.append(_lists(places, _places([p for at in places for p in at])))
         names = [*names, "places"]
     return _lists(documents, pa.StructArray.from_arrays(columns, names))
 
@@ -208,17 +226,18 @@ def document_terms(records: Column, places: bool = False) -> Column:
     return (_document_terms_and_places if places else _document_terms)(records)
 
 
-def heuristic_score(term: Column, frequency: Column, hints: tuple[str, ...] = k.HINTS) -> Column:
-    """Score of a term from its length, scripts, domain words and count in the document."""
-    part = lambda condition, value: F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
-    score = (
-        F.lit(k.SCORE_BASE)
-        + part(F.length(term) >= k.LONG_TERM, k.SCORE_LONG)
-        + part(term.rlike(k.TWO_KANJI), k.SCORE_KANJI)
-        + part(term.rlike(k.KATAKANA), k.SCORE_KATAKANA)
-        + part(term.rlike("|".join(hints)), k.SCORE_HINT)
-        + F.when(frequency >= 2, F.least(F.lit(k.SCORE_REPEAT), F.log2(frequency.cast("double")) * k.SCORE_REPEAT_STEP)).otherwise(F.lit(0.0))
-    )
+def _traits_of(term: Column, hints: tuple[str, ...]) -> tuple[Column, ...]:
+    """What the score looks for: length, two kanji, katakana, a domain word."""
+    return F.length(term) >= k.LONG_TERM, term.rlike(k.TWO_KANJI), term.rlike(k.KATAKANA), term.rlike("|".join(hints))
+
+
+def heuristic_score(term: Column, frequency: Column, hints: tuple[str, ...] = k.HINTS, traits: Column | None = None) -> Column:
+    """Score of a term from its length, scripts, domain words and count in the document; ``traits`` has what ``_traits_of`` tells as bits, where it is known."""
+    conditions = _traits_of(term, hints) if traits is None else tuple(traits.bitwiseAND(F.lit(1 << i)) != 0 for i in range(4))
+    score = F.lit(k.SCORE_BASE)
+    for condition, value in zip(conditions, (k.SCORE_LONG, k.SCORE_KANJI, k.SCORE_KATAKANA, k.SCORE_HINT)):
+        score = score + F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
+    score = score + F.when(frequency >= 2, F.least(F.lit(k.SCORE_REPEAT), F.log2(frequency.cast("double")) * k.SCORE_REPEAT_STEP)).otherwise(F.lit(0.0))
     return F.round(F.least(score, F.lit(k.SCORE_CAP)), 4)
 
 

@@ -143,7 +143,7 @@ def extract(documents: DataFrame, threshold: float = k.THRESHOLD_DEFAULT, key: s
     at = lambda i: F.get("_records", i)
 
     def one(x: Column) -> Column:
-        score = t.heuristic_score(x["term"], x["frequency"])
+        score = t.heuristic_score(x["term"], x["frequency"], traits=x["traits"])
         rest = [x[c].alias(c) for c in ("page", "pages", "sentence_idx", "start_char", "end_char")]
         if examples:
             rest.append(F.transform(x["seen"], lambda i: at(i)["sentence"]).alias("examples"))

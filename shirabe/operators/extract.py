@@ -30,13 +30,13 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", termi
     return _records(documents, key, text, terminators).select(key, F.posexplode("_records").alias("sentence_idx", "_r")).select(key, "sentence_idx", F.col("_r.page").alias("page"), F.col("_r.sentence").alias("sentence"))
 
 
-def _records(documents: DataFrame, key: str, text: str, terminators: str = k.TERMINATORS) -> DataFrame:
-    """(key, _records): each document's array of (page, sentence)."""
+def _records(documents: DataFrame, key: str, text: str, terminators: str = k.TERMINATORS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, _records) and the ``carried`` columns: each document's array of (page, sentence)."""
     # No filter on the normalized text: it would be pushed down and normalize everything twice.
-    normal = spread(documents.select(key, text).where(F.col(text) != "")).select(key, t.normalize_text(F.col(text)).alias("_text"))
-    found = normal.select(key, "_text", t.paged_sentences(F.col("_text"), terminators).alias("_found"))
+    normal = spread(documents.select(key, text, *carried).where(F.col(text) != "")).select(key, *carried, t.normalize_text(F.col(text)).alias("_text"))
+    found = normal.select(key, *carried, "_text", t.paged_sentences(F.col("_text"), terminators).alias("_found"))
     records = F.when(F.size("_found") > 0, F.col("_found")).otherwise(t.unpaged_sentences(F.col("_text"), terminators))
-    return found.select(key, records.alias("_records"))
+    return found.select(key, *carried, records.alias("_records"))
 
 
 def candidates(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -132,14 +132,14 @@ def terms_by_document(rows: DataFrame, threshold: float, key: str = "doc_id", oc
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def extract(documents: DataFrame, threshold: float = k.THRESHOLD_DEFAULT, key: str = "doc_id", text: str = "text", examples: bool = True, occurrences: bool = False) -> DataFrame:
-    """Ranked terms of each document, without a shuffle; the columns of ``terms_by_document``, and ``sentence_count``.
+def extract(documents: DataFrame, threshold: float = k.THRESHOLD_DEFAULT, key: str = "doc_id", text: str = "text", examples: bool = True, occurrences: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Ranked terms of each document, without a shuffle; the columns of ``terms_by_document``, ``sentence_count`` and the document's ``carried`` ones.
 
     All that a term's row says is in its document's row, so terms are counted,
     scored and ranked there; nothing is grouped across rows, and a document takes
     memory by its own text. Without ``examples`` no sentence is carried along.
     """
-    found = _records(documents, key, text).withColumn("_terms", t.document_terms(F.col("_records"), occurrences))
+    found = _records(documents, key, text, carried=carried).withColumn("_terms", t.document_terms(F.col("_records"), occurrences))
     at = lambda i: F.get("_records", i)
 
     def one(x: Column) -> Column:
@@ -153,7 +153,7 @@ def extract(documents: DataFrame, threshold: float = k.THRESHOLD_DEFAULT, key: s
         return F.struct((-score).alias("lower"), (-x["frequency"]).alias("rarer"), x["term"].alias("term"), *rest)
 
     ordered = F.array_sort(F.filter(F.transform("_terms", one), lambda x: -x["lower"] >= threshold))
-    rows = found.select(key, F.size("_records").alias("sentence_count"), F.posexplode(ordered).alias("_at", "_t"))
+    rows = found.select(key, *carried, F.size("_records").alias("sentence_count"), F.posexplode(ordered).alias("_at", "_t"))
     return rows.select(
         key,
         F.col("_t.term").alias("term"),
@@ -171,6 +171,7 @@ def extract(documents: DataFrame, threshold: float = k.THRESHOLD_DEFAULT, key: s
         *([F.col("_t.occurrences").alias("occurrences")] if occurrences else []),
         (F.col("_at") + 1).alias("rank"),
         "sentence_count",
+        *carried,
     )
 
 
@@ -191,6 +192,17 @@ def document_summary(sentences: DataFrame, terms: DataFrame, key: str = "doc_id"
     return sentences.groupBy(key).agg(F.count("*").cast("int").alias("sentence_count")).join(counted, key, "left").select(key, "sentence_count", *map(zero, ("term_count", "high", "medium", "review_needed")))
 
 
+def with_file_names(terms: DataFrame, files: DataFrame | None, key: str = "doc_id") -> DataFrame:
+    """Terms with their document's ``file_name`` from ``files``; without ``files`` they carry it already.
+
+    The size of extracted terms is not known before they are made (an array
+    counts as one element), so they must not look small enough to be broadcast.
+    """
+    if files is None:
+        return terms.where(F.col(key).isNotNull())
+    return terms.join(files.select(key, "file_name").hint("merge"), key)
+
+
 def file_lists(rows: DataFrame, key: str = "doc_id", separator: str = "; ") -> DataFrame:
     """(term, files, first_page): each term's different file names, joined, in the order of their first documents, and the lowest page in those of the first name.
 
@@ -278,9 +290,9 @@ def response_occurrences(terms: DataFrame, files: DataFrame, threshold: float, k
     return listed.select("term", F.slice(F.flatten(F.transform("_l", lambda x: x["o"])), 1, limit).alias("occurrences"))
 
 
-def pages_by_file(terms: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:
+def pages_by_file(terms: DataFrame, files: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """(term, file_name, pages): the sorted pages of a term in all documents of one file name."""
-    rows = terms.select(key, "term", "pages").join(files.select(key, "file_name"), key).select("term", "file_name", F.explode_outer("pages").alias("page"))
+    rows = with_file_names(terms, files, key).select("term", "file_name", F.explode_outer("pages").alias("page"))
     return rows.groupBy("term", "file_name").agg(F.array_sort(F.collect_set("page")).alias("pages"))
 
 

@@ -35,6 +35,12 @@ def _terms(spark: SparkSession, d: str, examples: bool = False) -> DataFrame:
     return extract.extract(load(spark, d, "documents"), THRESHOLD, examples=examples)
 
 
+def _named(spark: SparkSession, d: str, examples: bool = False, occurrences: bool = False) -> DataFrame:
+    """The terms that each document's extraction returns, with the name of its file."""
+    docs = load(spark, d, "documents").withColumnRenamed("original_name", "file_name")
+    return extract.top_terms(extract.extract(docs, THRESHOLD, examples=examples, occurrences=occurrences, carried=("file_name",)))
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     return extract.candidates(extract.segment(load(spark, d, "documents")))
 
@@ -84,7 +90,7 @@ def aggregate_across_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages_by_file(spark: SparkSession, d: str) -> DataFrame:
-    return extract.pages_by_file(extract.top_terms(_terms(spark, d)), _files(spark, d)).withColumn("pages", F.array_join("pages", "|"))
+    return extract.pages_by_file(_named(spark, d)).withColumn("pages", F.array_join("pages", "|"))
 
 
 def clean_and_validate(spark: SparkSession, d: str) -> DataFrame:

@@ -277,13 +277,13 @@ def source_order() -> list[Column]:
     return [F.asc(F.collate(t.source_key("first_file", "first_page"), "ja")), *aggregate_order()]
 
 
-def response_occurrences(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id", limit: int = k.MAX_RESPONSE_OCCURRENCES) -> DataFrame:
+def response_occurrences(terms: DataFrame, files: DataFrame | None, threshold: float, key: str = "doc_id", limit: int = k.MAX_RESPONSE_OCCURRENCES) -> DataFrame:
     """(term, occurrences): a term's first ``limit`` over all documents, in the order of the key, each with its document and file.
 
     ``terms`` are each document's returned terms with ``occurrences``. Every
     document of a term has one at least, so its first ``limit`` documents do.
     """
-    rows = terms.where(F.col("score") >= threshold).select(key, "term", F.slice("occurrences", 1, limit).alias("_o")).join(files.select(key, "file_name"), key)
+    rows = with_file_names(terms.where(F.col("score") >= threshold), files, key).select(key, "term", "file_name", F.slice("occurrences", 1, limit).alias("_o"))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(key))).where(F.col("_n") <= limit)
     whole = F.transform("_o", lambda o: F.struct(*[o[c].alias(c) for c in ("sentence", "page", "startChar", "endChar", "score")], F.col("file_name").alias("fileName"), F.col(key).alias("documentId")))
     listed = first.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("_n", whole.alias("o")))).alias("_l"))

@@ -303,8 +303,7 @@ def next_unreviewed(spark: SparkSession, d: str) -> DataFrame:
 
 def response_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """The first occurrences of each term in a response, one row each."""
-    terms = extract.top_terms(extract.extract(load(spark, d, "documents"), THRESHOLD, occurrences=True))
-    listed = extract.response_occurrences(terms, _files(spark, d), THRESHOLD)
+    listed = extract.response_occurrences(_named(spark, d, occurrences=True), None, THRESHOLD)
     rows = listed.select("term", F.posexplode("occurrences").alias("place", "o"))
     return rows.select("term", "place", F.col("o.documentId").alias("doc_id"), F.col("o.fileName").alias("file_name"), F.col("o.sentence").alias("sentence"), F.col("o.page").alias("page"), F.col("o.startChar").alias("start_char"), F.col("o.endChar").alias("end_char"), F.col("o.score").alias("score"))
 

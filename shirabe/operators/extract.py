@@ -209,42 +209,47 @@ def file_lists(rows: DataFrame, key: str = "doc_id", separator: str = "; ") -> D
     A common term's names are joined in runs of ``FILE_RUN`` and the runs after
     that, so that no aggregation holds more than its runs' text.
     """
-    named = rows.groupBy("term", "file_name").agg(F.min(key).alias("_first"), F.min(F.array_min("pages")).alias("_page"))
+    named = rows.groupBy("term", "file_name").agg(F.min(key).alias("_first"), F.min("page").alias("_page"))
     placed = named.withColumn("_run", F.floor((F.row_number().over(Window.partitionBy("term").orderBy("_first", "file_name")) - 1) / k.FILE_RUN))
     joined = lambda place, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, F.col(text).alias("t")))), lambda x: x["t"]), separator, "")
     runs = placed.groupBy("term", "_run").agg(joined(F.struct("_first", "file_name").alias("p"), "file_name").alias("_text"), F.min_by("_page", F.struct("_first", "file_name")).alias("_page"))
     return runs.groupBy("term").agg(joined(F.col("_run").alias("p"), "_text").alias("files"), F.min_by("_page", "_run").alias("first_page"))
 
 
-def across_documents(terms: DataFrame, files: DataFrame, threshold: float, key: str = "doc_id", lists: bool = False, separator: str = "; ") -> DataFrame:
+def across_documents(terms: DataFrame, files: DataFrame | None, threshold: float, key: str = "doc_id", lists: bool = False, separator: str = "; ", evidence: bool = True) -> DataFrame:
     """One row per term over all documents, from each document's returned terms.
 
-    ``files`` has (key, file_name). Columns: frequency, n_files, first_file,
-    score with source and group of its first best document, examples (first
-    three, each after its file's name), n_pages, page (the lowest).
+    ``files`` has (key, file_name); without it the terms carry their file_name.
+    Columns: frequency, n_files, first_file, score with source and group of its
+    first best document, and as ``evidence`` examples (first three, each after
+    its file's name), n_pages, page (the lowest).
     A term's pages per file stay rows (``pages_by_file``). With ``lists`` there
-    are also its sorted different pages, its files, joined by ``separator``, and
-    the lowest page of its first file.
-    Documents come in the order of the key. The rows are written once, as several
-    aggregations read them.
+    are also its sorted different pages (with ``evidence``), its files, joined by
+    ``separator``, and the lowest page of its first file.
+    Documents come in the order of the key. Rows that several aggregations read
+    are written once; without ``evidence`` no sentence is.
     """
-    rows = terms.select(key, "term", "frequency", "score", "source", "group", "pages", "examples").where(F.col("score") >= threshold).join(files.select(key, "file_name"), key)
-    rows = Workspace(rows.sparkSession, "across").write(rows)
-    stats = rows.groupBy("term").agg(
+    rows = with_file_names(terms.where(F.col("score") >= threshold), files, key)
+    rows = rows.select(key, "term", "frequency", "score", "source", "group", "page", "file_name", *["pages", "examples"][: 2 * evidence])
+    if lists or evidence:
+        rows = Workspace(rows.sparkSession, "across").write(rows)
+    out = rows.groupBy("term").agg(
         F.sum("frequency").alias("frequency"),
         F.countDistinct("file_name").cast("int").alias("n_files"),
         F.min_by("file_name", key).alias("first_file"),
         F.max("score").alias("score"),
         F.min_by(F.struct("source", "group"), F.struct((-F.col("score")).alias("s"), key)).alias("best"),
     )
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(key))).where(F.col("_n") <= k.MAX_EXAMPLES)
-    named = F.transform("examples", lambda e: F.concat("file_name", F.lit(": "), e))
-    examples = first.groupBy("term").agg(F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", named.alias("e")))), lambda x: x["e"]))), 1, k.MAX_EXAMPLES).alias("examples"))
-    pages = rows.select("term", F.explode("pages").alias("page")).groupBy("term").agg(F.countDistinct("page").cast("int").alias("n_pages"), F.min("page").alias("page"), *[F.array_sort(F.collect_set("page")).alias("pages")][:lists])
-    out = stats.join(examples, "term").join(pages, "term", "left")
+    if evidence:
+        first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(key))).where(F.col("_n") <= k.MAX_EXAMPLES)
+        named = F.transform("examples", lambda e: F.concat("file_name", F.lit(": "), e))
+        examples = first.groupBy("term").agg(F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", named.alias("e")))), lambda x: x["e"]))), 1, k.MAX_EXAMPLES).alias("examples"))
+        pages = rows.select("term", F.explode("pages").alias("page")).groupBy("term").agg(F.countDistinct("page").cast("int").alias("n_pages"), F.min("page").alias("page"), *[F.array_sort(F.collect_set("page")).alias("pages")][:lists])
+        out = out.join(examples.hint("merge"), "term").join(pages.hint("merge"), "term", "left")
     if lists:
-        out = out.join(file_lists(rows, key, separator), "term")
-    return out.select("term", "frequency", "n_files", "first_file", "score", "best.source", "best.group", "examples", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "page", *["pages", "files", "first_page"][: 3 * lists])
+        out = out.join(file_lists(rows, key, separator).hint("merge"), "term")
+    told = ["examples", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "page", *["pages"][:lists]] if evidence else []
+    return out.select("term", "frequency", "n_files", "first_file", "score", "best.source", "best.group", *told, *["files", "first_page"][: 2 * lists])
 
 
 def ranked(rows: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:

@@ -85,7 +85,7 @@ def result_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aggregate_across_docs(spark: SparkSession, d: str) -> DataFrame:
-    out = extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD)
+    out = extract.across_documents(_named(spark, d, True), None, THRESHOLD)
     return out.withColumn("examples", F.array_join("examples", "|"))
 
 
@@ -111,9 +111,9 @@ def overlap_resolution(spark: SparkSession, d: str) -> DataFrame:
     return extract.resolve_overlaps(spans, ["document_id", "sentence_text"])
 
 
-def _returned(spark: SparkSession, d: str, examples: bool = False) -> DataFrame:
+def _returned(spark: SparkSession, d: str) -> DataFrame:
     """The terms that each document's extraction returns."""
-    return extract.top_terms(_terms(spark, d, examples))
+    return extract.top_terms(_terms(spark, d))
 
 
 def top_terms_of_long_text(spark: SparkSession, d: str) -> DataFrame:
@@ -260,11 +260,16 @@ def training_jsonl_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.candidate_csv(_aggregate(spark, d))
+    return sinks.candidate_csv(_aggregate(spark, d, evidence=True))
 
 
-def _aggregate(spark: SparkSession, d: str, separator: str = "; ") -> DataFrame:
-    return extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD, lists=True, separator=separator)
+def _aggregate(spark: SparkSession, d: str, separator: str = "; ", evidence: bool = False) -> DataFrame:
+    return extract.across_documents(_named(spark, d, evidence), None, THRESHOLD, lists=True, separator=separator, evidence=evidence)
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    """The aggregate without evidence and lists."""
+    return extract.across_documents(_named(spark, d), None, THRESHOLD, evidence=False)
 
 
 def client_view(spark: SparkSession, d: str) -> DataFrame:
@@ -288,16 +293,16 @@ def client_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aggregate_totals(spark: SparkSession, d: str) -> DataFrame:
-    return extract.aggregate_summary(extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD))
+    return extract.aggregate_summary(_counts(spark, d))
 
 
 def terms_with_review(spark: SparkSession, d: str) -> DataFrame:
     """Extracted terms with the review status that the catalog stores."""
-    return catalog.with_review_status(extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD).select("term", "frequency"), load(spark, d, "terms"))
+    return catalog.with_review_status(_counts(spark, d).select("term", "frequency"), load(spark, d, "terms"))
 
 
 def next_unreviewed(spark: SparkSession, d: str) -> DataFrame:
-    terms = catalog.with_review_status(extract.across_documents(_returned(spark, d, True), _files(spark, d), THRESHOLD), load(spark, d, "terms"))
+    terms = catalog.with_review_status(_counts(spark, d), load(spark, d, "terms"))
     return catalog.next_unreviewed(terms, "信号").select("term", "score", "frequency")
 
 

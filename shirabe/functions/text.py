@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -101,6 +102,28 @@ def _term_of(run: str) -> str | None:
     return run if fits and not _BARRED.search(run) and _NEEDED.search(run) else None
 
 
+#: The patterns of ``clean_candidate``; white space is ASCII's, as in the JVM.
+_ANY_OUTER = re.compile(re.sub(r"\\x\{(\w{4})\}", r"\\u\1", OUTER), re.ASCII)
+_ANY_LEADING = [re.compile(p, re.ASCII) for p in (ENUMERATOR, NUMBER_PAIR, CHAPTER, r"[\s\u3000]+")]
+_ANY_BLANKS = re.compile(BLANKS)
+
+
+@lru_cache(maxsize=65536)
+def term_of_text(text: str) -> str | None:
+    """The valid candidate that any NFKC text cleans to: ``clean_candidate`` and ``valid_candidate`` inside a Python stage."""
+    term = _ANY_OUTER.sub("", _ANY_BLANKS.sub(" ", text))
+    for pattern in _ANY_LEADING:
+        term = pattern.sub("", term)
+    term = _EDGES.sub("", term)
+    fits = k.CANDIDATE_MIN <= len(term) <= k.CANDIDATE_MAX
+    return term if fits and not _BARRED.search(term) and _NEEDED.search(term) else None
+
+
+def pattern_spans(sentence: str) -> list[tuple[int, int, str]]:
+    """(start_char, end_char, term) of the pattern generator: ``candidate_spans`` inside a Python stage."""
+    return [(*found.span(), term) for found in RUN.finditer(sentence) if (term := _term_of(found.group())) is not None]
+
+
 @F.arrow_udf(_SPANS)
 def _candidate_spans(sentences: pa.Array) -> pa.Array:
     offsets, starts, ends, terms = [0], [], [], []
@@ -132,7 +155,7 @@ _TERMS = StructType([StructField("term", StringType()), StructField("frequency",
 _PLACES = StructType([StructField("sentence_idx", _INT), StructField("start_char", _INT), StructField("end_char", _INT)])
 
 
-def _lists(rows: list[list], values: pa.Array | None = None, kind: pa.DataType = pa.int32()) -> pa.ListArray:
+def lists_of(rows: list[list], values: pa.Array | None = None, kind: pa.DataType = pa.int32()) -> pa.ListArray:
     """An array of lists; of ``values`` cut to their lengths, or of the rows' own."""
     offsets = [0]
     for row in rows:
@@ -150,6 +173,17 @@ def _traits(term: str) -> int:
     return (len(term) >= k.LONG_TERM) | bool(_TWO_KANJI.search(term)) << 1 | bool(_KATAKANA.search(term)) << 2 | any(hint in term for hint in k.HINTS) << 3
 
 
+@lru_cache(maxsize=65536)
+def term_score(term: str, frequency: int) -> float:
+    """``heuristic_score`` inside a Python stage."""
+    traits, score = _traits(term), k.SCORE_BASE
+    for i, value in enumerate((k.SCORE_LONG, k.SCORE_KANJI, k.SCORE_KATAKANA, k.SCORE_HINT)):
+        score += value if traits >> i & 1 else 0.0
+    if frequency >= 2:
+        score += min(k.SCORE_REPEAT, math.log2(frequency) * k.SCORE_REPEAT_STEP)
+    return round(min(score, k.SCORE_CAP), 4)
+
+
 def _grouped(records: pa.Array, every: bool) -> pa.Array:
     """For each document's (page, sentence) records its terms, in no order."""
     bounds = records.offsets.to_pylist()
@@ -190,15 +224,15 @@ def _grouped(records: pa.Array, every: bool) -> pa.Array:
         pa.array([len(at) for at in places], pa.int32()),
         pa.array([_traits(term) for term in terms], pa.int32()),
         pa.array([p[0] if p else None for p in of_pages], pa.int32()),
-        _lists(of_pages),
-        _lists(seen),
+        lists_of(of_pages),
+        lists_of(seen),
         *[pa.array([at[0][i] for at in places], pa.int32()) for i in range(3)],
     ]
     names = _TERMS.fieldNames()
     if every:
-        columns.append(_lists(places, _places([p for at in places for p in at])))
+        columns.append(lists_of(places, _places([p for at in places for p in at])))
         names = [*names, "places"]
-    return _lists(documents, pa.StructArray.from_arrays(columns, names))
+    return lists_of(documents, pa.StructArray.from_arrays(columns, names))
 
 
 def _in_slices(records: pa.Array, every: bool, size: int = 256) -> pa.Array:

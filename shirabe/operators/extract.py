@@ -27,10 +27,10 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", termi
     A narrow plan: one Arrow stage for NFKC, all else on arrays inside the row.
     Null and empty texts give no rows.
     """
-    return _records(documents, key, text, terminators).select(key, F.posexplode("_records").alias("sentence_idx", "_r")).select(key, "sentence_idx", F.col("_r.page").alias("page"), F.col("_r.sentence").alias("sentence"))
+    return records(documents, key, text, terminators).select(key, F.posexplode("_records").alias("sentence_idx", "_r")).select(key, "sentence_idx", F.col("_r.page").alias("page"), F.col("_r.sentence").alias("sentence"))
 
 
-def _records(documents: DataFrame, key: str, text: str, terminators: str = k.TERMINATORS, carried: tuple[str, ...] = ()) -> DataFrame:
+def records(documents: DataFrame, key: str, text: str, terminators: str = k.TERMINATORS, carried: tuple[str, ...] = ()) -> DataFrame:
     """(key, _records) and the ``carried`` columns: each document's array of (page, sentence)."""
     # No filter on the normalized text: it would be pushed down and normalize everything twice.
     normal = spread(documents.select(key, text, *carried).where(F.col(text) != "")).select(key, *carried, t.normalize_text(F.col(text)).alias("_text"))
@@ -45,21 +45,6 @@ def candidates(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans.withColumnRenamed("candidate", "term").withColumn("source", F.lit(k.REGEX_SOURCE))
 
 
-def counted(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Candidates with ``raw_frequency``: how often their document's generators gave the term, duplicates included."""
-    totals = rows.groupBy(key, "term").agg(F.count("*").cast("int").alias("raw_frequency"))
-    return rows.join(totals, [key, "term"])
-
-
-def distinct_spans(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Candidates once per (sentence, term, span); all else is that of the first by ``place``, or of any where there are no places."""
-    named = [key, "sentence_idx", "term", "start_char", "end_char"]
-    rest = [c for c in rows.columns if c not in (*named, "place")]
-    one = F.struct(*rest)
-    first = F.min_by(one, "place") if "place" in rows.columns else F.first(one)
-    return rows.groupBy(*named).agg(first.alias("_r")).select(*named, "_r.*")
-
-
 def resolve_overlaps(rows: DataFrame, sentence: list[str]) -> DataFrame:
     """Of overlapping spans of a sentence those that come first by length, score and frequency.
 
@@ -139,7 +124,7 @@ def extract(documents: DataFrame, threshold: float = k.THRESHOLD_DEFAULT, key: s
     scored and ranked there; nothing is grouped across rows, and a document takes
     memory by its own text. Without ``examples`` no sentence is carried along.
     """
-    found = _records(documents, key, text, carried=carried).withColumn("_terms", t.document_terms(F.col("_records"), occurrences))
+    found = records(documents, key, text, carried=carried).withColumn("_terms", t.document_terms(F.col("_records"), occurrences))
     at = lambda i: F.get("_records", i)
 
     def one(x: Column) -> Column:

@@ -6,12 +6,16 @@ and tested with deterministic ones in their place.
 
 from __future__ import annotations
 
+import math
 import os
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from shirabe.functions import constants as k
 from shirabe.functions import text as t
@@ -22,6 +26,11 @@ Tagger = Callable[[str], tuple[list[tuple[str, str, int]], list[tuple[str, int]]
 #: (sentences, terms) -> probabilities, called with batches, made once per Python worker.
 Scorer = Callable[[list[str], list[str]], list[float]]
 _LOADED: dict[str, object] = {}
+_HIRAGANA = re.compile(k.ALL_HIRAGANA)
+_CANDIDATE = StructType([StructField("start_char", IntegerType()), StructField("end_char", IntegerType()), StructField("term", StringType()), StructField("source", StringType())])
+_KEPT = StructType([StructField("sentence_idx", IntegerType()), StructField("overlap_rank", IntegerType()), *_CANDIDATE.fields, StructField("raw_frequency", IntegerType()), StructField("score", DoubleType())])
+#: Documents that stand as Python objects at a time.
+SLICE = 256
 
 
 def mode_of(model_dir: str | None) -> str:
@@ -42,88 +51,114 @@ def _loaded(name: str, load: Callable[[], object]) -> object:
     return _LOADED[name]
 
 
-def tagged(sentences: DataFrame, load: Callable[[], Tagger], name: str, key: str = "doc_id") -> DataFrame:
-    """Sentences with their ``words`` (text, pos, start_char) and noun ``chunks`` (text, start_char)."""
-    words = "words array<struct<text:string,pos:string,start_char:int>>, chunks array<struct<text:string,start_char:int>>"
-    schema = f"{key} {dict(sentences.dtypes)[key]}, sentence_idx int, page int, sentence string, {words}"
+def compounds(words: list[tuple[str, str, int]]) -> Iterator[tuple[str, int, int]]:
+    """(text, start_char, end_char) of the longest rows of words whose part of speech a term can have.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tag = _loaded(name, load)
-        for b in batches:
-            found = [tag(x) for x in b["sentence"]]
-            yield b[[key, "sentence_idx", "page", "sentence"]].assign(
-                page=b["page"].astype("Int32"),
-                words=[[{"text": w, "pos": p, "start_char": s} for w, p, s in ws] for ws, _ in found],
-                chunks=[[{"text": c, "start_char": s} for c, s in cs] for _, cs in found],
-            )
-
-    return sentences.select(key, "sentence_idx", "page", "sentence").mapInPandas(run, schema)
-
-
-def compounds(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sentence_idx, n, text, start_char, end_char): the longest rows of words whose part of speech a term can have.
-
-    Words wholly in hiragana end a row like any other part of speech. ``n`` is
-    the place of its first word. Groups are one sentence's words.
+    Words wholly in hiragana end a row like any other part of speech.
     """
-    words = tagged.select(key, "sentence_idx", F.posexplode("words").alias("n", "w")).select(key, "sentence_idx", "n", "w.*")
-    fits = F.coalesce(F.col("pos").isin(*k.TERM_POS) & ~F.col("text").rlike(k.ALL_HIRAGANA), F.lit(False))
-    order = Window.partitionBy(key, "sentence_idx").orderBy("n")
-    rows = words.withColumn("fits", fits).withColumn("row", F.sum((~F.col("fits")).cast("int")).over(order)).where("fits")
-    one = F.array_sort(F.collect_list(F.struct("n", "start_char", "text")))
-    made = rows.groupBy(key, "sentence_idx", "row").agg(one.alias("ws"))
-    last = F.element_at("ws", -1)
-    return made.select(key, "sentence_idx", F.get("ws", F.lit(0))["n"].alias("n"), F.array_join(F.col("ws.text"), "").alias("text"), F.get("ws", F.lit(0))["start_char"].alias("start_char"), (last["start_char"] + F.length(last["text"])).alias("end_char"))
+    row: list[tuple[str, int]] = []
+    for text, pos, start in [*words, ("", "", 0)]:
+        if pos in k.TERM_POS and text is not None and not _HIRAGANA.search(text):
+            row.append((text, start))
+        elif row:
+            yield "".join(w for w, _ in row), row[0][1], row[-1][1] + len(row[-1][0])
+            row = []
+
+
+def _generated(sentence: str, tag: Tagger | None) -> list[tuple[int, int, str, str]]:
+    """(start_char, end_char, term, source) of a sentence's noun chunks and then its compounds; of the pattern generator where neither gives a valid term."""
+    found = []
+    if tag:
+        words, chunks = tag(sentence)
+        for text, start in chunks:
+            if (term := t.term_of_text(text)) is not None:
+                found.append((start, start + len(text), term, k.CHUNK_SOURCE))
+        for text, start, end in compounds(words):
+            if (term := t.term_of_text(text)) is not None:
+                found.append((start, end, term, k.COMPOUND_SOURCE))
+    return found or [(*span, k.REGEX_SOURCE) for span in t.pattern_spans(sentence)]
+
+
+def _array(kind: StructType, groups: list[list], rows: list[tuple]) -> pa.Array:
+    """``rows``, cut to the lengths of ``groups``, as lists of structs."""
+    kinds = {IntegerType(): pa.int32(), StringType(): pa.string(), DoubleType(): pa.float64()}
+    columns = [pa.array([r[i] for r in rows], kinds[f.dataType]) for i, f in enumerate(kind.fields)]
+    return t.lists_of(groups, pa.StructArray.from_arrays(columns, kind.fieldNames()))
 
 
 def tagged_candidates(sentences: DataFrame, load: Callable[[], Tagger], name: str, key: str = "doc_id") -> DataFrame:
-    """Candidates of two generators, noun chunks and then compounds, with their ``place`` among those of the sentence.
+    """Sentences with the candidates of two generators, noun chunks and compounds; a span that both give has two rows.
 
-    A span that both give has two rows. Sentences that give no valid candidate
-    fall back to the pattern generator.
+    Sentences that give no valid candidate fall back to the pattern generator.
     """
-    words = tagged(sentences, load, name, key)
-    chunks = words.select(key, "sentence_idx", F.posexplode("chunks").alias("n", "c")).select(key, "sentence_idx", "n", "c.text", "c.start_char", (F.col("c.start_char") + F.length("c.text")).alias("end_char"))
-    named = lambda rows, number, source: rows.withColumn("place", F.struct(F.lit(number).alias("generator"), "n")).withColumn("source", F.lit(source)).drop("n")
-    both = named(chunks, 0, k.CHUNK_SOURCE).unionByName(named(compounds(words, key), 1, k.COMPOUND_SOURCE))
-    valid = both.withColumn("term", t.clean_candidate(F.col("text"))).where(t.valid_candidate(F.col("term"))).drop("text")
-    held = sentences.select(key, "sentence_idx", "page", "sentence")
-    rest = held.join(valid.select(key, "sentence_idx").distinct(), [key, "sentence_idx"], "left_anti")
-    plain = extract.candidates(rest, key).withColumn("place", F.struct(F.lit(2).alias("generator"), F.col("start_char").alias("n")))
-    return held.join(valid, [key, "sentence_idx"]).unionByName(plain)
-
-
-def model_scores(pairs: DataFrame, load: Callable[[], Scorer], name: str) -> DataFrame:
-    """Distinct (sentence, term) pairs with the model's ``score``, four digits, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = _loaded(name, load)
-        for b in batches:
-            yield b.assign(score=[round(float(x), 4) for x in score(list(b["sentence"]), list(b["term"]))])
-
-    return pairs.select("sentence", "term").distinct().mapInPandas(run, "sentence string, term string, score double")
+    @F.arrow_udf(ArrayType(_CANDIDATE, False))
+    def run(batch: pa.Array) -> pa.Array:
+        tag = _loaded(name, load)
+        found = [_generated(x, tag) for x in batch.to_pylist()]
+        return _array(_CANDIDATE, found, [span for spans in found for span in spans])
+
+    return sentences.select(key, "sentence_idx", "page", "sentence", F.inline(run("sentence")))
+
+
+def _distinct_kept(spans: list[tuple[int, int, str, str]], often: dict[str, int], score: Callable[[str], float], threshold: float) -> list[tuple]:
+    """A sentence's candidates once each (the first one's source), from the threshold on, those that overlap none before them; as ``extract.resolve_overlaps``."""
+    once: dict[tuple[int, int, str], str] = {}
+    for start, end, term, source in spans:
+        once.setdefault((start, end, term), source)
+    rated = [(start, end, term, source, often[term], score(term)) for (start, end, term), source in once.items()]
+    order = lambda s: (s[0] - s[1], -s[5] if s[5] == s[5] else math.inf, -s[4], s[0], s[1], s[2])
+    kept: list[tuple] = []
+    for s in sorted((s for s in rated if not s[5] < threshold), key=order):
+        if not any(s[0] < o[1] and o[0] < s[1] and s[0] < s[1] and o[0] < o[1] for o in kept):
+            kept.append(s)
+    return kept
+
+
+def _kept_spans(records: pa.Array, tag: Tagger | None, scorer: Scorer | None, threshold: float) -> pa.Array:
+    """The kept spans of a few documents' (page, sentence) records. A model gets the different (sentence, term) pairs of these at once."""
+    documents = [[r["sentence"] for r in d] for d in records.to_pylist()]
+    found = [[_generated(x, tag) for x in d] for d in documents]
+    scores: dict[tuple[str, str], float] = {}
+    if scorer:
+        pairs = list(dict.fromkeys((x, s[2]) for d, of in zip(documents, found) for x, spans in zip(d, of) for s in spans))
+        scores = {pair: round(float(x), 4) for pair, x in zip(pairs, scorer([x for x, _ in pairs], [term for _, term in pairs]) if pairs else ())}
+    groups, rows = [], []
+    for d, of in zip(documents, found):
+        often = Counter(s[2] for spans in of for s in spans)
+        first = len(rows)
+        for i, (sentence, spans) in enumerate(zip(d, of)):
+            score = (lambda term, x=sentence: scores[x, term]) if scorer else (lambda term: t.term_score(term, often[term]))
+            rows += [(i, rank, *s) for rank, s in enumerate(_distinct_kept(spans, often, score, threshold))]
+        groups.append(range(first, len(rows)))
+    return _array(_KEPT, groups, rows)
 
 
 def softmax(logits: list[float]) -> list[float]:
-    import math
-
     top = max(logits)
     parts = [math.exp(x - top) for x in logits]
     return [p / sum(parts) for p in parts]
 
 
-def extract_with(documents: DataFrame, threshold: float, tagger: tuple[Callable[[], Tagger], str] | None = None, scorer: tuple[Callable[[], Scorer], str] | None = None, key: str = "doc_id") -> DataFrame:
+def extract_with(documents: DataFrame, threshold: float, tagger: tuple[Callable[[], Tagger], str] | None = None, scorer: tuple[Callable[[], Scorer], str] | None = None, key: str = "doc_id", sentences: bool = True) -> DataFrame:
     """The general extraction: any generator and scorer, duplicates and overlaps resolved, one row per kept span.
 
     A term is counted over all generated candidates of its document, before
-    duplicates and the threshold; the heuristic scores by that count.
+    duplicates and the threshold; the heuristic scores by that count. All of it
+    is in the document's row, so nothing is shuffled and each sentence is tagged
+    once; a pair of sentence and term is scored once in 256 documents. With
+    ``sentences`` the rows also have the span's page and sentence.
     """
-    sentences = extract.segment(documents, key)
-    spans = tagged_candidates(sentences, *tagger, key) if tagger else extract.candidates(sentences, key)
-    rows = extract.distinct_spans(extract.counted(spans, key), key)
-    if scorer:
-        rows = rows.join(model_scores(rows, *scorer), ["sentence", "term"])
-    else:
-        rows = rows.withColumn("score", t.heuristic_score(F.col("term"), F.col("raw_frequency")))
-    rows = rows.where(F.col("score") >= threshold).withColumn("group", t.group_tag(F.col("term")))
-    return extract.resolve_overlaps(rows, [key, "sentence_idx"])
+
+    @F.arrow_udf(ArrayType(_KEPT, False))
+    def run(records: pa.Array) -> pa.Array:
+        tag = _loaded(*reversed(tagger)) if tagger else None
+        score = _loaded(*reversed(scorer)) if scorer else None
+        return pa.concat_arrays([_kept_spans(records.slice(i, SLICE), tag, score, threshold) for i in range(0, max(len(records), 1), SLICE)])
+
+    found = extract.records(documents, key, "text").withColumn("_kept", run("_records"))
+    if sentences:
+        found = found.withColumn("_kept", F.transform("_kept", lambda x: x.withField("page", F.get("_records", x["sentence_idx"])["page"]).withField("sentence", F.get("_records", x["sentence_idx"])["sentence"])))
+    # Outer, as else Spark asks for the size of the list before the Python stage that makes it.
+    rows = found.select(key, F.explode_outer("_kept").alias("_s")).select(key, "_s.*").where(F.col("term").isNotNull())
+    return rows.withColumn("group", t.group_tag(F.col("term")))

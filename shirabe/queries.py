@@ -424,13 +424,13 @@ def nlp_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def tagged_terms(spark: SparkSession, d: str) -> DataFrame:
     """The general extraction over tagged words with the heuristic score."""
-    out = models.extract_with(load(spark, d, "documents"), THRESHOLD, (_script_tagger, "script_tagger"))
+    out = models.extract_with(load(spark, d, "documents"), THRESHOLD, (_script_tagger, "script_tagger"), sentences=False)
     return out.select("doc_id", "sentence_idx", "overlap_rank", "start_char", "end_char", "term", "source", "raw_frequency", "score", "group")
 
 
 def model_scores(spark: SparkSession, d: str) -> DataFrame:
     """The general extraction over tagged words, scored by length in a model's place."""
-    out = models.extract_with(load(spark, d, "documents"), 0.6, (_script_tagger, "script_tagger"), (_length_scorer, "length_scorer"))
+    out = models.extract_with(load(spark, d, "documents"), 0.6, (_script_tagger, "script_tagger"), (_length_scorer, "length_scorer"), sentences=False)
     return out.select("doc_id", "sentence_idx", "overlap_rank", "start_char", "end_char", "term", "score")
 
 

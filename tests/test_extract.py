@@ -131,3 +131,20 @@ def test_a_run(spark):
     assert {(r["term_candidate_id"], r["document_id"]) for r in out["occurrences"]} == {("r1|t1", "d1"), ("r1|new:確認", "d1"), ("r1|new:故障", "d1")}
     assert {(r["term"], r["review_status"], r["files"]) for r in out["aggregate"]} == {("信号", "approved", "a.txt"), ("確認", "unreviewed", "a.txt"), ("故障", "unreviewed", "a.txt")}
     assert {r["term"]: len(r["occurrences"]) for r in out["response"]} == {"信号": 2, "確認": 1, "故障": 1}
+
+
+def test_python_rules_equal_columns(spark):
+    """What the general extraction's Python stage cleans and scores is what the columns do."""
+    from pyspark.sql import functions as F
+
+    from shirabe.functions import text as t
+
+    random.seed(3)
+    signs = "第3章節(12)）.ー-信号機ATSぁんの・「」 \u2028\u0085\x1c\u3000\n閉そく%"
+    texts = list({"".join(random.choice(signs) for _ in range(random.randint(1, 9))) for _ in range(600)})
+    cleaned = t.clean_candidate(F.col("x"))
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", F.when(t.valid_candidate(cleaned), cleaned).alias("term")).collect()
+    assert {r["x"]: r["term"] for r in rows} == {x: t.term_of_text(x) for x in texts} and sum(r["term"] is not None for r in rows) > 100
+    grid = [(term, n) for term in ("ア", "信", "信号", "信号機構", "ATS", "ABCD", "線区ホーム", "装置アイ") for n in range(1, 40)]
+    scored = spark.createDataFrame(grid, "term string, n int").select("term", "n", t.heuristic_score(F.col("term"), F.col("n")).alias("score")).collect()
+    assert all(r["score"] == t.term_score(r["term"], r["n"]) for r in scored)

@@ -148,3 +148,12 @@ def test_python_rules_equal_columns(spark):
     grid = [(term, n) for term in ("ア", "信", "信号", "信号機構", "ATS", "ABCD", "線区ホーム", "装置アイ") for n in range(1, 40)]
     scored = spark.createDataFrame(grid, "term string, n int").select("term", "n", t.heuristic_score(F.col("term"), F.col("n")).alias("score")).collect()
     assert all(r["score"] == t.term_score(r["term"], r["n"]) for r in scored)
+
+
+def test_the_general_extraction_shuffles_nothing(spark):
+    tag = lambda: lambda s: ([("信号", "NOUN", 0)], [])
+    score = lambda: lambda sentences, terms: [0.75 for _ in terms]
+    out = models.extract_with(docs(spark, "信号を確認。", "", "の。"), 0.5, (tag, "one"), (score, "flat"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan
+    assert [(r["doc_id"], r["term"], r["score"], r["sentence"], r["page"]) for r in out.where("doc_id = 1").collect()] == [(1, "信号", 0.75, "信号を確認。", None)]

@@ -20,7 +20,7 @@ def broadcast_parts(df):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data here")
-@pytest.mark.parametrize("name", ["pages_by_file", "response_occurrences", "aggregate_totals", "terms_with_review", "next_unreviewed", "client_view_of_file", "client_view", "client_orders", "aggregate_across_docs"])
+@pytest.mark.parametrize("name", ["pages_by_file", "response_occurrences", "aggregate_totals", "terms_with_review", "next_unreviewed", "client_view_of_file", "client_view", "client_orders", "aggregate_across_docs", "candidate_csv_lines"])
 def test_extracted_terms_are_not_broadcast(spark, monkeypatch, name):
     """Their size is guessed far too small, so that they filled the driver's memory."""
     seen, write = [], Workspace.write

@@ -286,10 +286,9 @@ def client_view_of_file(spark: SparkSession, d: str) -> DataFrame:
 def client_orders(spark: SparkSession, d: str) -> DataFrame:
     """The rank of each term of the aggregate, and its places in the client's other two orders."""
     terms = Workspace(spark, "orders").write(_aggregate(spark, d).select("term", "score", "frequency", "first_file", "first_page"))
-    out = extract.ranked(terms, extract.aggregate_order())
-    for order, name in ((extract.frequency_order(), "by_frequency"), (extract.source_order(), "by_source")):
-        out = out.join(extract.ranked(terms, order, name).select("term", name), "term")
-    return out.select("term", "rank", "by_frequency", "by_source")
+    for order, name in ((extract.aggregate_order(), "rank"), (extract.frequency_order(), "by_frequency"), (extract.source_order(), "by_source")):
+        terms = extract.ranked(terms, order, name)
+    return terms.select("term", "rank", "by_frequency", "by_source")
 
 
 def aggregate_totals(spark: SparkSession, d: str) -> DataFrame:

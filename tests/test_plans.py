@@ -27,3 +27,12 @@ def test_extracted_terms_are_not_broadcast(spark, monkeypatch, name):
     monkeypatch.setattr(Workspace, "write", lambda self, df, *a: (seen.append(df), write(self, df, *a))[1])
     seen.append(queries.QUERIES[name](spark, str(DATA)))
     assert not [part for df in seen for part in broadcast_parts(df) if "_document_terms" in part]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+def test_the_orders_of_the_client_need_no_join_by_term(spark, monkeypatch):
+    """Written terms are smaller in their files than in memory, so that such a join collected them in the driver."""
+    seen, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, *a: (seen.append(df), write(self, df, *a))[1])
+    seen.append(queries.QUERIES["client_orders"](spark, str(DATA)))
+    assert not [part for df in seen for part in broadcast_parts(df) if "term#" in part]

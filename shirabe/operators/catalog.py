@@ -119,9 +119,12 @@ def client_filter(terms: DataFrame, stored: DataFrame, group: str = "all", statu
 
 
 def with_review_status(terms: DataFrame, stored: DataFrame) -> DataFrame:
-    """Extracted terms with the ``review_status`` that the catalog stores; a term that it lacks is unreviewed."""
+    """Extracted terms with the ``review_status`` that the catalog stores; a term that it lacks is unreviewed.
+
+    The catalog grows with the data and is smaller in its files than in memory, so it must not look small enough to be broadcast.
+    """
     reviewed = stored.groupBy(F.col("normalized_text").alias("_text")).agg(F.max_by("review_status", "review_version").alias("_status"))
-    joined = terms.withColumn("_text", nfkc_strip(F.col("term"))).join(reviewed, "_text", "left")
+    joined = terms.withColumn("_text", nfkc_strip(F.col("term"))).join(reviewed.hint("merge"), "_text", "left")
     return joined.withColumn("review_status", F.coalesce("_status", F.lit("unreviewed"))).drop("_text", "_status")
 
 

@@ -36,3 +36,10 @@ def test_the_orders_of_the_client_need_no_join_by_term(spark, monkeypatch):
     monkeypatch.setattr(Workspace, "write", lambda self, df, *a: (seen.append(df), write(self, df, *a))[1])
     seen.append(queries.QUERIES["client_orders"](spark, str(DATA)))
     assert not [part for df in seen for part in broadcast_parts(df) if "term#" in part]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+@pytest.mark.parametrize("name", ["next_unreviewed", "terms_with_review", "client_view_of_file"])
+def test_the_catalog_is_not_broadcast(spark, name):
+    """It grows with the data, and its files are smaller than its rows."""
+    assert not [part for part in broadcast_parts(queries.QUERIES[name](spark, str(DATA))) if "normalized_text#" in part]

@@ -56,13 +56,19 @@ def compounds(words: list[tuple[str, str, int]]) -> Iterator[tuple[str, int, int
 
     Words wholly in hiragana end a row like any other part of speech.
     """
-    row: list[tuple[str, int]] = []
-    for text, pos, start in [*words, ("", "", 0)]:
+    row: list[str] = []
+    first = end = 0
+    for text, pos, start in words:
         if pos in k.TERM_POS and text is not None and not _HIRAGANA.search(text):
-            row.append((text, start))
+            if not row:
+                first = start
+            row.append(text)
+            end = start + len(text)
         elif row:
-            yield "".join(w for w, _ in row), row[0][1], row[-1][1] + len(row[-1][0])
+            yield "".join(row), first, end
             row = []
+    if row:
+        yield "".join(row), first, end
 
 
 def _generated(sentence: str, tag: Tagger | None) -> list[tuple[int, int, str, str]]:
@@ -116,12 +122,15 @@ def _distinct_kept(spans: list[tuple[int, int, str, str]], often: dict[str, int]
 
 
 def _kept_spans(records: pa.Array, tag: Tagger | None, scorer: Scorer | None, threshold: float) -> pa.Array:
-    """The kept spans of a few documents' (page, sentence) records. A model gets the different (sentence, term) pairs of these at once."""
-    documents = [[r["sentence"] for r in d] for d in records.to_pylist()]
-    found = [[_generated(x, tag) for x in d] for d in documents]
+    """The kept spans of a few documents' (page, sentence) records. Each different sentence of these is tagged once, and a model gets the different (sentence, term) pairs at once."""
+    bounds = records.offsets.to_pylist()
+    texts = records.values.slice(bounds[0], bounds[-1] - bounds[0]).field("sentence").to_pylist()
+    spans_of = {x: _generated(x, tag) for x in dict.fromkeys(texts)}
+    documents = [texts[low - bounds[0] : high - bounds[0]] for low, high in zip(bounds, bounds[1:])]
+    found = [[spans_of[x] for x in d] for d in documents]
     scores: dict[tuple[str, str], float] = {}
     if scorer:
-        pairs = list(dict.fromkeys((x, s[2]) for d, of in zip(documents, found) for x, spans in zip(d, of) for s in spans))
+        pairs = [(x, term) for x, spans in spans_of.items() for term in dict.fromkeys(s[2] for s in spans)]
         scores = {pair: round(float(x), 4) for pair, x in zip(pairs, scorer([x for x, _ in pairs], [term for _, term in pairs]) if pairs else ())}
     groups, rows = [], []
     for d, of in zip(documents, found):

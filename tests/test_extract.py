@@ -157,3 +157,23 @@ def test_the_general_extraction_shuffles_nothing(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Join" not in plan
     assert [(r["doc_id"], r["term"], r["score"], r["sentence"], r["page"]) for r in out.where("doc_id = 1").collect()] == [(1, "信号", 0.75, "信号を確認。", None)]
+
+
+def test_a_sentence_of_several_documents_is_tagged_and_scored_once():
+    import pyarrow as pa
+
+    seen, scored = [], []
+
+    def tag(sentence):
+        seen.append(sentence)
+        return [("信号", "NOUN", 0)], []
+
+    def score(sentences, terms):
+        scored.extend(zip(sentences, terms))
+        return [0.9] * len(terms)
+
+    one = [{"page": None, "sentence": "信号を確認。"}, {"page": 2, "sentence": "信号の灯。"}]
+    out = models._kept_spans(pa.array([[], one, one[:1]]).slice(1), tag, score, 0.5).to_pylist()
+    assert sorted(seen) == ["信号の灯。", "信号を確認。"]
+    assert sorted(scored) == [("信号の灯。", "信号"), ("信号を確認。", "信号")]
+    assert [[(x["sentence_idx"], x["term"], x["raw_frequency"]) for x in d] for d in out] == [[(0, "信号", 2), (1, "信号", 2)], [(0, "信号", 1)]]

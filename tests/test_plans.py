@@ -43,3 +43,13 @@ def test_the_orders_of_the_client_need_no_join_by_term(spark, monkeypatch):
 def test_the_catalog_is_not_broadcast(spark, name):
     """It grows with the data, and its files are smaller than its rows."""
     assert not [part for part in broadcast_parts(queries.QUERIES[name](spark, str(DATA))) if "normalized_text#" in part]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data here")
+@pytest.mark.parametrize("name", ["client_view_of_file"])
+def test_nothing_is_broadcast_as_it_runs(spark, name):
+    """Adaptive execution plans again by the sizes of shuffled rows, which are smaller than in memory as well."""
+    df = queries.QUERIES[name](spark, str(DATA))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastExchange" not in plan

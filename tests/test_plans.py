@@ -46,7 +46,7 @@ def test_the_catalog_is_not_broadcast(spark, name):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data here")
-@pytest.mark.parametrize("name", ["client_view_of_file"])
+@pytest.mark.parametrize("name", ["client_view_of_file", "terms_with_review"])
 def test_nothing_is_broadcast_as_it_runs(spark, name):
     """Adaptive execution plans again by the sizes of shuffled rows, which are smaller than in memory as well."""
     df = queries.QUERIES[name](spark, str(DATA))
